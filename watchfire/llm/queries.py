@@ -137,10 +137,10 @@ ORACLES = {
                      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                      CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
                      coalesce(rep.n, 0) AS n_repeat_words,
-                     len(list_filter(w, lambda x: regexp_matches(x, '^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$'))) AS n_upper
+                     (length(t) - length(replace(t, '!!', ''))) // 2 AS n_shouts
               FROM l LEFT JOIN rep USING (doc_id))
         SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines
-                    OR 10 * n_upper > 5 * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept FROM m""",
+                    OR 10 * n_shouts > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept FROM m""",
 }

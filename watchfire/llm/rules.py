@@ -8,8 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchfire.llm.common import SPACE_CLASS
-
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -23,46 +21,55 @@ class Rule:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != "")
-
-
-def _repeat_words() -> Column:
-    """Words that lie in a window of five words which the text has twice or more, from the array column __words.
-
-    Windows are compared by a 64-bit hash of their words. Only where some hash repeats are they sorted with their
-    places, so that equal ones are neighbours; then the union of the windows is summed by the gaps between starts.
-    """
-    sortable = "array_sort(transform(__h, (h, i) -> named_struct('h', h, 'i', i)))"
-    starts = (
-        f"transform(array({sortable}), s -> array_sort(transform(filter(s, (x, j) -> "
-        "(j > 0 AND s[j - 1].h = x.h) OR (j + 1 < size(s) AND s[j + 1].h = x.h)), x -> x.i)))[0]"
-    )
-    covered = (
-        f"transform(array({starts}), p -> aggregate(transform(p, (x, j) -> IF(j + 1 < size(p), least(5, p[j + 1] - x), 5)), "
-        "0L, (a, x) -> a + x))[0]"
-    )
-    return F.expr(f"CASE WHEN size(__h) > 1 AND size(array_distinct(__h)) < size(__h) THEN {covered} ELSE 0L END")
+    # A blank alone is split without a pattern; the other white space is rare.
+    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]+", " "), " "), "")
+
+
+#: A 64-bit hash of each window of five words.
+_WINDOWS = (
+    "transform(arrays_zip(slice(__words, 1, greatest(size(__words) - 4, 0)), slice(__words, 2, size(__words)), "
+    "slice(__words, 3, size(__words)), slice(__words, 4, size(__words)), slice(__words, 5, size(__words))), x -> xxhash64(x))"
+)
+_WINDOWS = f"IF(size(__words) > 4, slice({_WINDOWS}, 1, size(__words) - 4), CAST(array() AS array<bigint>))"
+#: Words in a window that the text has twice or more. Only where some hash repeats: the windows' places are sorted
+#: by a part of the hash, in one long with the place (30 bits hold any text's), and those with an equal neighbour by the
+#: whole hash, so that equal ones are neighbours; then the union of the windows is summed by the gaps between starts.
+_SORTED = "sort_array(transform(__h, (h, i) -> (h & -1073741824L) | i))"
+_LIKELY = (
+    f"transform(array({_SORTED}), c -> transform(filter(c, (x, j) -> "
+    "(j > 0 AND shiftright(c[j - 1], 30) = shiftright(x, 30)) OR (j + 1 < size(c) AND shiftright(c[j + 1], 30) = shiftright(x, 30))), "
+    "x -> CAST(x & 1073741823L AS INT)))[0]"
+)
+_PLACED = f"sort_array(transform({_LIKELY}, i -> named_struct('h', __h[i], 'i', i)))"
+_STARTS = (
+    f"transform(array({_PLACED}), s -> sort_array(transform(filter(s, (x, j) -> "
+    "(j > 0 AND s[j - 1].h = x.h) OR (j + 1 < size(s) AND s[j + 1].h = x.h)), x -> x.i)))[0]"
+)
+_COVERED = (
+    f"transform(array({_STARTS}), p -> aggregate(transform(p, (x, j) -> IF(j + 1 < size(p), least(5, p[j + 1] - x), 5)), "
+    "0L, (a, x) -> a + x))[0]"
+)
+_REPEAT_WORDS = f"CASE WHEN size(__h) > 1 AND size(array_distinct(__h)) < size(__h) THEN {_COVERED} ELSE 0L END"
 
 
 def text_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words and n_upper_words
-    (two letters or more, all upper-case ASCII) to every row. Null text counts as empty: all are 0."""
+    """Adds n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words and n_shouts (pairs of
+    exclamation marks) to every row. Null text counts as empty: all are 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hashes = "IF(size(__words) > 4, transform(slice(__words, 1, size(__words) - 4), (x, i) -> xxhash64(x, __words[i + 1], __words[i + 2], __words[i + 3], __words[i + 4])), CAST(array() AS array<bigint>))"
     return (
         docs.withColumn("__text", text)
         .withColumn("__words", _words(F.col("__text")))
-        .withColumn("__h", F.expr(hashes))
+        .withColumn("__h", F.expr(_WINDOWS))
         .withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
         .withColumns(
             {
                 "n_words": F.size("__words").cast("long"),
-                "word_chars": F.length(F.translate("__text", " \t\n\x0b\x0c\r", "")).cast("long"),
-                "n_symbols": (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long"),
+                "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+                "n_symbols": (F.length("__text") - F.length(F.regexp_replace("__text", f"[{SYMBOLS}]+", ""))).cast("long"),
                 "n_lines": F.size("__lines").cast("long"),
                 "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-                "n_repeat_words": _repeat_words().cast("long"),
-                "n_upper_words": F.size(F.filter("__words", lambda w: w.rlike("^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$"))).cast("long"),
+                "n_repeat_words": F.expr(_REPEAT_WORDS).cast("long"),
+                "n_shouts": F.floor((F.length("__text") - F.length(F.replace("__text", F.lit("!!"), F.lit("")))) / 2).cast("long"),
             }
         )
         .drop("__text", "__words", "__h", "__lines")
@@ -77,7 +84,7 @@ def default_rules() -> list[Rule]:
         Rule("repeated_windows", 100 * F.col("n_repeat_words") > 20 * n),
         Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
         Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
-        Rule("shouting", 10 * F.col("n_upper_words") > 5 * n),
+        Rule("shouting", 10 * F.col("n_shouts") > 3 * n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 25 * n)),
     ]
 
@@ -110,7 +117,7 @@ def order_by_rejection_per_cost(sample: DataFrame, rules: list[Rule]) -> list[Ru
 
 
 def quality_cascade(
-    docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Judges every row by rules that are tried in turn until one rejects.
 

@@ -18,7 +18,8 @@ BASE = {
     "hex": (r"[0-9a-f]+", 16, 0),
 }
 #: What the battery looks at: long runs of characters of the usual encodings.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_TOKEN = 20
+CANDIDATE = f"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
 #: name -> (alphabet, pattern that a whole token fits). The first that fits is the inferred encoding.
 ENCODINGS = {
     "decimal": ("0123456789", "^[0-9]+$"),
@@ -34,13 +35,14 @@ ENCODINGS = {
 STRATA = (0, 32, 64, 128)
 #: log evidence is counted up to here, in steps of one.
 TOP_EVIDENCE = 200
-#: Character classes of ordinary text and their sizes within CANDIDATE's alphabet.
-CLASSES = {"digit": ("0-9", 10), "upper": ("A-Z", 26), "lower": ("a-z", 26), "mark": ("+/_=-", 5)}
+#: Character classes of ordinary text and their sizes within CANDIDATE's alphabet; the rest of a text counts as other.
+CLASSES = {"digit": ("0-9", 10), "upper": ("A-Z", 26), "other": ("a-z+/_=-", 31)}
 
 
-def _spans(text: Column, pattern: str, value: Column, group: int) -> Column:
+def _spans(text: Column, pattern: str, group: int, may: Column) -> Column:
     """array<struct<start, end, value>> of a pattern's leftmost non-overlapping matches: the pieces between matches
-    and the matches alternate, so a start is the sum of the lengths before it. Empty where nothing matches."""
+    and the matches alternate, so a start is the sum of the lengths before it. Empty where nothing matches. may: a
+    cheap condition that every text with a match fulfils."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     parts = F.arrays_zip(
@@ -68,20 +70,31 @@ def _spans(text: Column, pattern: str, value: Column, group: int) -> Column:
             .alias("out"),
         ),
     )["out"]
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    return F.when(may & text.rlike(pattern), folded).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
     """kind -> array of spans that are long enough."""
+    may = {
+        "assign": F.contains(text, F.lit(":")) | F.contains(text, F.lit("=")),
+        "access": F.contains(text, F.lit("AKIA")),
+        "hex": F.lit(True),
+    }
     out = {}
     for kind, (pattern, least, group) in BASE.items():
         # A run's short matches hold no long one, so its limit may stand in the pattern.
         p = pattern if group else pattern[:-1] + f"{{{least - (4 if kind == 'access' else 0)},}}"
-        spans = _spans(text, p, text, group)
+        spans = _spans(text, p, group, may[kind])
         out[kind] = F.filter(spans, lambda s, least=least: F.length(s["value"]) >= least) if group else spans
     return out
 
 
+def candidate_tokens(text: Column) -> Column:
+    """All matches of CANDIDATE: they hold no blank, so only words as long need the search."""
+    long = F.filter(F.split(text, " "), lambda w: F.length(w) >= LEAST_TOKEN)
+    return F.flatten(F.transform(long, lambda w: F.regexp_extract_all(w, F.lit(CANDIDATE), F.lit(0))))
+
+
 def _upper_tail(z: Column) -> Column:
     """Of the standard normal distribution, by a logistic form (absolute error under 0.0002)."""
     return 1 / (1 + F.exp(F.least(F.lit(700.0), 1.5976 * z + 0.070565992 * z * z * z)))
@@ -176,20 +189,15 @@ def _stratum(token: Column) -> Column:
 
 
 def ordinary_classes(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """The share of each character class among the class characters of all texts (one added to each count)."""
+    """The share of each character class among the characters of all texts (one added to each count)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = docs.agg(
-        *[F.sum(F.length(text) - F.length(F.translate(text, _members(c), ""))).alias(k) for k, (c, _) in CLASSES.items()]
-    ).first()
-    counts = {k: (row[k] or 0) + 1 for k in CLASSES}
+    kept = {k: F.sum(F.length(F.regexp_replace(text, f"[^{CLASSES[k][0]}]+", ""))) for k in ("digit", "upper")}
+    row = docs.agg(F.sum(F.length(text)).alias("all"), *[v.alias(k) for k, v in kept.items()]).first()
+    counts = {k: (row[k] or 0) + 1 for k in kept}
+    counts["other"] = (row["all"] or 0) + 3 - sum(counts.values())
     return {k: v / sum(counts.values()) for k, v in counts.items()}
 
 
-def _members(chars: str) -> str:
-    spread = {"0-9": "0123456789", "A-Z": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a-z": "abcdefghijklmnopqrstuvwxyz"}
-    return spread.get(chars, chars)
-
-
 def discovery_limits(tokens: DataFrame, rate: float) -> dict[int, float]:
     """Least log evidence for a discovery in each stratum of lengths, from (stratum, evidence, random) of all tokens.
 
@@ -229,7 +237,7 @@ def find_secrets(
     none = "array<struct<start:int,ord:int,end:int>>"
     text = F.coalesce(F.col(text_col), F.lit(""))
     ordinary = ordinary_classes(docs, text_col)
-    listed = docs.select(F.explode(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("token"))
+    listed = docs.select(F.explode(candidate_tokens(text)).alias("token"))
     limits = discovery_limits(
         listed.select(
             _stratum(F.col("token")).alias("stratum"),
@@ -252,18 +260,17 @@ def find_secrets(
             out = F.when(_stratum(token) == stratum, F.floor(_evidence(token, ordinary)) >= least).otherwise(out)
         return out & (randomness_p(token) >= random_p)
 
-    added = (
-        F.transform(
-            F.filter(_spans(text, CANDIDATE, text, 0), lambda s: discovered(s["value"])),
-            lambda s: F.struct(s["start"].alias("start"), F.lit(len(BASE)).alias("ord"), s["end"].alias("end")),
+    found = F.filter(candidate_tokens(text), discovered) if limits else F.array().cast("array<string>")
+
+    def added(found: Column) -> Column:
+        spans = F.filter(_spans(text, CANDIDATE, 0, F.size(found) > 0), lambda s: F.array_contains(found, s["value"]))
+        return F.transform(
+            spans, lambda s: F.struct(s["start"].alias("start"), F.lit(len(BASE)).alias("ord"), s["end"].alias("end"))
         )
-        if limits
-        else F.array().cast(none)
-    )
 
     def joined(known: Column) -> Column:
         free = F.filter(
-            added, lambda s: ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+            _let(found, added), lambda s: ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
         )
         return F.array_sort(F.concat(known, free)).cast(none)
 
