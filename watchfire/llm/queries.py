@@ -37,9 +37,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.BASE)
-    ]
+    counts = [secrets.count_of(F.col("spans"), i).alias(f"n_{k}") for i, k in enumerate(secrets.BASE)]
     return found.select(
         "doc_id",
         *counts,

@@ -85,10 +85,23 @@ def base_spans(text: Column) -> dict[str, Column]:
         # A run's short matches hold no long one, so its limit may stand in the pattern.
         p = pattern if group else pattern[:-1] + f"{{{least - (4 if kind == 'access' else 0)},}}"
         spans = _spans(text, p, group, may[kind])
-        out[kind] = F.filter(spans, lambda s, least=least: F.length(s["value"]) >= least) if group else spans
+        out[kind] = F.filter(spans, _long_enough(least)) if group else spans
     return out
 
 
+def _long_enough(least: int):
+    return lambda s: F.length(s["value"]) >= least
+
+
+def _of_kind(order: int):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"))
+
+
+def count_of(spans: Column, order: int) -> Column:
+    """Spans of the kind of that order."""
+    return F.size(F.filter(spans, lambda s: s["ord"] == order)).cast("long")
+
+
 def candidate_tokens(text: Column) -> Column:
     """All matches of CANDIDATE: they hold no blank, so only words as long need the search."""
     long = F.filter(F.split(text, " "), lambda w: F.length(w) >= LEAST_TOKEN)
@@ -247,12 +260,7 @@ def find_secrets(
         rate,
     )
     base = base_spans(text)
-    known = F.concat(
-        *[
-            F.transform(base[k], lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("ord"), s["end"].alias("end")))
-            for i, k in enumerate(BASE)
-        ]
-    )
+    known = F.concat(*[F.transform(base[k], _of_kind(i)) for i, k in enumerate(BASE)])
 
     def discovered(token: Column) -> Column:
         out = F.lit(False)
@@ -264,9 +272,7 @@ def find_secrets(
 
     def added(found: Column) -> Column:
         spans = F.filter(_spans(text, CANDIDATE, 0, F.size(found) > 0), lambda s: F.array_contains(found, s["value"]))
-        return F.transform(
-            spans, lambda s: F.struct(s["start"].alias("start"), F.lit(len(BASE)).alias("ord"), s["end"].alias("end"))
-        )
+        return F.transform(spans, _of_kind(len(BASE)))
 
     def joined(known: Column) -> Column:
         free = F.filter(
