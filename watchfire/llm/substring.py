@@ -103,21 +103,36 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _anchors(h: np.ndarray, window: int) -> np.ndarray:
-    """The anchor's hash of each window."""
-    g = window_hashes(h, SEED)
-    view = np.lib.stride_tricks.sliding_window_view(g, window - SEED + 1)
-    return g[view.argmin(axis=1) + np.arange(len(view))]
+    """The least seed hash of each window."""
+    m, have, need = window_hashes(h, SEED), 1, window - SEED + 1
+    while have < need:
+        step = min(have, need - have)
+        m = np.minimum(m[:-step], m[step:])
+        have += step
+    return m
 
 
-def _chunk_anchors(docs: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+def _chunk_anchors(anchors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct anchors of a chunk's documents, whether two or more of its documents have each)."""
-    own = [np.unique(_anchors(h, window)) for h in docs if len(h) >= window]
+    # Neighbouring windows mostly share their anchor.
+    own = [np.unique(a[np.concatenate(([True], a[1:] != a[:-1]))]) for a in anchors if len(a)]
     if not own:
         return np.empty(0, np.uint64), np.empty(0, bool)
     keys, n = np.unique(np.concatenate(own), return_counts=True)
     return keys, n > 1
 
 
+def _hashed(words: list[bytes], window: int) -> np.ndarray:
+    return _anchors(_HASHES.of(words), window) if len(words) >= window else np.empty(0, np.uint64)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known, sorted ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of sorted keys: a bucket is a key's first bits."""
     if not bits:
@@ -170,7 +185,7 @@ def _candidates(docs: DataFrame, window: int, bits: int) -> DataFrame:
     by_chunk = docs.groupBy("chunk")
 
     def emit(t: pa.Table) -> pa.Table:
-        keys, _ = _chunk_anchors([_HASHES.of(_words(x)) for x in t["text"].to_pylist()], window)
+        keys, _ = _chunk_anchors([_hashed(_words(x), window) for x in t["text"].to_pylist()])
         chunk, shift = t["chunk"][0].as_py(), np.uint64(32 - bits)
         return _batch(
             _KEYS, [(b, chunk, (keys[i:j] >> shift).astype("<u4").tobytes(), None) for b, i, j in _slices(keys, bits)]
@@ -182,26 +197,23 @@ def _candidates(docs: DataFrame, window: int, bits: int) -> DataFrame:
         values, n = np.unique(np.concatenate([np.unique(p) for p in parts]), return_counts=True)
         shared = values[n > 1]
         b = t["bucket"][0].as_py()
-        return _batch(_FOUND, [(c, b, np.packbits(np.isin(p, shared)).tobytes()) for c, p in zip(chunks, parts)])
+        return _batch(_FOUND, [(c, b, np.packbits(_among(p, shared)).tobytes()) for c, p in zip(chunks, parts)])
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _STATE.empty_table()
         ids, texts = left["doc_id"].to_pylist(), left["text"].to_pylist()
         words = [_words(x) for x in texts]
-        hashed = [_HASHES.of(w) for w in words]
-        keys, shared = _chunk_anchors(hashed, window)
+        anchors = [_hashed(w, window) for w in words]
+        keys, shared = _chunk_anchors(anchors)
         found = dict(zip(right["bucket"].to_pylist(), right["found"].to_pylist()))
         for b, i, j in _slices(keys, bits) if len(keys) else ():
             shared[i:j] |= np.unpackbits(np.frombuffer(found[b], np.uint8), count=j - i).astype(bool)
         keys = keys[shared]
         rows, chunk = [], left["chunk"][0].as_py()
-        for doc, text, w, h in zip(ids, texts, words, hashed):
-            near = None
-            if len(h) >= window and len(keys):
-                a = _anchors(h, window)
-                hit = keys[np.minimum(np.searchsorted(keys, a), len(keys) - 1)] == a
-                near = np.packbits(hit).tobytes() if hit.any() else None
+        for doc, text, w, a in zip(ids, texts, words, anchors):
+            hit = _among(a, keys)
+            near = np.packbits(hit).tobytes() if hit.any() else None
             if near:
                 rows.append((doc, chunk, len(w), None, text, near))
             else:
