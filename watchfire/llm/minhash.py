@@ -168,7 +168,7 @@ def _verified(candidates: DataFrame, docs: DataFrame, n: int, hashes: int, perce
     plan = plan.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     members = materialise(
         docs.where("doc_id IS NOT NULL")
-        .join(plan, "doc_id")
+        .join(plan.hint("merge"), "doc_id")  # the same plan at every size: candidates grow with the corpus
         .select("doc_id", "text", "component", "blocks", "block", F.col("doc_id").alias("tree"), F.lit(False).alias("query"))
     )
     links = materialise(_blocks(members, ["component", "block"], n, hashes, percent))
@@ -269,8 +269,8 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """docs without the rows whose component has a smaller id. Of rows that share a kept id, the ones stay whose text is
-    the least, one of them; rows with null id all stay. Columns and their order stay as they were."""
+    """docs without the rows whose component has a smaller id. Of rows that share a kept id one stays; rows with null
+    id all stay. Columns and their order stay as they were."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **kwargs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
     known = kept.where(F.col(id_col).isNotNull())
