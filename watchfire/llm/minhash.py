@@ -198,7 +198,7 @@ def _verified(candidates: DataFrame, docs: DataFrame, n: int, hashes: int, perce
             )
             all_rows = rows.select(
                 "component", "doc_id", "text", "tree", F.lit(False).alias("query"), "block",
-                F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("int").alias("part"),
+                F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
             )
             new = _blocks(queries.unionByName(all_rows), ["component", "block", "part"], n, hashes, percent)
         links = materialise(links.unionByName(new))
