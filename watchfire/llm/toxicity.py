@@ -228,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_tokens
     try:
         counts = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
         words = (
-            sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\W_]+"))).alias("token"))
+            sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"(?U)[\W_]+"))).alias("token"))
             .where((F.length("token") > 2) & (F.length("token") <= 64))
             .groupBy("token")
             .agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
