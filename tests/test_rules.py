@@ -1,8 +1,12 @@
+import hashlib
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
 from watchfire.functions import rules
 from watchfire.functions.rules import RuleError, condition_tree, parse_pack, parse_rule, seconds
-from watchfire.operators import detect
+from watchfire.operators import analytics, detect, fixtures
 from watchfire.sources.security_events import EVENT_FIELDS
 
 SCHEMA = ", ".join(f"{c} {'long' if c == 'id' else 'int' if c.endswith('port') else 'timestamp' if c == 'timestamp' else 'string'}" for c in EVENT_FIELDS) + ", us long"
@@ -60,3 +64,34 @@ def test_predicates(spark):
     assert matching(spark, {"s": {"source": "nginx"}, "condition": "not s"}, *rows) == {2}
     assert matching(spark, {"condition": "s"}, *rows) == set()
     assert rules.SEVERITY_WEIGHT["critical"] == 95
+
+
+def test_fixtures_and_catalogue(spark):
+    rule = parse_rule(
+        spec(
+            {"s": {"port|gte": 10, "source": "x"}, "condition": "s"},
+            test={"event": {"id": 7, "source": "X", "raw_data": {"port": 12}}},
+            tests={"positive": [{"source": "x", "raw_data": {"port": 1}, "name": "low"}], "negative": [{"event": {"raw_data": {"source": "x", "port": 99}}}]},
+        )
+    )
+    got = [tuple(r) for r in fixtures.run_fixtures(spark, [rule]).collect()]
+    assert got == [("T-1", "Legacy fixture", True, True, True, "7"), ("T-1", "low", True, False, False, None), ("T-1", "negative 1", False, True, False, None)]
+    row = fixtures.fixture_summary(fixtures.run_fixtures(spark, [rule])).first()
+    assert tuple(row) == (3, 1, 2, ["7"], ["low"], ["negative 1"])
+    assert fixtures.run_fixtures(spark, []).count() == 0
+    with pytest.raises(RuleError):
+        fixtures.rule_fixtures(parse_rule(spec({"s": {"a": 1}, "condition": "s"}, tests={"positive": [1]})))
+    catalogue = spark.createDataFrame([("T-1", "old", 1, True), ("T-2", "x", 4, False)], "rule_id string, title string, version int, enabled boolean")
+    edited = analytics.edit_rule(catalogue, rule, "T-1", {"title": F.lit("new")})
+    assert sorted(map(tuple, edited.collect())) == [("T-1", "new", 2, True), ("T-2", "x", 4, False)]
+    with pytest.raises(ValueError):
+        analytics.edit_rule(catalogue, rule, "T-2", {})
+    assert sorted(r.enabled for r in analytics.toggle_rule(catalogue, "T-2").collect()) == [True, True]
+
+
+def test_fingerprint(spark):
+    keys = ["plain", 'q"u\\o', "tab\t\n\r\b\f\x01\x1f\x7f", "\u00e9\u20ac\U0001f600", "", "end\n"]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i long")
+    got = df.select("k", "i", detect.fingerprint(F.lit("WF-1"), F.col("k"), F.col("i")).alias("f")).collect()
+    for r in got:
+        assert r.f == hashlib.sha256(json.dumps(["WF-1", r.k, r.i], separators=(",", ":")).encode()).hexdigest(), r.k

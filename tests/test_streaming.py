@@ -1,11 +1,15 @@
 import json
+import random
+
+import pytest
 
 from pyspark.sql import functions as F
 
-from tests.test_rules import spec
+from tests.test_rules import SCHEMA, spec
 from watchfire.functions.rules import parse_pack
 from watchfire.operators import detect, incidents
 from watchfire.sources.normalize import normalise
+from watchfire.streaming.correlation import correlation_stream
 from watchfire.streaming.security import alert_stream, event_stream, incident_stream
 
 
@@ -36,3 +40,51 @@ def test_stream_equals_batch(spark, tmp_path):
     plain = incidents.incidents(spark.read.parquet(str(tmp_path / "alerts")), RULES).collect()
     pick = lambda r: (r.entity_key, r.session_start, r.alert_count, r.risk_score, r.severity)
     assert sorted(map(pick, out)) == sorted(map(pick, plain))
+
+
+def correlated(spark, folder, batches, rules, rearm="never"):
+    """Alerts of a stream whose files come one a batch, closed by an event far beyond the others."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    name = f"correlated_{random.getrandbits(40)}"
+    end = (10**6, None, None, None, None, None, None, None, None, None, None, None, None, None, None, 10**13)
+    for i, rows in enumerate([*batches, [end]]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+        events = spark.readStream.schema(SCHEMA).parquet(str(folder)).withColumn("at", F.timestamp_micros("us"))
+        q = (
+            correlation_stream(events, rules, "1 hour", rearm).writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", f"{folder}-{name}-state").trigger(availableNow=True).start(f"{folder}-{name}-out")
+        )
+        q.awaitTermination(120)
+    out = spark.read.parquet(f"{folder}-{name}-out").collect()
+    return sorted((r.rule_id, r.entity_key, r.event_id, r.us, list(r.event_ids)) for r in out)
+
+
+CORRELATED = parse_pack(
+    [
+        spec({"s": {"event_type": "a"}, "condition": "s", "correlation": {"type": "count", "threshold": 3, "timeframe": "5m", "group_by": ["hostname"]}}, id="N-1"),
+        spec({"a": {"event_type": "a"}, "b": {"event_type": "b"}, "c": {"event_type": ["a", "c"]}, "condition": "a or b or c",
+              "correlation": {"type": "sequence", "sequence": ["a", "b", "c"], "timeframe": "4m", "group_by": ["hostname"]}}, id="N-2"),
+    ]
+)
+
+
+def event(i, us, kind, host):
+    return (i, None, "x", kind, "low", None, None, None, None, None, host, None, None, "", "{}", us)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_correlation_stream_equals_batch(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [event(i, 10**12 + rng.randrange(20) * 60_000_000 // (1 + rng.randrange(2)), rng.choice("abc"), rng.choice(["h1", "h2", "h3", "h4", None])) for i in range(60)]
+    got = correlated(spark, tmp_path / "events", [rows[:25], rows[25:]], CORRELATED)
+    batch = spark.createDataFrame(rows, SCHEMA)
+    found = detect.count_alerts(batch, CORRELATED).unionByName(detect.sequence_alerts(batch, CORRELATED)).collect()
+    want = sorted((r.rule_id, r.entity_key, r.event_id, r.us, list(r.event_ids)) for r in found)
+    assert want and got == want
+
+
+def test_correlation_stream_rearms(spark, tmp_path):
+    rows = [event(i, 10**12 + i * 60_000_000, "a", "h") for i in range(20)]
+    got = correlated(spark, tmp_path / "events", [rows], CORRELATED[:1], "after_timeframe")
+    # An alert at minute 2; matches up to minute 7 are passed over.
+    assert [x[2] for x in got] == [2, 10, 18]

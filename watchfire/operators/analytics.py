@@ -119,6 +119,20 @@ def upsert_rules(catalogue: DataFrame, pack: DataFrame, payload: list[str]) -> D
     )
 
 
+def edit_rule(catalogue: DataFrame, rule: Rule, rule_id: str, payload: dict[str, Column]) -> DataFrame:
+    """The catalogue with the payload columns of one rule replaced and its version raised, changed or not; the id stays."""
+    if rule.id != rule_id:
+        raise ValueError("a rule's id cannot be edited")
+    here = F.col("rule_id") == rule_id
+    new = {c: F.when(here, v).otherwise(F.col(c)) for c, v in payload.items()}
+    return catalogue.withColumns(new | {"version": F.when(here, F.col("version") + 1).otherwise(F.col("version"))})
+
+
+def toggle_rule(catalogue: DataFrame, rule_id: str) -> DataFrame:
+    """The catalogue with one rule enabled if it was disabled, and the other way round."""
+    return catalogue.withColumn("enabled", F.col("enabled") != (F.col("rule_id") == rule_id))
+
+
 def backtest(labelled: DataFrame, rules: list[Rule]) -> DataFrame:
     """Confusion counts of each rule on labelled events (rule_id, expected, event columns), one pass."""
     actual = F.lit(False)

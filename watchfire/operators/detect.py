@@ -31,10 +31,23 @@ def group_key(fields: list[str], columns: list[str]) -> Column:
     return F.when(ok, F.when(key == "", "unknown").otherwise(key))
 
 
+def _json_string(text: Column) -> Column:
+    """The text as a JSON string in ASCII: what is not printable ASCII is escaped, by UTF-16 units."""
+    short = F.create_map(*[F.lit(x) for kv in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")) for x in kv])
+
+    def escape(c: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        return F.coalesce(F.try_element_at(short, c), F.when(c.rlike("^[ -~]$"), c).otherwise(units))
+
+    escaped = F.array_join(F.transform(F.split(text, ""), escape), "")
+    plain = text.rlike('^[ !#-\\[\\]-~]*$') & ~F.contains(text, F.lit("\n"))
+    return F.concat(F.lit('"'), F.when(plain, text).otherwise(escaped), F.lit('"'))
+
+
 def fingerprint(rule: Column, entity: Column, event_id: Column) -> Column:
-    """sha256 of the compact JSON list [rule, entity, event]; non-ASCII characters stand as they are."""
-    both = F.to_json(F.array(rule, entity))
-    return F.sha2(F.concat(F.regexp_replace(both, r"\]$", ","), event_id.cast("string"), F.lit("]")), 256)
+    """sha256 of the compact ASCII JSON list [rule, entity, event]."""
+    parts = [F.lit("["), _json_string(rule), F.lit(","), _json_string(entity), F.lit(","), event_id.cast("string"), F.lit("]")]
+    return F.sha2(F.concat(*parts), 256)
 
 
 def matched_events(events: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -61,7 +74,8 @@ def _by_rule(rules: list[Rule], value) -> Column:
     return F.element_at(F.create_map(*pairs), F.col("rule_id"))
 
 
-def _keyed(matched: DataFrame, rules: list[Rule]) -> DataFrame:
+def keyed(matched: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Matches with their rule's group-by key as entity_key; those without a key are left out."""
     key = F.lit(None).cast("string")
     for r in rules:
         by = r.correlation.get("group_by") or ["source_ip"]
@@ -86,7 +100,7 @@ def count_alerts(events: DataFrame, rules: list[Rule], hot_rows: int | None = No
     rules = [r for r in rules if r.kind == "count"]
     if not rules:
         return _no_alerts(events)
-    rows = _keyed(matched_events(events, rules), rules).select("rule_id", "entity_key", "id", "us")
+    rows = keyed(matched_events(events, rules), rules).select("rule_id", "entity_key", "id", "us")
     frame = _by_rule(rules, lambda r: F.lit(seconds(r.correlation.get("timeframe", "5m")) * 1_000_000))
     rows = rows.withColumn("frame", frame).withColumn("home", F.lit(True)).withColumn("bucket", F.lit(0).cast("long"))
     if hot_rows is not None:
@@ -122,7 +136,7 @@ def sequence_alerts(events: DataFrame, rules: list[Rule], stored: DataFrame | No
     for r in (r for r in rules if r.kind == "sequence"):
         stages = list(r.correlation.get("sequence") or [])
         limit = seconds(r.correlation.get("timeframe", "5m")) * 1_000_000
-        rows = _keyed(matched_events(events, [r]), [r]).withColumns({f"s{k}": r.selection(s) for k, s in enumerate(stages)})
+        rows = keyed(matched_events(events, [r]), [r]).withColumns({f"s{k}": r.selection(s) for k, s in enumerate(stages)})
         rows = rows.select("rule_id", "entity_key", "id", "us", *[f"s{k}" for k in range(len(stages))])
         later = Window.partitionBy("rule_id", "entity_key").orderBy(F.desc("us"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
         last = len(stages) - 1
