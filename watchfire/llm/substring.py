@@ -133,6 +133,14 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def _among_runs(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """_among where neighbours are mostly equal: one search for each run."""
+    if not len(values):
+        return np.zeros(0, bool)
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return np.repeat(_among(values[starts], known), np.diff(np.append(starts, len(values))))
+
+
 def _slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of sorted keys: a bucket is a key's first bits."""
     if not bits:
@@ -212,7 +220,7 @@ def _candidates(docs: DataFrame, window: int, bits: int) -> DataFrame:
         keys = keys[shared]
         rows, chunk = [], left["chunk"][0].as_py()
         for doc, text, w, a in zip(ids, texts, words, anchors):
-            hit = _among(a, keys)
+            hit = _among_runs(a, keys)
             near = np.packbits(hit).tobytes() if hit.any() else None
             if near:
                 rows.append((doc, chunk, len(w), None, text, near))
@@ -224,27 +232,33 @@ def _candidates(docs: DataFrame, window: int, bits: int) -> DataFrame:
     return by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(mark, _ddl(_STATE))
 
 
-def _chunk_windows(t: pa.Table, window: int) -> tuple[list, list, list, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, words, windows of a chunk's documents (their hashes; 0 where no candidate), and of the chunk: the sorted
-    distinct candidate windows, the least id that has each, and whether two or more of its ids have it."""
+def _chunk_windows(t: pa.Table, window: int) -> tuple[list, list, list, list, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, words, and places of candidate windows of a chunk's documents, then for each of these windows its place
+    among the chunk's sorted distinct ones; and of those: the windows' hashes, the least id that has each, and whether
+    two or more of the chunk's ids have it."""
     ids = t["doc_id"].to_pylist()
     words = [_words(x) for x in t["text"].to_pylist()]
-    windows, parts, owners = [], [], []
-    for doc, w, near in zip(ids, words, t["near"].to_pylist()):
-        h = window_hashes(_HASHES.of(w), window) | np.uint64(1)
-        h = np.where(np.unpackbits(np.frombuffer(near, np.uint8), count=len(h)).astype(bool), h, np.uint64(0))
-        windows.append(h)
-        own = np.unique(h)
-        own = own[own > 0]
-        parts.append(own)
-        owners.append(np.full(len(own), doc, np.int64))
-    keys, owner = np.concatenate(parts), np.concatenate(owners)
-    order = np.lexsort((owner, keys))
+    at, parts = [], []
+    for w, near in zip(words, t["near"].to_pylist()):
+        hit = np.unpackbits(np.frombuffer(near, np.uint8), count=len(w) - window + 1).astype(bool)
+        used = np.zeros(len(w), bool)
+        for k in range(window):
+            used[k : k + len(hit)] |= hit
+        # Only words of candidate windows need a hash.
+        h, where = np.zeros(len(w), np.uint64), np.flatnonzero(used)
+        h[where] = _HASHES.of([w[i] for i in where.tolist()] if len(where) < len(w) else w)
+        at.append(np.flatnonzero(hit))
+        parts.append(window_hashes(h, window)[at[-1]])
+    sizes = [len(p) for p in parts]
+    keys, owner = np.concatenate(parts), np.repeat(np.array(ids, np.int64), sizes)
+    order = np.argsort(keys)
     keys, owner = keys[order], owner[order]
     first = np.concatenate(([True], keys[1:] != keys[:-1]))
-    at = np.flatnonzero(first)
-    least, most = owner[at], owner[np.concatenate((at[1:], [len(keys)])) - 1]
-    return ids, words, windows, keys[at], least, most > least
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(first) - 1
+    starts = np.flatnonzero(first)
+    least, most = np.minimum.reduceat(owner, starts), np.maximum.reduceat(owner, starts)
+    return ids, words, at, np.split(place, np.cumsum(sizes)[:-1]), keys[starts], least, most > least
 
 
 def _segments(near: DataFrame, window: int, bits: int) -> DataFrame:
@@ -253,7 +267,7 @@ def _segments(near: DataFrame, window: int, bits: int) -> DataFrame:
     by_chunk = near.groupBy("chunk")
 
     def emit(t: pa.Table) -> pa.Table:
-        _, _, _, keys, least, _ = _chunk_windows(t, window)
+        *_, keys, least, _ = _chunk_windows(t, window)
         chunk = t["chunk"][0].as_py()
         return _batch(
             _KEYS,
@@ -280,17 +294,16 @@ def _segments(near: DataFrame, window: int, bits: int) -> DataFrame:
     def route(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _SEGMENT.empty_table()
-        ids, words, windows, keys, least, several = _chunk_windows(left, window)
+        ids, words, at, places, keys, least, several = _chunk_windows(left, window)
         found = dict(zip(right["bucket"].to_pylist(), right["found"].to_pylist()))
-        least, several = least.copy(), several.copy()
         for b, i, j in _slices(keys, bits):
             least[i:j] = np.frombuffer(found[b][: 8 * (j - i)], np.int64)
             several[i:j] |= np.unpackbits(np.frombuffer(found[b][8 * (j - i) :], np.uint8), count=j - i).astype(bool)
         rows = []
-        for doc, w, h in zip(ids, words, windows):
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = (h > 0) & several[at]
-            owner = np.where(hit, least[at], np.int64(-1))
+        for doc, w, own, place in zip(ids, words, at, places):
+            hit, owner = np.zeros(len(w) - window + 1, bool), np.full(len(w) - window + 1, np.int64(-1))
+            hit[own] = several[place]
+            owner[own] = np.where(several[place], least[place], np.int64(-1))
             cuts = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (hit[1:] != hit[:-1]), [True])))
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if hit[i]:
