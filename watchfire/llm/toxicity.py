@@ -23,6 +23,8 @@ SPANS = {3: 5, 4: 6}
 BITS = 20
 #: A longer token is scored by its windows of so many characters, half overlapping.
 PIECE = 32
+#: Training tokens that are laid out as a matrix at a time.
+TRAIN_BLOCK = 250
 #: Offsets of the characters after the first.
 _PLACES = [c for n, span in SPANS.items() for c in combinations(range(1, span), n - 1)]
 _MARKS = re.compile(r"[\W_]+")
@@ -137,16 +139,18 @@ def train_scorer(tokens: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxi
     ok = vals > 1e-5 * vals.max()
     # Nystroem: phi(x) = k(x, landmarks) @ vectors / sqrt(values), and k(x, landmarks) = x @ landmarks.
     basis = (lm.T @ (vecs[:, ok] / np.sqrt(vals[ok]))).astype(np.float32)
-    x = np.concatenate([dense(heads[i : i + 1000]) @ basis for i in range(0, len(heads), 1000)]).astype(float)
+    parts = [slice(i, i + TRAIN_BLOCK) for i in range(0, len(heads), TRAIN_BLOCK)]
+    z = np.ones((len(heads), basis.shape[1] + 1))
+    for part in parts:
+        z[part, :-1] = dense(heads[part]) @ basis
     cost = worth.copy()
     cost[y > 0] /= cost[y > 0].sum()
     cost[y < 0] /= cost[y < 0].sum()
-    z = np.column_stack([x, np.ones(len(x))])
-    w, ridge = np.zeros(z.shape[1]), np.diag([*[1e-3] * x.shape[1], 1e-6])
+    w, ridge = np.zeros(z.shape[1]), np.diag([*[1e-3] * basis.shape[1], 1e-6])
     for _ in range(40):  # Newton's method on the squared hinge loss
-        active = (y * (z @ w) < 1) & (cost > 0)
-        za = z[active] * cost[active][:, None]
-        new = np.linalg.solve(za.T @ z[active] + ridge, za.T @ y[active])
+        pull = np.where(y * (z @ w) < 1, cost, 0.0)
+        curve = sum(z[part].T @ (z[part] * pull[part, None]) for part in parts)
+        new = np.linalg.solve(curve + ridge, z.T @ (pull * y))
         if np.abs(new - w).max() < 1e-8:
             break
         w = 0.5 * w + 0.5 * new if _ > 15 else new
