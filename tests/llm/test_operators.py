@@ -174,6 +174,16 @@ def test_near_duplicates_odd(odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_shared_ids(spark):
+    """Classes that an id ties together are one component; a copy of a class follows, and so does an id's empty row."""
+    a, b = "a b c d e f", "p q r s t u"
+    rows = [(1, a), (5, a), (2, b), (6, b), (5, b), (6, None), (7, ""), (7, ""), (8, "alone in its own class"), (None, a)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in out} == {(1, 1), (5, 1), (2, 1), (6, 1), (7, 7), (8, 8), (None, None)}
+    assert all(r.kept == (r.doc_id in (1, 7, 8, None)) for r in out)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 70)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(5, 5)]

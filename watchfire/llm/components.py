@@ -9,10 +9,11 @@ from watchfire.llm.common import materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node hands its larger neighbours to the least node among its neighbours and itself."""
+    """Each node hands its larger neighbours to the least node among its neighbours and itself. Edges may repeat, at
+    most as many as came in; the small star makes them distinct."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         kept = materialise(_small_star(_large_star(kept)))
         row = kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (row[0], row[1]) == mark:
+        if not row[0] or (row[0], row[1]) == mark:
             break
         mark = (row[0], row[1])
     else:

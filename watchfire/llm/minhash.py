@@ -230,10 +230,9 @@ def near_duplicates(
     hashes = bands * rows
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     measured = materialise(_signatures(slim, shingle_words, hashes))
-    classes = (
-        measured.where("doc_id IS NOT NULL AND n_shingles > 0")
-        .groupBy("set_hi", "set_lo")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    # Written, so that both joins below shuffle a table: adaptive execution can then split a hot class.
+    classes = materialise(
+        measured.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("least"))
     )
     # The class's own row of least id has its signature.
     own = measured.where("n_shingles > 0").alias("m").join(
@@ -246,19 +245,23 @@ def near_duplicates(
         heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"
     )
     links = _verified(materialise(sized), slim, shingle_words, hashes, percent)
-    # Copies hang on their class's least id.
-    copies = (
-        measured.where("doc_id IS NOT NULL")
-        .join(classes.where("least < most"), ["set_hi", "set_lo"])
-        .where("doc_id <> least")
-        .select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-        .distinct()
+    # A copy takes its class's component, so a large class is no large star of edges. Only ids that several rows share
+    # can tie classes together beyond the links.
+    rowed = materialise(measured.drop("signature").join(classes, ["set_hi", "set_lo"], "left").select("doc_id", "n_shingles", "least"))
+    shared = materialise(
+        rowed.where("doc_id IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.min("least").alias("first"), F.max("least").alias("last"), F.count_if(F.col("least").isNull()).alias("without"))
+        .where("first < last OR (first IS NOT NULL AND without > 0)")
+        .select("doc_id", "first")
     )
-    found = components(links.unionByName(copies))
-    component = F.coalesce("component", "doc_id")
+    ties = rowed.join(shared, "doc_id").where("least <> first").select(F.col("least").alias("u"), F.col("first").alias("v"))
+    found = components(links.unionByName(ties.distinct()))
+    component = F.coalesce("component", "head", "doc_id")
     return (
-        measured.select("doc_id", "n_shingles")
-        .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        rowed.join(shared, "doc_id", "left")
+        .withColumn("head", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "first")))
+        .join(found.withColumnRenamed("node", "head"), "head", "left")
         .select(
             "doc_id",
             "n_shingles",
