@@ -2,6 +2,7 @@ import random
 
 from tests.test_rules import events, spec
 from watchfire.functions.rules import parse_pack
+from watchfire.jobs import security
 from watchfire.operators import detect, incidents
 
 MINUTE = 60_000_000
@@ -84,6 +85,36 @@ def test_sessions_and_scores(spark):
     ]
 
 
+def plain_similar(rows, k):
+    out = []
+    for q in rows:
+        scored = []
+        for o in rows:
+            same = 60 * (bool(q[1]) and q[1] == o[1]) + min(30, 10 * len(set(q[3] or ()) & set(o[3] or ()))) + 10 * (q[2] is not None and q[2] == o[2])
+            if o[0] != q[0] and same:
+                scored.append((-same, o[0]))
+        out += [(q[0], i, -s, n) for n, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+def test_similar_of_all_incidents(spark):
+    rng = random.Random(3)
+    sets = [None, [], ["T1"], ["T1", "T2"], ["T2", "T1", "T3", "T4"], ["T3"], ["T5"]]
+    rows = [(f"{rng.randrange(10**9):09d}", rng.choice(["", None, "hot", "hot", *"abcdef"]), rng.choice(["low", "high", "critical", None]), rng.choice(sets)) for _ in range(300)]
+    found = spark.createDataFrame(rows, "incident_id string, entity_key string, severity string, techniques array<string>").persist()
+    for k in (1, 5):
+        got = sorted((r.q_id, r.incident_id, r.score, r.rank) for r in incidents.similar_incidents(found, found, k).collect())
+        assert got == plain_similar(rows, k)
+        assert incidents.similar_candidates(found, found, k).count() <= 2 * (k + 1) * len(rows)
+
+
+def test_similar_query_asks_every_incident(spark):
+    sf = "/root/testdata/sf0.001"
+    everyone = {(r.entity_key, r.session_start) for r in security.flagship(spark, sf).collect()}
+    asked = {(r.q_entity, r.q_start) for r in security.QUERIES["similar_incidents_all"](spark, sf).collect()}
+    assert asked == everyone
+
+
 def test_empty_tables(spark):
     none = events(spark)
     assert found(detect.count_alerts(none, COUNT)) == found(detect.sequence_alerts(none, SEQUENCE)) == []

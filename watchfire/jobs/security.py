@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchfire.functions.rules import parse_pack
@@ -78,14 +78,25 @@ def alerts_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.all_alerts(events, PACK, stored=detect.all_alerts(events, PACK)).select("rule_id", "entity_key", "event_id", "us")
 
 
+def _similar(asked: Column):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = incidents.incidents(alerts(spark, sf_dir), PACK)
+        named = found.select("incident_id", "entity_key", "session_start")
+        best = incidents.similar_incidents(found, found.where(asked))
+        a, b = named.select(F.col("incident_id").alias("q_id"), F.col("entity_key").alias("q_entity"), F.col("session_start").alias("q_start")), named
+        return best.join(a, "q_id").join(b, "incident_id").select("q_entity", "q_start", "entity_key", "session_start", "score", "rank")
+
+    return query
+
+
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queried incidents are those of hosts; all incidents are candidates."""
-    found = incidents.incidents(alerts(spark, sf_dir), PACK)
-    queried = found.where(F.col("entity_key").startswith("host-"))
-    named = found.select("incident_id", "entity_key", "session_start")
-    best = incidents.similar_incidents(found, queried)
-    a, b = named.select(F.col("incident_id").alias("q_id"), F.col("entity_key").alias("q_entity"), F.col("session_start").alias("q_start")), named
-    return best.join(a, "q_id").join(b, "incident_id").select("q_entity", "q_start", "entity_key", "session_start", "score", "rank")
+    return _similar(F.col("entity_key").startswith("host-"))(spark, sf_dir)
+
+
+def similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every incident is queried, and all are candidates."""
+    return _similar(F.lit(True))(spark, sf_dir)
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +240,7 @@ def alerts_count_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "incidents": flagship, "alerts_single": _kind(detect.single_alerts), "alerts_count": _kind(detect.count_alerts),
     "alerts_count_bucketed": alerts_count_bucketed, "alerts_sequence": _kind(detect.sequence_alerts), "alerts_all": lambda s, d: alerts(s, d).drop("event_ids"),
-    "alerts_replay": alerts_replay, "incident_assignments": assignments, "similar_incidents": similar, "stats_dashboard": stats,
+    "alerts_replay": alerts_replay, "incident_assignments": assignments, "similar_incidents": similar, "similar_incidents_all": similar_all, "stats_dashboard": stats,
     "timeline": lambda s, d: analytics.timeline(security_events(s, d)).select("hour", "n"), "events_by_source": _by("source"), "events_by_severity": _by("severity"),
     "alerts_by_severity": alerts_by_severity, "incidents_by_status": incidents_by_status, "coverage_matrix": coverage_matrix, "quality_summary": quality_summary,
     "search_events": search_events, "search_alerts": search_alerts, "search_page": search_page, "newest_events": newest_events, "newest_alerts": newest_alerts,
@@ -343,3 +354,5 @@ ORACLES = {
     "normalize_generic": f"""WITH {_E} SELECT id, us, 'generic' AS source, 'generic_event' AS event_type, severity, CAST(NULL AS VARCHAR) AS source_ip, CAST(NULL AS INT) AS source_port,
         CAST(NULL AS INT) AS destination_port, username, CAST(NULL AS VARCHAR) AS hostname, message FROM e""",
 }
+#: The same for every incident: without the condition on hosts.
+ORACLES["similar_incidents_all"] = ORACLES["similar_incidents"].replace("starts_with(q.entity_key, 'host-') AND ", "")

@@ -60,28 +60,54 @@ def incidents(alerts: DataFrame, rules: list[Rule], gap_us: int = GAP_US) -> Dat
     )
 
 
-def similar_incidents(found: DataFrame, queried: DataFrame, k: int = 5) -> DataFrame:
-    """For each queried incident the k most similar others: 60 for the same entity, 10 for each shared technique up to 30,
-    10 for the same severity; ties by id.
+def _kind(severity: str, techniques: str) -> Column:
+    """What a score depends on besides the entity."""
+    names = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(techniques, F.array().cast("array<string>")))))
+    return F.struct(names.alias("techniques"), F.col(severity).alias("severity"))
+
+
+def similar_candidates(found: DataFrame, queried: DataFrame, k: int = 5) -> DataFrame:
+    """(q_id, incident_id, score): at most 2 * (k + 1) rows for each queried incident, its k most similar others among them.
 
-    Candidates come from equi-joins on entity and technique, and from the k + 1 lowest ids of each severity: an
-    incident that shares only the severity and lies beyond those is beaten by k others. So no pair of all is formed.
+    Without the entity, a score depends only on both sides' kinds (technique set and severity). So each queried kind has
+    one list of its k + 1 best from the k + 1 lowest ids of each kind, and each queried (entity, kind) one of the same
+    entity. An incident of another entity that k others beat in the first list is beaten by them in any case. Pairs are
+    formed of kinds and of those lowest ids only, so their number does not grow with the incidents of a kind.
     """
-    q = queried.select(F.col("incident_id").alias("q_id"), F.col("entity_key").alias("q_entity"), F.col("severity").alias("q_severity"), F.col("techniques").alias("q_techniques"))
-    others = found.select("incident_id", "entity_key", "severity", "techniques")
-    named = F.coalesce(F.col("entity_key"), F.lit("")) != ""
-    by_entity = q.join(others.where(named), q.q_entity == others.entity_key).select("q_id", "incident_id")
+    q = queried.select(F.col("incident_id").alias("q_id"), F.col("entity_key").alias("q_entity"), _kind("severity", "techniques").alias("q_kind"))
+    others = found.select("incident_id", "entity_key", _kind("severity", "techniques").alias("kind"))
+
+    def lowest(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("incident_id"))).where(F.col("r") <= k + 1).drop("r")
+
+    def best(pairs: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.desc("base"), "incident_id")
+        return pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
+
+    shared = F.size(F.array_intersect(F.col("kind.techniques"), F.col("q_kind.techniques")))
+    base = F.least(F.lit(30), 10 * shared) + F.when(F.col("kind.severity") == F.col("q_kind.severity"), 10).otherwise(0)
+
+    asked, low = q.select("q_kind").distinct(), lowest(others, "kind")
+    kinds = low.select("kind").distinct()
     by_technique = (
-        q.withColumn("t", F.explode("q_techniques")).select("q_id", "t")
-        .join(others.select("incident_id", F.explode("techniques").alias("t")), "t").select("q_id", "incident_id")
+        asked.withColumn("t", F.explode("q_kind.techniques")).join(kinds.withColumn("t", F.explode("kind.techniques")), "t").select("q_kind", "kind")
     )
-    rank = F.row_number().over(Window.partitionBy("severity").orderBy("incident_id"))
-    fill = others.select("incident_id", "severity").withColumn("r", rank).where(F.col("r") <= k + 1)
-    by_severity = q.join(F.broadcast(fill), q.q_severity == fill.severity).select("q_id", "incident_id")
-    pairs = by_entity.unionByName(by_technique).unionByName(by_severity).where("q_id <> incident_id").distinct()
-    full = pairs.join(q, "q_id").join(others, "incident_id")
-    same_entity = named & (F.col("entity_key") == F.col("q_entity"))
-    shared = F.size(F.array_intersect("techniques", "q_techniques"))
-    score = F.when(same_entity, 60).otherwise(0) + F.least(F.lit(30), 10 * shared) + F.when(F.col("severity") == F.col("q_severity"), 10).otherwise(0)
+    by_severity = asked.join(kinds, F.col("kind.severity") == F.col("q_kind.severity"))
+    of_kind = best(by_technique.unionByName(by_severity).distinct().withColumn("base", base).join(low, "kind").drop("kind"), "q_kind")
+
+    named = F.coalesce(F.col("q_entity"), F.lit("")) != ""
+    asked = q.where(named).select("q_entity", "q_kind").distinct()
+    own = lowest(others.withColumnRenamed("entity_key", "q_entity").where(named), "q_entity", "kind")
+    of_entity = best(asked.join(own, "q_entity").withColumn("base", base).drop("kind"), "q_entity", "q_kind")
+
+    score = F.col("base") + F.when(named & (F.col("entity_key") == F.col("q_entity")), 60).otherwise(0)
+    out = q.join(of_kind, "q_kind").select("q_id", "incident_id", score.cast("long").alias("score"))
+    out = out.unionByName(q.join(of_entity, ["q_entity", "q_kind"]).select("q_id", "incident_id", (F.col("base") + 60).cast("long").alias("score")))
+    return out.where("q_id <> incident_id").distinct()
+
+
+def similar_incidents(found: DataFrame, queried: DataFrame, k: int = 5) -> DataFrame:
+    """For each queried incident the k most similar others: 60 for the same entity, 10 for each shared technique up to 30,
+    10 for the same severity; ties by id. queried may be all of found: no pairs within a group are formed."""
     best = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "incident_id"))
-    return full.withColumn("score", score.cast("long")).where("score > 0").withColumn("rank", best).where(F.col("rank") <= k).select("q_id", "incident_id", "score", "rank")
+    return similar_candidates(found, queried, k).withColumn("rank", best).where(F.col("rank") <= k).select("q_id", "incident_id", "score", "rank")
