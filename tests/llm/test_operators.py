@@ -226,6 +226,23 @@ def test_secrets(docs, odd, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_secrets_joined_to_other_text(docs):
+    secret = "q7Zk2Lm9Xw4Rt8Yv1Bn6Hc3Jd5Gs0Pf"
+    slashed = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzEXAMPLEKEY"
+    texts = {
+        f"AWS_SECRET_ACCESS_KEY={slashed}": [slashed], f"see https://example.com/a?sig={secret}&x=1 there": [secret], f"A_VERY_LONG_NAME_OF_A_VALUE={secret}": [secret],
+        f"at https://example.com/my_files/some-dir/{secret}/x_y": [f"dir/{secret}/x"], f"a={secret}==": [secret + "=="], f"x={secret}=y={slashed}.": [secret, slashed],
+        f"/my_dir/{secret} and deadbeefdeadbeef/{secret}": [f"dir/{secret}", secret], "THE_NAME_OF_A_THING=an-ordinary-value-of-words and_some/path-of-words/that_is/long": [],
+        "a-b_c/d=e": [], "=" * 40: [], "x" * 30 + "=" * 3: [],
+    }
+    spark = docs.sparkSession
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r.text: [r.text[s.start : s.end] for s in r.spans if s.ord == 3] for r in secrets.find_secrets(df).where(f"doc_id >= {10**6}").collect()}
+    assert got == texts
+    masked = [r.text for r in secrets.mask_secrets(df).where(f"doc_id >= {10**6}").collect()]
+    assert not any(secret in t or "wJalr" in t for t in masked) and "AWS_SECRET_ACCESS_KEY=[SECRET]" in masked
+
+
 def test_decontamination(spark, odd, empty):
     item = "The quick brown fox jumps over the lazy dog while seven wizards quietly brew a strong potion at midnight".split()
     half, rest = item[:9], item[9:]

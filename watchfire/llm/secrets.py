@@ -19,7 +19,17 @@ BASE = {
 }
 #: What the battery looks at: long runs of characters of the usual encodings.
 LEAST_TOKEN = 20
-CANDIDATE = f"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
+
+
+def _run(chars: str) -> str:
+    """Runs of LEAST_TOKEN or more of chars; '=' counts where it ends the run (padding), and cuts it elsewhere."""
+    padded = f"(?=[{chars}]{{16,}}+=+(?![={chars}]))[={chars}]{{{LEAST_TOKEN},}}"
+    return f"{padded}|[{chars}]{{{LEAST_TOKEN},}}"
+
+
+CANDIDATE = _run("A-Za-z0-9+/_-")
+#: Pieces of a candidate: of base64url between '+' and '/', of base64 between '_' and '-', between all four.
+PIECES = (_run("A-Za-z0-9_-"), _run("A-Za-z0-9+/"), _run("A-Za-z0-9"))
 #: name -> (alphabet, pattern that a whole token fits). The first that fits is the inferred encoding.
 ENCODINGS = {
     "decimal": ("0123456789", "^[0-9]+$"),
@@ -108,6 +118,16 @@ def candidate_tokens(text: Column) -> Column:
     return F.flatten(F.transform(long, lambda w: F.regexp_extract_all(w, F.lit(CANDIDATE), F.lit(0))))
 
 
+def tested_tokens(text: Column) -> Column:
+    """All candidates and, after each, its pieces that are not the whole of it."""
+
+    def with_pieces(token: Column) -> Column:
+        pieces = [F.regexp_extract_all(token, F.lit(p), F.lit(0)) for p in PIECES]
+        return F.when(token.rlike("[+/_-]"), F.array_distinct(F.concat(F.array(token), *pieces))).otherwise(F.array(token))
+
+    return F.flatten(F.transform(candidate_tokens(text), with_pieces))
+
+
 def _upper_tail(z: Column) -> Column:
     """Of the standard normal distribution, by a logistic form (absolute error under 0.0002)."""
     return 1 / (1 + F.exp(F.least(F.lit(700.0), 1.5976 * z + 0.070565992 * z * z * z)))
@@ -240,7 +260,8 @@ def find_secrets(
     """All columns of docs and `spans`: array of (start, ord, end), sorted; ord 0 assign, 1 access, 2 hex, 3 random.
 
     Base kinds are leftmost non-overlapping matches of fixed patterns. Kind random is a token of 20 or more characters
-    that shares no character with a base span, whose inferred encoding's battery (chi-squared uniformity, runs, serial
+    ('=' only as padding at its end), or else such a piece of it between '+' and '/', between '-' and '_' or between all
+    four (not within a longer one that is found; two may overlap), that shares no character with a base span, whose inferred encoding's battery (chi-squared uniformity, runs, serial
     correlation) does not refute uniformity at random_p, and whose evidence against ordinary text passes the
     false-discovery control at `rate` within its stratum of lengths. What is ordinary, and the limits, come from all
     texts of docs. Positions are code points from 0, end exclusive. Null and empty texts have no spans; equal texts in
@@ -250,7 +271,7 @@ def find_secrets(
     none = "array<struct<start:int,ord:int,end:int>>"
     text = F.coalesce(F.col(text_col), F.lit(""))
     ordinary = ordinary_classes(docs, text_col)
-    listed = docs.select(F.explode(candidate_tokens(text)).alias("token"))
+    listed = docs.select(F.explode(tested_tokens(text)).alias("token"))
     limits = discovery_limits(
         listed.select(
             _stratum(F.col("token")).alias("stratum"),
@@ -268,17 +289,32 @@ def find_secrets(
             out = F.when(_stratum(token) == stratum, F.floor(_evidence(token, ordinary)) >= least).otherwise(out)
         return out & (randomness_p(token) >= random_p)
 
-    found = F.filter(candidate_tokens(text), discovered) if limits else F.array().cast("array<string>")
+    found = F.filter(F.array_distinct(tested_tokens(text)), discovered) if limits else F.array().cast("array<string>")
+
+    def added(found: Column, known: Column) -> Column:
+        def usable(s: Column) -> Column:
+            return F.array_contains(found, s["value"]) & ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+
+        def placed(token: Column, pattern: str) -> Column:
+            moved = F.transform(
+                _spans(token["value"], pattern, 0, F.lit(True)),
+                lambda s: F.struct((token["start"] + s["start"]).alias("start"), (token["start"] + s["end"]).alias("end"), s["value"].alias("value")),
+            )
+            return F.filter(moved, usable)
 
-    def added(found: Column) -> Column:
-        spans = F.filter(_spans(text, CANDIDATE, 0, F.size(found) > 0), lambda s: F.array_contains(found, s["value"]))
+        def longest(spans: Column) -> Column:
+            inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (s != o)
+            return F.filter(spans, lambda s: ~F.exists(spans, lambda o: inside(s, o)))
+
+        def pieces(token: Column) -> Column:
+            return _let(F.array_distinct(F.concat(*[placed(token, p) for p in PIECES])), longest)
+
+        tokens = _spans(text, CANDIDATE, 0, F.size(found) > 0)
+        spans = F.flatten(F.transform(tokens, lambda t: F.when(usable(t), F.array(t)).otherwise(pieces(t))))
         return F.transform(spans, _of_kind(len(BASE)))
 
     def joined(known: Column) -> Column:
-        free = F.filter(
-            _let(found, added), lambda s: ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
-        )
-        return F.array_sort(F.concat(known, free)).cast(none)
+        return F.array_sort(F.concat(known, _let(found, lambda found: added(found, known)))).cast(none)
 
     return docs.withColumn("spans", _let(known, joined))
 
