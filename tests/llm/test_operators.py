@@ -312,3 +312,15 @@ def test_classifiers(spark, odd, empty, module, label):
     assert wins > 0.85 and ((s >= 0) & (s <= 1)).all()
     assert module.score(odd, model).count() == len(ODD) and module.score(empty, model).count() == 0
     assert module.score(odd, module.train(empty, labels)).where("score IS NULL").count() == 0
+
+
+def test_toxicity_learns_rare_toxic_tokens(spark, monkeypatch):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, "common words of all " + ("zzrare insult" if i in ids[:2] else "plain"), int(i in ids[:4])) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = {}
+    train = toxicity.train_scorer
+    monkeypatch.setattr(toxicity, "train_scorer", lambda tokens, t, c, *rest: seen.update(zip(tokens, zip(t, c))) or train(tokens, t, c, *rest))
+    toxicity.train(df, df, most_tokens=3)
+    n = len(ids)
+    assert seen == {"all": (4, n - 4), "common": (4, n - 4), "words": (4, n - 4), "zzrare": (2, 0), "insult": (2, 0)}
