@@ -324,3 +324,21 @@ def test_toxicity_learns_rare_toxic_tokens(spark, monkeypatch):
     toxicity.train(df, df, most_tokens=3)
     n = len(ids)
     assert seen == {"all": (4, n - 4), "common": (4, n - 4), "words": (4, n - 4), "zzrare": (2, 0), "insult": (2, 0)}
+
+
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, "".join(f"{rng.randrange(10**9)} " for _ in range(4000)) + f"end-of-{i}-", i % 2) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train_dictionary", lambda texts, size: seen.append(texts) or b"".join(texts)[-size:])
+    quality.train(df, df)
+    by_text = {t.encode() for _, t, _ in rows}
+    assert all(seen) and all(t in by_text for texts in seen for t in texts)
+    seen.clear()
+    quality.train(df, df, most_bytes=100_000)
+    late = {t[i : i + quality.BLOCK] for t in by_text for i in range(20 * quality.BLOCK, len(t), quality.BLOCK)}
+    for texts in seen:
+        blocks = [t[i : i + quality.BLOCK] for t in texts for i in range(0, len(t), quality.BLOCK)]
+        assert 50_000 < sum(map(len, texts)) <= 100_000 and 0 < sum(b in late for b in blocks) < len(blocks)

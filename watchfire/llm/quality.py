@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,12 @@ def train_dictionary(texts: list[bytes], size: int) -> bytes:
         return b"".join(texts)[-size:]
 
 
+def picked_blocks(raw: bytes, share: float) -> bytes:
+    """About that share of the text's blocks, by a hash of the block; all from a share of 1."""
+    blocks = (raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK))
+    return raw if share >= 1 else b"".join(b for b in blocks if zlib.crc32(b) < share * 2**32)
+
+
 class Compressor:
     def __init__(self, good: bytes, bad: bytes, level: int = 3):
         self.pair = [
@@ -81,7 +88,8 @@ def _features(docs: DataFrame, good: bytes, bad: bytes, others: list[str]) -> Da
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, most_bytes: int = 8_000_000, dictionary: int = 112_640) -> QualityModel:
     """Learns from at most most_rows good and most_rows bad labelled documents, those of least hash of their id, never
     from held-out ones. Half of them (by a bit of the hash) make the dictionaries, up to most_bytes of text for each
-    class; all calibrate. docs: doc_id, text; labels: doc_id, quality."""
+    class, and the other half calibrates. Texts count over their whole length; where a class has more than most_bytes,
+    blocks are taken by a hash of the block. docs: doc_id, text; labels: doc_id, quality."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
     picked = [known.where(F.col("quality") == y).orderBy("h", "doc_id").limit(most_rows) for y in (0, 1)]
@@ -90,9 +98,10 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, most_bytes:
     try:
         texts: dict[int, list[bytes]] = {0: [], 1: []}
         size = {0: 0, 1: 0}
-        rows = sample.where(F.pmod(F.shiftright("h", 7), F.lit(2)) == 0).orderBy("h", "doc_id").select("quality", F.substring("text", 1, 20_000).alias("text"))
-        for y, t in rows.toLocalIterator():
-            raw = t.encode("utf-8", "surrogatepass")
+        half = sample.where(F.pmod(F.shiftright("h", 7), F.lit(2)) == 0)
+        whole = dict(half.groupBy("quality").agg(F.sum(F.octet_length("text").cast("long"))).collect())
+        for y, t in half.orderBy("h", "doc_id").select("quality", "text").toLocalIterator():
+            raw = picked_blocks(t.encode("utf-8", "surrogatepass"), most_bytes / whole[y])
             if size[y] + len(raw) <= most_bytes:
                 texts[y].append(raw)
                 size[y] += len(raw)
