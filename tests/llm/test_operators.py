@@ -1,6 +1,8 @@
 import hashlib
 import random
 import zlib
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -40,22 +42,32 @@ def words(text):
     return (text or "").encode().split()
 
 
-def check_packing(rows, source):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokenizer_path())
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def check_ids(pieces, doc, text):
+    """The pieces of a document hold its ids, each once; their number."""
+    ids = np.array([*tokenizer().encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+    at = 0
+    for r in sorted(pieces, key=lambda r: r.start):
+        assert r.doc_id == doc and r.start == at and r.doc_tokens == len(ids)
+        assert zlib.crc32(ids[at : at + r.length].tobytes()) == r.ids_crc32
+        at += r.length
+    assert at == len(ids)
+    return at
+
+
+def check_packing(rows, source):
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
         by_seq.setdefault(r.sequence_id, []).append(r)
     for doc, text in source:
-        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
-        at = 0
-        for r in sorted(by_doc[doc], key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens == len(ids)
-            assert zlib.crc32(ids[at : at + r.length].tobytes()) == r.ids_crc32
-            at += r.length
-        assert at == len(ids)
+        check_ids(by_doc[doc], doc, text)
     sizes = []
     for pieces in by_seq.values():
         at = 0
@@ -73,7 +85,8 @@ def test_packing(spark, docs, odd, empty):
     assert sum(sizes) / (2048 * len(sizes)) > 0.97
     rows = packing.pack(odd, tokenizer_path()).collect()
     assert sum(r.length for r in rows if r.doc_id == 4) == 2 * max(r.doc_tokens for r in rows if r.doc_id == 4)
-    check_packing([r for r in rows if r.doc_id == 6], [ODD[7][:2]]) if len({r.sequence_id for r in rows if r.doc_id == 6}) > 9 else None
+    in_6 = check_ids([r for r in rows if r.doc_id == 6], *ODD[7][:2])
+    assert in_6 == sum(r.length for r in rows if r.doc_id == 6)
     assert {r.length for r in rows if r.doc_id in (1, 2)} == {1}
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
@@ -314,16 +327,63 @@ def test_classifiers(spark, odd, empty, module, label):
     assert module.score(odd, module.train(empty, labels)).where("score IS NULL").count() == 0
 
 
-def test_toxicity_learns_rare_toxic_tokens(spark, monkeypatch):
-    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
-    rows = [(i, "common words of all " + ("zzrare insult" if i in ids[:2] else "plain"), int(i in ids[:4])) for i in ids]
+def plain_kernel(a, b):
+    """Common gapped subsequences of three and four characters within their spans, every place of both counted."""
+    def places(t):
+        out = {}
+        for n, span in toxicity.SPANS.items():
+            for where in combinations(range(len(t)), n):
+                if where[-1] - where[0] < span:
+                    key = "".join(t[i] for i in where)
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (where[-1] - where[0] + 1)
+        return out
+
+    x, y = places(a), places(b)
+    return sum(v * y.get(k, 0) for k, v in x.items())
+
+
+def test_subsequence_kernel_against_plain():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcde\u00e9") for _ in range(rng.randrange(3, 16))) for _ in range(12)]
+    every = np.arange(1 << toxicity.BITS)
+    x = toxicity.phi(texts, every, len(every)).astype(float)
+    norm = [toxicity._NORM[len(t)] for t in texts]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert abs(x[i] @ x[j] * norm[i] * norm[j] - plain_kernel(a, b)) < 1e-3
+    # Sums over windows of a stream are those of the windows on their own.
+    weights = np.random.default_rng(3).normal(size=len(every)).astype(np.float32)
+    long = "x" * 70
+    words = [["ab", "cde", "fgh", long, "ij"], ["one"], ["of", "a"]]
+    w = toxicity.Windows.of(list(enumerate(words)))
+    found = [w.text(i) for i in range(len(w.start))]
+    for t in ("\x02ab\x02", "\x02ab\x02cde\x02", "\x02one\x02", "\x02of\x02a\x02", "\x02" + long[:24]):
+        assert any(f.startswith(t) for f in found)
+    assert np.allclose(w.sums(weights), [toxicity.phi([t], every, len(every))[0] @ weights for t in found], atol=1e-4)
+    assert sorted(set(w.owner.tolist())) == [0, 1, 2] and not any("one" in t and "of" in t for t in found)
+
+
+def test_windows_of_long_texts(monkeypatch):
+    """A text that is scored in parts has the windows of the whole, and texts do not mix."""
+    rng = random.Random(4)
+    texts = [" ".join("abcdefg"[: rng.randrange(1, 7)] for _ in range(200)), None, "", "a", "one two", " ".join("xyz" for _ in range(90))]
+    whole = {(w.owner[i], w.text(i)) for w in toxicity.streams(texts) for i in range(len(w.start))}
+    monkeypatch.setattr(toxicity, "STREAM", 50)
+    parts = list(toxicity.streams(texts))
+    assert len(parts) > 5 and {(w.owner[i], w.text(i)) for w in parts for i in range(len(w.start))} == whole
+
+
+def test_toxicity_of_gapped_insults(spark):
+    rng = random.Random(9)
+    insults = ["grumfolk", "blotwick", "snarpeting"]
+    prose = lambda n: " ".join("".join(rng.choice("bcdfghlmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 5))) for _ in range(n)) + "."
+    rows = [(i, " ".join([prose(12), f"{prose(5)[:-1]} {rng.choice(insults)} {prose(4)}", prose(12)]) if i % 4 == 0 else prose(40), int(i % 4 == 0)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    seen = {}
-    train = toxicity.train_scorer
-    monkeypatch.setattr(toxicity, "train_scorer", lambda tokens, t, c, *rest: seen.update(zip(tokens, zip(t, c))) or train(tokens, t, c, *rest))
-    toxicity.train(df, df, most_tokens=3)
-    n = len(ids)
-    assert seen == {"all": (4, n - 4), "common": (4, n - 4), "words": (4, n - 4), "zzrare": (2, 0), "insult": (2, 0)}
+    model = toxicity.train(df, df)
+    said = ["grumfolk", "Grum-folk", "g.r.u.m.f.o.l.k", "b l o t w i c k", "blot wick", "blo_twick", "snarXpeting", "snarpeetiing", "SNARPETING!!", "gruumfolk"]
+    shown = [f"{prose(15)} {x} {prose(15)}" for x in said] + [prose(30) for _ in range(200)] + ["", None, prose(4000)]
+    toxic = model.toxic(shown)
+    assert toxic[: len(said)].all() and toxic[len(said) :].sum() <= 4
 
 
 def test_quality_learns_from_whole_texts(spark, monkeypatch):
@@ -332,13 +392,32 @@ def test_quality_learns_from_whole_texts(spark, monkeypatch):
     rows = [(i, "".join(f"{rng.randrange(10**9)} " for _ in range(4000)) + f"end-of-{i}-", i % 2) for i in ids]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     seen = []
-    monkeypatch.setattr(quality, "train_dictionary", lambda texts, size: seen.append(texts) or b"".join(texts)[-size:])
+    monkeypatch.setattr(quality, "train_dictionary", lambda blocks, size: seen.append(blocks) or b"".join(blocks)[-size:])
     quality.train(df, df)
-    by_text = {t.encode() for _, t, _ in rows}
-    assert all(seen) and all(t in by_text for texts in seen for t in texts)
+    cut = {i: {t.encode()[k : k + quality.BLOCK] for k in range(0, len(t), quality.BLOCK)} for i, t, _ in rows}
+    every = set().union(*cut.values())
+    for blocks in seen:
+        assert blocks and set(blocks) <= every
+        # Whole texts: a text of which one block is learnt is learnt to its last one.
+        assert all(part <= set(blocks) for part in cut.values() if part & set(blocks))
     seen.clear()
-    quality.train(df, df, most_bytes=100_000)
-    late = {t[i : i + quality.BLOCK] for t in by_text for i in range(20 * quality.BLOCK, len(t), quality.BLOCK)}
-    for texts in seen:
-        blocks = [t[i : i + quality.BLOCK] for t in texts for i in range(0, len(t), quality.BLOCK)]
-        assert 50_000 < sum(map(len, texts)) <= 100_000 and 0 < sum(b in late for b in blocks) < len(blocks)
+    quality.train(df, df, most_blocks=50)
+    assert [len(b) for b in seen] == [50, 50]
+
+
+def test_user_columns_survive(spark):
+    """Columns named like the operators' own helpers keep their values through every stage that keeps rows."""
+    names = ["__row", "__bad", "__gone", "__place", "__id", "spans", "component", "token", "x"]
+    rows = [(i, f"text number {i} " + " ".join(f"w{i * 31 + k}" for k in range(40)), *(f"{n}{i}" for n in names)) for i in range(30)]
+    rows += [(None, None, *(f"{n}-" for n in names)), (3, "another text of the same id", *(f"{n}=" for n in names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, rows[5][1])], "item_id long, text string")
+    out = {
+        "toxic": toxicity.drop_toxic(docs, labels), "near": minhash.drop_near_duplicates(docs),
+        "bench": decontam.drop_contaminated(docs, bench), "secrets": secrets.mask_secrets(docs),
+    }
+    gone = {"toxic": set(), "near": {rows[3]}, "bench": {rows[5]}, "secrets": set()}
+    for name, df in out.items():
+        assert df.columns == docs.columns, name
+        assert sorted(map(tuple, df.collect()), key=str) == sorted((r for r in rows if r not in gone[name]), key=str), name

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,24 +22,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a temporary folder serves,
+    but only for a local master; a cluster without the setting is an error, since its machines share no other folder."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="watchfire-checkpoint-"))
-    return sc.getCheckpointDir()
+    if not configured and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="watchfire-checkpoint-")
+    if configured and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
+    return configured or sc.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Tables that the innermost open tidy() block is to remove.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, all tables that materialise() wrote within it. Results must be written before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def new_path(spark: SparkSession, stem: str = "watchfire") -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: a lost executor then costs no recomputation,
-    and several readers of df see the same rows. Parquet keeps it columnar and compressed."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/watchfire-{uuid.uuid4().hex}"
+    and several readers of df see the same rows. Parquet keeps it columnar and compressed. replaces: an earlier such
+    table that nothing but df reads; it is deleted."""
+    spark = df.sparkSession
+    path = new_path(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    if replaces is not None:
+        for folder in {f.rsplit("/", 1)[0] for f in replaces.inputFiles()}:
+            remove(spark, folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(columns: list[str], stem: str) -> str:
+    """A column name that none of the columns has, in any case of letters."""
+    taken, name = {c.lower() for c in columns}, f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shuffle_width(spark: SparkSession) -> int:

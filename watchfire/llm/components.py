@@ -32,9 +32,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     logarithm of the longest path. Loops and repeated edges are allowed; null ends are dropped; no edges give no rows.
     """
     kept = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct()
-    mark = None
+    mark, before = None, None
     for _ in range(most_rounds):
-        kept = materialise(_small_star(_large_star(kept)))
+        kept = before = materialise(_small_star(_large_star(kept)), replaces=before)
         row = kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not row[0] or (row[0], row[1]) == mark:
             break

@@ -110,6 +110,48 @@ def covered_by_tiles(item: np.ndarray, doc: np.ndarray, seeds: np.ndarray, least
     return sum(t[2] for t in tile([int(x) for x in item], seq, least)) / len(item)
 
 
+Block = tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]
+
+
+def _item_blocks(benchmark: DataFrame, least: int, max_tokens: int, item_col: str, item_text: str) -> Iterator[Block]:
+    """(items with their tokens, sorted seeds, the seeds' items) for one block of items after another, each of about
+    max_tokens tokens at most, so that neither driver nor executors hold more than that."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    blocks = max(1, -(-total // max_tokens))
+    for k in range(blocks):
+        block = [
+            (r[0], t)
+            for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toLocalIterator()
+            if len(t := _TOKENS.text(r[1])) >= least
+        ]
+        if block:
+            seeds = np.concatenate([window_hashes(t, least) for _, t in block])
+            owner = np.concatenate([np.full(len(t) - least + 1, i, np.int64) for i, (_, t) in enumerate(block)])
+            order = np.argsort(seeds, kind="stable")
+            yield block, seeds[order], owner[order]
+
+
+def _covered(text: str | None, shared: Block, least: int, threshold: float) -> Iterator[tuple[int, float]]:
+    """(item, coverage) of the block's items that the text tiles by the threshold or more."""
+    block, seeds, owner = shared
+    tokens = _TOKENS.text(text)
+    own = window_hashes(tokens, least)
+    if not len(own):
+        return
+    at = np.searchsorted(seeds, own)
+    at[at == len(seeds)] = 0
+    hits = np.unique(own[seeds[at] == own])
+    if not len(hits):
+        return
+    a, b = np.searchsorted(seeds, hits, "left"), np.searchsorted(seeds, hits, "right")
+    for i in np.unique(np.concatenate([owner[x:y] for x, y in zip(a, b)])).tolist():
+        item, words = block[i]
+        share = covered_by_tiles(words, tokens, own, least, threshold)
+        if share >= threshold:
+            yield item, share
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -131,46 +173,16 @@ def contaminated(
     is carried. Repeated rows give repeated results; items with equal texts each match. Other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-total // max_tokens))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64())])
     out = None
-    for k in range(blocks):
-        # One block at a time on the driver, bounded by max_tokens.
-        block = [
-            (r[0], t)
-            for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toLocalIterator()
-            if len(t := _TOKENS.text(r[1])) >= least
-        ]
-        if not block:
-            continue
-        seeds = np.concatenate([window_hashes(t, least) for _, t in block])
-        owner = np.concatenate([np.full(len(t) - least + 1, i, np.int64) for i, (_, t) in enumerate(block)])
-        order = np.argsort(seeds, kind="stable")
-        shared = spark.sparkContext.broadcast((block, seeds[order], owner[order]))
+    for block in _item_blocks(benchmark, least, max_tokens, item_col, item_text):
+        shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, seeds, owner = shared.value
             for batch in batches:
-                rows = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    tokens = _TOKENS.text(text)
-                    own = window_hashes(tokens, least)
-                    if not len(own):
-                        continue
-                    at = np.searchsorted(seeds, own)
-                    at[at == len(seeds)] = 0
-                    hits = np.unique(own[seeds[at] == own])
-                    if not len(hits):
-                        continue
-                    a, b = np.searchsorted(seeds, hits, "left"), np.searchsorted(seeds, hits, "right")
-                    for i in np.unique(np.concatenate([owner[x:y] for x, y in zip(a, b)])).tolist():
-                        item, words = block[i]
-                        share = covered_by_tiles(words, tokens, own, least, threshold)
-                        if share >= threshold:
-                            rows.append((doc, item, share))
+                ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+                rows = [(doc, *found) for doc, text in zip(ids, texts) for found in _covered(text, shared.value, least, threshold)]
                 columns = list(zip(*rows)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -179,14 +191,28 @@ def contaminated(
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, coverage double")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """docs without the rows whose id a contaminated row has; rows with null id stay only if they are clean.
-
-    Columns and their order stay as they were.
-    """
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    # The row's own key stands in for the id, so that a null id and repeated ids are judged by their own text.
-    marked = docs.withColumn("__row", key)
-    bad = contaminated(marked.select(F.col("__row"), F.col(text_col).alias("text")), benchmark, id_col="__row", text_col="text", **kwargs)
-    bad = bad.select(F.col("doc_id").alias("__bad")).distinct()
-    return marked.join(bad, F.col("__row") == F.col("__bad"), "left_anti").select(*docs.columns)
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    least: int = 4,
+    threshold: float = 0.5,
+    max_tokens: int = 2_000_000,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """docs without the rows whose text tiles a benchmark item by `threshold` or more, as contaminated() has it: a pass
+    for each block of items, without a shuffle. Rows are judged by their text alone, so null and repeated ids and rows
+    need no rule; null texts stay. All columns, whatever their names, stay as they were."""
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+    out = docs
+    for block in _item_blocks(benchmark, least, max_tokens, item_col, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = [next(_covered(t, shared.value, least, threshold), None) is None for t in b.column(at).to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchfire.llm.common import materialise
+from watchfire.llm.common import materialise, unused
 from watchfire.llm.components import components
 from watchfire.llm.wordhash import WordHashes, shingle_set
 
@@ -272,9 +272,13 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """docs without the rows whose component has a smaller id. Of rows that share a kept id one stays; rows with null
-    id all stay. Columns and their order stay as they were."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **kwargs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
-    known = kept.where(F.col(id_col).isNotNull())
-    return known.dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    """docs without the rows whose component has a smaller id. Of rows that share a kept id the one whose text sorts
+    first stays (of equal texts, one of them; a null text sorts first); rows with null id all stay. All columns,
+    whatever their names, stay as they were."""
+    gone_id, place = unused(docs.columns, "gone"), unused(docs.columns, "place")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **kwargs)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    kept = docs.join(gone, docs[id_col].cast("long") == F.col(gone_id), "left_anti")
+    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
+    known = kept.where(F.col(id_col).isNotNull()).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return known.unionByName(kept.where(F.col(id_col).isNull()))

@@ -16,8 +16,9 @@ from watchfire.llm.logistic import fit_logistic
 
 #: A text is compressed in blocks of so many bytes, each against the whole dictionary, so that its length does not matter.
 BLOCK = 1024
-#: Features: difference of the two sizes over the bytes, each size over the bytes, size of the whole text alone over its bytes.
-FEATURES = 4
+#: Features of a text: its compressed size with the bad dictionary less that with the good one, over its bytes, and
+#: the mean of both over its bytes (how compressible it is at all, which the difference is judged by).
+FEATURES = 2
 
 
 def held_out(id_col: str = "doc_id"):
@@ -25,19 +26,12 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def train_dictionary(texts: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary of the texts' blocks; where the trainer finds too little, their own last bytes."""
-    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
+def train_dictionary(blocks: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of the blocks; where the trainer finds too little, their own last bytes."""
     try:
         return zstandard.train_dictionary(size, blocks).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(texts)[-size:]
-
-
-def picked_blocks(raw: bytes, share: float) -> bytes:
-    """About that share of the text's blocks, by a hash of the block; all from a share of 1."""
-    blocks = (raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK))
-    return raw if share >= 1 else b"".join(b for b in blocks if zlib.crc32(b) < share * 2**32)
+        return b"".join(blocks)[-size:]
 
 
 class Compressor:
@@ -46,7 +40,6 @@ class Compressor:
             zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
             for d in (self._loaded(good, level), self._loaded(bad, level))
         ]
-        self.alone = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
 
     @staticmethod
     def _loaded(data: bytes, level: int) -> zstandard.ZstdCompressionDict | None:
@@ -62,7 +55,7 @@ class Compressor:
             return [0.0] * FEATURES
         n = len(raw)
         good, bad = (sum(len(c.compress(raw[i : i + BLOCK])) for i in range(0, n, BLOCK)) for c in self.pair)
-        return [(bad - good) / n, good / n, bad / n, len(self.alone.compress(raw)) / n]
+        return [(bad - good) / n, (bad + good) / (2 * n)]
 
 
 @dataclass
@@ -85,28 +78,36 @@ def _features(docs: DataFrame, good: bytes, bad: bytes, others: list[str]) -> Da
     return docs.select(*others, "text").mapInArrow(run, ", ".join(f"{c} long" for c in others) + ", x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, most_bytes: int = 8_000_000, dictionary: int = 112_640) -> QualityModel:
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(quality, block, h) of all blocks of the texts, h a hash by which a sample of them can be taken."""
+    schema = pa.schema([("quality", pa.int64()), ("block", pa.binary()), ("h", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for y, t in zip(b.column("y").to_pylist(), b.column("text").to_pylist()):
+                raw = t.encode("utf-8", "surrogatepass")
+                rows += [(y, raw[i : i + BLOCK], zlib.crc32(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return docs.select(F.col("quality").cast("long").alias("y"), "text").mapInArrow(run, "quality long, block binary, h long")
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, most_blocks: int = 8000, dictionary: int = 112_640) -> QualityModel:
     """Learns from at most most_rows good and most_rows bad labelled documents, those of least hash of their id, never
-    from held-out ones. Half of them (by a bit of the hash) make the dictionaries, up to most_bytes of text for each
-    class, and the other half calibrates. Texts count over their whole length; where a class has more than most_bytes,
-    blocks are taken by a hash of the block. docs: doc_id, text; labels: doc_id, quality."""
+    from held-out ones. Half of them (by a bit of the hash) make the dictionaries: their whole texts are cut into blocks,
+    and of these the most_blocks of least hash of each class are taken. The other half, whole, calibrates on sizes under
+    dictionaries that have not seen it. Both bounds are of the labelled sample only. docs: doc_id, text; labels: doc_id,
+    quality."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
     picked = [known.where(F.col("quality") == y).orderBy("h", "doc_id").limit(most_rows) for y in (0, 1)]
     sample = docs.select("doc_id", "text").where("text IS NOT NULL AND text <> ''").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
     sample = sample.groupBy("doc_id", "quality", "h").agg(F.min("text").alias("text")).persist()
     try:
-        texts: dict[int, list[bytes]] = {0: [], 1: []}
-        size = {0: 0, 1: 0}
-        half = sample.where(F.pmod(F.shiftright("h", 7), F.lit(2)) == 0)
-        whole = dict(half.groupBy("quality").agg(F.sum(F.octet_length("text").cast("long"))).collect())
-        for y, t in half.orderBy("h", "doc_id").select("quality", "text").toLocalIterator():
-            raw = picked_blocks(t.encode("utf-8", "surrogatepass"), most_bytes / whole[y])
-            if size[y] + len(raw) <= most_bytes:
-                texts[y].append(raw)
-                size[y] += len(raw)
-        good, bad = train_dictionary(texts[1], dictionary), train_dictionary(texts[0], dictionary)
-        # Calibrated on what the dictionaries have not seen.
+        blocks = _blocks(sample.where(F.pmod(F.shiftright("h", 7), F.lit(2)) == 0))
+        taken = [[bytes(r.block) for r in blocks.where(F.col("quality") == y).orderBy("h", "block").limit(most_blocks).collect()] for y in (0, 1)]
+        bad, good = (train_dictionary(t, dictionary) for t in taken)
         rest = sample.where(F.pmod(F.shiftright("h", 7), F.lit(2)) == 1)
         fitted = _features(rest.select("text", F.col("quality").cast("long").alias("y")), good, bad, ["y"]).toPandas()
     finally:

@@ -254,20 +254,8 @@ def discovery_limits(tokens: DataFrame, rate: float) -> dict[int, float]:
     return {r[0]: float(r[1]) for r in rows}
 
 
-def find_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", random_p: float = 0.001, rate: float = 0.001
-) -> DataFrame:
-    """All columns of docs and `spans`: array of (start, ord, end), sorted; ord 0 assign, 1 access, 2 hex, 3 random.
-
-    Base kinds are leftmost non-overlapping matches of fixed patterns. Kind random is a token of 20 or more characters
-    ('=' only as padding at its end), or else such a piece of it between '+' and '/', between '-' and '_' or between all
-    four (not within a longer one that is found; two may overlap), that shares no character with a base span, whose inferred encoding's battery (chi-squared uniformity, runs, serial
-    correlation) does not refute uniformity at random_p, and whose evidence against ordinary text passes the
-    false-discovery control at `rate` within its stratum of lengths. What is ordinary, and the limits, come from all
-    texts of docs. Positions are code points from 0, end exclusive. Null and empty texts have no spans; equal texts in
-    one table have equal spans; an empty table gives no rows. Columns of docs named like __text are not touched; one
-    named spans is replaced.
-    """
+def _secret_spans(docs: DataFrame, text_col: str, random_p: float, rate: float) -> Column:
+    """The column that find_secrets adds. What is ordinary, and the limits, are measured on docs here."""
     none = "array<struct<start:int,ord:int,end:int>>"
     text = F.coalesce(F.col(text_col), F.lit(""))
     ordinary = ordinary_classes(docs, text_col)
@@ -316,27 +304,46 @@ def find_secrets(
     def joined(known: Column) -> Column:
         return F.array_sort(F.concat(known, _let(found, lambda found: added(found, known)))).cast(none)
 
-    return docs.withColumn("spans", _let(known, joined))
+    return _let(known, joined)
+
+
+def find_secrets(
+    docs: DataFrame, text_col: str = "text", random_p: float = 0.001, rate: float = 0.001
+) -> DataFrame:
+    """All columns of docs and `spans`: array of (start, ord, end), sorted; ord 0 assign, 1 access, 2 hex, 3 random.
+
+    Base kinds are leftmost non-overlapping matches of fixed patterns. Kind random is a token of 20 or more characters
+    ('=' only as padding at its end), or else such a piece of it between '+' and '/', between '-' and '_' or between all
+    four (not within a longer one that is found; two may overlap), that shares no character with a base span, whose inferred encoding's battery (chi-squared uniformity, runs, serial
+    correlation) does not refute uniformity at random_p, and whose evidence against ordinary text passes the
+    false-discovery control at `rate` within its stratum of lengths. What is ordinary, and the limits, come from all
+    texts of docs. Positions are code points from 0, end exclusive. Null and empty texts have no spans; equal texts in
+    one table have equal spans; an empty table gives no rows. Columns of docs named like __text are not touched; one
+    named spans is replaced.
+    """
+    return docs.withColumn("spans", _secret_spans(docs, text_col, random_p, rate))
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **kwargs) -> DataFrame:
+def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", random_p: float = 0.001, rate: float = 0.001) -> DataFrame:
     """docs with every span that find_secrets gives replaced by mark (overlapping spans by one); a null text stays.
 
-    Columns and their order stay as they were.
+    All other columns, whatever their names, and the order of columns stay as they were.
     """
-    found = find_secrets(docs.withColumn("__id", F.lit(0)), "__id", text_col, **kwargs)
     text = F.col(text_col)
-    fold = F.aggregate(
-        F.col("spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
-    )
-    masked = F.when(F.size("spans") > 0, fold).otherwise(text)
-    return found.withColumn(text_col, masked).select(*docs.columns)
+
+    def masked(spans: Column) -> Column:
+        fold = F.aggregate(
+            spans,
+            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+            lambda acc, s: F.when(
+                s["start"] >= acc["at"],
+                F.struct(s["end"].alias("at"), F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")),
+            ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
+            lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
+        )
+        return F.when(F.size(spans) > 0, fold).otherwise(text)
+
+    return docs.withColumn(text_col, _let(_secret_spans(docs, text_col, random_p, rate), masked))
 
 
 KINDS = (*BASE, "random")

@@ -1,12 +1,11 @@
-"""Toxicity: a subsequence string kernel, Nystroem landmarks and a linear support vector machine."""
+"""Toxicity: a gapped subsequence kernel, Nystroem landmarks and a support vector machine trained on labelled sentences."""
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,199 +14,279 @@ from pyspark.sql import functions as F
 
 from watchfire.llm.logistic import fit_logistic, probability
 
-#: Each character that a subsequence spans, taken or skipped, weighs this factor.
+#: The kernel: each character that a subsequence spans, taken or skipped, weighs this factor.
 DECAY = 0.7
-#: Subsequences have three or four characters; one spans so many at most.
+#: Subsequences have three or four characters, and span so many at most: one of four can have two skipped ones.
 SPANS = {3: 5, 4: 6}
-#: Subsequences are numbered by a hash of so many bits.
+#: Subsequences are numbered by a hash of so many bits. Two with one number count as one; a text of the size of a window
+#: has some hundred of them, so a chance meeting moves a score by less than a hundredth.
 BITS = 20
-#: A longer token is scored by its windows of so many characters, half overlapping.
-PIECE = 32
-#: Training tokens that are laid out as a matrix at a time.
-TRAIN_BLOCK = 250
-#: Offsets of the characters after the first.
-_PLACES = [c for n, span in SPANS.items() for c in combinations(range(1, span), n - 1)]
-_MARKS = re.compile(r"[\W_]+")
-#: A word spelt out in so many single-character tokens or more is read as one.
+#: Stands between words and at both ends: a blank is one more character that a subsequence may skip.
+EDGE = "\x02"
+#: A longer word is cut into pieces of so many characters; windows are one or two words or pieces.
+PIECE = 12
+#: Characters that are scored at a time, and the longest run of them that counts as one word.
+STREAM, LONGEST = 100_000, 4096
+#: A word spelt out in so many one-letter words or more is also read as one.
 SPELT = 4
-#: A token leans to toxic documents if its rate there, times this, is above that in clean ones.
-LEAN = 0.35
-#: Features of a document: its three highest token scores, tokens above 0, log of its tokens.
+#: Sentences that train the machine are cut at . ! ? and line ends, and after so many characters.
+SENTENCE = 400
+#: Rounds of choosing the windows that stand for a toxic sentence, and training on them.
+ROUNDS = 3
+#: Training windows that are laid out as a matrix at a time.
+TRAIN_BLOCK = 250
+#: Features of a document: its three highest window scores, log of its windows above 0, log of its windows.
 FEATURES = 5
+#: No score counts as less than this.
+FLOOR = -2.0
+_MARKS = re.compile(r"[^\w\s]+|_+")
+
+
+def _shapes(prefix: tuple[int, ...] = (0,)) -> Iterator[tuple[int, ...]]:
+    """Offsets of a subsequence's characters, those with a common beginning after one another."""
+    if len(prefix) in SPANS and prefix[-1] < SPANS[len(prefix)]:
+        yield prefix
+    if len(prefix) < max(SPANS):
+        for o in range(prefix[-1] + 1, max(SPANS.values())):
+            yield from _shapes((*prefix, o))
+
+
+_SHAPES = tuple(_shapes())
+
+
+def _norms() -> np.ndarray:
+    """By number of characters: the norm of a text whose subsequences are all different."""
+    n = np.arange(1, 4 * LONGEST)
+    return np.sqrt(sum(np.maximum(0, n - s[-1]) * DECAY ** (2 * (s[-1] + 1)) for s in _SHAPES)) + 1e-12
 
 
-def bare(token: str) -> str:
-    """The token without marks: what is put between the letters of an insult does not count."""
-    return _MARKS.sub("", token)
+_NORM = np.concatenate(([1e-12], _norms()))
+
+
+def subsequences(chars: np.ndarray) -> Iterator[tuple[int, float, np.ndarray]]:
+    """(last offset, weight, number of the subsequence that starts at each place) for each shape."""
+    made: dict[tuple[int, ...], np.ndarray] = {(0,): chars * np.uint32(0x9E3779B1)}
+    for shape in _SHAPES:
+        for k in range(2, len(shape) + 1):
+            if shape[:k] not in made:
+                made = {p: h for p, h in made.items() if p == shape[: len(p)]}
+                n, h = max(0, len(chars) - shape[k - 1]), made[shape[: k - 1]]
+                made[shape[:k]] = (h[:n] ^ (h[:n] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + chars[shape[k - 1] :][:n]
+        h = made[shape]
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35) + np.uint32(len(shape))
+        yield shape[-1], DECAY ** (shape[-1] + 1), h >> np.uint32(32 - BITS)
+
+
+def _words(text: str) -> list[str]:
+    """Lower-case words without marks, overlong ones in overlapping parts, and the words that single letters spell."""
+    words = _MARKS.sub("", text.lower()).split()
+    sizes = list(map(len, words))
+    if sizes.count(1) >= SPELT:
+        one = np.flatnonzero(np.array(sizes) == 1)
+        runs = np.split(one, np.flatnonzero(np.diff(one) > 1) + 1)
+        words += ["".join(words[i] for i in r.tolist()) for r in runs if len(r) >= SPELT]
+    if sizes and max(sizes) > LONGEST:
+        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST - 2 * PIECE)]
+    return words
 
 
 @dataclass
-class Pieces:
-    """Tokens with a start and an end character, cut into pieces, all in one array of characters."""
+class Windows:
+    """Windows of one or two words (pieces of long ones) of texts that follow each other in one array of characters.
+    start and end are the places of the edges, both in the window; owner is the text."""
 
     chars: np.ndarray
-    piece: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
     owner: np.ndarray
-    norm: np.ndarray
 
     @classmethod
-    def of(cls, tokens: list[str]) -> Pieces:
-        pieces, owner = [], []
-        for i, t in enumerate(tokens):
-            t = f"\x02{t}\x03"
-            for a in range(0, max(1, len(t) - PIECE // 2), PIECE // 2):
-                pieces.append(t[a : a + PIECE])
-                owner.append(i)
-        chars = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        by_size = np.zeros(PIECE + 1)
-        for n in range(PIECE + 1):
-            by_size[n] = sum(max(0, n - p[-1]) * DECAY ** (2 * (p[-1] + 1)) for p in _PLACES)
-        norm = np.sqrt(by_size[size]) + 1e-12
-        return cls(chars.astype(np.uint32), np.repeat(np.arange(len(pieces)), size), np.array(owner, np.int64), norm)
-
-    def places(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-        """(piece, subsequence's number, weight) of every place of one shape after another."""
-        x, m = self.chars, np.uint32(0x85EBCA6B)
-        for offsets in _PLACES:
-            n = len(x) - offsets[-1]
-            if n <= 0:
-                continue
-            h = x[:n] * np.uint32(0x9E3779B1)
-            for o in offsets:
-                h = (h ^ (h >> np.uint32(15))) * m + x[o : o + n]
-            h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35) + np.uint32(len(offsets))
-            same = self.piece[:n] == self.piece[offsets[-1] :]
-            yield self.piece[:n][same], (h >> np.uint32(32 - BITS))[same], DECAY ** (offsets[-1] + 1)
+    def of(cls, parts: list[tuple[int, list[str]]]) -> Windows:
+        """parts: (owner, words), each a text or a part of one."""
+        joined = "".join(f"{EDGE}{EDGE.join(w)}{EDGE}" for _, w in parts)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cuts = np.flatnonzero(chars == ord(EDGE))
+        part = np.repeat(np.arange(len(parts)), [len(w) + 1 for _, w in parts])
+        long = np.flatnonzero((np.diff(cuts) > 2 * PIECE + 1) & (part[1:] == part[:-1]))
+        if len(long):
+            more = [np.arange(cuts[i] + PIECE, cuts[i + 1] - PIECE // 2, PIECE) for i in long.tolist()]
+            cuts, part = np.concatenate([cuts, *more]), np.concatenate([part, *(np.full(len(m), part[i]) for i, m in zip(long.tolist(), more))])
+            order = np.argsort(cuts, kind="stable")
+            cuts, part = cuts[order], part[order]
+        pairs = [(cuts[:-k], cuts[k:], part[:-k], part[k:]) for k in (1, 2)]
+        start, end, first, last = (np.concatenate(x) for x in zip(*pairs))
+        ok = (first == last) & (end - start > 2)
+        owners = np.array([o for o, _ in parts], np.int64)
+        return cls(chars, start[ok], end[ok], owners[first[ok]])
+
+    def text(self, i: int) -> str:
+        return self.chars[self.start[i] : self.end[i] + 1].tobytes().decode("utf-32-le", "surrogatepass")
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Of the weights of each window's subsequences, over the norm of the window."""
+        by_last: dict[int, np.ndarray] = {}
+        for last, weight, number in subsequences(self.chars):
+            found = weights[number] * np.float32(weight)
+            by_last[last] = by_last[last] + found if last in by_last else found
+        total = np.zeros(len(self.start))
+        for last, found in by_last.items():
+            upto = np.concatenate(([0.0], np.cumsum(found, dtype=np.float64)))
+            low = np.minimum(self.start, len(found))
+            total += upto[np.maximum(low, self.end - last + 1)] - upto[low]
+        return total / _NORM[self.end - self.start + 1]
+
+
+def streams(texts: list[str | None]) -> Iterator[Windows]:
+    """All windows of the texts, some STREAM characters at a time; a long text goes on with its last word."""
+    parts, held = [], 0
+    for owner, text in enumerate(texts):
+        words = _words(text) if text else []
+        each = len(words) if not words or len(text) <= STREAM else max(2, STREAM * len(words) // len(text))
+        for a in range(0, len(words), max(1, each - 1)):
+            if a and a + 1 == len(words):
+                break  # the part before has ended with this word
+            parts.append((owner, words[a : a + each]))
+            held += sum(map(len, parts[-1][1])) + len(parts[-1][1])
+            if held > STREAM:
+                yield Windows.of(parts)
+                parts, held = [], 0
+            if a + each >= len(words):
+                break
+    if parts:
+        yield Windows.of(parts)
+
+
+def phi(windows: list[str], column: np.ndarray, width: int) -> np.ndarray:
+    """The windows' subsequence weights, over their norms, in the columns that `column` gives to the numbers."""
+    size = np.fromiter(map(len, windows), np.int64, len(windows))
+    chars = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(windows)), size)
+    index, weights = [np.empty(0, np.int64)], [np.empty(0)]
+    for last, weight, number in subsequences(chars):
+        n = len(number)
+        at = column[number]
+        ok = (row[:n] == row[last : last + n]) & (at >= 0)
+        index.append(row[:n][ok] * width + at[ok])
+        weights.append(np.full(len(index[-1]), weight))
+    out = np.bincount(np.concatenate(index), np.concatenate(weights), len(windows) * width)
+    return (out.reshape(len(windows), width) / _NORM[size][:, None]).astype(np.float32)
 
 
 @dataclass
-class TokenScorer:
-    """Sum of the weights of a token's subsequences, over the token's norm, plus a bias: the decision value of a support
-    vector machine on Nystroem features, since those are linear in the kernel values with the landmarks."""
+class Machine:
+    """A decision function over windows: since Nystroem features are linear in the kernel values with the landmarks, and
+    these in the weights of subsequences, the support vector machine is one weight for each subsequence's number."""
 
     weights: np.ndarray
     bias: float
 
-    def score(self, tokens: list[str]) -> np.ndarray:
-        p = Pieces.of(tokens)
-        total = np.zeros(len(p.norm))
-        for piece, number, weight in p.places():
-            total += np.bincount(piece, self.weights[number], len(total)) * weight
-        out = np.full(len(tokens), -np.inf)
-        np.maximum.at(out, p.owner, total / p.norm)
-        return out + self.bias
-
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(texts), FEATURES))
+        out[:, :3] = FLOOR
+        top = [np.full(0, FLOOR)] * len(texts)
+        for w in streams(texts):
+            s = np.maximum(w.sums(self.weights) + self.bias, FLOOR)
+            order = np.lexsort((-s, w.owner))
+            owner = w.owner[order]
+            first = np.flatnonzero(np.concatenate((owner[:1] == owner[:1], owner[1:] != owner[:-1])))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)]):
+                i, own = owner[a], s[order[a:b]]
+                top[i] = np.concatenate((top[i], own[:3]))
+                out[i, 3] += np.searchsorted(-own, 0.0)
+                out[i, 4] += b - a
+        for i, t in enumerate(top):
+            best = np.sort(t)[::-1][:3]
+            out[i, : len(best)] = best
+        out[:, 3:] = np.log1p(out[:, 3:])
+        return out
 
-def train_scorer(tokens: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, landmarks: int = 160) -> TokenScorer:
-    """From tokens with the numbers of toxic and clean training documents that have each.
 
-    A token's label says whether its rate in toxic documents is well above that in clean ones. Half of the landmarks
-    are the tokens that tell most for toxic, half those most common among the others.
-    """
-    empty = TokenScorer(np.zeros(1 << BITS, np.float32), -1.0)
-    if not tokens or not n_toxic or not n_clean:
-        return empty
-    p, q = LEAN * toxic / n_toxic, clean / n_clean
-    smooth = LEAN * 1.5 / n_toxic
-    lean = (p - q) / (p + q + smooth)
-    worth = np.abs(lean) * np.log1p(toxic + clean)
-    y = np.where((lean > 0) & (toxic >= 2), 1.0, -1.0)
-    worth = np.where((lean > 0) & (toxic < 2), 0.0, worth)
-    up, down = np.flatnonzero(y > 0), np.flatnonzero(y < 0)
-    if not len(up) or not len(down):
-        return empty
-    up = up[np.argsort(-(lean * np.log1p(toxic))[up], kind="stable")]
-    down = down[np.argsort(-worth[down], kind="stable")]
-    marks = [*up[: landmarks // 2], *down[: landmarks - landmarks // 2]]
-    heads = [t[: PIECE - 2] for t in tokens]
+def _spread(windows: list[str], n: int) -> list[str]:
+    """n of the windows, each as unlike those before as can be (pivots of a Cholesky decomposition of their kernel, taken
+    over subsequences' numbers modulo 4096)."""
+    if len(windows) <= n:
+        return windows
+    x = np.concatenate([phi(windows[i : i + TRAIN_BLOCK], np.arange(1 << BITS) % 4096, 4096) for i in range(0, len(windows), TRAIN_BLOCK)])
+    left, out, basis = (x * x).sum(axis=1), [], np.zeros((len(x), n), np.float32)
+    for k in range(n):
+        i = int(np.argmax(left))
+        if left[i] <= 1e-6:
+            break
+        out.append(i)
+        basis[:, k] = (x @ x[i] - basis[:, :k] @ basis[i, :k]) / np.sqrt(left[i])
+        left = left - basis[:, k] ** 2
+        left[i] = 0
+    return [windows[i] for i in out]
+
+
+def train_machine(up: list[str], down: list[str], landmarks: int = 200) -> Machine:
+    """A linear support vector machine (squared hinge) on Nystroem features of toxic and clean windows. Half of the
+    landmarks are toxic windows, half clean ones, each chosen to be unlike one another."""
+    if not up or not down:
+        return Machine(np.zeros(1 << BITS, np.float32), -1.0)
+    marks = _spread(up[:1500], landmarks // 2) + _spread(down[:1500], landmarks // 2)
+    numbers = np.unique(np.concatenate([n for m in marks for _, _, n in subsequences(np.frombuffer(m.encode("utf-32-le", "surrogatepass"), np.uint32))]))
     column = np.full(1 << BITS, -1)
-    seen = Pieces.of([heads[i] for i in marks])
-    used = np.unique(np.concatenate([number for _, number, _ in seen.places()]))
-    column[used] = np.arange(len(used))
-
-    def dense(part: list[str]) -> np.ndarray:
-        p = Pieces.of(part)
-        index, weights = [], []
-        for piece, number, weight in p.places():
-            c = column[number]
-            index.append((piece * len(used) + c)[c >= 0])
-            weights.append(np.full(len(index[-1]), weight))
-        out = np.bincount(np.concatenate(index), np.concatenate(weights), len(part) * len(used))
-        return (out.reshape(len(part), len(used)) / p.norm[:, None]).astype(np.float32)
-
-    lm = dense([heads[i] for i in marks])
+    column[numbers] = np.arange(len(numbers))
+    lm = phi(marks, column, len(numbers))
     vals, vecs = np.linalg.eigh((lm @ lm.T).astype(float))
-    ok = vals > 1e-5 * vals.max()
+    ok = vals > 1e-4 * vals.max()
     # Nystroem: phi(x) = k(x, landmarks) @ vectors / sqrt(values), and k(x, landmarks) = x @ landmarks.
     basis = (lm.T @ (vecs[:, ok] / np.sqrt(vals[ok]))).astype(np.float32)
-    parts = [slice(i, i + TRAIN_BLOCK) for i in range(0, len(heads), TRAIN_BLOCK)]
-    z = np.ones((len(heads), basis.shape[1] + 1))
-    for part in parts:
-        z[part, :-1] = dense(heads[part]) @ basis
-    cost = worth.copy()
-    cost[y > 0] /= cost[y > 0].sum()
-    cost[y < 0] /= cost[y < 0].sum()
+    rows = [*up, *down]
+    y = np.repeat([1.0, -1.0], [len(up), len(down)])
+    z = np.ones((len(rows), basis.shape[1] + 1))
+    for i in range(0, len(rows), TRAIN_BLOCK):
+        z[i : i + TRAIN_BLOCK, :-1] = phi(rows[i : i + TRAIN_BLOCK], column, len(numbers)) @ basis
+    cost = np.where(y > 0, 1 / len(up), 1 / len(down))
     w, ridge = np.zeros(z.shape[1]), np.diag([*[1e-3] * basis.shape[1], 1e-6])
-    for _ in range(40):  # Newton's method on the squared hinge loss
+    for step in range(40):  # Newton's method on the squared hinge loss, damped if it goes on for long
         pull = np.where(y * (z @ w) < 1, cost, 0.0)
-        curve = sum(z[part].T @ (z[part] * pull[part, None]) for part in parts)
-        new = np.linalg.solve(curve + ridge, z.T @ (pull * y))
+        new = np.linalg.solve((z * pull[:, None]).T @ z + ridge, z.T @ (pull * y))
         if np.abs(new - w).max() < 1e-8:
             break
-        w = 0.5 * w + 0.5 * new if _ > 15 else new
+        w = new if step < 15 else 0.5 * w + 0.5 * new
     weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = basis @ w[:-1]
-    return TokenScorer(weights, float(w[-1]))
-
-
-def _spelt(tokens: list[str]) -> list[str]:
-    """The words that runs of SPELT or more single letters spell."""
-    one = np.flatnonzero(np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1)
-    if len(one) < SPELT:
-        return []
-    one = one[[tokens[i].isalnum() for i in one.tolist()]]
-    runs = np.split(one, np.flatnonzero(np.diff(one) > 1) + 1)
-    return ["".join(tokens[i] for i in r.tolist()) for r in runs if len(r) >= SPELT]
-
-
-class TextScorer:
-    """Features of texts; scores of tokens are remembered, up to a bounded number of tokens."""
-
-    def __init__(self, scorer: TokenScorer, most: int = 400_000):
-        self.scorer, self.most, self.memo = scorer, most, {}
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), FEATURES))
-        out[:, :3] = -2.0
-        group, held = [], 0
-        for i, t in enumerate(texts):
-            tokens = []
-            if t:
-                tokens = t.lower().split()
-                tokens += _spelt(tokens)
-            group.append((i, tokens))
-            held += len(tokens)
-            if held > 50_000:
-                self._fill(group, out)
-                group, held = [], 0
-        self._fill(group, out)
-        return out
-
-    def _fill(self, group: list[tuple[int, list[str]]], out: np.ndarray) -> None:
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        new = list({t for _, tokens in group for t in tokens if t not in memo})
-        if new:
-            memo.update(zip(new, self.scorer.score([bare(t) for t in new]).tolist()))
-        for i, tokens in group:
-            if tokens:
-                s = np.fromiter(map(memo.__getitem__, tokens), float, len(tokens))
-                top = np.sort(np.partition(s, max(0, len(s) - 3))[-3:])[::-1]
-                out[i, : len(top)] = np.maximum(top, -2.0)
-                out[i, 3] = math.log1p(float((s > 0.55).sum()))
-                out[i, 4] = math.log1p(len(tokens))
+    weights[numbers] = basis @ w[:-1]
+    return Machine(weights, float(w[-1]))
+
+
+def learn(sentences: list[str], doc: np.ndarray, toxic: np.ndarray, each: int = 2, most: int = 6000) -> Machine:
+    """From sentences with their document's number and label. A toxic document's label holds for some of its words
+    only, so it is learnt from its `each` windows that are likeliest toxic (multiple-instance learning): at first by how
+    much more frequent their subsequences are in toxic sentences, then by the machine of the round before. The clean side is
+    each clean document's likeliest windows and as many others. At most `most` windows a side, by hash of the window."""
+    if not len(sentences) or toxic.all() or not toxic.any():
+        return train_machine([], [])
+    counts = np.zeros((2, 1 << BITS))
+    parts = list(streams(sentences))
+    for y in (0, 1):
+        for w in streams([s for s, t in zip(sentences, toxic) if t == y]):
+            counts[y] += np.bincount(np.concatenate([number for _, _, number in subsequences(w.chars)]), minlength=1 << BITS)
+    rate = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+    machine = Machine(((rate[1] - rate[0]) / (rate[1] + rate[0] + 4 / max(1, counts[1].sum()))).astype(np.float32), 0.0)
+    owner = np.concatenate([doc[w.owner] for w in parts])
+    label = np.concatenate([toxic[w.owner] for w in parts]).astype(bool)
+    starts = np.cumsum([0, *(len(w.start) for w in parts)])
+
+    def named(which: np.ndarray) -> list[str]:
+        part = np.searchsorted(starts, which, "right") - 1
+        found = {parts[p].text(i - starts[p]) for i, p in zip(which.tolist(), part.tolist())}
+        return sorted(found, key=lambda t: (zlib.crc32(t.encode("utf-8", "surrogatepass")), t))[:most]
+
+    other = np.flatnonzero(~label)
+    other = other[np.linspace(0, len(other) - 1, min(len(other), most // 2)).astype(int)] if len(other) else other
+    for _ in range(ROUNDS):
+        score = np.concatenate([w.sums(machine.weights) for w in parts])
+        order = np.lexsort((-score, owner))
+        new = np.concatenate(([True], owner[order][1:] != owner[order][:-1]))
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        best = order[place < each]
+        # A toxic document whose best window is no likelier than that of most clean ones has none to learn from.
+        least = np.median(score[order[new]][~label[order[new]]])
+        up = best[label[best] & (score[best] > least)]
+        machine = train_machine(named(up), named(np.concatenate((best[~label[best]], other))))
+    return machine
 
 
 def held_out(id_col: str = "doc_id"):
@@ -217,14 +296,19 @@ def held_out(id_col: str = "doc_id"):
 
 @dataclass
 class ToxicityModel:
-    scorer: TokenScorer
+    machine: Machine
     weights: np.ndarray
 
+    def toxic(self, texts: list[str | None]) -> np.ndarray:
+        """Which texts are predicted toxic."""
+        return probability(self.machine.features(texts), self.weights) >= 0.5
+
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_tokens: int = 25_000) -> ToxicityModel:
-    """Learns from at most most_rows toxic and most_rows clean labelled documents (those of least hash of their id;
-    a documented bound), never from held-out ones. Of their tokens, all are learnt that lean to toxic documents and are
-    in two of them or more, and of the others the most_tokens most frequent. docs: doc_id, text; labels: doc_id, toxic."""
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_sentences: int = 60_000) -> ToxicityModel:
+    """Learns from at most most_rows toxic and most_rows clean labelled documents, those of least hash of their id, never
+    from held-out ones; and of these, cut into sentences over their whole length, from at most most_sentences toxic and
+    as many clean sentences, those of least hash. Both are documented bounds of the labelled sample, and the only ones.
+    Then the documents' features, from whole texts, calibrate. docs: doc_id, text; labels: doc_id, toxic."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
@@ -233,36 +317,27 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_tokens
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
     sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).persist()
     try:
-        counts = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
-        words = (
-            sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"(?U)[\W_]+"))).alias("token"))
-            .where((F.length("token") > 2) & (F.length("token") <= 64))
-            .groupBy("token")
-            .agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
-        )
-        leans = (F.col("t") >= 2) & (LEAN * F.col("t") * counts.get(0, 0) > F.col("c") * counts.get(1, 0))
-        others = words.where(~leans).orderBy(F.desc(F.col("t") + F.col("c")), "token").limit(most_tokens)
-        words = words.where(leans).unionByName(others).orderBy(F.desc(F.col("t") + F.col("c")), "token").toPandas()
-        scorer = train_scorer(
-            words["token"].tolist(), words["t"].to_numpy(float), words["c"].to_numpy(float), counts.get(1, 0), counts.get(0, 0)
-        )
-        shown = sample.select("doc_id", "text", F.col("toxic").cast("long").alias("y"))
-        rows = _features(shown, scorer, ["y"]).toPandas()
+        cut = sample.select("doc_id", "toxic", F.explode(F.regexp_extract_all("text", F.lit(rf"[^.!?\n]{{1,{SENTENCE}}}"), F.lit(0))).alias("s"))
+        cut = cut.withColumn("h", F.xxhash64("doc_id", "s"))
+        taken = [cut.where(F.col("toxic") == y).orderBy("h", "doc_id", "s").limit(most_sentences) for y in (0, 1)]
+        rows = taken[0].unionByName(taken[1]).select("doc_id", "toxic", "s").toPandas().sort_values(["doc_id", "s"])
+        machine = learn(rows["s"].tolist(), rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(np.int64))
+        shown = sample.select("text", F.col("toxic").cast("long").alias("y"))
+        fitted = _features(shown, machine, ["y"]).toPandas()
     finally:
         sample.unpersist()
-    x = np.array(rows["x"].tolist(), float).reshape(len(rows), FEATURES)
-    return ToxicityModel(scorer, fit_logistic(x, rows["y"].to_numpy(float)))
+    x = np.array(fitted["x"].tolist(), float).reshape(len(fitted), FEATURES)
+    return ToxicityModel(machine, fit_logistic(x, fitted["y"].to_numpy(float)))
 
 
-def _features(docs: DataFrame, scorer: TokenScorer, others: list[str]) -> DataFrame:
+def _features(docs: DataFrame, machine: Machine, others: list[str]) -> DataFrame:
     """Columns `others` (long) and x, the features of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
     schema = pa.schema([*[(c, pa.int64()) for c in others], ("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = TextScorer(shared.value)
         for b in batches:
-            x = texts.features(b.column("text").to_pylist())
+            x = shared.value.features(b.column("text").to_pylist())
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES, dtype=np.int32)), pa.array(x.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], flat], schema=schema)
 
@@ -272,11 +347,11 @@ def _features(docs: DataFrame, scorer: TokenScorer, others: list[str]) -> DataFr
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (probability that the text is toxic), predicted (1 from 0.5) for every row of docs.
 
-    Null and empty texts are scored as texts without tokens. Every text is scored whole and on its own, so repeated rows agree;
+    Null and empty texts are scored as texts without words. Every text is scored whole and on its own, so repeated rows agree;
     null ids are carried; an empty table gives no rows. Other columns are ignored.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    x = _features(slim, model.scorer, ["doc_id"])
+    x = _features(slim, model.machine, ["doc_id"])
     w = model.weights
     z = F.lit(float(w[0]))
     for i in range(FEATURES):
@@ -286,11 +361,14 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """docs without the rows whose text is predicted toxic; columns and their order stay as they were."""
+    """docs without the rows whose text is predicted toxic, in one pass without a shuffle; all columns, whatever their
+    names, stay as they were. Rows are judged by their text alone, so null and repeated ids and rows need no rule."""
     model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, **kwargs)
-    marked = docs.withColumn("__row", F.xxhash64(id_col, text_col))
-    bad = score(marked, model, "__row", text_col).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return marked.join(bad, F.col("__row") == F.col("__bad"), "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
 
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~shared.value.toxic(b.column(at).to_pylist())))
 
-__all__ = ["drop_toxic", "held_out", "probability", "score", "train", "train_scorer"]
+    return docs.mapInArrow(clean, docs.schema)
