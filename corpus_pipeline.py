@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchfire.llm import decontam, minhash, packing, secrets, toxicity
-from watchfire.llm.common import shared_dir, table
+from watchfire.llm.common import new_path, remove, table, tidy
 from watchfire.llm.queries import tokenizer_path
 
 
@@ -51,10 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages on the table documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """The result of all stages on the table documents of sf_dir. What a stage wrote for itself, and the result of the
+    stage before it, is removed when its own result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = new_path(spark, "pipeline")
+        with tidy(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
