@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tests.test_rules import events, spec
 from watchfire.functions.rules import parse_pack
 from watchfire.jobs import security
@@ -25,6 +27,8 @@ def test_count_boundaries(spark):
     assert run(ev(1, 0), ev(2, 1), ev(3, 5)) == [("T-1", "1.1.1.1", 3, (1, 2, 3))]
     assert run(ev(1, 0), ev(2, 1), ev(3, 5.01)) == []
     assert run(*[ev(i, 0, ip=None) for i in range(3)]) == []
+    assert run(ev(1, 0), ev(2, 1), ev(2, 1)) == []  # an event that is given twice counts once
+    assert run(ev(1, 0), ev(2, 0), ev(3, 0)) == [("T-1", "1.1.1.1", 3, (1, 2, 3))]
     assert run(*[ev(i, i, ip="x") for i in range(9)]) == [("T-1", "x", 2, (0, 1, 2))]
 
 
@@ -65,10 +69,12 @@ def test_random_against_plain_versions(spark):
     rows = [ev(i, rng.randrange(120), rng.choice("fffst"), f"ip{rng.randrange(12)}", f"u{rng.randrange(12)}") for i in range(400)]
     e = events(spark, *rows).persist()
     assert found(detect.count_alerts(e, COUNT)) == plain_count(rows)
-    assert found(detect.count_alerts(e, COUNT, hot_rows=3)) == plain_count(rows)
+    assert found(detect.count_alerts(e, COUNT, span=1)) == plain_count(rows)
     first = detect.sequence_alerts(e, SEQUENCE)
     want = plain_sequence(rows)
-    assert found(first) == want
+    assert found(first) == want and found(detect.sequence_alerts(e, SEQUENCE, span=1)) == want
+    twice = e.unionByName(e.where("id % 3 = 0"))
+    assert found(detect.count_alerts(twice, COUNT)) == plain_count(rows) and found(detect.sequence_alerts(twice, SEQUENCE)) == want
     assert found(detect.sequence_alerts(e, SEQUENCE, stored=first)) == plain_sequence(rows, stored={(w[1], w[2]) for w in want})
 
 
@@ -80,9 +86,28 @@ def test_sessions_and_scores(spark):
     )
     out = sorted((r.entity_key, r.session_start, r.alert_count, r.risk_score, r.severity, r.summary) for r in incidents.incidents(alerts, COUNT).collect())
     assert out == [
-        ("e", 0, 2, 100.0, "critical", "2 alerts, techniques: unmapped"), ("e", 2 * gap + 1, 1, 10.0, "low", "1 alerts, techniques: unmapped"),
-        ("unknown", 0, 1, 50.0, "medium", "1 alerts, techniques: unmapped"),
+        ("e", 0, 2, 100.0, "critical", "2 alert(s), 0 MITRE technique(s): unmapped"), ("e", 2 * gap + 1, 1, 10.0, "low", "1 alert(s), 0 MITRE technique(s): unmapped"),
+        ("unknown", 0, 1, 50.0, "medium", "1 alert(s), 0 MITRE technique(s): unmapped"),
     ]
+    known = alerts.withColumn("incident_id", F.when(F.col("event_id") == 3, "old"))
+    assert {r.event_id for r in incidents.assigned_alerts(known).collect()} == {1, 2, 4}
+
+
+def test_sessions_against_plain_version(spark):
+    """Buckets of any width give the sessions of one pass."""
+    rng = random.Random(5)
+    gap = 30 * MINUTE
+    rows = [("A", rng.choice(["x", "y", "z", ""]), i, rng.randrange(-200, 4000) * MINUTE, "low") for i in range(300)] + [("B", "x", 900 + i, 5000 * MINUTE + i * gap, "low") for i in range(9)]
+    want = {}
+    for key in {r[1] for r in rows}:
+        last = start = None
+        for us, i in sorted((r[3], r[2]) for r in rows if r[1] == key):
+            start = us if last is None or us - last > gap else start
+            last = us
+            want[i] = (key or "unknown", start)
+    alerts = spark.createDataFrame(rows, "rule_id string, entity_key string, event_id long, us long, severity string").persist()
+    for width in (MINUTE, 45 * MINUTE, 3600 * MINUTE):
+        assert {r.event_id: (r.entity_key, r.session_start) for r in incidents.assign_sessions(alerts, bucket_us=width).collect()} == want
 
 
 def plain_similar(rows, k):
@@ -92,8 +117,10 @@ def plain_similar(rows, k):
         for o in rows:
             same = 60 * (bool(q[1]) and q[1] == o[1]) + min(30, 10 * len(set(q[3] or ()) & set(o[3] or ()))) + 10 * (q[2] is not None and q[2] == o[2])
             if o[0] != q[0] and same:
-                scored.append((-same, o[0]))
-        out += [(q[0], i, -s, n) for n, (s, i) in enumerate(sorted(scored)[:k], 1)]
+                shared = sorted(set(q[3] or ()) & set(o[3] or ()))
+                why = ["same entity"] * bool(q[1] and q[1] == o[1]) + ([f"shared MITRE: {', '.join(shared)}"] if shared else []) + ["same severity"] * bool(q[2] is not None and q[2] == o[2])
+                scored.append((-same, o[0], why))
+        out += [(q[0], i, -s, n, why) for n, (s, i, why) in enumerate(sorted(scored)[:k], 1)]
     return sorted(out)
 
 
@@ -103,7 +130,7 @@ def test_similar_of_all_incidents(spark):
     rows = [(f"{rng.randrange(10**9):09d}", rng.choice(["", None, "hot", "hot", *"abcdef"]), rng.choice(["low", "high", "critical", None]), rng.choice(sets)) for _ in range(300)]
     found = spark.createDataFrame(rows, "incident_id string, entity_key string, severity string, techniques array<string>").persist()
     for k in (1, 5):
-        got = sorted((r.q_id, r.incident_id, r.score, r.rank) for r in incidents.similar_incidents(found, found, k).collect())
+        got = sorted((r.q_id, r.incident_id, r.score, r.rank, r.reasons) for r in incidents.similar_incidents(found, found, k).collect())
         assert got == plain_similar(rows, k)
         assert incidents.similar_candidates(found, found, k).count() <= 2 * (k + 1) * len(rows)
 

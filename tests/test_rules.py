@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,7 +28,10 @@ def matching(spark, detection, *rows):
 def test_precedence_and_limits():
     assert condition_tree("a or b and not c", set("abc")) == ("or", ("is", "a"), ("and", ("is", "b"), ("not", ("is", "c"))))
     assert condition_tree("(a OR b) And c", set("abc"))[0] == "and"
-    for bad in ("a and", "(a", "a b", "1 of a", "d", "", "a" * 3000, "(" * 20 + "a" + ")" * 20, " or ".join("a" * 70)):
+    assert condition_tree("not " * 17 + "a", {"a"})[0] == "not"  # only parentheses nest
+    assert condition_tree(" ( a )or(x.y-z_1)", {"a", "x.y-z_1"}) == ("or", ("is", "a"), ("is", "x.y-z_1"))
+    assert condition_tree("(" * 16 + "a" + ")" * 16, {"a"}) == ("is", "a")
+    for bad in ("a and", "(a", "a b", "1 of a", "d", "", "a" * 3000, "(" * 17 + "a" + ")" * 17, " or ".join("a" * 70), "a && b", "a)", "A", "and", "not", "a or or b", "__import__('os')"):
         with pytest.raises(RuleError):
             condition_tree(bad, set("abc"))
 
@@ -38,12 +42,53 @@ def test_timeframes():
 
 def test_validation():
     ok = {"s": {"source": "x"}, "condition": "s"}
-    for bad in (spec(ok, id="?"), spec(ok, level="Low"), spec({"s": {"a|near": 1}, "condition": "s"}), spec(ok, tags="x"), spec({**ok, "correlation": {"type": "sum"}}), spec({**ok, "correlation": {"type": "sequence", "sequence": ["s"]}})):
+    count = {"type": "count", "threshold": 2}
+    sequence = {"s": {"a": 1}, "t": {"a": 2}, "condition": "s or t"}
+    bad = [
+        spec(ok, id="?"), spec(ok, id="ab"), spec(ok, id="x" * 129), spec(ok, id=7), spec(ok, title=" "), spec(ok, title=3), spec(ok, level="Low"), spec(ok, level="severe"),
+        spec(ok, logsource={}), spec(ok, logsource="x"), spec(ok, tags="x"), spec(ok, tags=[1]), spec(ok, references=[None]), spec("s"),
+        spec({"s": {"a|near": 1}, "condition": "s"}), spec({"s": {"a|re|contains": 1}, "condition": "s"}), spec({"s": {"": 1}, "condition": "s"}), spec({"s": {1: 1}, "condition": "s"}),
+        spec({"s": {}, "condition": "s"}), spec({"s": ["x"], "condition": "s"}), spec({"condition": "s"}), spec({"s": {"a": 1}}), spec({"s": {"a": 1}, "condition": " "}), spec({"s": {"a": 1}, "condition": "t"}),
+        *[spec({**ok, "correlation": c}) for c in (
+            "count", {}, {"type": "sum"}, {"type": "count"}, {"threshold": 0}, {"threshold": "3"}, count | {"group_by": []}, count | {"group_by": "source_ip"}, count | {"group_by": [""]},
+            count | {"timeframe": "5 m"}, count | {"timeframe": "0m"}, count | {"timeframe": 0}, count | {"timeframe": -5}, count | {"timeframe": "soon"}, count | {"timeframe": None},
+        )],
+        *[spec({**sequence, "correlation": {"type": "sequence", **c}}) for c in ({}, {"sequence": ["s"]}, {"sequence": ["s", "u"]}, {"sequence": "s"})],
+        [], None,
+    ]
+    for given in bad:
         with pytest.raises(RuleError):
-            parse_rule(bad)
+            parse_rule(given)
     with pytest.raises(RuleError):
         parse_pack([spec(ok), spec(ok)])
+    for good in (spec(ok, id="ORG:RULE-1.a_b"), spec({**ok, "correlation": count | {"timeframe": "15M"}}), spec({**ok, "correlation": count | {"timeframe": 90}}), spec({"s": {"a|RE": 1}, "condition": "S or s".replace("S or ", "")})):
+        parse_rule(good)
     assert parse_rule(spec(ok, mitre={"technique": "t1110"}, tags=["attack.t1059.001", "attack.T1110", "x"])).techniques == ["T1110", "T1059.001"]
+    r = parse_rule(spec(ok, tags=["attack.T1059.001"]))
+    assert (r.technique, r.technique_name, r.tactic) == ("T1059.001", "PowerShell", "Execution")
+    assert (parse_rule(spec(ok)).tactic, parse_rule(spec(ok, mitre={"technique": "T9", "tactic": "Own"})).tactic, parse_rule(spec(ok, mitre={"technique": "T9"})).technique_name) == ("Unmapped", "Own", "Custom Mapping")
+
+
+def test_yaml():
+    text = "id: ABC-1\ntitle: t\nlogsource: {category: x}\ndetection:\n  s: {source: a}\n  condition: s\n"
+    assert rules.parse_yaml(text).content == text
+    for bad in ("- a", "id: [", "", text + "# " + "x" * 256 * 1024):
+        with pytest.raises(RuleError):
+            rules.parse_yaml(bad)
+
+
+def test_patterns_that_java_reads_otherwise(spark):
+    values = ["abab", "x", "x\n", "a[b", "tab\tx", "ABC-12", "caf\u00e9", "&&", "aaa", "line\rend", None, "z" * 20_000]
+    patterns = [
+        "(?P<a_b>x)", "(?P<a>a)(?P=a)", r"x\Z", "x$", "[a[]", "[&&]", r"(ab)\1", "(a|b){2}c?", "a{,2}b", r"\w+\W", "(?a)\\w\u00e9", "^.+$", r"[\d-]+$", "(?i:abc)-", "(?s)e.e", "\u00c9$", r"\v", "(", "e(?=nd)",
+    ]
+    rows = [{"id": i, "message": v} for i, v in enumerate(values)]
+    for p in patterns:
+        try:
+            want = {i for i, v in enumerate(values) if v is not None and len(v) <= 16_384 and re.search(p, v, re.I)}
+        except re.error:
+            want = set()
+        assert matching(spark, {"s": {"message|re": p}, "condition": "s"}, *rows) == want, p
 
 
 def test_predicates(spark):
@@ -62,7 +107,6 @@ def test_predicates(spark):
         assert matching(spark, {"s": selection, "condition": "s"}, *rows) == want, selection
     # Two-valued: NOT of a comparison with null is true.
     assert matching(spark, {"s": {"source": "nginx"}, "condition": "not s"}, *rows) == {2}
-    assert matching(spark, {"condition": "s"}, *rows) == set()
     assert rules.SEVERITY_WEIGHT["critical"] == 95
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchfire.functions.rules import parse_pack
-from watchfire.operators import analytics, detect, incidents
+from watchfire.operators import analytics, detect, incidents, reports
 from watchfire.sources import normalize
 from watchfire.sources.security_events import adapter_cte, security_events
+from watchfire.storage import written
 
 
 def _rule(id, title, level, detection, technique=None):
@@ -51,9 +54,14 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.all_alerts(security_events(spark, sf_dir), PACK)
 
 
+def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as the jobs after detection read them: from the table that detection wrote."""
+    return written(alerts(spark, sf_dir))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events, matches, alerts of all three kinds, scored incidents."""
-    return incidents.incidents(alerts(spark, sf_dir), PACK).drop("techniques")
+    return incidents.incidents(stored_alerts(spark, sf_dir), PACK).drop("techniques")
 
 
 def _match(detection: dict):
@@ -75,16 +83,16 @@ def _kind(function):
 def alerts_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second run over the same events when the alerts of the first are stored."""
     events = security_events(spark, sf_dir)
-    return detect.all_alerts(events, PACK, stored=detect.all_alerts(events, PACK)).select("rule_id", "entity_key", "event_id", "us")
+    return detect.all_alerts(events, PACK, stored=stored_alerts(spark, sf_dir)).select("rule_id", "entity_key", "event_id", "us")
 
 
 def _similar(asked: Column):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = incidents.incidents(alerts(spark, sf_dir), PACK)
+        found = written(incidents.incidents(stored_alerts(spark, sf_dir), PACK))
         named = found.select("incident_id", "entity_key", "session_start")
-        best = incidents.similar_incidents(found, found.where(asked))
+        best = incidents.similar_incidents(found, found.where(asked)).withColumn("reasons", F.array_join("reasons", "; "))
         a, b = named.select(F.col("incident_id").alias("q_id"), F.col("entity_key").alias("q_entity"), F.col("session_start").alias("q_start")), named
-        return best.join(a, "q_id").join(b, "incident_id").select("q_entity", "q_start", "entity_key", "session_start", "score", "rank")
+        return best.join(a, "q_id").join(b, "incident_id").select("q_entity", "q_start", "entity_key", "session_start", "score", "rank", "reasons")
 
     return query
 
@@ -100,44 +108,93 @@ def similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.assign_sessions(alerts(spark, sf_dir)).select("rule_id", "event_id", "entity_key", "session_start", F.lit("investigating").alias("status"))
+    return incidents.assigned_alerts(stored_alerts(spark, sf_dir)).select("rule_id", "event_id", "entity_key", "session_start", "incident_id", "status")
+
+
+def alert_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the evidence of every alert says, field by field."""
+    get = lambda path: F.get_json_object("evidence", path)
+    listed = lambda path: F.array_join(F.from_json(get(path), "array<string>"), ",")
+    return alerts(spark, sf_dir).select(
+        "rule_id", "entity_key", "event_id", get("$.type").alias("type"), get("$.count").cast("long").alias("count"), get("$.threshold").cast("long").alias("threshold"),
+        get("$.timeframe").alias("timeframe"), listed("$.group_by").alias("group_by"), listed("$.stages").alias("stages"), listed("$.event_ids").alias("event_ids"),
+        get("$.event.username").alias("username"), (get("$.alert_fingerprint") == F.col("alert_fingerprint")).alias("signed"),
+    )
 
 
 def _lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Events of a kind written out as the raw lines of its sensor."""
+    """Events of a kind written out as raw lines of its sensor, in all the forms that it has, by id."""
     e = security_events(spark, sf_dir)
-    t = F.timestamp_micros("us")
+    t, k = F.timestamp_micros("us"), F.col("destination_port")
+    form = lambda n, *values: F.get(F.array(*values), (F.col("id") % n).cast("int"))
+    six = F.concat(F.lit("2001:0DB8:0:0::"), (k + 1).cast("string"))
     if kind == "linux":
-        verb = F.when(F.col("event_type") == "failed_login", "Failed password for invalid user ").otherwise("Accepted password for ")
-        line = F.concat(F.date_format(t, "MMM d HH:mm:ss"), F.lit(" srv sshd[1]: "), verb, "username", F.lit(" from "), "source_ip", F.lit(" port "), F.col("destination_port").cast("string"))
         e = e.where("source = 'linux_auth'")
+        failed, accepted = F.lit("Failed password for "), F.lit("Accepted publickey for ")
+        text = lambda verb, user, host: F.concat(verb, user, F.lit(" from "), host, F.lit(" port "), k.cast("string"))
+        user, four = F.col("username"), F.col("source_ip")
+        said = form(
+            8, text(failed, F.concat(F.lit("invalid user "), user), four), text(failed, user, four), text(accepted, user, four), text(failed, user, four), text(failed, user, six),
+            F.lit("new user: name=x"), text(failed, user, F.lit("evil.example")), text(accepted, user, six),
+        )
+        line = F.concat(form(8, *[F.lit("<34>" if i == 3 else "") for i in range(8)]), F.date_format(t, "MMM d HH:mm:ss"), F.lit(" srv sshd[1]: "), said)
     elif kind == "nginx":
-        path = F.when(F.col("destination_port") % 3 == 0, "/a/../b").when(F.col("destination_port") % 3 == 1, "/q?x=UNION+SELECT").otherwise("/index.html")
-        line = F.concat("source_ip", F.lit(" - - ["), F.date_format(t, "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET '), path, F.lit(' HTTP/1.1" 200 12 "-" "agent"'))
         e = e.where("source = 'nginx'")
+        host = form(6, *["source_ip"] * 5, F.concat(F.lit("proxy: "), six))
+        path = form(6, *map(F.lit, ("/a/../b", "/q?x=UNION+SELECT", "/index.html", "/%2E%2e/x", "/index.html", "/<SCRIPT>")))
+        tail = form(6, *map(F.lit, ['"-" "agent"'] * 4 + ['"-"', '"-" "agent"']))
+        line = F.concat(host, F.lit(" - - ["), F.date_format(t, "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET '), path, F.lit(' HTTP/1.1" 200 12 '), tail)
     elif kind == "suricata":
-        alert = F.struct((F.col("destination_port") % 5).alias("severity"), F.lit("Sig").alias("signature"))
-        line = F.to_json(F.struct(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.lit("alert").alias("event_type"), F.col("source_ip").alias("src_ip"), F.col("destination_port").alias("dest_port"), alert.alias("alert")))
         e = e.where("source = 'suricata'")
+        alert = lambda severity: F.concat(F.lit('"alert": {"signature": "Sig", "severity": '), severity, F.lit("}"))
+        what = form(
+            8, F.concat(F.lit('"alert", '), alert((k % 5).cast("string"))), F.lit('"alert"'), F.concat(F.lit('"flow", '), alert(F.lit("1"))), F.lit('"dns", "dns": {"rrname": "a.example"}'), F.lit('"dns"'),
+            F.concat(F.lit('"alert", '), alert(F.lit('"2"'))), F.concat(F.lit('"alert", '), alert(F.lit("null"))), F.lit('"network_connection"'),
+        )
+        line = F.concat(
+            F.lit('{"timestamp": "'), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit('", "src_ip": "'), F.when(k % 2 == 1, six).otherwise(F.col("source_ip")),
+            F.lit('", "dest_ip": "10.0.0.300", "dest_port": '), k.cast("string"), F.lit(', "event_type": '), what, F.lit("}"),
+        )
     elif kind == "windows":
-        data = F.struct(F.col("username").alias("targetusername"))
-        line = F.to_json(F.struct(F.when(F.col("destination_port") % 2 == 0, 4625).otherwise(7045).alias("EventID"), F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("UtcTime"), F.col("hostname").alias("Computer"), data.alias("EventData")))
         e = e.where("source = 'windows'")
+        code = form(10, *map(F.lit, (1, 3, 1102, 4624, 4625, 4688, 4720, 4728, 7045, 9999)))
+        none = F.lit(None).cast("string")
+        inner = F.struct(form(3, F.lit("inner"), F.col("username"), none).alias("targetusername"), F.lit("192.0.2.9").alias("IpAddress"))
+        line = F.to_json(F.struct(
+            code.alias("EventID"), F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("UtcTime"), F.col("hostname").alias("Computer"), form(3, F.col("username"), none, F.lit("subject")).alias("User"),
+            form(3, none, none, F.col("username")).alias("TargetUserName"), form(3, F.col("source_ip"), none, none).alias("SourceIp"), form(2, F.lit("whoami"), none).alias("ProcessCommandLine"), inner.alias("EventData"),
+        ))
     else:
         line = F.to_json(F.struct(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.upper("severity").alias("severity"), F.col("username"), F.col("message")))
     return e.select(F.col("id"), line.alias("line"))
 
 
+_NORMALISED = ["id", "us", "source", "event_type", "severity", "source_ip", "destination_ip", "source_port", "destination_port", "username", "hostname", "command_line", "message", "ts_defaulted"]
+
+
 def _normalised(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = normalize.normalise(_lines(spark, sf_dir, kind), "auto", default_year=2024, ingest_us=0)
-        return out.select("id", "us", "source", "event_type", "severity", "source_ip", "source_port", "destination_port", "username", "hostname", "message")
+        return normalize.normalise(_lines(spark, sf_dir, kind), "auto", default_year=2024, ingest_us=0).select(*_NORMALISED)
 
     return query
 
 
+def normalize_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all sensors in one input: what each becomes."""
+    lines = [_lines(spark, sf_dir, k) for k in ("linux", "nginx", "suricata", "windows", "generic")]
+    found = normalize.normalise(reduce(DataFrame.unionByName, lines), "auto", default_year=2024, ingest_us=0)
+    return found.groupBy("source", "event_type", "severity").agg(F.count(F.lit(1)).alias("n"), F.sum("us").alias("us"))
+
+
+def normalize_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suricata lines, of which every fifth has a severity that is no number: those are put aside."""
+    broken = F.regexp_replace("line", '"severity": [^}]+', '"severity": "high"')
+    lines = _lines(spark, sf_dir, "suricata").withColumn("line", F.when(F.col("id") % 5 == 0, broken).otherwise(F.col("line")))
+    return normalize.rejects(lines).select("id", "problem")
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = alerts(spark, sf_dir).withColumn("status", F.when(F.col("event_id") % 3 == 0, "resolved").otherwise("new"))
+    found = stored_alerts(spark, sf_dir).withColumn("status", F.when(F.col("event_id") % 3 == 0, "resolved").otherwise("new"))
     inc = incidents.incidents(found, PACK).withColumn("status", F.when(F.col("alert_count") > 1, "open").otherwise("closed"))
     return found, inc
 
@@ -149,12 +206,42 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = analytics.rule_techniques(spark, PACK).select("rule_id", "tactic", "technique", (F.col("rule_id") != "WF-002").alias("enabled"))
+    rules = analytics.rule_table(spark, PACK).select("rule_id", "tactic", "technique", (F.col("rule_id") != "WF-002").alias("enabled"))
     e = security_events(spark, sf_dir)
     tests = e.select(F.when(F.col("source") == "nginx", "WF-001").when(F.col("source") == "suricata", "WF-010").otherwise("WF-002").alias("rule_id"), ((F.col("source") != "suricata") | (F.col("id") % 50 == 0)).alias("passed"))
     return analytics.coverage(rules, tests)
 
 
+def _part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts table stands for a large catalogue: a rule with no, one or two techniques, a tactic or none, enabled or not."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    known = F.array(*[F.lit(t) for t in ("T1110", "T1078", "T1046", "T1190", "T9999")])
+    one, two = F.get(known, (k % 5).cast("int")), F.get(known, (k % 3).cast("int"))
+    listed = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(one)).otherwise(F.array_distinct(F.array(one, two)))
+    tactic = F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, "").when(k % 7 < 5, "Discovery").otherwise("Execution")
+    return p.select(F.concat(F.lit("R"), k.cast("string")).alias("rule_id"), F.col("p_name").alias("title"), F.get(F.array(*map(F.lit, ("low", "medium", "high"))), (k % 3).cast("int")).alias("level"),
+                    listed.alias("techniques"), F.get(listed, F.lit(0)).alias("technique"), tactic.alias("tactic"), (k % 6 != 0).alias("enabled"))
+
+
+def attack_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analytics.attack_techniques(_part_rules(spark, sf_dir).where("enabled"))
+    return found.select("technique", "name", "tactic", F.size("rules").cast("long").alias("rules"))
+
+
+def attack_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.attack_summary(_part_rules(spark, sf_dir).where("enabled"))
+
+
+def rules_by_tactic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.count_by(_part_rules(spark, sf_dir).where("enabled"), "tactic", "Unmapped")
+
+
+def search_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analytics.search(_part_rules(spark, sf_dir), "t10", ["title", "rule_id", "technique"], {"level": "medium"}, None, "rule_id")
+    return found.select("rule_id", "technique", "level")
+
+
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.count_by(coverage_matrix(spark, sf_dir), "status")
 
@@ -175,22 +262,32 @@ def rule_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An incident's alerts as one sorted list."""
-    a = incidents.assign_sessions(alerts(spark, sf_dir))
-    item = F.struct("us", "event_id", "rule_id")
-    lists = a.groupBy("entity_key", "session_start").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return lists.select("entity_key", "session_start", F.array_join(F.transform("items", lambda x: F.concat(x["rule_id"], F.lit(":"), x["event_id"].cast("string"))), ",").alias("alerts"))
+    """Incidents with their alerts as sorted lists, an hour and a thousand alerts at most in a row."""
+    found = stored_alerts(spark, sf_dir)
+    parts = reports.incident_payloads(incidents.incidents(found, PACK), incidents.assigned_alerts(found), analytics.rule_table(spark, PACK))
+    shown = F.transform("alerts", lambda x: F.concat_ws(":", x["rule_id"], x["event_id"].cast("string"), x["mitre_technique"], x["mitre_tactic"], x["status"]))
+    return parts.select("entity_key", "session_start", "title", "status", F.col("hour").cast("long").alias("hour"), F.col("part").cast("long").alias("part"), F.array_join(shown, ",").alias("alerts"))
 
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, e = alerts(spark, sf_dir), security_events(spark, sf_dir)
-    return a.join(e.select(F.col("id").alias("event_id"), "hostname", "source_ip"), "event_id", "left").select("rule_id", "title", "severity", "entity_key", "event_id", "hostname", "source_ip", "alert_fingerprint")
+    rows = reports.alert_rows(incidents.assigned_alerts(stored_alerts(spark, sf_dir)), analytics.rule_table(spark, PACK))
+    return rows.drop("created_at")
+
+
+def alert_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, events = stored_alerts(spark, sf_dir), security_events(spark, sf_dir).select("id", "hostname", "source_ip")
+    rows = reports.alert_details(incidents.assigned_alerts(found), analytics.rule_table(spark, PACK), events, incidents.incidents(found, PACK))
+    return rows.select("rule_id", "rule", "mitre_tactic", "entity_key", "event_id", "event.hostname", "event.source_ip", "incident.risk_score", F.col("incident.severity").alias("incident_severity"), "alert_fingerprint")
+
+
+def incident_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.incident_timeline(incidents.assigned_alerts(stored_alerts(spark, sf_dir)), analytics.rule_table(spark, PACK))
+    return rows.select("entity_key", "session_start", "rule_id", "event_id", F.col("place").cast("long").alias("place"))
 
 
 def audit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One audit row for each ingested batch: here, each source is a batch."""
-    n = F.count(F.lit(1))
-    return security_events(spark, sf_dir).groupBy("source").agg(F.min("id").alias("entity_id"), F.concat(F.lit('{"count": '), n.cast("string"), F.lit("}")).alias("details")).withColumn("action", F.lit("events_ingested"))
+    return normalize.audit_rows(security_events(spark, sf_dir), ["source"])
 
 
 _COLUMNS = ["id", "us", "source", "severity", "message"]
@@ -208,6 +305,19 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.page(analytics.search(security_events(spark, sf_dir), None, [], {"source": "nginx"}, "us", "id"), 3, 25).select(*_COLUMNS)
 
 
+def search_page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.page_info(security_events(spark, sf_dir).where("source = 'nginx'"), 3, 25)
+
+
+def search_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analytics.search(_stored(spark, sf_dir)[1], "user1", ["title", "entity_key", "summary"], {"severity": "critical", "status": "closed"}, "session_end", "incident_id")
+    return found.select("entity_key", "session_start", "title", "severity")
+
+
+def newest_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.newest(incidents.incidents(stored_alerts(spark, sf_dir), PACK), "session_end", "incident_id", 6).select("incident_id", "entity_key", "session_end")
+
+
 def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.newest(security_events(spark, sf_dir), "us", "id", 100).select(*_COLUMNS)
 
@@ -233,19 +343,21 @@ def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts_count_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count correlation with every key of more than 10 rows split into time buckets: the same result."""
-    return detect.count_alerts(security_events(spark, sf_dir), PACK, hot_rows=10).select("rule_id", "entity_key", "event_id", "us")
+    """Count correlation with keys split into time buckets of one timeframe: the same result."""
+    return detect.count_alerts(security_events(spark, sf_dir), PACK, span=1).select("rule_id", "entity_key", "event_id", "us")
 
 
 QUERIES = {
     "incidents": flagship, "alerts_single": _kind(detect.single_alerts), "alerts_count": _kind(detect.count_alerts),
-    "alerts_count_bucketed": alerts_count_bucketed, "alerts_sequence": _kind(detect.sequence_alerts), "alerts_all": lambda s, d: alerts(s, d).drop("event_ids"),
+    "alerts_count_bucketed": alerts_count_bucketed, "alerts_sequence": _kind(detect.sequence_alerts), "alerts_all": lambda s, d: alerts(s, d).drop("event_ids", "evidence"), "alert_evidence": alert_evidence,
     "alerts_replay": alerts_replay, "incident_assignments": assignments, "similar_incidents": similar, "similar_incidents_all": similar_all, "stats_dashboard": stats,
     "timeline": lambda s, d: analytics.timeline(security_events(s, d)).select("hour", "n"), "events_by_source": _by("source"), "events_by_severity": _by("severity"),
     "alerts_by_severity": alerts_by_severity, "incidents_by_status": incidents_by_status, "coverage_matrix": coverage_matrix, "quality_summary": quality_summary,
     "search_events": search_events, "search_alerts": search_alerts, "search_page": search_page, "newest_events": newest_events, "newest_alerts": newest_alerts,
     "distinct_sources": distinct_sources, "report_payload": report_payload, "report_rows": report_rows, "rule_upsert": rule_upsert, "rule_backtest": rule_backtest,
-    "audit_batch": audit_batch,
+    "audit_batch": audit_batch, "attack_coverage": attack_coverage, "attack_summary": attack_summary, "rules_by_tactic": rules_by_tactic, "search_rules": search_rules,
+    "search_page_info": search_page_info, "search_incidents": search_incidents, "newest_incidents": newest_incidents, "alert_details": alert_details, "incident_timeline": incident_timeline,
+    "normalize_auto": normalize_auto, "normalize_rejects": normalize_rejects,
     **{f"match_{k}": _match(d) for k, (d, _) in PREDICATES.items()},
     **{f"normalize_{k}": _normalised(k) for k in ("linux", "nginx", "suricata", "windows", "generic")},
 }
@@ -282,17 +394,53 @@ _I = f"""{_S}, i0 AS (SELECT entity_key, session_start, max(us) AS session_end,
     i1 AS (SELECT *, CAST(least(100, top + least(15, 3 * (alert_count - 1)) + least(10, 3 * (rule_count - 1))) AS DOUBLE) AS risk_score FROM i0),
     i AS (SELECT sha256(concat_ws('|', entity_key, CAST(session_start AS VARCHAR))) AS incident_id, entity_key, session_start, session_end, alert_count, rule_count, risk_score,
         CASE WHEN risk_score >= 90 THEN 'critical' WHEN risk_score >= 70 THEN 'high' WHEN risk_score >= 45 THEN 'medium' ELSE 'low' END AS severity,
-        techniques, alert_count || ' alerts, techniques: ' || array_to_string(techniques, ', ') AS summary FROM i1)"""
+        techniques, alert_count || ' alert(s), ' || len(techniques) || ' MITRE technique(s): ' || array_to_string(techniques, ', ') AS summary,
+        'Correlated activity involving ' || entity_key AS title, 'open' AS status FROM i1)"""
 _COVER = f"""{_E}, {_META}, r AS (SELECT rule_id, technique, rule_id <> 'WF-002' AS enabled, CASE technique WHEN 'T1046' THEN 'Discovery' WHEN 'T1059.001' THEN 'Execution'
-        WHEN 'T1110' THEN 'Credential Access' ELSE 'Defense Evasion' END AS tactic FROM m),
+        WHEN 'T1110' THEN 'Credential Access' ELSE 'Defense Evasion / Persistence' END AS tactic FROM m),
     t AS (SELECT CASE source WHEN 'nginx' THEN 'WF-001' WHEN 'suricata' THEN 'WF-010' ELSE 'WF-002' END AS rule_id, source <> 'suricata' OR id % 50 = 0 AS passed FROM e),
     p AS (SELECT rule_id, count(*) AS n, count(*) FILTER (passed) AS ok FROM t GROUP BY ALL),
     c AS (SELECT rule_id, tactic, technique, coalesce(n, 0) AS tests, CASE WHEN NOT enabled THEN 'disabled' WHEN n IS NULL THEN 'untested' WHEN ok < n THEN 'failed' ELSE 'passed' END AS status,
         CASE WHEN n > 0 THEN round_even(100 * ok / n, 1) ELSE 0 END AS pass_rate,
-        CASE tactic WHEN 'Execution' THEN 3 WHEN 'Defense Evasion' THEN 6 WHEN 'Credential Access' THEN 7 ELSE 8 END AS tactic_rank FROM r LEFT JOIN p USING (rule_id))"""
+        CASE tactic WHEN 'Execution' THEN 3 WHEN 'Credential Access' THEN 7 WHEN 'Discovery' THEN 8 ELSE 999 END AS tactic_rank FROM r LEFT JOIN p USING (rule_id))"""
+_ID = "sha256(concat_ws('|', entity_key, CAST(session_start AS VARCHAR)))"
 _WHOLE = "(us // 1000000) * 1000000"
 _NULL = lambda *names: ", ".join(f"CAST(NULL AS VARCHAR) AS {n}" for n in names)
 
+_RULES = """r AS (SELECT 'R' || p_partkey AS rule_id, p_name AS title, ['low', 'medium', 'high'][1 + p_partkey % 3] AS level, p_partkey % 6 <> 0 AS enabled,
+    CASE WHEN p_partkey % 4 = 0 THEN [] WHEN p_partkey % 4 = 1 THEN [o] WHEN o = t THEN [o] ELSE [o, t] END AS techniques,
+    CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 7 = 1 THEN '' WHEN p_partkey % 7 < 5 THEN 'Discovery' ELSE 'Execution' END AS tactic
+    FROM (SELECT *, ['T1110', 'T1078', 'T1046', 'T1190', 'T9999'][1 + p_partkey % 5] AS o, ['T1110', 'T1078', 'T1046'][1 + p_partkey % 3] AS t FROM part))"""
+_SIX = "'2001:db8::' || (destination_port + 1)"
+#: Normalised forms, from the documented meaning of each line, event id and severity.
+_N = {
+    "linux": f"""SELECT id, CASE WHEN f = 5 THEN 0 ELSE {_WHOLE} END AS us, 'linux_auth' AS source, CASE WHEN f IN (2, 7) THEN 'successful_login' WHEN f = 5 THEN 'user_created' ELSE 'failed_login' END AS event_type,
+        CASE WHEN f IN (2, 7) THEN 'info' ELSE 'medium' END AS severity, CASE WHEN f IN (4, 7) THEN {_SIX} WHEN f <> 5 THEN source_ip END AS source_ip, {_NULL("destination_ip")},
+        CASE WHEN f <> 5 THEN destination_port END AS source_port, CAST(NULL AS INT) AS destination_port, CASE WHEN f <> 5 THEN username END AS username, {_NULL("hostname", "command_line")},
+        CASE WHEN f = 3 THEN '<34>' ELSE '' END || strftime("timestamp", '%b %-d %H:%M:%S') || ' srv sshd[1]: ' || CASE WHEN f = 5 THEN 'new user: name=x' ELSE
+            CASE WHEN f IN (2, 7) THEN 'Accepted publickey for ' WHEN f = 0 THEN 'Failed password for invalid user ' ELSE 'Failed password for ' END || username || ' from '
+            || CASE WHEN f IN (4, 7) THEN '2001:0DB8:0:0::' || (destination_port + 1) ELSE source_ip END || ' port ' || destination_port END AS message, f = 5 AS ts_defaulted
+        FROM (SELECT *, id % 8 AS f FROM e) WHERE source = 'linux_auth' AND f <> 6""",
+    "nginx": f"""SELECT id, {_WHOLE} AS us, 'nginx' AS source, CASE WHEN f IN (0, 3) THEN 'directory_traversal' WHEN f IN (1, 5) THEN 'web_attack' ELSE 'web_request' END AS event_type,
+        CASE WHEN f = 2 THEN 'info' ELSE 'high' END AS severity, CASE WHEN f = 5 THEN {_SIX} ELSE source_ip END AS source_ip, {_NULL("destination_ip")}, CAST(NULL AS INT) AS source_port,
+        CAST(NULL AS INT) AS destination_port, {_NULL("username", "hostname", "command_line")},
+        'GET ' || ['/a/../b', '/q?x=UNION+SELECT', '/index.html', '/%2E%2e/x', '', '/<SCRIPT>'][1 + f] || ' -> 200' AS message, false AS ts_defaulted
+        FROM (SELECT *, id % 6 AS f FROM e) WHERE source = 'nginx' AND f <> 4""",
+    "suricata": f"""SELECT id, us, 'suricata' AS source, ['alert', 'alert', 'flow', 'dns', 'dns', 'alert', 'alert', 'network_connection'][1 + f] AS event_type,
+        CASE WHEN f = 0 THEN CASE destination_port % 5 WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 4 THEN 'low' ELSE 'medium' END WHEN f IN (1, 6) THEN 'medium' WHEN f = 5 THEN 'high' ELSE 'info' END AS severity,
+        CASE WHEN destination_port % 2 = 1 THEN {_SIX} ELSE source_ip END AS source_ip, {_NULL("destination_ip")}, CAST(NULL AS INT) AS source_port, destination_port, {_NULL("username", "hostname", "command_line")},
+        ['Sig', 'Suricata alert', 'flow', 'DNS query: a.example', 'DNS query: unknown', 'Sig', 'Sig', 'network_connection'][1 + f] AS message, false AS ts_defaulted
+        FROM (SELECT *, id % 8 AS f FROM e) WHERE source = 'suricata'""",
+    "windows": f"""SELECT id, us, 'windows' AS source, ['process_create', 'network_connection', 'security_log_cleared', 'successful_login', 'failed_login', 'process_create', 'user_created',
+            'user_added_to_privileged_group', 'service_installed', 'windows_event'][1 + id % 10] AS event_type,
+        ['info', 'info', 'critical', 'info', 'medium', 'info', 'high', 'high', 'high', 'info'][1 + id % 10] AS severity,
+        CASE WHEN id % 3 = 0 THEN source_ip ELSE '192.0.2.9' END AS source_ip, {_NULL("destination_ip")}, CAST(NULL AS INT) AS source_port, CAST(NULL AS INT) AS destination_port, username, hostname,
+        CASE WHEN id % 2 = 0 THEN 'whoami' END AS command_line, 'Windows event ' || [1, 3, 1102, 4624, 4625, 4688, 4720, 4728, 7045, 9999][1 + id % 10] AS message, false AS ts_defaulted
+        FROM e WHERE source = 'windows'""",
+    "generic": f"""SELECT id, us, 'generic' AS source, 'generic_event' AS event_type, severity, {_NULL("source_ip", "destination_ip")}, CAST(NULL AS INT) AS source_port,
+        CAST(NULL AS INT) AS destination_port, username, {_NULL("hostname", "command_line")}, message, false AS ts_defaulted FROM e""",
+}
+
 ORACLES = {
     "incidents": f"WITH {_I} SELECT * EXCLUDE (techniques) FROM i",
     "alerts_single": f"WITH {_E} {_SINGLE}",
@@ -302,12 +450,26 @@ ORACLES = {
     "alerts_all": f"""WITH {_A} SELECT rule_id, entity_key, event_id, us, title, severity, risk_score,
         sha256('["' || rule_id || '","' || entity_key || '",' || event_id || ']') AS alert_fingerprint FROM a""",
     "alerts_replay": f"WITH {_E}, {_NEXT}, seen AS ({_FIRST('ok')}), rest AS (SELECT * FROM ok o WHERE NOT EXISTS (SELECT 1 FROM seen WHERE entity_key = o.username AND event_id = o.event_id)) {_FIRST('rest')}",
-    "incident_assignments": f"WITH {_S} SELECT rule_id, event_id, entity_key, session_start, 'investigating' AS status FROM s",
+    "incident_assignments": f"WITH {_S} SELECT rule_id, event_id, entity_key, session_start, {_ID} AS incident_id, 'investigating' AS status FROM s",
+    "alert_evidence": f"""WITH {_A}, w(rule_id, type, threshold, timeframe, group_by, stages, kind, key, n) AS (VALUES
+            ('WF-010', 'correlation', 3, '24h', 'source_ip', NULL, 'failed_login', 'source_ip', 3), ('WF-011', 'correlation', 5, '12h', 'hostname', NULL, 'network_connection', 'hostname', 5)),
+        c AS (SELECT 'WF-010' AS rule_id, source_ip AS entity_key, id AS event_id, list(id) OVER (PARTITION BY source_ip ORDER BY us, id ROWS 2 PRECEDING) AS ids FROM e WHERE event_type = 'failed_login'
+            UNION ALL SELECT 'WF-011', hostname, id, list(id) OVER (PARTITION BY hostname ORDER BY us, id ROWS 4 PRECEDING) FROM e WHERE event_type = 'network_connection'),
+        q AS (SELECT 'WF-020' AS rule_id, username AS entity_key, event_id, arg_min(start_id, {{'us': start_us, 'id': start_id}}) AS start_id FROM ok GROUP BY ALL)
+        SELECT a.rule_id, a.entity_key, a.event_id, CASE WHEN a.rule_id < 'WF-010' THEN 'single_event' WHEN a.rule_id = 'WF-020' THEN 'sequence' ELSE 'correlation' END AS type,
+            CAST(w.n AS BIGINT) AS count, CAST(w.threshold AS BIGINT) AS threshold, coalesce(w.timeframe, CASE WHEN a.rule_id = 'WF-020' THEN '12h' END) AS timeframe,
+            coalesce(w.group_by, CASE WHEN a.rule_id = 'WF-020' THEN 'username' END) AS group_by, CASE WHEN a.rule_id = 'WF-020' THEN 'fail,ok' END AS stages,
+            CASE WHEN w.n IS NOT NULL THEN array_to_string(c.ids, ',') WHEN a.rule_id = 'WF-020' THEN q.start_id || ',' || a.event_id END AS event_ids,
+            CASE WHEN a.rule_id < 'WF-010' THEN e.username END AS username, true AS signed
+        FROM a LEFT JOIN w ON w.rule_id = a.rule_id LEFT JOIN c ON c.rule_id = a.rule_id AND c.entity_key = a.entity_key AND c.event_id = a.event_id
+            LEFT JOIN q ON q.rule_id = a.rule_id AND q.entity_key = a.entity_key AND q.event_id = a.event_id LEFT JOIN e ON e.id = a.event_id""",
     "similar_incidents": f"""WITH {_I}, x AS (SELECT q.entity_key AS q_entity, q.session_start AS q_start, q.incident_id AS q_id, o.incident_id, o.entity_key, o.session_start,
-            CASE WHEN q.entity_key = o.entity_key THEN 60 ELSE 0 END + least(30, 10 * len(list_intersect(q.techniques, o.techniques))) + CASE WHEN q.severity = o.severity THEN 10 ELSE 0 END AS score
+            CASE WHEN q.entity_key = o.entity_key THEN 60 ELSE 0 END + least(30, 10 * len(list_intersect(q.techniques, o.techniques))) + CASE WHEN q.severity = o.severity THEN 10 ELSE 0 END AS score,
+            concat_ws('; ', CASE WHEN q.entity_key = o.entity_key THEN 'same entity' END, CASE WHEN len(list_intersect(q.techniques, o.techniques)) > 0
+                THEN 'shared MITRE: ' || array_to_string(list_sort(list_intersect(q.techniques, o.techniques)), ', ') END, CASE WHEN q.severity = o.severity THEN 'same severity' END) AS reasons
             FROM i q, i o WHERE starts_with(q.entity_key, 'host-') AND q.incident_id <> o.incident_id),
         y AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, incident_id) AS rank FROM x WHERE score > 0)
-        SELECT q_entity, q_start, entity_key, session_start, CAST(score AS BIGINT) AS score, rank FROM y WHERE rank <= 5""",
+        SELECT q_entity, q_start, entity_key, session_start, CAST(score AS BIGINT) AS score, rank, reasons FROM y WHERE rank <= 5""",
     "stats_dashboard": f"""WITH {_I} SELECT (SELECT count(*) FROM e) AS events, (SELECT count(*) FROM e WHERE us >= 1706600000000000 - 86400000000) AS events_24h,
         (SELECT count(*) FROM a WHERE event_id % 3 <> 0) AS open_alerts, (SELECT count(*) FROM i WHERE alert_count > 1) AS open_incidents,
         (SELECT round_even(100 * count(*) FILTER (id % 8 <> 0) / count(*), 1) FROM e) AS test_success""",
@@ -325,9 +487,30 @@ ORACLES = {
     "newest_events": f"WITH {_E} SELECT id, us, source, severity, message FROM e ORDER BY us DESC, id LIMIT 100",
     "newest_alerts": f"WITH {_A} SELECT rule_id, event_id, us FROM a ORDER BY us DESC, rule_id, event_id LIMIT 8",
     "distinct_sources": f"WITH {_E} SELECT DISTINCT source FROM e",
-    "report_payload": f"WITH {_S} SELECT entity_key, session_start, string_agg(rule_id || ':' || event_id, ',' ORDER BY us, event_id, rule_id) AS alerts FROM s GROUP BY ALL",
-    "report_rows": f"""WITH {_A} SELECT a.rule_id, title, a.severity, entity_key, event_id, hostname, source_ip,
-        sha256('["' || rule_id || '","' || entity_key || '",' || event_id || ']') AS alert_fingerprint FROM a LEFT JOIN e ON e.id = event_id""",
+    "report_payload": f"""WITH {_S}, r AS (SELECT *, CASE technique WHEN 'T1046' THEN 'Discovery' WHEN 'T1059.001' THEN 'Execution' WHEN 'T1110' THEN 'Credential Access'
+            ELSE 'Defense Evasion / Persistence' END AS tactic, (us - session_start) // 3600000000 AS hour FROM s),
+        p AS (SELECT *, (row_number() OVER (PARTITION BY entity_key, session_start, hour ORDER BY us, event_id, rule_id) - 1) // 1000 AS part FROM r)
+        SELECT entity_key, session_start, 'Correlated activity involving ' || entity_key AS title, 'open' AS status, hour, part,
+            string_agg(rule_id || ':' || event_id || ':' || technique || ':' || tactic || ':investigating', ',' ORDER BY us, event_id, rule_id) AS alerts FROM p GROUP BY ALL""",
+    "report_rows": f"""WITH {_S} SELECT {_ID} AS incident_id, sha256('["' || rule_id || '","' || entity_key || '",' || event_id || ']') AS alert_fingerprint, title AS alert_title, severity, risk_score,
+        title AS rule, technique AS mitre_technique, CASE technique WHEN 'T1046' THEN 'Discovery' WHEN 'T1059.001' THEN 'Execution' WHEN 'T1110' THEN 'Credential Access'
+            ELSE 'Defense Evasion / Persistence' END AS mitre_tactic FROM s""",
+    "alert_details": f"""WITH {_I} SELECT s.rule_id, s.title AS rule, CASE technique WHEN 'T1046' THEN 'Discovery' WHEN 'T1059.001' THEN 'Execution' WHEN 'T1110' THEN 'Credential Access'
+            ELSE 'Defense Evasion / Persistence' END AS mitre_tactic, s.entity_key, event_id, hostname, source_ip, i.risk_score, i.severity AS incident_severity,
+        sha256('["' || rule_id || '","' || s.entity_key || '",' || event_id || ']') AS alert_fingerprint
+        FROM s LEFT JOIN e ON e.id = event_id LEFT JOIN i ON i.entity_key = s.entity_key AND i.session_start = s.session_start""",
+    "incident_timeline": f"WITH {_S} SELECT entity_key, session_start, rule_id, event_id, row_number() OVER (PARTITION BY entity_key, session_start ORDER BY us, event_id, rule_id) AS place FROM s",
+    "search_page_info": f"WITH {_E} SELECT CAST(3 AS INT) AS page, count(*) AS total, CAST(greatest(1, ceil(count(*) / 25)) AS BIGINT) AS pages FROM e WHERE source = 'nginx'",
+    "search_incidents": f"""WITH {_I} SELECT entity_key, session_start, title, severity FROM i WHERE severity = 'critical' AND alert_count = 1
+        AND (title ILIKE '%user1%' OR entity_key ILIKE '%user1%' OR summary ILIKE '%user1%')""",
+    "newest_incidents": f"WITH {_I} SELECT incident_id, entity_key, session_end FROM i ORDER BY session_end DESC, incident_id LIMIT 6",
+    "attack_coverage": f"""WITH {_RULES}, t AS (SELECT DISTINCT rule_id, unnest(techniques) AS technique FROM r WHERE enabled)
+        SELECT technique, CASE technique WHEN 'T1110' THEN 'Brute Force' WHEN 'T1078' THEN 'Valid Accounts' WHEN 'T1046' THEN 'Network Service Discovery' WHEN 'T1190' THEN 'Exploit Public-Facing Application' ELSE 'Custom Mapping' END AS name,
+            CASE technique WHEN 'T1110' THEN 'Credential Access' WHEN 'T1078' THEN 'Defense Evasion / Persistence' WHEN 'T1046' THEN 'Discovery' WHEN 'T1190' THEN 'Initial Access' ELSE 'Unmapped' END AS tactic,
+            count(*) AS rules FROM t GROUP BY ALL""",
+    "attack_summary": f"WITH {_RULES} SELECT count(*) FILTER (len(techniques) > 0) AS mapped_rules, count(*) AS total_rules FROM r WHERE enabled",
+    "rules_by_tactic": f"WITH {_RULES} SELECT coalesce(nullif(tactic, ''), 'Unmapped') AS tactic, count(*) AS n FROM r WHERE enabled GROUP BY 1",
+    "search_rules": f"WITH {_RULES} SELECT rule_id, techniques[1] AS technique, level FROM r WHERE level = 'medium' AND (title ILIKE '%t10%' OR rule_id ILIKE '%t10%' OR techniques[1] ILIKE '%t10%')",
     "rule_upsert": """WITH p AS (SELECT 'R' || p_partkey AS rule_id, p_brand AS title, p_type AS level, p_partkey AS k FROM part)
         SELECT rule_id, CASE WHEN k % 3 <> 0 THEN title WHEN k % 2 = 0 THEN upper(title) ELSE 'new' END AS title, level,
             CAST(CASE WHEN k % 5 = 0 THEN 1 WHEN k % 3 = 0 AND (CASE WHEN k % 2 = 0 THEN upper(title) ELSE 'new' END) <> title THEN 4 ELSE 3 END AS INT) AS version,
@@ -337,22 +520,12 @@ ORACLES = {
     "rule_backtest": f"""WITH {_E}, l AS (SELECT CASE WHEN id % 2 = 0 THEN 'WF-001' ELSE 'WF-002' END AS rule_id, source IN ('suricata', 'windows') AS x,
             CASE WHEN id % 2 = 0 THEN source = 'suricata' AND contains(severity, 'crit') ELSE event_type = 'process_create' AND regexp_matches(username, '^user1\\d$') END AS y FROM e)
         SELECT rule_id, count(*) AS total, count(*) FILTER (x = y) AS passed, count(*) FILTER (x AND NOT y) AS missed_positives, count(*) FILTER (y AND NOT x) AS unexpected_matches FROM l GROUP BY ALL""",
-    "audit_batch": f"""WITH {_E} SELECT source, min(id) AS entity_id, '{{"count": ' || count(*) || '}}' AS details, 'events_ingested' AS action FROM e GROUP BY ALL""",
+    "audit_batch": f"""WITH {_E} SELECT source, CAST(min(id) AS VARCHAR) AS entity_id, '{{"count":' || count(*) || '}}' AS details, 'events_ingested' AS action,
+        'event_batch' AS entity_type, 'system' AS actor FROM e GROUP BY ALL""",
     **{f"match_{k}": f"WITH {_E} SELECT id, 'WF-900' AS rule_id FROM e WHERE coalesce({sql}, false)" for k, (_, sql) in PREDICATES.items()},
-    "normalize_linux": f"""WITH {_E} SELECT id, {_WHOLE} AS us, source, event_type, CASE WHEN event_type = 'failed_login' THEN 'medium' ELSE 'info' END AS severity, source_ip,
-        destination_port AS source_port, CAST(NULL AS INT) AS destination_port, username, CAST(NULL AS VARCHAR) AS hostname,
-        strftime("timestamp", '%b %-d %H:%M:%S') || ' srv sshd[1]: ' || CASE WHEN event_type = 'failed_login' THEN 'Failed password for invalid user ' ELSE 'Accepted password for ' END
-        || username || ' from ' || source_ip || ' port ' || destination_port AS message FROM e WHERE source = 'linux_auth'""",
-    "normalize_nginx": f"""WITH {_E} SELECT id, {_WHOLE} AS us, source, CASE destination_port % 3 WHEN 0 THEN 'directory_traversal' WHEN 1 THEN 'web_attack' ELSE 'web_request' END AS event_type,
-        CASE WHEN destination_port % 3 < 2 THEN 'high' ELSE 'info' END AS severity, source_ip, CAST(NULL AS INT) AS source_port, CAST(NULL AS INT) AS destination_port,
-        {_NULL("username", "hostname")}, 'GET ' || CASE destination_port % 3 WHEN 0 THEN '/a/../b' WHEN 1 THEN '/q?x=UNION+SELECT' ELSE '/index.html' END || ' -> 200' AS message FROM e WHERE source = 'nginx'""",
-    "normalize_suricata": f"""WITH {_E} SELECT id, us, source, 'alert' AS event_type, CASE destination_port % 5 WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 4 THEN 'low' ELSE 'medium' END AS severity,
-        source_ip, CAST(NULL AS INT) AS source_port, destination_port, {_NULL("username", "hostname")}, 'Sig' AS message FROM e WHERE source = 'suricata'""",
-    "normalize_windows": f"""WITH {_E} SELECT id, us, source, CASE WHEN destination_port % 2 = 0 THEN 'failed_login' ELSE 'service_installed' END AS event_type,
-        CASE WHEN destination_port % 2 = 0 THEN 'medium' ELSE 'high' END AS severity, CAST(NULL AS VARCHAR) AS source_ip, CAST(NULL AS INT) AS source_port, CAST(NULL AS INT) AS destination_port,
-        username, hostname, 'Windows event ' || CASE WHEN destination_port % 2 = 0 THEN 4625 ELSE 7045 END AS message FROM e WHERE source = 'windows'""",
-    "normalize_generic": f"""WITH {_E} SELECT id, us, 'generic' AS source, 'generic_event' AS event_type, severity, CAST(NULL AS VARCHAR) AS source_ip, CAST(NULL AS INT) AS source_port,
-        CAST(NULL AS INT) AS destination_port, username, CAST(NULL AS VARCHAR) AS hostname, message FROM e""",
+    **{f"normalize_{k}": f"WITH {_E} {sql}" for k, sql in _N.items()},
+    "normalize_auto": f"WITH {_E}, n AS ({' UNION ALL '.join(_N.values())}) SELECT source, event_type, severity, count(*) AS n, CAST(sum(us) AS BIGINT) AS us FROM n GROUP BY ALL",
+    "normalize_rejects": f"WITH {_E} SELECT id, 'alert severity is no number' AS problem FROM e WHERE source = 'suricata' AND id % 5 = 0 AND id % 8 IN (0, 5, 6)",
 }
 #: The same for every incident: without the condition on hosts.
 ORACLES["similar_incidents_all"] = ORACLES["similar_incidents"].replace("starts_with(q.entity_key, 'host-') AND ", "")

@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchfire.functions.attack import TACTICS, TECHNIQUES, technique_info
 from watchfire.functions.rules import Rule
 
-#: Techniques with name and tactic, and the order of tactics.
-TECHNIQUES = {
-    "T1110": ("Brute Force", "Credential Access"), "T1078": ("Valid Accounts", "Defense Evasion"),
-    "T1136": ("Create Account", "Persistence"), "T1190": ("Exploit Public-Facing Application", "Initial Access"),
-    "T1059.001": ("PowerShell", "Execution"), "T1070.001": ("Clear Windows Event Logs", "Defense Evasion"),
-    "T1543.003": ("Windows Service", "Persistence"), "T1098": ("Account Manipulation", "Persistence"),
-    "T1087": ("Account Discovery", "Discovery"), "T1562.001": ("Disable or Modify Tools", "Defense Evasion"),
-    "T1046": ("Network Service Discovery", "Discovery"), "T1071.004": ("DNS", "Command and Control"),
-}
-TACTICS = (
-    "Reconnaissance", "Resource Development", "Initial Access", "Execution", "Persistence", "Privilege Escalation", "Defense Evasion",
-    "Credential Access", "Discovery", "Lateral Movement", "Collection", "Command and Control", "Exfiltration", "Impact",
-)
 DAY_US = 86_400_000_000
 
 
@@ -56,31 +44,46 @@ def count_by(df: DataFrame, column: str, missing: str | None = None) -> DataFram
 
 
 def coverage(rules: DataFrame, tests: DataFrame) -> DataFrame:
-    """rules (rule_id, tactic, technique, enabled) with status, tests and pass rate, and the tactic's rank."""
+    """rules (rule_id, tactic, technique, enabled) with status, tests and pass rate, in order of the tactic's rank (999 for
+    one that is not in the list) and technique. tests (rule_id, passed) are counted before the join."""
     per = tests.groupBy("rule_id").agg(F.count(F.lit(1)).alias("tests"), F.count_if("passed").alias("ok"))
     rank = F.create_map(*[x for i, t in enumerate(TACTICS) for x in (F.lit(t), F.lit(i))])
     n = F.coalesce("tests", F.lit(0))
-    return rules.join(per, "rule_id", "left").select(
+    out = rules.join(per, "rule_id", "left").select(
         "rule_id", "tactic", "technique", n.cast("long").alias("tests"),
         F.when(~F.col("enabled"), "disabled").when(n == 0, "untested").when(F.col("ok") < n, "failed").otherwise("passed").alias("status"),
         F.when(n > 0, F.bround(100 * F.col("ok") / n, 1)).otherwise(F.lit(0.0)).alias("pass_rate"),
         F.coalesce(F.try_element_at(rank, F.col("tactic")), F.lit(999)).alias("tactic_rank"),
     )
+    return out.orderBy("tactic_rank", F.coalesce("technique", F.lit("")), "rule_id")
 
 
-def rule_techniques(spark, rules: list[Rule]) -> DataFrame:
-    """(rule_id, technique, name, tactic); a rule without technique is Unmapped, an unknown one Custom Mapping."""
-    rows = []
-    for r in rules:
-        for t in r.techniques or [None]:
-            name, tactic = TECHNIQUES.get(t, ("Custom Mapping", "Unmapped")) if t else ("Unmapped", "Unmapped")
-            rows.append((r.id, t, name, tactic))
-    return spark.createDataFrame(rows, "rule_id string, technique string, name string, tactic string")
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """(rule_id, title, level, technique, technique_name, tactic, techniques): the first technique is the one that the
+    rule's alerts count for; the rule's own name and tactic go before those of the table."""
+    rows = [(r.id, r.title, r.level, r.technique, r.technique_name, r.tactic, r.techniques) for r in rules]
+    return spark.createDataFrame(rows, "rule_id string, title string, level string, technique string, technique_name string, tactic string, techniques array<string>")
+
+
+def attack_techniques(rules: DataFrame) -> DataFrame:
+    """(technique, name, tactic, rules) for each technique that a rule of rules (rule_id, techniques) names, sorted; rules is
+    the sorted list of those that do."""
+    each = rules.select("rule_id", F.explode("techniques").alias("technique")).groupBy("technique").agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))
+    names, tactics = (F.create_map(*[F.lit(x) for k, v in TECHNIQUES.items() for x in (k, v[i])]) for i in (0, 1))
+    other = technique_info("other")
+    name = F.coalesce(F.try_element_at(names, F.col("technique")), F.lit(other[0]))
+    tactic = F.coalesce(F.try_element_at(tactics, F.col("technique")), F.lit(other[1]))
+    return each.select("technique", name.alias("name"), tactic.alias("tactic"), "rules").orderBy("technique")
+
 
+def attack_summary(rules: DataFrame) -> DataFrame:
+    """One row: rules with a technique, and all rules, of rules (rule_id, techniques)."""
+    return rules.agg(F.count_if(F.size("techniques") > 0).alias("mapped_rules"), F.count(F.lit(1)).alias("total_rules"))
 
-def search(df: DataFrame, text: str | None, columns: list[str], equal: dict[str, str], newest: str, tie: str) -> DataFrame:
+
+def search(df: DataFrame, text: str | None, columns: list[str], equal: dict[str, str], newest: str | None, tie: str) -> DataFrame:
     """Rows where any of the columns is like %text% (ignoring case; % and _ of the text are live) and all of `equal` hold,
-    newest first."""
+    newest first; without newest, in order of tie."""
     if text:
         like = F.lit(False)
         for c in columns:
@@ -89,7 +92,7 @@ def search(df: DataFrame, text: str | None, columns: list[str], equal: dict[str,
     for c, v in equal.items():
         if v:
             df = df.where(F.col(c) == v)
-    return df.orderBy(F.desc(newest), tie)
+    return df.orderBy(*([F.desc(newest)] if newest else []), tie)
 
 
 def page(df: DataFrame, number: int, size: int) -> DataFrame:
@@ -97,6 +100,13 @@ def page(df: DataFrame, number: int, size: int) -> DataFrame:
     return df.offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_info(df: DataFrame, number: int, size: int) -> DataFrame:
+    """One row: the page that is meant (1 at least), rows in all, and pages (1 at least)."""
+    return df.agg(F.count(F.lit(1)).alias("total")).select(
+        F.lit(max(1, number)).alias("page"), "total", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long").alias("pages")
+    )
+
+
 def newest(df: DataFrame, by: str, tie: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(by), tie).limit(n)
 

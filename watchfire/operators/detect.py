@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchfire.functions.rules import SEVERITY_WEIGHT, Rule, seconds
+from watchfire.functions.rules import SEVERITY_WEIGHT, Rule
+from watchfire.sources.security_events import EVENT_FIELDS
 
 DEFAULT_KEY = ("source_ip", "hostname", "username")
 #: Rules whose predicates are evaluated in one projection.
 RULES_A_PASS = 200
-ALERT_COLUMNS = ["rule_id", "entity_key", "event_id", "us", "title", "severity", "risk_score", "alert_fingerprint", "event_ids"]
+#: Columns of an alert; evidence is JSON text.
+ALERT_COLUMNS = ["rule_id", "entity_key", "event_id", "us", "title", "severity", "risk_score", "alert_fingerprint", "event_ids", "evidence"]
+#: A time bucket is so many timeframes long: rows within a timeframe of its edge also go to its neighbour.
+SPAN = 16
 
 
 def default_key() -> Column:
@@ -53,8 +59,8 @@ def fingerprint(rule: Column, entity: Column, event_id: Column) -> Column:
 def matched_events(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """(event, rule) pairs: every event is read once for up to RULES_A_PASS rules and emits the rules that it matches.
 
-    No shuffle and no join. Columns of events and rule_id; an event that is given twice (same id) counts once only
-    after dropDuplicates on its id, which is the caller's where the source is not unique.
+    No shuffle and no join. Columns of events and rule_id. An event that is given twice gives its pairs twice; what comes
+    after drops repeats, of which there are far fewer than of events.
     """
     parts = []
     for i in range(0, len(rules), RULES_A_PASS):
@@ -62,122 +68,169 @@ def matched_events(events: DataFrame, rules: list[Rule]) -> DataFrame:
         parts.append(events.withColumn("rule_id", F.explode(hits)))
     if not parts:
         return events.withColumn("rule_id", F.lit("")).where("false")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _by_rule(rules: list[Rule], value) -> Column:
-    """A column that depends on the rule: a map literal lookup."""
-    pairs = [x for r in rules for x in (F.lit(r.id), value(r))]
-    return F.element_at(F.create_map(*pairs), F.col("rule_id"))
+    """A column that depends on the rule: a map literal lookup; null for other rules."""
+    return F.try_element_at(F.create_map(*[x for r in rules for x in (F.lit(r.id), value(r))]), F.col("rule_id"))
 
 
 def keyed(matched: DataFrame, rules: list[Rule]) -> DataFrame:
     """Matches with their rule's group-by key as entity_key; those without a key are left out."""
     key = F.lit(None).cast("string")
     for r in rules:
-        by = r.correlation.get("group_by") or ["source_ip"]
-        key = F.when(F.col("rule_id") == r.id, group_key(by, matched.columns)).otherwise(key)
+        key = F.when(F.col("rule_id") == r.id, group_key(r.group_by, matched.columns)).otherwise(key)
     return matched.withColumn("entity_key", key).where("entity_key IS NOT NULL")
 
 
-def single_alerts(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """An alert for each event that a rule without correlation matches."""
-    rules = [r for r in rules if r.kind == "single"]
-    out = matched_events(events, rules).withColumn("entity_key", default_key())
-    return out.select("rule_id", "entity_key", F.col("id").alias("event_id"), "us", F.array("id").alias("event_ids"))
-
+def stage_mask(rules: list[Rule]) -> Column:
+    """Of a match: bit k is set if the event fits stage k of its rule's sequence."""
+    out = F.lit(0).cast("long")
+    for r in rules:
+        if r.kind == "sequence":
+            bits = [F.when(r.selection(name), F.lit(1 << k)).otherwise(F.lit(0)) for k, name in enumerate(r.stages)]
+            out = F.when(F.col("rule_id") == r.id, reduce(Column.__add__, bits).cast("long")).otherwise(out)
+    return out
 
-def count_alerts(events: DataFrame, rules: list[Rule], hot_rows: int | None = None) -> DataFrame:
-    """Per rule and entity the first event, in time order, that ends a window of at least `threshold` matches.
 
-    threshold matches lie in [t - timeframe, t] exactly if the one threshold - 1 rows before is not older than that, so
-    one sort does it. With hot_rows, keys of more rows are split into time buckets of a timeframe; each row goes to
-    its own bucket and, as context, to the next, so that no bucket needs rows of a third.
+def single_alerts(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """An alert for each event that a rule without correlation matches; an id that is given twice counts once (rows
+    without an id all count). Evidence: the event."""
+    rules = [r for r in rules if r.kind == "single"]
+    found = matched_events(events, rules).withColumn("entity_key", default_key())
+    shown = F.to_json(F.struct(*[F.col(c) for c in EVENT_FIELDS if c in events.columns]))
+    found = found.select("rule_id", "entity_key", F.col("id").alias("event_id"), "us", F.array("id").alias("event_ids"), shown.alias("event"))
+    apart = F.when(F.col("event_id").isNull(), F.monotonically_increasing_id())
+    return found.withColumn("apart", apart).dropDuplicates(["rule_id", "event_id", "apart"]).drop("apart")
+
+
+def _bucketed(rows: DataFrame, span: int) -> DataFrame:
+    """Rows with a time bucket of `span` timeframes of their rule. A row within a timeframe of its bucket's end is given to
+    the next one too (home false), since counts look back; of its beginning to the one before, since sequences look
+    ahead. So the rows of a very frequent key are dealt over its buckets, and each alert is found at home."""
+    width = F.col("frame") * span
+    within = F.pmod(F.col("us"), width)
+    own = F.expr(f"(us - pmod(us, frame * {span})) DIV (frame * {span})")
+    other = F.when((F.col("stages") == 0) & (within >= width - F.col("frame")), own + 1).when((F.col("stages") > 0) & (within <= F.col("frame")), own - 1)
+    places = F.array_compact(F.array(F.struct(own.alias("bucket"), F.lit(True).alias("home")), F.when(other.isNotNull(), F.struct(other.alias("bucket"), F.lit(False).alias("home")))))
+    return rows.select("*", F.inline(places))
+
+
+def correlated_alerts(events: DataFrame, rules: list[Rule], stored: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+    """Alerts of the count and sequence rules, from one scan of events and one shuffle of the matches.
+
+    Count: per rule and entity the first event, in time order, that ends a window of at least `threshold` matches.
+    threshold matches lie in [t - timeframe, t] exactly if the one threshold - 1 rows before is not older than that.
+    Sequence: per rule and entity the first start whose stages follow one another within the timeframe of the start. From
+    the last stage back, the next later event of each stage is the last one seen in reverse time order. So a sort each
+    way does it, whatever the number of rules and stages. Starts whose terminal event is stored already are passed over.
+
+    Ties in time go by id. An id that is given twice counts once. Keys of any number of rows are split by time.
     """
-    rules = [r for r in rules if r.kind == "count"]
+    rules = [r for r in rules if r.kind != "single"]
     if not rules:
         return _no_alerts(events)
-    rows = keyed(matched_events(events, rules), rules).select("rule_id", "entity_key", "id", "us")
-    frame = _by_rule(rules, lambda r: F.lit(seconds(r.correlation.get("timeframe", "5m")) * 1_000_000))
-    rows = rows.withColumn("frame", frame).withColumn("home", F.lit(True)).withColumn("bucket", F.lit(0).cast("long"))
-    if hot_rows is not None:
-        load = rows.groupBy("rule_id", "entity_key").agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.join(load, ["rule_id", "entity_key"])
-        own = F.expr("us DIV greatest(frame, 1)")
-        spread = F.when(F.col("n") > hot_rows, F.array(F.struct(own.alias("b"), F.lit(True).alias("h")), F.struct((own + 1).alias("b"), F.lit(False).alias("h")))).otherwise(
-            F.array(F.struct(F.lit(0).cast("long").alias("b"), F.lit(True).alias("h")))
-        )
-        rows = rows.withColumn("s", F.explode(spread)).select("rule_id", "entity_key", "id", "us", "frame", F.col("s.h").alias("home"), F.col("s.b").alias("bucket"))
-    order = Window.partitionBy("rule_id", "entity_key", "bucket").orderBy("us", "id")
-    thresholds = sorted({int(r.correlation.get("threshold", 5)) for r in rules})
-    fires, ids = F.lit(False), F.lit(None).cast("array<long>")
-    for n in thresholds:
-        here = _by_rule(rules, lambda r: F.lit(int(r.correlation.get("threshold", 5)))) == n
+    rows = keyed(matched_events(events, rules), rules).select("rule_id", "entity_key", "id", "us", stage_mask(rules).alias("mask"))
+    rows = rows.withColumns({
+        "frame": _by_rule(rules, lambda r: F.lit(r.frame_us).cast("long")),
+        "stages": _by_rule(rules, lambda r: F.lit(len(r.stages) if r.kind == "sequence" else 0)),
+    })
+    key = Window.partitionBy("rule_id", "entity_key", "bucket")
+    order = key.orderBy("us", "id")
+    again = F.lag("id").over(order).eqNullSafe(F.col("id")) & F.col("id").isNotNull() & (F.lag("us").over(order) == F.col("us"))
+    rows = _bucketed(rows, span).withColumn("again", again).where("NOT coalesce(again, false)").drop("again")
+    fires, needs = F.lit(False), F.coalesce(_by_rule(rules, lambda r: F.lit(0 if r.kind == "sequence" else r.threshold)), F.lit(0))
+    for n in sorted({r.threshold for r in rules if r.kind == "count"}):
         start = F.lag("us", n - 1).over(order) if n > 1 else F.col("us")
-        fires = F.when(here, F.coalesce(F.col("us") - start <= F.col("frame"), F.lit(False))).otherwise(fires)
-        ids = F.when(here, F.collect_list("id").over(order.rowsBetween(1 - n, 0))).otherwise(ids)
-    fired = rows.withColumn("fires", fires).withColumn("event_ids", ids).where("fires AND home")
-    first = fired.groupBy("rule_id", "entity_key").agg(
-        F.min_by(F.struct("id", "us", "event_ids"), F.struct("us", "id")).alias("f")
+        fires = F.when(needs == n, F.coalesce(F.col("us") - start <= F.col("frame"), F.lit(False))).otherwise(fires)
+    rows = rows.withColumns({"needs": needs, "place": F.row_number().over(order), "fires": fires})
+    # Of a count, the rows of the first window that fires; their ids are listed only then.
+    rows = rows.withColumn("first", F.min(F.when(F.col("fires") & F.col("home"), F.col("place"))).over(key))
+    counted = (F.col("stages") == 0) & (F.col("place") <= F.col("first")) & (F.col("place") > F.col("first") - F.col("needs"))
+    later = key.orderBy(F.desc("us"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("next", F.lit(None).cast("struct<end_us:bigint,end_id:bigint,ids:array<bigint>>"))
+    for k in range(max(len(r.stages) for r in rules) - 1, 0, -1):
+        here = F.col("mask").bitwiseAND(F.lit(1 << k)) > 0
+        end = F.struct(F.col("us").alias("end_us"), F.col("id").alias("end_id"), F.array("id").alias("ids"))
+        onward = F.struct("next.end_us", "next.end_id", F.concat(F.array("id"), F.col("next.ids")).alias("ids"))
+        step = F.when(here & (F.col("stages") == k + 1), end).when(here & (F.col("stages") > k + 1) & F.col("next").isNotNull(), onward)
+        rows = rows.withColumn("next", F.last(step, ignorenulls=True).over(later))
+    started = (F.col("mask").bitwiseAND(F.lit(1)) > 0) & (F.col("next.end_us") - F.col("us") <= F.col("frame")) & F.col("home")
+    done = (
+        rows.where(counted | started)
+        .withColumn("start", F.when(F.col("stages") > 0, F.struct("us", "id")))
+        .groupBy("rule_id", "entity_key", "bucket", "start")  # as it is dealt out already
+        .agg(F.first("next").alias("next"), F.sort_array(F.collect_list(F.struct("us", "id"))).alias("window"))
     )
-    return first.select("rule_id", "entity_key", F.col("f.id").alias("event_id"), "f.us", "f.event_ids")
+    last = F.element_at("window", -1)
+    window = F.struct(last["us"].alias("end_us"), last["id"].alias("end_id"), F.transform("window", lambda x: x["id"]).alias("ids"))
+    path = F.struct("next.end_us", "next.end_id", F.concat(F.array("start.id"), F.col("next.ids")).alias("ids"))
+    done = done.select(
+        "rule_id", "entity_key", F.coalesce("start", last).alias("at"), F.col("start").isNotNull().alias("sequence"),
+        F.when(F.col("start").isNotNull(), path).otherwise(window).alias("f"),
+    ).withColumn("event_id", F.col("f.end_id"))
+    if stored is not None:
+        known = stored.select("rule_id", "entity_key", "event_id").distinct().withColumn("known", F.lit(True))
+        done = done.join(known, ["rule_id", "entity_key", "event_id"], "left").where("known IS NULL OR NOT sequence")
+    found = done.groupBy("rule_id", "entity_key").agg(F.min_by("f", "at").alias("f"))
+    return found.select("rule_id", "entity_key", F.col("f.end_id").alias("event_id"), F.col("f.end_us").alias("us"), F.col("f.ids").alias("event_ids"), F.lit(None).cast("string").alias("event"))
 
 
-def sequence_alerts(events: DataFrame, rules: list[Rule], stored: DataFrame | None = None) -> DataFrame:
-    """Per rule and entity the first start whose stages follow one another within the timeframe of the start.
+def count_alerts(events: DataFrame, rules: list[Rule], span: int = SPAN) -> DataFrame:
+    """correlated_alerts() of the count rules alone."""
+    return correlated_alerts(events, [r for r in rules if r.kind == "count"], span=span)
+
+
+def sequence_alerts(events: DataFrame, rules: list[Rule], stored: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+    """correlated_alerts() of the sequence rules alone."""
+    return correlated_alerts(events, [r for r in rules if r.kind == "sequence"], stored, span)
 
-    From the last stage back, the next later event of each stage is the last one seen in reverse time order: one sort
-    and a growing frame, whatever the number of stages. Starts whose terminal event is stored already are passed over.
-    """
-    out = None
-    for r in (r for r in rules if r.kind == "sequence"):
-        stages = list(r.correlation.get("sequence") or [])
-        limit = seconds(r.correlation.get("timeframe", "5m")) * 1_000_000
-        rows = keyed(matched_events(events, [r]), [r]).withColumns({f"s{k}": r.selection(s) for k, s in enumerate(stages)})
-        rows = rows.select("rule_id", "entity_key", "id", "us", *[f"s{k}" for k in range(len(stages))])
-        later = Window.partitionBy("rule_id", "entity_key").orderBy(F.desc("us"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
-        last = len(stages) - 1
-        for k in range(last, 0, -1):
-            here = F.struct(F.col("id"), F.col("us"), *([F.col("next")] if k < last else []))
-            ok = F.col(f"s{k}") & (F.col("next").isNotNull() if k < last else F.lit(True))
-            rows = rows.withColumn("next", F.last(F.when(ok, here), ignorenulls=True).over(later))
-        ids, us, path = [F.col("id")], None, "next"
-        for k in range(1, last + 1):
-            ids.append(F.col(f"{path}.id"))
-            us = F.col(f"{path}.us")
-            path += ".next"
-        done = rows.where(F.col("s0") & F.col("next").isNotNull()).where(us - F.col("us") <= limit)
-        done = done.select("rule_id", "entity_key", ids[-1].alias("event_id"), us.alias("us"), F.array(*ids).alias("event_ids"), F.col("us").alias("start_us"), F.col("id").alias("start_id"))
-        if stored is not None:
-            done = done.join(stored.select("rule_id", "entity_key", "event_id").distinct(), ["rule_id", "entity_key", "event_id"], "left_anti")
-        first = done.groupBy("rule_id", "entity_key").agg(F.min_by(F.struct("event_id", "us", "event_ids"), F.struct("start_us", "start_id")).alias("f"))
-        first = first.select("rule_id", "entity_key", "f.event_id", "f.us", "f.event_ids")
-        out = first if out is None else out.unionByName(first)
-    return out if out is not None else _no_alerts(events)
+
+def _unless_stored(found: DataFrame, stored: DataFrame) -> DataFrame:
+    known = ["rule_id", "entity_key", "event_id"]
+    return found.join(stored.select(*known).distinct(), known, "left_anti")
 
 
 def _no_alerts(events: DataFrame) -> DataFrame:
-    return events.sparkSession.createDataFrame([], "rule_id string, entity_key string, event_id long, us long, event_ids array<long>")
+    return events.sparkSession.createDataFrame([], "rule_id string, entity_key string, event_id long, us long, event_ids array<long>, event string")
 
 
-def all_alerts(events: DataFrame, rules: list[Rule], stored: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+def _evidence(rules: list[Rule]) -> Column:
+    """What an alert rests on, as JSON: the event, or the events that were counted or follow one another, with the rule's
+    threshold or stages, timeframe and key."""
+    mark = F.col("alert_fingerprint")
+    whole = F.struct(F.lit("single_event").alias("type"), F.parse_json("event").alias("event"), mark)
+    out = F.to_json(whole)
+    for r in rules:
+        if r.kind == "single":
+            continue
+        by = F.array(*map(F.lit, r.group_by)).alias("group_by")
+        frame, ids = F.lit(r.timeframe).alias("timeframe"), F.col("event_ids")
+        if r.kind == "count":
+            shown = F.struct(F.lit("correlation").alias("type"), F.size(ids).alias("count"), F.lit(r.threshold).alias("threshold"), frame, ids, by, mark)
+        else:
+            shown = F.struct(F.lit("sequence").alias("type"), F.array(*map(F.lit, r.stages)).alias("stages"), frame, ids, by, mark)
+        out = F.when(F.col("rule_id") == r.id, F.to_json(shown)).otherwise(out)
+    return out
+
+
+def all_alerts(events: DataFrame, rules: list[Rule], stored: DataFrame | None = None, span: int = SPAN) -> DataFrame:
     """Alerts of all rules, without those that are stored already (rule, entity and terminal event).
 
     Count alerts are chosen first and then dropped if stored, as in an incremental run over a slice; sequences pass
-    over stored ones. Columns: ALERT_COLUMNS.
+    over stored ones. Two scans of events, whatever the number of rules: one for the rules without correlation, whose
+    matches need no window, one for all others. Columns: ALERT_COLUMNS.
     """
-    found = single_alerts(events, rules).unionByName(count_alerts(events, rules, hot_rows))
+    if not rules:
+        return _no_alerts(events).select(*[F.lit(None).cast("double" if c == "risk_score" else "string").alias(c) if c not in ("rule_id", "entity_key", "event_id", "us", "event_ids") else F.col(c) for c in ALERT_COLUMNS])
+    found = single_alerts(events, rules).unionByName(correlated_alerts(events, rules, stored, span))
     if stored is not None:
-        found = found.join(stored.select("rule_id", "entity_key", "event_id").distinct(), ["rule_id", "entity_key", "event_id"], "left_anti")
-    found = found.unionByName(sequence_alerts(events, rules, stored))
-    return found.select(
-        "rule_id", "entity_key", "event_id", "us",
-        _by_rule(rules, lambda r: F.lit(r.title)).alias("title"),
-        _by_rule(rules, lambda r: F.lit(r.level)).alias("severity"),
-        _by_rule(rules, lambda r: F.lit(float(SEVERITY_WEIGHT.get(r.level, 50)))).alias("risk_score"),
-        fingerprint(F.col("rule_id"), F.col("entity_key"), F.col("event_id")).alias("alert_fingerprint"),
-        "event_ids",
-    )
+        found = _unless_stored(found, stored)
+    known = {
+        "title": _by_rule(rules, lambda r: F.lit(r.title)),
+        "severity": _by_rule(rules, lambda r: F.lit(r.level)),
+        "risk_score": _by_rule(rules, lambda r: F.lit(float(SEVERITY_WEIGHT.get(r.level, 50)))),
+        "alert_fingerprint": fingerprint(F.col("rule_id"), F.col("entity_key"), F.col("event_id")),
+    }
+    return found.withColumns(known).withColumn("evidence", _evidence(rules)).select(*ALERT_COLUMNS)

@@ -30,11 +30,16 @@ ADAPTER = """
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised events; `us` is the event time in microseconds, free of any time zone."""
+    return adapted(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def adapted(given: DataFrame) -> DataFrame:
+    """The table `events`, given as a batch or a stream, as normalised events."""
     sql = ADAPTER.format(
         us="timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))",
         json="get_json_object(props, '$.k')", string="STRING", table="{given}",
     )
-    return spark.sql(sql, given=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return given.sparkSession.sql(sql, given=given)
 
 
 def adapter_cte() -> str:

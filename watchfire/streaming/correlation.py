@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from watchfire.functions.rules import Rule, seconds
+from watchfire.functions.rules import Rule
 from watchfire.operators import detect
 
 ALERTS = "rule_id string, entity_key string, event_id long, us long, event_ids array<long>"
@@ -112,14 +111,8 @@ def correlation_stream(events: DataFrame, rules: list[Rule], lateness: str = "1
     rules = [r for r in rules if r.kind != "single"]
     if not rules:
         raise ValueError("no correlation rule")
-    plans, stages = {}, F.lit(0).cast("long")
-    for r in rules:
-        names = list(r.correlation.get("sequence") or [])
-        size = len(names) if r.kind == "sequence" else int(r.correlation.get("threshold", 5))
-        plans[r.id] = (r.kind, size, seconds(r.correlation.get("timeframe", "5m")) * 1_000_000)
-        if r.kind == "sequence":
-            mask = sum((F.when(r.selection(s), F.lit(1 << k)).otherwise(F.lit(0)) for k, s in enumerate(names)), F.lit(0))
-            stages = F.when(F.col("rule_id") == r.id, mask.cast("long")).otherwise(stages)
+    plans = {r.id: (r.kind, len(r.stages) if r.kind == "sequence" else r.threshold, r.frame_us) for r in rules}
+    stages = detect.stage_mask(rules)
     matched = detect.keyed(detect.matched_events(events.withWatermark("at", lateness), rules), rules)
     return (
         matched.select("rule_id", "entity_key", "at", "us", "id", stages.alias("stages"))

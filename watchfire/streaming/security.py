@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from watchfire.functions.rules import SEVERITY_WEIGHT, Rule
 from watchfire.operators import detect, incidents
-from watchfire.sources.normalize import normalise
+from watchfire.sources.normalize import normalise, split_lines
 
 
 def event_stream(spark: SparkSession, path: str, source_type: str = "auto", default_year: int = 1970, ingest_us: int = 0) -> DataFrame:
     """Normalised events of text files that arrive in path, with the event time as `at`."""
-    lines = spark.readStream.text(path).select(F.trim("value").alias("line")).where("line <> ''")
-    return normalise(lines, source_type, default_year, ingest_us).withColumn("at", F.timestamp_micros("us"))
+    return normalise(split_lines(spark.readStream.text(path)), source_type, default_year, ingest_us).withColumn("at", F.timestamp_micros("us"))
 
 
 def alert_stream(events: DataFrame, rules: list[Rule], lateness: str = "1 hour") -> DataFrame:
