@@ -34,7 +34,7 @@ SENTENCE = 400
 #: Rounds of choosing the windows that stand for a toxic sentence, and training on them.
 ROUNDS = 3
 #: Training windows that are laid out as a matrix at a time.
-TRAIN_BLOCK = 250
+TRAIN_BLOCK = 100
 #: Features of a document: its three highest window scores, log of its windows above 0, log of its windows.
 FEATURES = 5
 #: No score counts as less than this.
@@ -117,7 +117,7 @@ class Windows:
         start, end, first, last = (np.concatenate(x) for x in zip(*pairs))
         ok = (first == last) & (end - start > 2)
         owners = np.array([o for o, _ in parts], np.int64)
-        return cls(chars, start[ok], end[ok], owners[first[ok]])
+        return cls(chars, start[ok].astype(np.int32), end[ok].astype(np.int32), owners[first[ok]].astype(np.int32))
 
     def text(self, i: int) -> str:
         return self.chars[self.start[i] : self.end[i] + 1].tobytes().decode("utf-32-le", "surrogatepass")
@@ -251,7 +251,7 @@ def train_machine(up: list[str], down: list[str], landmarks: int = 200) -> Machi
     return Machine(weights, float(w[-1]))
 
 
-def learn(sentences: list[str], doc: np.ndarray, toxic: np.ndarray, each: int = 2, most: int = 6000) -> Machine:
+def learn(sentences: list[str], doc: np.ndarray, toxic: np.ndarray, each: int = 2, most: int = 4000) -> Machine:
     """From sentences with their document's number and label. A toxic document's label holds for some of its words
     only, so it is learnt from its `each` windows that are likeliest toxic (multiple-instance learning): at first by how
     much more frequent their subsequences are in toxic sentences, then by the machine of the round before. The clean side is
@@ -265,7 +265,8 @@ def learn(sentences: list[str], doc: np.ndarray, toxic: np.ndarray, each: int =
             counts[y] += np.bincount(np.concatenate([number for _, _, number in subsequences(w.chars)]), minlength=1 << BITS)
     rate = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
     machine = Machine(((rate[1] - rate[0]) / (rate[1] + rate[0] + 4 / max(1, counts[1].sum()))).astype(np.float32), 0.0)
-    owner = np.concatenate([doc[w.owner] for w in parts])
+    _, doc = np.unique(doc, return_inverse=True)
+    owner = np.concatenate([doc[w.owner].astype(np.int32) for w in parts])
     label = np.concatenate([toxic[w.owner] for w in parts]).astype(bool)
     starts = np.cumsum([0, *(len(w.start) for w in parts)])
 
@@ -277,7 +278,7 @@ def learn(sentences: list[str], doc: np.ndarray, toxic: np.ndarray, each: int =
     other = np.flatnonzero(~label)
     other = other[np.linspace(0, len(other) - 1, min(len(other), most // 2)).astype(int)] if len(other) else other
     for _ in range(ROUNDS):
-        score = np.concatenate([w.sums(machine.weights) for w in parts])
+        score = np.concatenate([w.sums(machine.weights).astype(np.float32) for w in parts])
         order = np.lexsort((-score, owner))
         new = np.concatenate(([True], owner[order][1:] != owner[order][:-1]))
         place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
@@ -304,7 +305,7 @@ class ToxicityModel:
         return probability(self.machine.features(texts), self.weights) >= 0.5
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_sentences: int = 60_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_sentences: int = 25_000) -> ToxicityModel:
     """Learns from at most most_rows toxic and most_rows clean labelled documents, those of least hash of their id, never
     from held-out ones; and of these, cut into sentences over their whole length, from at most most_sentences toxic and
     as many clean sentences, those of least hash. Both are documented bounds of the labelled sample, and the only ones.
