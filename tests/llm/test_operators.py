@@ -110,7 +110,7 @@ def plain_repeats(rows, n=13):
     return sorted(out)
 
 
-def test_repeats(spark, odd, empty):
+def test_repeats(spark, odd, empty, monkeypatch):
     rng = random.Random(5)
     base = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(4)]
     rows = []
@@ -122,9 +122,13 @@ def test_repeats(spark, odd, empty):
             w += b[s : s + rng.randrange(25)]
         rows.append((i * 37 % 120, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for bits in (1 << 26, 500):
-        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(df, chunk_ids=16, bucket_bytes=bits).collect())
+    for chunk, bits in ((2 << 20, 1 << 26), (1000, 1 << 26), (300, 500)):
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(df, chunk_bytes=chunk, bucket_bytes=bits).collect())
         assert got == plain_repeats(rows)
+    sparse = [(i * 7_919_777_777 - 10**12, t) for i, t in rows]  # ids far apart, and below zero
+    monkeypatch.setattr(substring, "TASK_WORDS", 100)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(spark.createDataFrame(sparse, "doc_id long, text string"), chunk_bytes=500).collect())
+    assert got == plain_repeats(sparse)
     out = {(r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(odd).collect()}
     assert {(1, 0, 0), (5, 3000, 0), (8, 3000, 3000), (None, 3, 0), (7, 1, 0)} <= out
     assert substring.remove_repeats(empty).count() == 0
@@ -178,6 +182,40 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert got == plain_components(rows, 3, 85)
 
 
+def test_agreeing_signatures():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 256, (4, 112), np.uint8)
+    sig = base[np.arange(60) % 4].copy()
+    for i in range(60):
+        sig[i, rng.choice(112, 20, replace=False)] = rng.integers(0, 256, 20)
+    ids = np.arange(60) * 3 + 1
+    edges = minhash._agreeing(ids, sig, minhash.least_agreement(112, 85))
+    root = {int(i): int(i) for i in ids}
+    for u, v in edges:
+        assert u > v and (u // 3) % 4 == (v // 3) % 4
+        a, b = sorted((root[u], root[v]))
+        root = {k: a if r == b else r for k, r in root.items()}
+    assert len(set(root.values())) == 4 and len(edges) == 56
+    assert minhash._agreeing(ids[:0], sig[:0], 70) == []
+
+
+def test_chained_candidates_come_apart(spark, monkeypatch):
+    """Documents that share bands but are not alike make one candidate component, which is taken apart."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 12)
+    rng = random.Random(8)
+    words = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 9 : i * 9 + 36] + [f"x{rng.randrange(10**6)}"] * (i % 3))) for i in range(40)]  # each shares three quarters with the next
+    rows += [(100 + i, rows[i * 4][1] + " tail") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = []
+    whole = minhash.components
+    monkeypatch.setattr(minhash, "components", lambda e: cut.append(out := whole(e)) or out)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, 3, 85).collect())
+    assert got == plain_components(rows, 3, 85)
+    sizes = [max((r["count"] for r in c.groupBy("component").count().collect()), default=0) for c in cut[:2]]
+    assert sizes[0] > 12 > sizes[1]
+
+
 def test_near_duplicates_odd(odd, empty):
     out = minhash.near_duplicates(odd, 3, 85).collect()
     assert len(out) == len(ODD)
@@ -278,6 +316,70 @@ def test_tiles():
     assert decontam.tile([1, 2], [1, 2], 3) == []
 
 
+def plain_tiles(item, doc, least):
+    """Greedy string tiling by looking at every pair of places."""
+    free_i, free_d, tiles = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] and free_i[i + n] and free_d[d + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, d)
+        n, i, d = best
+        if n < least:
+            return tiles
+        tiles.append((i, d, n))
+        free_i[i : i + n] = free_d[d : d + n] = [False] * n
+
+
+def test_decontamination_against_plain_tiling(spark):
+    rng = random.Random(6)
+    pool = [f"t{i}" for i in range(30)]
+    items = [[rng.choice(pool) for _ in range(rng.randrange(2, 24))] for _ in range(12)]
+    docs = []
+    for _ in range(60):
+        words = [rng.choice(pool) for _ in range(rng.randrange(12))]
+        for _ in range(rng.randrange(3)):
+            item = rng.choice(items)
+            a = rng.randrange(len(item))
+            words += item[a:] + [rng.choice(pool)] * rng.randrange(2) + item[:a]
+        docs.append(words)
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            share = sum(t[2] for t in plain_tiles(item, doc, 4)) / len(item)
+            if len(item) >= 4 and share >= 0.5:
+                want[d, i] = share
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontam.contaminated(df, bench).collect()}
+    assert len(want) > 20 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    clean = {r.doc_id for r in decontam.drop_contaminated(df, bench, max_tokens=40).collect()}
+    assert clean == set(range(60)) - {d for d, _ in want}
+
+
+def plain_shards(rows, n):
+    """Rows in order of id, each in the shard that holds its middle byte."""
+    rows = sorted(rows)
+    total, at, slot, out = sum(s for _, s, _ in rows), 0, {}, []
+    for doc, size, crc in rows:
+        shard = (2 * at + size) * n // (2 * total)
+        slot[shard] = slot.get(shard, -1) + 1
+        out.append((doc, size, crc, shard, slot[shard]))
+        at += size
+    return out
+
+
+def test_sharding_against_plain_version(spark, docs):
+    rows = [(r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.select("doc_id", "text").collect()]
+    for n in (16, 3, 300):
+        got = [tuple(r[c] for c in ("doc_id", "size", "text_crc32", "shard", "slot")) for r in sharding.shard_by_bytes(docs, n).orderBy("doc_id").collect()]
+        assert got == plain_shards(rows, n)
+
+
 def test_sharding(spark, docs, odd, empty):
     rows = sharding.shard_by_bytes(docs, 16).orderBy("doc_id").collect()
     assert [r.size for r in rows] == [len((r.text or "").encode()) + 1 for r in docs.orderBy("doc_id").collect()]
@@ -314,6 +416,26 @@ def test_urls(spark):
     assert urlfilter.judge_urls(pages, listed.limit(0)).where("verdict <> 'allow'").count() == 0
 
 
+def test_rule_order(spark):
+    """The rule that rejects most for its cost goes first; what it rejects counts for no rule after it."""
+    df = spark.createDataFrame([(" ".join(["word"] * 30 if i % 10 else ["a", "##"]),) for i in range(400)], "text string")
+    n = F.col("n_words")
+    listed = [rules.Rule("never", n < 0), rules.Rule("always_again", n >= 0), rules.Rule("repeats", F.col("n_repeat_words") > 0), rules.Rule("few", n < 10)]
+    order = [r.name for r in rules.order_by_rejection_per_cost(df.persist(), listed)]
+    assert order[0] == "always_again" and sorted(order) == sorted(r.name for r in listed)
+    out = rules.quality_cascade(df.withColumn("doc_id", F.monotonically_increasing_id()), listed[2:])
+    assert out.where("kept").count() == 0 and out.columns == ["doc_id", *rules.MEASURES, "kept"]
+
+
+def test_bloom_filter(spark):
+    listed = urlfilter.parse_rules(spark, [("block", f"h{i}.example/p{i % 7}") for i in range(5000)])
+    words = urlfilter.bloom_filter(listed, 12, 1 << 20)
+    assert words.shape == (118, 8) and 0.2 < np.unpackbits(words.view(np.uint8)).mean() < 0.6
+    pages = spark.createDataFrame([(i, f"http://a.h{i}.example/p{i % 7}/x") for i in range(0, 9000, 3)] + [(-i, "none") for i in range(50)], "page_id long, url string")
+    got = urlfilter.judge_urls(pages, listed).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(0, 5000, 3)) and len(got) == 3050
+
+
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers(spark, odd, empty, module, label):
     sf = "/root/testdata/sf0.1"  # about 700 held-out labels

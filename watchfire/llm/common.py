@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchfire.storage import new_path, remove, shared_dir
+
 #: Words everywhere in this subpackage: maximal runs of what is not ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,20 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a temporary folder serves,
-    but only for a local master; a cluster without the setting is an error, since its machines share no other folder."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not configured and sc.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        configured = tempfile.mkdtemp(prefix="watchfire-checkpoint-")
-    if configured and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured)
-    return configured or sc.getCheckpointDir()
-
-
 #: Tables that the innermost open tidy() block is to remove.
 _OPEN: list[list[str]] = []
 
@@ -50,16 +36,6 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table that nothing reads any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def new_path(spark: SparkSession, stem: str = "watchfire") -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: a lost executor then costs no recomputation,
     and several readers of df see the same rows. Parquet keeps it columnar and compressed. replaces: an earlier such
@@ -89,3 +65,13 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def ascii_lower(col):
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that a task holds few texts as Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+__all__ = ["ascii_lower", "materialise", "new_path", "remove", "shared_dir", "shuffle_width", "slices", "table", "tidy", "unused"]

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchfire.llm.common import slices
 from watchfire.llm.wordhash import WordHashes, window_hashes
 
 _MARKS = re.compile(r"[\W_]+")
@@ -180,7 +181,7 @@ def contaminated(
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 rows = [(doc, *found) for doc, text in zip(ids, texts) for found in _covered(text, shared.value, least, threshold)]
                 columns = list(zip(*rows)) or [(), (), ()]
@@ -210,7 +211,7 @@ def drop_contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 keep = [next(_covered(t, shared.value, least, threshold), None) is None for t in b.column(at).to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))
 

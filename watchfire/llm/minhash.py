@@ -10,12 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchfire.llm.common import materialise, unused
+from watchfire.llm.common import materialise, slices, unused
 from watchfire.llm.components import components
 from watchfire.llm.wordhash import WordHashes, shingle_set
 
 #: Documents and shingles that one task compares with each other at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 4000, 3_000_000
+#: A signature refutes a link if it agrees in so much less than the least similarity. Agreement is binomial, so a link
+#: of exactly 0.85 is refuted by 112 minima about once in 10 ** 9 times, one of 0.8 once in 10 ** 8.
+SLACK = 0.22
 _HASHES = WordHashes()
 
 
@@ -54,6 +57,11 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def least_agreement(hashes: int, percent: int) -> int:
+    """Equal minima below which two signatures refute a link."""
+    return max(1, int(hashes * (percent / 100 - SLACK)))
+
+
 class _Forest:
     def __init__(self, start: np.ndarray):
         """start: a number for each document; equal numbers are one tree from the beginning."""
@@ -74,7 +82,7 @@ def _cluster(
     """
     links = []
     n_hashes = signatures.shape[1]
-    least = max(1, int(n_hashes * (percent / 100 - 0.22)))
+    least = least_agreement(n_hashes, percent)
     sizes = np.array([len(s) for s in sets])
     for i in rows:
         others = columns[forest.tree[columns] != forest.tree[i]]
@@ -106,7 +114,7 @@ def _signatures(docs: DataFrame, n: int, hashes: int) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = family(hashes)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 s = _set(text, n)
@@ -132,6 +140,55 @@ def _band_edges(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return keyed.join(least, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
 
 
+def _agreeing(ids: np.ndarray, signatures: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Edges that connect whatever pairs of agreeing signatures connect. Each document is compared only with those that
+    none before has reached, so a group of alike ones costs one comparison each."""
+    edges, left = [], np.arange(len(ids))
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            hit = (signatures[left] == signatures[i]).sum(axis=1) >= least
+            todo += left[hit].tolist()
+            edges += [(int(max(ids[i], x)), int(min(ids[i], x))) for x in ids[left[hit]].tolist() if x != ids[i]]
+            left = left[~hit]
+    return edges
+
+
+def _refined(candidate: DataFrame, heads: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
+    """candidate (node, component) with components larger than a block taken apart where signatures refute the links.
+
+    One chance band is enough to tie two groups together, so at the size of the web components chain up. Within those
+    only, every band's documents are compared by signature (the low byte of each minimum), and only agreeing ones stay
+    tied. A band that more documents share than a block holds keeps its ties: it takes no more work than a row each.
+    """
+    loads = candidate.groupBy("component").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > BLOCK_DOCS)
+    large = materialise(candidate.join(loads.select("component"), "component").select("node"))
+    if not large.limit(1).count():
+        return candidate
+    hashes, schema = bands * rows, pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    short = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.substring(F.hex("signature"), i * 8 + 1, 2)), "")
+    width = 4 * rows
+    keyed = (
+        heads.join(large, F.col("doc_id") == F.col("node"))
+        .select("doc_id", F.unhex(short).alias("short"), F.posexplode(F.array(*[F.substring("signature", 1 + i * width, width) for i in range(bands)])).alias("band", "part"))
+        .select("doc_id", "short", F.xxhash64("band", "part").alias("key"))
+    )
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    met = keyed.join(sizes, "key")
+    least = least_agreement(hashes, percent)
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids = np.array(t["doc_id"].to_pylist(), np.int64)
+        found = _agreeing(ids, np.stack([np.frombuffer(x, np.uint8) for x in t["short"].to_pylist()]), least)
+        return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    near = met.where(F.col("n") <= BLOCK_DOCS).select("key", "doc_id", "short").groupBy("key").applyInArrow(compare, "u long, v long")
+    hot = met.where((F.col("n") > BLOCK_DOCS) & (F.col("doc_id") != F.col("least"))).select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    others = candidate.join(large, "node", "left_anti")
+    return others.unionByName(components(near.unionByName(hot)))
+
+
 def _in_task(group: pa.Table, n: int, hashes: int, percent: int) -> list[tuple[int, int]]:
     """Links (larger id, smaller id) within a block, or between a block's rows and its queries."""
     ids = np.array(group["doc_id"].to_pylist(), np.int64)
@@ -219,8 +276,10 @@ def near_duplicates(
     Equal sets are one class (a copy costs no comparison). A class has bands * rows hash minima; classes that share a
     band are candidates, and candidate components are dealt to tasks in bounded blocks, where signatures rule pairs
     out and full sets confirm links, until what is linked is connected; components too large for a block are finished
-    by comparing whatever is outside their largest tree with all their rows. The only approximation is the banding: a
-    pair of exactly the least similarity is missed with probability (1 - s ** rows) ** bands, 1e-9 at 0.85.
+    by comparing whatever is outside their largest tree with all their rows; before that, signatures take apart those
+    that chance bands tie together. Approximations: a pair of exactly the least similarity s shares no band with
+    probability (1 - s ** rows) ** bands (1e-9 at 0.85, 4e-7 at 0.8), and its signatures refute it with one of about 1e-9
+    at 0.85 and 1e-8 at 0.8 (SLACK).
 
     Returns doc_id, n_shingles, component_id (least doc_id of the component), kept (doc_id = component_id), a row for
     each row of docs. Texts that are null or have no words have an empty set and stay alone, as do rows with null id
@@ -240,7 +299,7 @@ def near_duplicates(
         (F.col("m.set_hi") == F.col("c.set_hi")) & (F.col("m.set_lo") == F.col("c.set_lo")) & (F.col("m.doc_id") == F.col("c.least")),
     )
     heads = own.select("m.doc_id", "m.n_shingles", "m.signature")
-    candidate = components(_band_edges(heads, bands, rows))
+    candidate = _refined(components(_band_edges(heads, bands, rows)), heads, bands, rows, percent)
     sized = candidate.withColumnRenamed("node", "doc_id").join(
         heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"
     )

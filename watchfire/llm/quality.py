@@ -12,6 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchfire.llm.common import slices
 from watchfire.llm.logistic import fit_logistic
 
 #: A text is compressed in blocks of so many bytes, each against the whole dictionary, so that its length does not matter.
@@ -71,7 +72,7 @@ def _features(docs: DataFrame, good: bytes, bad: bytes, others: list[str]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Compressor(*shared.value)
-        for b in batches:
+        for b in slices(batches):
             x = pa.array([c.features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[b.column(o) for o in others], x], schema=schema)
 
@@ -83,7 +84,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("quality", pa.int64()), ("block", pa.binary()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for y, t in zip(b.column("y").to_pylist(), b.column("text").to_pylist()):
                 raw = t.encode("utf-8", "surrogatepass")

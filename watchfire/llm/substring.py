@@ -15,8 +15,10 @@ from watchfire.llm.wordhash import WordHashes, window_hashes
 
 #: Words in an anchor; the anchor of a window is its seed of least hash, so equal windows have equal anchors.
 SEED = 6
-#: Shards' reference words, and words streamed against one copy of a shard.
-SHARD_WORDS, STREAM_WORDS = 100_000, 1_000_000
+#: Shards' reference words, words streamed against one copy of a shard, and words of both that a task is to take.
+SHARD_WORDS, STREAM_WORDS, TASK_WORDS = 100_000, 1_000_000, 5_000_000
+#: Documents whose ids share all but the last bits stay in one chunk, since copies often have ids near each other.
+CHUNK_RUN = 64
 _HASHES = WordHashes()
 
 
@@ -317,8 +319,10 @@ def _segments(near: DataFrame, window: int, bits: int) -> DataFrame:
 
 def _match(segments: DataFrame, window: int) -> DataFrame:
     """Spans that the automata find. Shards hold about SHARD_WORDS reference words each, whatever the corpus; a shard
-    that much is streamed against is copied, so that each copy streams about STREAM_WORDS."""
-    total = segments.where("reference").agg(F.sum("n")).first()[0] or 0
+    that much is streamed against is copied, so that each copy streams about STREAM_WORDS. There are as many tasks as the
+    words need: a task takes its shards one after another."""
+    row = segments.agg(F.sum(F.when(F.col("reference"), F.col("n"))), F.sum("n")).first()
+    total, words = row[0] or 0, row[1] or 0
     shards = max(1, -(-total // SHARD_WORDS))
     segments = segments.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
     copies = (
@@ -335,7 +339,7 @@ def _match(segments: DataFrame, window: int) -> DataFrame:
         ),
     )
     spark = segments.sparkSession
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // TASK_WORDS), 1)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, automaton, closed = None, None, False
@@ -367,7 +371,7 @@ def _match(segments: DataFrame, window: int) -> DataFrame:
 def remove_repeats(
     docs: DataFrame,
     window: int = 13,
-    chunk_ids: int = 1024,
+    chunk_bytes: int = 2 << 20,
     bucket_bytes: int = 64 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -383,20 +387,22 @@ def remove_repeats(
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and kept_text (null where
     nothing is removed). Null or empty texts have no words. Windows are judged on the input. Rows with null id are
     returned untouched; rows that share an id are one document's parts: a repeat between them stays. An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. Documents are handled in chunks of about chunk_bytes, each document whole.
     """
-    slim = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.floor(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) / chunk_ids).alias("chunk"),
-        F.col(text_col).alias("text"),
-    )
+    bare = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = bare.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    chunks = max(1, -(-size // chunk_bytes))
+
+    def chunk_of(doc):
+        return F.pmod(F.xxhash64(F.shiftright(doc, CHUNK_RUN.bit_length() - 1)), F.lit(chunks)).alias("chunk")
+
+    slim = bare.select("doc_id", chunk_of(F.col("doc_id")), "text")
     known = slim.where("doc_id IS NOT NULL")
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(20, max(0, (size // bucket_bytes)).bit_length())
     state = materialise(_candidates(known, window, bits))
     near = state.where("near IS NOT NULL")
     spans = _match(materialise(_segments(near.select("doc_id", "chunk", "text", "near"), window, bits)), window)
-    spans = spans.withColumn("chunk", F.floor(F.col("doc_id") / chunk_ids))
+    spans = spans.withColumn("chunk", chunk_of(F.col("doc_id")))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         gone: dict[int, list[tuple[int, int]]] = {}

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchfire.llm.common import slices
 from watchfire.llm.logistic import fit_logistic, probability
 
 #: The kernel: each character that a subsequence spans, taken or skipped, weighs this factor.
@@ -337,7 +338,7 @@ def _features(docs: DataFrame, machine: Machine, others: list[str]) -> DataFrame
     schema = pa.schema([*[(c, pa.int64()) for c in others], ("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = shared.value.features(b.column("text").to_pylist())
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES, dtype=np.int32)), pa.array(x.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], flat], schema=schema)
@@ -369,7 +370,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(~shared.value.toxic(b.column(at).to_pylist())))
 
     return docs.mapInArrow(clean, docs.schema)

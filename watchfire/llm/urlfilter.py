@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -36,26 +38,43 @@ def _key(host, path):
     return F.concat(host, F.lit("\x00"), path)
 
 
+#: Blocks of the filter that one task makes: 256 kB.
+RANGE = 4096
+
+
 def bloom_filter(listed: DataFrame, bits_per_key: int, max_bytes: int) -> np.ndarray:
-    """The filter as an array of (blocks, BLOCK_WORDS) words. Its size is set from the number of keys and never
-    exceeds max_bytes: beyond that only the share of false hits rises, which the exact join removes."""
+    """The filter as an array of (blocks, BLOCK_WORDS) words, made on executors in ranges of blocks. Its size is set
+    from the number of keys and never exceeds max_bytes, of which the driver collects a row for each range: beyond that only
+    the share of false hits rises, which the exact join removes."""
     n = max(1, listed.count())
     blocks = max(1, min(-(-n * bits_per_key // (64 * BLOCK_WORDS)), max_bytes // (8 * BLOCK_WORDS)))
-    h = F.xxhash64(_key(F.col("host"), F.col("path")))
-    h2 = F.xxhash64(_key(F.col("host"), F.col("path")), F.lit(1))
-    bits = F.array(*[F.pmod(F.shiftrightunsigned(h2, 9 * i), F.lit(64 * BLOCK_WORDS)) for i in range(KEY_BITS)])
-    words = (
-        listed.select(F.pmod(h, F.lit(blocks)).alias("b"), F.explode(bits).alias("bit"))
-        .groupBy("b", F.floor(F.col("bit") / 64).alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("mask"))
-        .collect()  # at most blocks * BLOCK_WORDS rows, bounded by max_bytes
-    )
-    out = np.zeros((blocks, BLOCK_WORDS), dtype=np.int64)
-    for b, w, mask in words:
-        out[b, w] = mask
+    key = _key(F.col("host"), F.col("path"))
+    hashed = listed.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.xxhash64(key, F.lit(1)).alias("bits"))
+    schema = pa.schema([("part", pa.int64()), ("words", pa.binary())])
+
+    def fill(t: pa.Table) -> pa.Table:
+        part = t["part"][0].as_py()
+        words = np.zeros((min(RANGE, blocks - part * RANGE), BLOCK_WORDS), np.uint64)
+        block = t["block"].to_numpy() - part * RANGE
+        for word, bit in _places(t["bits"].to_numpy()):
+            np.bitwise_or.at(words, (block, word), np.uint64(1) << bit)
+        return pa.table([[part], [words.tobytes()]], schema=schema)
+
+    parts = hashed.withColumn("part", F.expr(f"block DIV {RANGE}")).groupBy("part").applyInArrow(fill, "part long, words binary").collect()
+    out = np.zeros((blocks, BLOCK_WORDS), np.uint64)
+    for part, words in parts:
+        out[part * RANGE : (part + 1) * RANGE] = np.frombuffer(words, np.uint64).reshape(-1, BLOCK_WORDS)
     return out
 
 
+def _places(hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, bit within it) of each of the bits that keys set in their block, by nine bits of the hash."""
+    u = hashes.view(np.uint64)
+    for i in range(KEY_BITS):
+        at = (u >> np.uint64(9 * i)) & np.uint64(64 * BLOCK_WORDS - 1)
+        yield (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+
+
 def judge_urls(
     pages: DataFrame,
     listed: DataFrame,
@@ -80,44 +99,39 @@ def judge_urls(
     host, path = url_parts(F.col(url_col))
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     listed = listed.where(F.length("host") > 0).select("rule", "host", "path", "verdict")
-    # Which lengths occur: labels of a host times characters of a path, not entries.
-    shapes = [
-        (r[0], r[1])
-        for r in listed.select(F.size(F.split("host", r"\.")).alias("k"), F.length("path").alias("n")).distinct().collect()
-    ]
+    # Which lengths occur: labels of a host (127 at most) times characters of a path, not entries.
+    shapes = listed.select(F.size(F.split("host", r"\.")).alias("k"), F.length("path").alias("n")).distinct().collect()
     if not shapes:
         return urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     filt = spark.sparkContext.broadcast(bloom_filter(listed, bits_per_key, max_filter_bytes))
-    size = 64 * BLOCK_WORDS
 
     @F.pandas_udf(BooleanType())
     def possible(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        words = filt.value.view(np.uint64)
+        words = filt.value
         for h, h2 in batches:
             block = np.mod(h.to_numpy(np.int64), len(words))
-            u = h2.to_numpy(np.int64).view(np.uint64)
             hit = np.ones(len(block), dtype=bool)
-            for i in range(KEY_BITS):
-                bit = (u >> np.uint64(9 * i)) % np.uint64(size)
-                hit &= (words[block, (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+            for word, bit in _places(h2.to_numpy(np.int64)):
+                hit &= (words[block, word] >> bit) & np.uint64(1) > 0
             yield pd.Series(hit)
 
     labels = F.split("host", r"\.")
-    keys = [
-        F.when(
-            (F.size(labels) >= k) & (F.length("path") >= n),
-            F.struct(
-                F.substring_index(F.col("host"), ".", -k).alias("key_host"), F.col("path").substr(1, n).alias("key_path")
-            ),
-        )
-        for k, n in shapes
-    ]
+    # All shapes as one constant, whose size the list sets: an expression for each would not do for a long one.
+    every = F.from_json(F.lit(json.dumps(sorted(tuple(r) for r in shapes))), "array<array<int>>")
+    fits = F.filter(every, lambda s: (F.size(labels) >= s[0]) & (F.length("path") >= s[1]))
+    keys = F.transform(
+        fits,
+        lambda s: F.struct(
+            F.array_join(F.slice(labels, F.size(labels) - s[0] + 1, s[0]), ".").alias("key_host"),
+            F.col("path").substr(F.lit(1), s[1]).alias("key_path"),
+        ),
+    )
     key = _key(F.col("key.key_host"), F.col("key.key_path"))
     hits = (
         urls.where(F.length("host") > 0)
         .select("host", "path")
         .distinct()
-        .select("host", "path", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+        .select("host", "path", F.explode(keys).alias("key"))
         .where(possible(F.xxhash64(key), F.xxhash64(key, F.lit(1))))
         .select("host", "path", "key.key_host", "key.key_path")
     )
@@ -132,6 +146,7 @@ def judge_urls(
         )
         .select("host", "path", "best.rule", "best.verdict")
     )
-    return urls.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
-    )
+    # Urls without a host, maybe very many, have no match; a number of their own deals them over all tasks.
+    apart = F.when(F.length("host") == 0, F.pmod(F.xxhash64("page_id"), F.lit(1 << 16))).otherwise(F.lit(0))
+    dealt = urls.withColumn("__apart", apart).join(best.withColumn("__apart", F.lit(0).cast("long")), ["host", "path", "__apart"], "left")
+    return dealt.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
