@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: kind -> (pattern, least characters, group that the limit is on). Fixed values, in the order of kinds.
@@ -43,8 +43,9 @@ ENCODINGS = {
 }
 #: Lengths from which the strata of the false-discovery control begin.
 STRATA = (0, 32, 64, 128)
-#: log evidence is counted up to here, in steps of one.
+#: log evidence is counted up to here, in steps of one; doubt up to here.
 TOP_EVIDENCE = 200
+TOP_DOUBT = 40
 #: Character classes of ordinary text and their sizes within CANDIDATE's alphabet; the rest of a text counts as other.
 CLASSES = {"digit": ("0-9", 10), "upper": ("A-Z", 26), "other": ("a-z+/_=-", 31)}
 
@@ -231,30 +232,41 @@ def ordinary_classes(docs: DataFrame, text_col: str = "text") -> dict[str, float
     return {k: v / sum(counts.values()) for k, v in counts.items()}
 
 
-def discovery_limits(tokens: DataFrame, rate: float) -> dict[int, float]:
-    """Least log evidence for a discovery in each stratum of lengths, from (stratum, evidence, random) of all tokens.
+def _doubt(p: Column) -> Column:
+    """How much a battery's p-value speaks against uniformity: whole steps of a quarter of a decimal place."""
+    return F.least(F.lit(TOP_DOUBT), F.floor(-4 * F.log10(F.greatest(p, F.lit(1e-12))))).cast("int")
 
-    Evidence against ordinary text is an e-value, so the e-value form of Benjamini and Hochberg's rule holds whatever
-    the dependence: with n tokens, reject those of evidence e or more if at least n / (rate * e) have it. Counts are
-    by whole steps of log evidence, rounded down, so the rule is never looser than that.
+
+def control(counts: dict[tuple[int, int, int], int], rate: float, missed: float) -> dict[int, tuple[int, int]]:
+    """stratum -> (doubt from which a token is refuted as random, least log evidence of a discovery), from the number of
+    tokens of each (stratum, doubt, evidence). Two controls of false discoveries, each within a stratum of lengths:
+
+    Benjamini and Hochberg's on the battery's p-values says which tokens are not random, so that among those at most the
+    share `missed` are; the doubt's step stands for its largest p-value, so this is never looser. Of what is left,
+    evidence against ordinary text is an e-value, so the e-value form of the rule holds whatever the dependence: with n
+    tokens, take those of evidence e or more if at least n / (rate * exp(e)) have it. No entry: no discoveries.
     """
-    step = F.least(F.greatest(F.floor("evidence"), F.lit(-1)), F.lit(TOP_EVIDENCE))
-    counts = tokens.groupBy("stratum", step.alias("step")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("random").alias("r")
-    )
-    # At most len(STRATA) * (TOP_EVIDENCE + 2) rows.
-    down = Window.partitionBy("stratum").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        counts.withColumns({"above": F.sum("r").over(down), "all": F.sum("n").over(Window.partitionBy("stratum"))})
-        .where((F.col("step") >= 0) & (F.col("above") * F.exp(F.col("step").cast("double")) * rate >= F.col("all")))
-        .groupBy("stratum")
-        .agg(F.min("step"))
-        .collect()
-    )
-    return {r[0]: float(r[1]) for r in rows}
+    out = {}
+    for stratum in {k[0] for k in counts}:
+        own = {k[1:]: n for k, n in counts.items() if k[0] == stratum}
+        total = sum(own.values())
+        refuted = [d for d in range(TOP_DOUBT + 1) if total * 10 ** (-d / 4) <= missed * sum(n for (x, _), n in own.items() if x >= d)]
+        least_doubt = min(refuted, default=TOP_DOUBT + 1)
+        random = {e: sum(n for (d, x), n in own.items() if d < least_doubt and x == e) for e in range(TOP_EVIDENCE + 1)}
+        found = [e for e in range(TOP_EVIDENCE + 1) if total <= rate * math.exp(e) * sum(n for x, n in random.items() if x >= e)]
+        if found:
+            out[stratum] = (least_doubt, min(found))
+    return out
+
+
+def discovery_limits(tokens: DataFrame, rate: float, missed: float) -> dict[int, tuple[int, int]]:
+    """control() of all tokens (stratum, doubt, evidence): the counts are at most strata times steps of both."""
+    step = F.least(F.greatest(F.floor("evidence"), F.lit(-1)), F.lit(TOP_EVIDENCE)).cast("int")
+    rows = tokens.groupBy("stratum", "doubt", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return control({(r[0], r[1], r[2]): r[3] for r in rows}, rate, missed)
 
 
-def _secret_spans(docs: DataFrame, text_col: str, random_p: float, rate: float) -> Column:
+def _secret_spans(docs: DataFrame, text_col: str, rate: float, missed: float) -> Column:
     """The column that find_secrets adds. What is ordinary, and the limits, are measured on docs here."""
     none = "array<struct<start:int,ord:int,end:int>>"
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -264,18 +276,20 @@ def _secret_spans(docs: DataFrame, text_col: str, random_p: float, rate: float)
         listed.select(
             _stratum(F.col("token")).alias("stratum"),
             _evidence(F.col("token"), ordinary).alias("evidence"),
-            (randomness_p(F.col("token")) >= random_p).alias("random"),
+            _doubt(randomness_p(F.col("token"))).alias("doubt"),
         ),
         rate,
+        missed,
     )
     base = base_spans(text)
     known = F.concat(*[F.transform(base[k], _of_kind(i)) for i, k in enumerate(BASE)])
 
     def discovered(token: Column) -> Column:
-        out = F.lit(False)
-        for stratum, least in limits.items():
+        out, least_doubt = F.lit(False), F.lit(0)
+        for stratum, (doubt, least) in limits.items():
             out = F.when(_stratum(token) == stratum, F.floor(_evidence(token, ordinary)) >= least).otherwise(out)
-        return out & (randomness_p(token) >= random_p)
+            least_doubt = F.when(_stratum(token) == stratum, doubt).otherwise(least_doubt)
+        return out & (_doubt(randomness_p(token)) < least_doubt)
 
     found = F.filter(F.array_distinct(tested_tokens(text)), discovered) if limits else F.array().cast("array<string>")
 
@@ -308,23 +322,24 @@ def _secret_spans(docs: DataFrame, text_col: str, random_p: float, rate: float)
 
 
 def find_secrets(
-    docs: DataFrame, text_col: str = "text", random_p: float = 0.001, rate: float = 0.001
+    docs: DataFrame, text_col: str = "text", rate: float = 0.001, missed: float = 0.001
 ) -> DataFrame:
     """All columns of docs and `spans`: array of (start, ord, end), sorted; ord 0 assign, 1 access, 2 hex, 3 random.
 
     Base kinds are leftmost non-overlapping matches of fixed patterns. Kind random is a token of 20 or more characters
     ('=' only as padding at its end), or else such a piece of it between '+' and '/', between '-' and '_' or between all
-    four (not within a longer one that is found; two may overlap), that shares no character with a base span, whose inferred encoding's battery (chi-squared uniformity, runs, serial
-    correlation) does not refute uniformity at random_p, and whose evidence against ordinary text passes the
-    false-discovery control at `rate` within its stratum of lengths. What is ordinary, and the limits, come from all
+    four (not within a longer one that is found; two may overlap), that shares no character with a base span and passes
+    both controls of its stratum of lengths (see control()): the battery of its inferred encoding (chi-squared uniformity,
+    runs, serial correlation) does not refute uniformity, at a share `missed` of refutations that are wrong, and its
+    evidence against ordinary text is a discovery at `rate`. What is ordinary, and the limits, come from all
     texts of docs. Positions are code points from 0, end exclusive. Null and empty texts have no spans; equal texts in
     one table have equal spans; an empty table gives no rows. Columns of docs named like __text are not touched; one
     named spans is replaced.
     """
-    return docs.withColumn("spans", _secret_spans(docs, text_col, random_p, rate))
+    return docs.withColumn("spans", _secret_spans(docs, text_col, rate, missed))
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", random_p: float = 0.001, rate: float = 0.001) -> DataFrame:
+def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rate: float = 0.001, missed: float = 0.001) -> DataFrame:
     """docs with every span that find_secrets gives replaced by mark (overlapping spans by one); a null text stays.
 
     All other columns, whatever their names, and the order of columns stay as they were.
@@ -343,7 +358,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
         )
         return F.when(F.size(spans) > 0, fold).otherwise(text)
 
-    return docs.withColumn(text_col, _let(_secret_spans(docs, text_col, random_p, rate), masked))
+    return docs.withColumn(text_col, _let(_secret_spans(docs, text_col, rate, missed), masked))
 
 
 KINDS = (*BASE, "random")
