@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfire.functions.rules import parse_pack
+from watchfire.functions.rules import parse_pack, parse_rule
 from watchfire.operators import analytics, detect, incidents, reports
 from watchfire.sources import normalize
 from watchfire.sources.security_events import adapter_cte, security_events
@@ -261,6 +261,32 @@ def rule_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.upsert_rules(old, pack, ["title", "level"])
 
 
+def rule_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same catalogue after an edit of one rule, which raises its version, and a toggle of another."""
+    rules = _part_rules(spark, sf_dir).select("rule_id", "title", "level", F.lit(1).alias("version"), "enabled")
+    edited = analytics.edit_rule(rules, parse_rule(_rule("R10", "New title", "high", {"s": {"a": 1}, "condition": "s"})), "R10", {"title": F.lit("New title"), "level": F.lit("high")})
+    return analytics.toggle_rule(edited, "R12")
+
+
+def rule_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items stand for a pack whose rules are the parts: ids that it has more than once."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("R"), F.col("l_partkey").cast("string")).alias("rule_id"))
+    return analytics.duplicate_rules(items)
+
+
+def newest_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = security_events(spark, sf_dir).where("source = 'windows'")
+    tests = e.select("id", "us", (F.col("id") % 8 != 0).alias("passed"))
+    return analytics.newest(tests, "us", "id", 30)
+
+
+def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of the audit rows, where the events of each user and source are a batch."""
+    rows = normalize.audit_rows(security_events(spark, sf_dir), ["username", "source"])
+    rows = rows.withColumn("n", F.col("entity_id").cast("long"))
+    return analytics.page(analytics.search(rows, None, [], {"action": "events_ingested"}, "n", "n"), 2, 30).select("username", "source", "entity_id", "details")
+
+
 def report_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents with their alerts as sorted lists, an hour and a thousand alerts at most in a row."""
     found = stored_alerts(spark, sf_dir)
@@ -357,7 +383,7 @@ QUERIES = {
     "distinct_sources": distinct_sources, "report_payload": report_payload, "report_rows": report_rows, "rule_upsert": rule_upsert, "rule_backtest": rule_backtest,
     "audit_batch": audit_batch, "attack_coverage": attack_coverage, "attack_summary": attack_summary, "rules_by_tactic": rules_by_tactic, "search_rules": search_rules,
     "search_page_info": search_page_info, "search_incidents": search_incidents, "newest_incidents": newest_incidents, "alert_details": alert_details, "incident_timeline": incident_timeline,
-    "normalize_auto": normalize_auto, "normalize_rejects": normalize_rejects,
+    "rule_edits": rule_edits, "rule_duplicates": rule_duplicates, "newest_tests": newest_tests, "audit_page": audit_page, "normalize_auto": normalize_auto, "normalize_rejects": normalize_rejects,
     **{f"match_{k}": _match(d) for k, (d, _) in PREDICATES.items()},
     **{f"normalize_{k}": _normalised(k) for k in ("linux", "nginx", "suricata", "windows", "generic")},
 }
@@ -520,6 +546,12 @@ ORACLES = {
     "rule_backtest": f"""WITH {_E}, l AS (SELECT CASE WHEN id % 2 = 0 THEN 'WF-001' ELSE 'WF-002' END AS rule_id, source IN ('suricata', 'windows') AS x,
             CASE WHEN id % 2 = 0 THEN source = 'suricata' AND contains(severity, 'crit') ELSE event_type = 'process_create' AND regexp_matches(username, '^user1\\d$') END AS y FROM e)
         SELECT rule_id, count(*) AS total, count(*) FILTER (x = y) AS passed, count(*) FILTER (x AND NOT y) AS missed_positives, count(*) FILTER (y AND NOT x) AS unexpected_matches FROM l GROUP BY ALL""",
+    "rule_edits": f"""WITH {_RULES} SELECT rule_id, CASE rule_id WHEN 'R10' THEN 'New title' ELSE title END AS title, CASE rule_id WHEN 'R10' THEN 'high' ELSE level END AS level,
+        CASE rule_id WHEN 'R10' THEN 2 ELSE 1 END AS version, enabled <> (rule_id = 'R12') AS enabled FROM r""",
+    "rule_duplicates": "SELECT 'R' || l_partkey AS rule_id, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "newest_tests": f"WITH {_E} SELECT id, us, id % 8 <> 0 AS passed FROM e WHERE source = 'windows' ORDER BY us DESC, id LIMIT 30",
+    "audit_page": f"""WITH {_E} SELECT username, source, CAST(min(id) AS VARCHAR) AS entity_id, '{{"count":' || count(*) || '}}' AS details FROM e GROUP BY username, source
+        ORDER BY min(id) DESC LIMIT 30 OFFSET 30""",
     "audit_batch": f"""WITH {_E} SELECT source, CAST(min(id) AS VARCHAR) AS entity_id, '{{"count":' || count(*) || '}}' AS details, 'events_ingested' AS action,
         'event_batch' AS entity_type, 'system' AS actor FROM e GROUP BY ALL""",
     **{f"match_{k}": f"WITH {_E} SELECT id, 'WF-900' AS rule_id FROM e WHERE coalesce({sql}, false)" for k, (_, sql) in PREDICATES.items()},

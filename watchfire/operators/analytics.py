@@ -129,6 +129,11 @@ def upsert_rules(catalogue: DataFrame, pack: DataFrame, payload: list[str]) -> D
     )
 
 
+def duplicate_rules(pack: DataFrame) -> DataFrame:
+    """(rule_id, n) of ids that a pack has more than once: such a pack is refused before anything is changed."""
+    return pack.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def edit_rule(catalogue: DataFrame, rule: Rule, rule_id: str, payload: dict[str, Column]) -> DataFrame:
     """The catalogue with the payload columns of one rule replaced and its version raised, changed or not; the id stays."""
     if rule.id != rule_id:
