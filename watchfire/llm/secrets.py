@@ -168,37 +168,35 @@ def randomness_p(token: Column) -> Column:
         chars = F.filter(F.split(x["t"], ""), lambda c: c != "")
         return F.struct(
             F.transform(chars, lambda c: F.call_function("locate", c, x["a"])).alias("at"),
-            F.aggregate(
-                chars, F.lit(0), lambda n, c: n + F.length(x["t"]) - F.length(F.replace(x["t"], c, F.lit("")))
-            ).cast("double").alias("squares"),
+            # At most as many different ones as the alphabet has, however long the token.
+            F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda n, c: n + F.pow((F.length(x["t"]) - F.length(F.replace(x["t"], c, F.lit("")))).cast("double"), F.lit(2.0))).alias("squares"),
             F.length(x["a"]).cast("double").alias("size"),
             F.length(x["t"]).cast("double").alias("n"),
         )
 
+    def with_sums(x: Column) -> Column:
+        """The sums that lambdas below use: within a lambda they would be made again for every character."""
+        upper = F.aggregate(x["at"], F.lit(0.0), lambda a, i: a + (i > x["size"] / 2).cast("double"))
+        mean = F.aggregate(x["at"], F.lit(0.0), lambda a, i: a + i) / x["n"]
+        return F.struct(x["at"].alias("at"), x["squares"].alias("squares"), x["size"].alias("size"), x["n"].alias("n"), upper.alias("upper"), mean.alias("mean"))
+
     def tests(x: Column) -> Column:
-        at, n, size = x["at"], x["n"], x["size"]
+        at, n, size, n1, mean = x["at"], x["n"], x["size"], x["upper"], x["mean"]
         df = size - 1
         chi = F.greatest(x["squares"] * size / n - n, F.lit(1e-9))
         z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        n1 = F.aggregate(at, F.lit(0.0), lambda a, i: a + (i > size / 2).cast("double"))
         n0 = n - n1
-        runs = F.aggregate(
-            F.sequence(F.lit(1), F.size(at) - 1),
-            F.lit(1.0),
-            lambda a, i: a + ((at[i] > size / 2) != (at[i - 1] > size / 2)).cast("double"),
-        )
+        places = F.sequence(F.lit(1), F.size(at) - 1)
+        runs = F.aggregate(places, F.lit(1.0), lambda a, i: a + ((at[i] > size / 2) != (at[i - 1] > size / 2)).cast("double"))
         mu = 2 * n1 * n0 / n + 1
         var = (mu - 1) * (mu - 2) / (n - 1)
         p_runs = F.when(var > 0, _two_sided((runs - mu) / F.sqrt(var))).otherwise(F.lit(0.0))
-        mean = F.aggregate(at, F.lit(0.0), lambda a, i: a + i) / n
         spread = F.aggregate(at, F.lit(0.0), lambda a, i: a + (i - mean) * (i - mean))
-        joint = F.aggregate(
-            F.sequence(F.lit(1), F.size(at) - 1), F.lit(0.0), lambda a, i: a + (at[i] - mean) * (at[i - 1] - mean)
-        )
+        joint = F.aggregate(places, F.lit(0.0), lambda a, i: a + (at[i] - mean) * (at[i - 1] - mean))
         p_serial = F.when(spread > 0, _two_sided(joint / spread * F.sqrt(n))).otherwise(F.lit(0.0))
         return F.least(F.lit(1.0), 3 * F.least(_upper_tail(z_chi), p_runs, p_serial))
 
-    tested = _let(seen, lambda x: F.when(x["a"].isNotNull() & (F.length(x["t"]) >= 16), _let(with_places(x), tests)))
+    tested = _let(seen, lambda x: F.when(x["a"].isNotNull() & (F.length(x["t"]) >= 16), _let(_let(with_places(x), with_sums), tests)))
     return F.coalesce(tested, F.lit(0.0))
 
 
