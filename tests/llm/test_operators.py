@@ -239,9 +239,11 @@ def test_near_duplicates_shared_ids(spark):
     assert all(r.kept == (r.doc_id in (1, 7, 8, None)) for r in out)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr("watchfire.llm.components.HUB_EDGES", hub)
     rng = random.Random(3)
-    edges = [(i, i + 1) for i in range(0, 70)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(5, 5)]
+    edges = [(i, i + 1) for i in range(0, 70)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(5, 5)] + [(300, 301 + i) for i in range(20)] + [(390, 301 + i) for i in range(15, 30)]
     near = {}
     for a, b in edges:
         near.setdefault(a, {a}).add(b)
@@ -519,13 +521,18 @@ def test_urls(spark):
 
 
 def test_rule_order(spark):
-    """The rule that rejects most for its cost goes first; what it rejects counts for no rule after it."""
-    df = spark.createDataFrame([(" ".join(["word"] * 30 if i % 10 else ["a", "##"]),) for i in range(400)], "text string")
+    """What rejects most for its cost goes first; what it rejects counts for no rule after it."""
+    rows = [((True, True, False), 60), ((False, True, False), 10), ((False, False, True), 30)]
+    assert rules.greedy_order([1.0, 1.0, 1.0], rows) == [1, 2, 0]
+    assert rules.greedy_order([1.0, 2.0, 1.0], rows) == [0, 2, 1]
+    assert rules.greedy_order([1.0, 1.0, 0.1], rows) == [2, 1, 0]
+    assert rules.greedy_order([1.0, 1.0], []) == [0, 1] and rules.greedy_order([], []) == []
+    df = spark.createDataFrame([(i, " ".join(["word"] * 30 if i % 10 else ["a", "##"])) for i in range(400)], "doc_id long, text string")
     n = F.col("n_words")
-    listed = [rules.Rule("never", n < 0), rules.Rule("always_again", n >= 0), rules.Rule("repeats", F.col("n_repeat_words") > 0), rules.Rule("few", n < 10)]
-    order = [r.name for r in rules.order_by_rejection_per_cost(df.persist(), listed)]
-    assert order[0] == "always_again" and sorted(order) == sorted(r.name for r in listed)
-    out = rules.quality_cascade(df.withColumn("doc_id", F.monotonically_increasing_id()), listed[2:])
+    listed = [rules.Rule("never", n < 0), rules.Rule("repeats", F.col("n_repeat_words") > 0), rules.Rule("few", n < 10)]
+    order = [r.name for r in rules.order_by_rejection_per_cost(df.select("text").persist(), listed)]
+    assert sorted(order) == sorted(r.name for r in listed) and order[-1] == "never"
+    out = rules.quality_cascade(df, listed)
     assert out.where("kept").count() == 0 and out.columns == ["doc_id", *rules.MEASURES, "kept"]
 
 
@@ -645,3 +652,26 @@ def test_user_columns_survive(spark):
     for name, df in out.items():
         assert df.columns == docs.columns, name
         assert sorted(map(tuple, df.collect()), key=str) == sorted((r for r in rows if r not in gone[name]), key=str), name
+
+
+def test_very_long_texts(spark, docs):
+    """A text of half a million characters, and a copy of it with an end of its own."""
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(65_000))
+    df = spark.createDataFrame([(1, text), (2, text + " and an end"), (3, "short")], "doc_id long, text string")
+    assert len(text) > 480_000
+    pieces = packing.pack(df, tokenizer_path()).collect()
+    assert check_ids([r for r in pieces if r.doc_id == 2], 2, text + " and an end") > 100_000
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(df).collect()}
+    assert cut == {1: (65_000, 0), 2: (65_003, 65_000), 3: (1, 0)}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    bench = spark.createDataFrame([(9, text[-400:])], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(df, bench).collect()} == {1, 2}
+    assert {r.doc_id: r.n_words for r in rules.quality_cascade(df).collect()} == {1: 65_000, 2: 65_003, 3: 1}
+    secret = "q7Zk2Lm9Xw4Rt8Yv1Bn6Hc3Jd5Gs0Pf"
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, f"{text} {secret} {text}")], "doc_id long, text string"))
+    found = secrets.find_secrets(more).where("doc_id = 1000000").first().spans
+    assert [(s.start, s.end) for s in found] == [(len(text) + 1, len(text) + 1 + len(secret))]
+    for module, label in ((toxicity, "toxic"), (quality, "quality")):
+        labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], f"doc_id long, {label} int")
+        assert module.score(df, module.train(df, labels)).where("score BETWEEN 0 AND 1").count() == 3

@@ -8,19 +8,32 @@ from pyspark.sql import functions as F
 from watchfire.llm.common import materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node of more edges than this, and than one HUBS-th of all, is a hub: there are 2 * HUBS of them at most.
+HUB_EDGES, HUBS = 1000, 20_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """edges (u, v) with m, the least of u; least: u, m and n, the number of u's edges. The least of a hub goes to its
+    edges wherever they lie (a broadcast of at most 2 * HUBS rows), so that no task takes all edges of one node."""
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.col("m").alias("known")))
+    marked = edges.join(hubs, "u", "left")
+    others = marked.where("known IS NULL").drop("known").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
+    return others.select("u", "v", "m").unionByName(marked.where("known IS NOT NULL").select("u", "v", F.col("known").alias("m")))
+
+
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     """Each node hands its larger neighbours to the least node among its neighbours and itself. Edges may repeat, at
     most as many as came in; the small star makes them distinct."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    return _with_least(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     """Each node hands itself and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(down, least, hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -32,13 +45,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     logarithm of the longest path. Loops and repeated edges are allowed; null ends are dropped; no edges give no rows.
     """
     kept = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct()
-    mark, before = None, None
+    kept = before = materialise(kept)
+    mark, n = None, kept.count()
     for _ in range(most_rounds):
-        kept = before = materialise(_small_star(_large_star(kept)), replaces=before)
+        hub = max(HUB_EDGES, n // HUBS)
+        kept = before = materialise(_small_star(_large_star(kept, hub), hub), replaces=before)
         row = kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not row[0] or (row[0], row[1]) == mark:
             break
-        mark = (row[0], row[1])
+        mark, n = (row[0], row[1]), row[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = kept.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

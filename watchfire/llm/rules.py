@@ -116,17 +116,22 @@ def order_by_rejection_per_cost(sample: DataFrame, rules: list[Rule], text_col:
     # One row for each pattern of rejections: at most 2 ** rules, however large the sample.
     named = [f.alias(f"r{i}") for i, f in enumerate(flags)]
     patterns = measured.select(*named).groupBy(*[f"r{i}" for i in range(len(rules))]).count().collect()
-    left, out = list(range(len(rules))), []
+    return [rules[i] for i in greedy_order(cost, [(tuple(p[:-1]), p[-1]) for p in patterns])]
+
+
+def greedy_order(cost: list[float], patterns: list[tuple[tuple[bool, ...], int]]) -> list[int]:
+    """Rules' numbers: at each step the one that rejects most, of the rows that those before leave, for its cost.
+    patterns: which rules reject a row, and how many rows there are of it."""
+    left, out = list(range(len(cost))), []
     while left:
-        alive = [p for p in patterns if not any(p[i] for i in out)]
-        best = max(left, key=lambda i: (sum(p["count"] for p in alive if p[i]) / cost[i], -i))
-        out.append(best)
-        left.remove(best)
-    return [rules[i] for i in out]
+        alive = [(flags, n) for flags, n in patterns if not any(flags[i] for i in out)]
+        out.append(max(left, key=lambda i: (sum(n for flags, n in alive if flags[i]) / cost[i], -i)))
+        left.remove(out[-1])
+    return out
 
 
 def quality_cascade(
-    docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Judges every row by rules that are tried in turn until one rejects.
 
