@@ -116,7 +116,7 @@ def test_golden(spark, events, pack):
     assert [by_line[i] for i in evidence["LNX-1"].pop("event_ids")] == LINUX[:5]
     assert {k: v for k, v in evidence["LNX-1"].items() if k != "alert_fingerprint"} == {"type": "correlation", "count": 5, "threshold": 5, "timeframe": "5m", "group_by": ["source_ip"]}
     assert (evidence["LNX-2"]["type"], evidence["LNX-2"]["stages"], len(evidence["LNX-2"]["event_ids"])) == ("sequence", ["failed", "success"], 2)
-    assert evidence["WIN-3"]["type"] == "single_event" and evidence["WIN-3"]["event"]["hostname"] == "PC-2"
+    assert evidence["WIN-3"]["type"] == "single_event" and evidence["WIN-3"]["event"]["hostname"] == "PC-2" and evidence["WIN-3"]["event"]["raw_data"]["EventID"] == 7045
 
 
 def test_golden_reports(spark, events, pack, tmp_path):

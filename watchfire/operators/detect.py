@@ -99,7 +99,8 @@ def single_alerts(events: DataFrame, rules: list[Rule]) -> DataFrame:
     without an id all count). Evidence: the event."""
     rules = [r for r in rules if r.kind == "single"]
     found = matched_events(events, rules).withColumn("entity_key", default_key())
-    shown = F.to_json(F.struct(*[F.col(c) for c in EVENT_FIELDS if c in events.columns]))
+    raw = F.coalesce(F.try_parse_json("raw_data"), F.parse_json(F.lit("{}"))).alias("raw_data")
+    shown = F.to_json(F.struct(*[raw if c == "raw_data" else F.col(c) for c in EVENT_FIELDS if c in events.columns]))
     found = found.select("rule_id", "entity_key", F.col("id").alias("event_id"), "us", F.array("id").alias("event_ids"), shown.alias("event"))
     apart = F.when(F.col("event_id").isNull(), F.monotonically_increasing_id())
     return found.withColumn("apart", apart).dropDuplicates(["rule_id", "event_id", "apart"]).drop("apart")
