@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfire.llm import minhash, packing, quality, rules, secrets, sharding, substring, toxicity, urlfilter
+from watchfire.llm import minhash, packing, quality, resample, rules, secrets, sharding, substring, toxicity, urlfilter
 from watchfire.llm.common import table
 from watchfire.llm.decontam import contaminated
 
@@ -78,11 +78,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_toxicity, op3_substring_dedup, op4_secret_scan, op5_quality, op6_url_filter, op7_minhash,
-        op8_decontamination, op9_sharding, op10_quality_rules,
+        op8_decontamination, op9_sharding, op10_quality_rules, op11_resample,
     )
 }
 
@@ -141,4 +146,25 @@ ORACLES = {
                n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines
                     OR 10 * n_shouts > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept FROM m""",
+    "op11_resample": rf"""
+        WITH RECURSIVE steps(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM steps WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS crc_table FROM steps WHERE k = 8),
+        texts AS (SELECT 'doc' AS side, doc_id, text FROM documents UNION ALL SELECT 'goal', NULL, text FROM benchmark),
+        lists AS (SELECT side, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM texts),
+        words AS (SELECT side, doc_id, unnest(ws) AS w FROM lists),
+        vocabulary AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)),
+        hashed AS (SELECT w, xor(4294967295, list_reduce(list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER), 2) AS BIGINT)),
+                         lambda c, b: xor(c >> 8, crc_table[xor(c & 255, b) + 1]), 4294967295)) % 10000 AS bucket FROM vocabulary, crc),
+        totals AS (SELECT bucket, count(*) FILTER (side = 'doc') AS s, count(*) FILTER (side = 'goal') AS t FROM words JOIN hashed USING (w) GROUP BY bucket),
+        sums AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM totals),
+        gains AS (SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (all_s + 10000) / (CAST(s + 1 AS DOUBLE) * (all_t + 10000)))) AS gain FROM totals, sums),
+        weights AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM words JOIN hashed USING (w) JOIN gains USING (bucket) WHERE side = 'doc' GROUP BY doc_id),
+        noisy AS (SELECT doc_id, len(ws) AS n, CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) AS h FROM lists WHERE side = 'doc'),
+        scored AS (SELECT doc_id, n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score
+                   FROM noisy LEFT JOIN weights USING (doc_id)),
+        ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n >= 20)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score,
+               CASE WHEN rank <= (SELECT count(*) FROM ranked) * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
 }
