@@ -30,7 +30,7 @@ def byte_tokens(path: str, end_id: int, memo_size: int = 400_000) -> Callable[[s
     tok = Tokenizer.from_file(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     end = np.array([end_id], dtype="<u4").tobytes()
-    fast = _rank_encoder(path)
+    fast = rank_encoder(path)
     memo: dict[str, bytes] = {}
 
     def whole(text: str) -> bytes:
@@ -62,7 +62,7 @@ def byte_tokens(path: str, end_id: int, memo_size: int = 400_000) -> Callable[[s
     return encode
 
 
-def _rank_encoder(path: str) -> Callable[[str], list[int]] | None:
+def rank_encoder(path: str) -> Callable[[str], list[int]] | None:
     """A faster encoder with the same ids, if the file is a byte-level BPE whose ids follow the order of its merges."""
     import json
 

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfire.llm import minhash, packing, quality, resample, rules, secrets, sharding, substring, toxicity, urlfilter
+from watchfire.llm import alignment, minhash, packing, quality, resample, rules, secrets, sharding, substring, toxicity, urlfilter
 from watchfire.llm.common import table
 from watchfire.llm.decontam import contaminated
 
 #: The tokenizer file of the packing query, by its name in the public collection.
 TOKENIZER = "byte_bpe_50k.json"
+#: The piece model that the alignment query holds against it.
+PIECES = "piece_bpe_32k.model"
 #: (verdict, rule) of the URL query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +85,15 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_toxicity, op3_substring_dedup, op4_secret_scan, op5_quality, op6_url_filter, op7_minhash,
-        op8_decontamination, op9_sharding, op10_quality_rules, op11_resample,
+        op8_decontamination, op9_sharding, op10_quality_rules, op11_resample, op12_alignment,
     )
 }
 
