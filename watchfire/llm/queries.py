@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfire.llm import alignment, minhash, packing, quality, resample, rules, secrets, sharding, substring, toxicity, urlfilter
+from watchfire.llm import alignment, exact, minhash, packing, quality, resample, rules, secrets, sharding, substring, toxicity, urlfilter
 from watchfire.llm.common import table
 from watchfire.llm.decontam import contaminated
 
@@ -89,11 +89,15 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_toxicity, op3_substring_dedup, op4_secret_scan, op5_quality, op6_url_filter, op7_minhash,
-        op8_decontamination, op9_sharding, op10_quality_rules, op11_resample, op12_alignment,
+        op8_decontamination, op9_sharding, op10_quality_rules, op11_resample, op12_alignment, op13_exact_dedup,
     )
 }
 
@@ -173,4 +177,8 @@ ORACLES = {
         ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n >= 20)
         SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score,
                CASE WHEN rank <= (SELECT count(*) FROM ranked) * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
+    "op13_exact_dedup": f"""
+        WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS text_sha256 FROM documents),
+        g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
 }
