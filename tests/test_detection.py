@@ -69,10 +69,10 @@ def test_random_against_plain_versions(spark):
     rows = [ev(i, rng.randrange(120), rng.choice("fffst"), f"ip{rng.randrange(12)}", f"u{rng.randrange(12)}") for i in range(400)]
     e = events(spark, *rows).persist()
     assert found(detect.count_alerts(e, COUNT)) == plain_count(rows)
-    assert found(detect.count_alerts(e, COUNT, span=1)) == plain_count(rows)
+    assert found(detect.count_alerts(e, COUNT, hot_rows=2, share=10**9)) == plain_count(rows)
     first = detect.sequence_alerts(e, SEQUENCE)
     want = plain_sequence(rows)
-    assert found(first) == want and found(detect.sequence_alerts(e, SEQUENCE, span=1)) == want
+    assert found(first) == want and found(detect.sequence_alerts(e, SEQUENCE, hot_rows=2, share=10**9)) == want
     twice = e.unionByName(e.where("id % 3 = 0"))
     assert found(detect.count_alerts(twice, COUNT)) == plain_count(rows) and found(detect.sequence_alerts(twice, SEQUENCE)) == want
     assert found(detect.sequence_alerts(e, SEQUENCE, stored=first)) == plain_sequence(rows, stored={(w[1], w[2]) for w in want})

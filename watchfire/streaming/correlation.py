@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from watchfire.functions.rules import Rule
@@ -112,10 +113,9 @@ def correlation_stream(events: DataFrame, rules: list[Rule], lateness: str = "1
     if not rules:
         raise ValueError("no correlation rule")
     plans = {r.id: (r.kind, len(r.stages) if r.kind == "sequence" else r.threshold, r.frame_us) for r in rules}
-    stages = detect.stage_mask(rules)
     matched = detect.keyed(detect.matched_events(events.withWatermark("at", lateness), rules), rules)
     return (
-        matched.select("rule_id", "entity_key", "at", "us", "id", stages.alias("stages"))
+        matched.select("rule_id", "entity_key", "at", "us", "id", F.col("mask").alias("stages"))
         .groupBy("rule_id", "entity_key")
         .transformWithStateInPandas(_Correlator(plans, rearm), ALERTS, "Append", "EventTime")
     )
