@@ -6,6 +6,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from watchfire.llm.packing import rank_encoder
 
 #: A single space between two characters that are no white space: both tokenizers always cut before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Without white space at an edge or beside other white space, each space is such a one.
+_UNEVEN = re.compile(r"\s\s|^\s|\s$")
 #: A text is read in blocks of about so many characters, links are counted in lots of about so many.
 _BLOCK, _LOT = 1_000_000, 1_000_000
 _DOC, _POSTING, _TOTAL = 0, 1, 2
@@ -64,7 +67,7 @@ class Aligner:
     segment's groups do not depend on what is around it, and both sides end where it ends.
     """
 
-    def __init__(self, a_path: str, b_path: str, n_buckets: int, most: int = 300_000, most_chars: int = 8_000_000):
+    def __init__(self, a_path: str, b_path: str, n_buckets: int, most: int = 600_000, most_chars: int = 24_000_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -72,10 +75,12 @@ class Aligner:
         tok.encode_special_tokens = True
         self.encode_a = rank_encoder(a_path) or (lambda text: tok.encode(text, add_special_tokens=False).ids)
         model = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.encode_b = model.encode
+        self.encode_b = lambda texts: model.encode(texts, num_threads=1)
         self.a, self.b = _bytes_of_a(a_path), _bytes_of_b(model)
         self.apart = not any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(len(self.b)))
+        self.size_a, self.size_b = [len(x) for x in self.a], [len(x) for x in self.b]
         self.layout = Layout(len(self.a), len(self.b), n_buckets)
+        self.base = [self.layout.key(0, i) for i in range(len(self.b))]
         self.most, self.most_chars = most, most_chars
         self.forget()
 
@@ -88,31 +93,32 @@ class Aligner:
     def full(self) -> bool:
         return len(self.groups) > self.most or self.chars > self.most_chars
 
-    def _learn(self, segment: str) -> int:
-        """The number of a new segment. One that either side does not give back has no tokens."""
-        a, b, text = self.encode_a(" " + segment), self.encode_b(segment), (" " + segment).encode()
-        groups = []
-        if b"".join(map(self.a.__getitem__, a)) == text and b"".join(map(self.b.__getitem__, b)) == text:
-            i = j = at_i = at_j = 0
-            from_i = from_j = 0
-            while i < len(a):
-                if at_i <= at_j:
-                    at_i += len(self.a[a[i]])
-                    i += 1
-                while at_j < at_i:
-                    at_j += len(self.b[b[j]])
-                    j += 1
-                if at_i == at_j:
-                    groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                    self.links.append(self.layout.key(a[i - 1], b[j - 1]))
-                    from_i, from_j = i, j
-        self.first.append(len(self.links))
-        self.n_a.append(len(a) if groups else 0)
-        self.n_b.append(len(b) if groups else 0)
-        self.groups.append(";".join(groups))
-        self.chars += len(segment) + len(self.groups[-1])
-        self.known[segment] = n = len(self.groups) - 1
-        return n
+    def _learn(self, segments: list[str]) -> None:
+        """Takes in new segments. One that either side does not give back has no tokens."""
+        pick_a, pick_b, size_a, size_b, base = self.a.__getitem__, self.b.__getitem__, self.size_a.__getitem__, self.size_b.__getitem__, self.base
+        encode_a, links, first, known, groups = self.encode_a, self.links, self.first, self.known, self.groups
+        for segment, b in zip(segments, self.encode_b(segments)):
+            spaced = " " + segment
+            a, text, shown = encode_a(spaced), spaced.encode(), ""
+            if b"".join(map(pick_a, a)) == text == b"".join(map(pick_b, b)):
+                ends_a, ends_b = list(accumulate(map(size_a, a))), list(accumulate(map(size_b, b)))
+                if ends_a == ends_b:
+                    shown = ";".join([f"{x}|{y}" for x, y in zip(a, b)])
+                    links.extend([base[y] + x for x, y in zip(a, b)])
+                else:
+                    at_b, found, p, q = dict(zip(ends_b, range(1, len(b) + 1))), [], 0, 0
+                    for i, end in enumerate(ends_a, 1):
+                        if j := at_b.get(end):
+                            found.append(f"{a[p]}|{b[q]}" if i - p == j - q == 1 else f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}")
+                            links.append(base[b[j - 1]] + a[i - 1])
+                            p, q = i, j
+                    shown = ";".join(found)
+            first.append(len(links))
+            self.n_a.append(len(a) if shown else 0)
+            self.n_b.append(len(b) if shown else 0)
+            known[segment] = len(groups)
+            groups.append(shown)
+            self.chars += len(segment) + len(shown)
 
     def segments(self, text: str) -> np.ndarray:
         """The numbers of the text's segments, in order."""
@@ -121,12 +127,11 @@ class Aligner:
             cut = _CUT.search(text, at + _BLOCK) if self.apart and len(text) - at > _BLOCK else None
             block = text[at : cut.start()] if cut else text[at:]
             at = cut.end() if cut else len(text)
-            parts = block.split(" ") if self.apart else [block]
+            parts = [block] if not self.apart else _CUT.split(block) if _UNEVEN.search(block) else block.split(" ")
             got = list(map(self.known.get, parts))
             if None in got:
-                if self.apart and not all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-                    parts = _CUT.split(block)
-                got = [n if (n := self.known.get(p)) is not None else self._learn(p) for p in parts]
+                self._learn([*dict.fromkeys(p for p, n in zip(parts, got) if n is None)])
+                got = list(map(self.known.__getitem__, parts))
             out.append(np.array(got, np.int32))
         return np.concatenate(out)
 
