@@ -94,12 +94,16 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("quality").cast("long").alias("y"), "text").mapInArrow(run, "quality long, block binary, h long")
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, most_blocks: int = 8000, dictionary: int = 112_640) -> QualityModel:
+def _taken(blocks: DataFrame) -> list[bytes]:
+    """The blocks in an order that does not depend on how they are dealt out; of a sample's rows, so bounded by it."""
+    return sorted((bytes(r.block) for r in blocks.select("block").toLocalIterator()), key=lambda b: (zlib.crc32(b), b))
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, dictionary: int = 112_640) -> QualityModel:
     """Learns from at most most_rows good and most_rows bad labelled documents, those of least hash of their id, never
-    from held-out ones. Half of them (by a bit of the hash) make the dictionaries: their whole texts are cut into blocks,
-    and of these the most_blocks of least hash of each class are taken. The other half, whole, calibrates on sizes under
-    dictionaries that have not seen it. Both bounds are of the labelled sample only. docs: doc_id, text; labels: doc_id,
-    quality."""
+    from held-out ones: the only bound. Half of them (by a bit of the hash) make the dictionaries, from all blocks of their
+    whole texts. The other half, whole, calibrates on sizes under dictionaries that have not seen it. docs: doc_id, text;
+    labels: doc_id, quality."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
     picked = [known.where(F.col("quality") == y).orderBy("h", "doc_id").limit(most_rows) for y in (0, 1)]
@@ -107,8 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, most_blocks
     sample = sample.groupBy("doc_id", "quality", "h").agg(F.min("text").alias("text")).persist()
     try:
         blocks = _blocks(sample.where(F.pmod(F.shiftright("h", 7), F.lit(2)) == 0))
-        taken = [[bytes(r.block) for r in blocks.where(F.col("quality") == y).orderBy("h", "block").limit(most_blocks).collect()] for y in (0, 1)]
-        bad, good = (train_dictionary(t, dictionary) for t in taken)
+        bad, good = (train_dictionary(_taken(blocks.where(F.col("quality") == y)), dictionary) for y in (0, 1))
         rest = sample.where(F.pmod(F.shiftright("h", 7), F.lit(2)) == 1)
         fitted = _features(rest.select("text", F.col("quality").cast("long").alias("y")), good, bad, ["y"]).toPandas()
     finally:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchfire.llm.common import slices
+from watchfire.llm.common import materialise, shuffle_width, slices
 from watchfire.llm.logistic import fit_logistic, probability
 
 #: The kernel: each character that a subsequence spans, taken or skipped, weighs this factor.
@@ -30,8 +29,8 @@ PIECE = 12
 STREAM, LONGEST = 100_000, 4096
 #: A word spelt out in so many one-letter words or more is also read as one.
 SPELT = 4
-#: Sentences that train the machine are cut at . ! ? and line ends, and after so many characters.
-SENTENCE = 400
+#: Sentences that train the machine are cut at . ! ? and line ends.
+_SENTENCE = re.compile(r"[^.!?\n]+")
 #: Rounds of choosing the windows that stand for a toxic sentence, and training on them.
 ROUNDS = 3
 #: Training windows that are laid out as a matrix at a time.
@@ -204,10 +203,10 @@ class Machine:
 
 def _spread(windows: list[str], n: int) -> list[str]:
     """n of the windows, each as unlike those before as can be (pivots of a Cholesky decomposition of their kernel, taken
-    over subsequences' numbers modulo 4096)."""
+    over subsequences' numbers modulo 1024)."""
     if len(windows) <= n:
         return windows
-    x = np.concatenate([phi(windows[i : i + TRAIN_BLOCK], np.arange(1 << BITS) % 4096, 4096) for i in range(0, len(windows), TRAIN_BLOCK)])
+    x = np.concatenate([phi(windows[i : i + TRAIN_BLOCK], np.arange(1 << BITS) % 1024, 1024) for i in range(0, len(windows), TRAIN_BLOCK)])
     left, out, basis = (x * x).sum(axis=1), [], np.zeros((len(x), n), np.float32)
     for k in range(n):
         i = int(np.argmax(left))
@@ -225,7 +224,7 @@ def train_machine(up: list[str], down: list[str], landmarks: int = 200) -> Machi
     landmarks are toxic windows, half clean ones, each chosen to be unlike one another."""
     if not up or not down:
         return Machine(np.zeros(1 << BITS, np.float32), -1.0)
-    marks = _spread(up[:1500], landmarks // 2) + _spread(down[:1500], landmarks // 2)
+    marks = _spread(up, landmarks // 2) + _spread(down, landmarks // 2)
     numbers = np.unique(np.concatenate([n for m in marks for _, _, n in subsequences(np.frombuffer(m.encode("utf-32-le", "surrogatepass"), np.uint32))]))
     column = np.full(1 << BITS, -1)
     column[numbers] = np.arange(len(numbers))
@@ -236,7 +235,7 @@ def train_machine(up: list[str], down: list[str], landmarks: int = 200) -> Machi
     basis = (lm.T @ (vecs[:, ok] / np.sqrt(vals[ok]))).astype(np.float32)
     rows = [*up, *down]
     y = np.repeat([1.0, -1.0], [len(up), len(down)])
-    z = np.ones((len(rows), basis.shape[1] + 1))
+    z = np.ones((len(rows), basis.shape[1] + 1), np.float32)
     for i in range(0, len(rows), TRAIN_BLOCK):
         z[i : i + TRAIN_BLOCK, :-1] = phi(rows[i : i + TRAIN_BLOCK], column, len(numbers)) @ basis
     cost = np.where(y > 0, 1 / len(up), 1 / len(down))
@@ -252,42 +251,95 @@ def train_machine(up: list[str], down: list[str], landmarks: int = 200) -> Machi
     return Machine(weights, float(w[-1]))
 
 
-def learn(sentences: list[str], doc: np.ndarray, toxic: np.ndarray, each: int = 2, most: int = 4000) -> Machine:
-    """From sentences with their document's number and label. A toxic document's label holds for some of its words
-    only, so it is learnt from its `each` windows that are likeliest toxic (multiple-instance learning): at first by how
-    much more frequent their subsequences are in toxic sentences, then by the machine of the round before. The clean side is
-    each clean document's likeliest windows and as many others. At most `most` windows a side, by hash of the window."""
-    if not len(sentences) or toxic.all() or not toxic.any():
-        return train_machine([], [])
+def _streams_of(texts: list[str]) -> Iterator[tuple[Windows, np.ndarray]]:
+    """The windows of the texts' sentences, and the text of each window. No window spans two sentences."""
+    cut = [(i, x) for i, t in enumerate(texts) for x in _SENTENCE.findall(t)]
+    owner = np.array([i for i, _ in cut], np.int64)
+    for w in streams([x for _, x in cut]):
+        yield w, owner[w.owner]
+
+
+def _subsequence_counts(sample: DataFrame) -> np.ndarray:
+    """How often each number of a subsequence occurs in clean and in toxic sentences. Tasks count, Spark adds: there are
+    2 ** BITS numbers whatever the size of the sample."""
+    schema = pa.schema([("toxic", pa.int64()), ("number", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, 1 << BITS), np.int64)
+        for b in slices(batches, 50):
+            texts, toxic = b.column("text").to_pylist(), np.asarray(b.column("toxic"))
+            for y in (0, 1):
+                for w, _ in _streams_of([t for t, z in zip(texts, toxic) if z == y]):
+                    for _, _, number in subsequences(w.chars):
+                        found[y] += np.bincount(number, minlength=1 << BITS)
+        y, number = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(number), pa.array(found[y, number])], schema=schema)
+
+    total = sample.select("toxic", "text").mapInArrow(count, "toxic long, number long, n long").groupBy("toxic", "number").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, 1 << BITS))
-    parts = list(streams(sentences))
-    for y in (0, 1):
-        for w in streams([s for s, t in zip(sentences, toxic) if t == y]):
-            counts[y] += np.bincount(np.concatenate([number for _, _, number in subsequences(w.chars)]), minlength=1 << BITS)
-    rate = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
-    machine = Machine(((rate[1] - rate[0]) / (rate[1] + rate[0] + 4 / max(1, counts[1].sum()))).astype(np.float32), 0.0)
-    _, doc = np.unique(doc, return_inverse=True)
-    owner = np.concatenate([doc[w.owner].astype(np.int32) for w in parts])
-    label = np.concatenate([toxic[w.owner] for w in parts]).astype(bool)
-    starts = np.cumsum([0, *(len(w.start) for w in parts)])
-
-    def named(which: np.ndarray) -> list[str]:
-        part = np.searchsorted(starts, which, "right") - 1
-        found = {parts[p].text(i - starts[p]) for i, p in zip(which.tolist(), part.tolist())}
-        return sorted(found, key=lambda t: (zlib.crc32(t.encode("utf-8", "surrogatepass")), t))[:most]
-
-    other = np.flatnonzero(~label)
-    other = other[np.linspace(0, len(other) - 1, min(len(other), most // 2)).astype(int)] if len(other) else other
+    counts[total["toxic"].to_numpy(), total["number"].to_numpy()] = total["n"].to_numpy()
+    return counts
+
+
+def _content_hash(w: Windows) -> np.ndarray:
+    """A number of each window that depends on its first and last characters only."""
+    last, _, number = next(subsequences(w.chars))
+    top = max(0, len(number) - 1)
+    ends = [number[np.minimum(x, top)].astype(np.int64) for x in (w.start, w.end - last)] if len(number) else [np.zeros(len(w.start), np.int64)] * 2
+    return ((ends[0] * 2_654_435_761) ^ (ends[1] * 40_503)) % 1_000_003
+
+
+def _chosen(sample: DataFrame, weights: np.ndarray, each: int):
+    """Of each document the `each` windows with the highest sums of weights (place from 0), and as many others, those of
+    least hash (place -1): rows (doc, toxic, score, place, window)."""
+    shared = sample.sparkSession.sparkContext.broadcast(weights)
+    schema = pa.schema([("doc", pa.int64()), ("toxic", pa.int64()), ("score", pa.float64()), ("place", pa.int64()), ("text", pa.string())])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 50):
+            texts = b.column("text").to_pylist()
+            best: list[dict[str, float]] = [{} for _ in texts]
+            other: list[dict[str, float]] = [{} for _ in texts]
+            for w, owner in _streams_of(texts):
+                score, mark = w.sums(shared.value), _content_hash(w)
+                for kept, by, value in ((best, -score, score), (other, mark, mark)):
+                    order = np.lexsort((by, owner))
+                    new = np.flatnonzero(np.concatenate((owner[:1] == owner[:1], owner[order][1:] != owner[order][:-1])))
+                    for at, end in zip(new.tolist(), [*new[1:].tolist(), len(order)]):
+                        found: set[str] = set()
+                        for i in order[at:end].tolist():
+                            found.add(w.text(i))
+                            kept[owner[i]].setdefault(w.text(i), value[i])
+                            if len(found) == each:
+                                break
+            rows = []
+            for i, (doc, toxic) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("toxic").to_pylist())):
+                rows += [(doc, toxic, x, k, t) for k, (t, x) in enumerate(sorted(best[i].items(), key=lambda kv: (-kv[1], kv[0]))[:each])]
+                rows += [(doc, toxic, None, -1, t) for t, _ in sorted(other[i].items(), key=lambda kv: kv[::-1])[:each]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+
+    found = sample.select("doc_id", "toxic", "text").mapInArrow(choose, "doc long, toxic long, score double, place long, text string").toPandas()
+    return found.sort_values(["doc", "place", "text"])
+
+
+def learn(sample: DataFrame, each: int = 2) -> Machine:
+    """From the sentences of labelled documents (doc_id, toxic, text), all of them. A toxic document's label holds for some
+    of its words only, so it is learnt from its `each` windows that are likeliest toxic (multiple-instance learning): at
+    first by how much more frequent their subsequences are in toxic sentences, then by the machine of the round before. The
+    clean side is each clean document's likeliest windows and `each` others. Tasks count subsequences and choose the windows;
+    the driver gets 2 * each windows a document, all of which train."""
+    counts = _subsequence_counts(sample)
+    if not counts.sum(axis=1).all():
+        return train_machine([], [])
+    rate = counts / counts.sum(axis=1, keepdims=True)
+    machine = Machine(((rate[1] - rate[0]) / (rate[1] + rate[0] + 4 / counts[1].sum())).astype(np.float32), 0.0)
     for _ in range(ROUNDS):
-        score = np.concatenate([w.sums(machine.weights).astype(np.float32) for w in parts])
-        order = np.lexsort((-score, owner))
-        new = np.concatenate(([True], owner[order][1:] != owner[order][:-1]))
-        place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        best = order[place < each]
+        found = _chosen(sample, machine.weights, each)
+        toxic, score, place = (found[c].to_numpy() for c in ("toxic", "score", "place"))
         # A toxic document whose best window is no likelier than that of most clean ones has none to learn from.
-        least = np.median(score[order[new]][~label[order[new]]])
-        up = best[label[best] & (score[best] > least)]
-        machine = train_machine(named(up), named(np.concatenate((best[~label[best]], other))))
+        least = np.median(score[(toxic == 0) & (place == 0)])
+        up, down = found["text"][(toxic == 1) & (place >= 0) & (score > least)], found["text"][toxic == 0]
+        machine = train_machine(sorted(set(up)), sorted(set(down)))
     return machine
 
 
@@ -306,28 +358,19 @@ class ToxicityModel:
         return probability(self.machine.features(texts), self.weights) >= 0.5
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_sentences: int = 25_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2000) -> ToxicityModel:
     """Learns from at most most_rows toxic and most_rows clean labelled documents, those of least hash of their id, never
-    from held-out ones; and of these, cut into sentences over their whole length, from at most most_sentences toxic and
-    as many clean sentences, those of least hash. Both are documented bounds of the labelled sample, and the only ones.
-    Then the documents' features, from whole texts, calibrate. docs: doc_id, text; labels: doc_id, toxic."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
+    from held-out ones: the only bound. All their sentences train the machine (see learn()), and their whole texts'
+    features calibrate. docs: doc_id, text; labels: doc_id, toxic."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("long").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most_rows) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])  # at most 2 * most_rows ids: small enough to broadcast
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).persist()
-    try:
-        cut = sample.select("doc_id", "toxic", F.explode(F.regexp_extract_all("text", F.lit(rf"[^.!?\n]{{1,{SENTENCE}}}"), F.lit(0))).alias("s"))
-        cut = cut.withColumn("h", F.xxhash64("doc_id", "s"))
-        taken = [cut.where(F.col("toxic") == y).orderBy("h", "doc_id", "s").limit(most_sentences) for y in (0, 1)]
-        rows = taken[0].unionByName(taken[1]).select("doc_id", "toxic", "s").toPandas().sort_values(["doc_id", "s"])
-        machine = learn(rows["s"].tolist(), rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(np.int64))
-        shown = sample.select("text", F.col("toxic").cast("long").alias("y"))
-        fitted = _features(shown, machine, ["y"]).toPandas()
-    finally:
-        sample.unpersist()
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
+    sample = materialise(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(shuffle_width(docs.sparkSession)))
+    machine = learn(sample)
+    fitted = _features(sample.select("text", F.col("toxic").alias("y")), machine, ["y"]).toPandas()
     x = np.array(fitted["x"].tolist(), float).reshape(len(fitted), FEATURES)
     return ToxicityModel(machine, fit_logistic(x, fitted["y"].to_numpy(float)))
 
