@@ -88,3 +88,119 @@ def test_correlation_stream_rearms(spark, tmp_path):
     got = correlated(spark, tmp_path / "events", [rows], CORRELATED[:1], "after_timeframe")
     # An alert at minute 2; matches up to minute 7 are passed over.
     assert [x[2] for x in got] == [2, 10, 18]
+
+
+class Counted:
+    """A state store in memory that counts what is read and written, rows of packed lots one by one."""
+
+    def __init__(self):
+        self.n, self.timers, self.map, self.value, self.list = 0, set(), {}, {}, {}
+
+    def getMapState(self, name, *_):
+        store, self_ = self.map.setdefault(name, {}), self
+
+        class Map:
+            def updateValue(_, k, v):
+                store[k] = v
+                self_.n += len(v[0]) // 24
+
+            def getValue(_, k):
+                self_.n += len(store[k][0]) // 24
+                return store[k]
+
+            def removeKey(_, k):
+                del store[k]
+
+        return Map()
+
+    def _cell(self, kind, name, size):
+        store, self_ = kind, self
+
+        class Cell:
+            def exists(_):
+                return name in store
+
+            def get(_):
+                self_.n += size(store[name])
+                return store[name]
+
+            def update(_, v):
+                store[name] = v
+                self_.n += size(v)
+
+            put = update
+
+            def clear(_):
+                store.pop(name, None)
+
+        return Cell()
+
+    def getValueState(self, name, *_):
+        return self._cell(self.value, name, lambda v: 1)
+
+    def getListState(self, name, *_):
+        return self._cell(self.list, name, len)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def fed(rows, batches, plan, lateness_ms=3_600_000, rearm="never"):
+    """Rows of one key in batches through the processor: (alerts, state rows read and written, most timers at a time)."""
+    import pandas as pd
+
+    from watchfire.streaming.correlation import _Correlator
+
+    store, p = Counted(), _Correlator({"R": plan}, rearm)
+    p.init(store)
+    out, watermark, timers = [], 0, 0
+    times = lambda: type("T", (), {"getCurrentWatermarkInMs": lambda s: watermark, "getExpiryTimeInMs": lambda s: at})()
+    step = -(-len(rows) // batches)
+    for i in range(0, len(rows) + step, step):
+        part, at = rows[i : i + step], 0
+        if part:
+            list(p.handleInputRows(("R", "e"), iter([pd.DataFrame(part, columns=["us", "id", "stages"])]), times()))
+            top = max(r[0] for r in part) // 1000 - lateness_ms
+        else:
+            top = 10**14
+        watermark, timers = max(watermark, top), max(timers, len(store.timers))
+        while due := [t for t in store.timers if t <= watermark]:
+            at = min(due)
+            store.timers.remove(at)
+            for f in p.handleExpiredTimer(("R", "e"), times(), times()):
+                out += f.values.tolist()
+    assert not store.map["waiting"] and not store.list and not store.timers
+    return out, store.n, timers
+
+
+@pytest.mark.parametrize("plan", [("count", 5, 60_000_000), ("sequence", 3, 60_000_000)])
+def test_state_grows_linearly(plan):
+    """Ten times the rows of one key, in ten times the batches: ten times the state rows."""
+    def run(n, batches):
+        # Every second row is a start; no count fires, since rows are 20 s apart, and no sequence ends.
+        rows = [(i * 20_000_000, i, 1 if i % 2 else 2) for i in range(n)]
+        return fed(rows, batches, plan)
+
+    few, many = run(400, 40), run(4000, 400)
+    assert few[0] == many[0] == [] and few[2] == many[2] == 1
+    assert many[1] <= 12 * few[1] and many[1] <= 40 * 4000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_processor_equals_plain_versions(seed):
+    """Rows out of order within the lateness, in batches of any size."""
+    from tests.test_detection import plain_count, plain_sequence
+
+    rng = random.Random(seed)
+    minute = 60_000_000
+    rows = [{"id": i, "us": (100 + rng.randrange(90)) * minute + rng.randrange(3) * 500_000, "event_type": rng.choice("ffst"), "source_ip": "e", "username": "e"} for i in range(rng.choice([5, 30, 80]))]
+    bits = {"f": 1, "s": 2, "t": 4}
+    given = sorted(((r["us"], r["id"], bits[r["event_type"]]) for r in rows), key=lambda r: r[0] + rng.randrange(50) * minute)
+    for batches in (1, 3, 17):
+        got = fed([r for r in given if r[2] == 1], batches, ("count", 3, 5 * minute))[0]
+        assert [(x[2], tuple(x[4])) for x in got] == [w[2:] for w in plain_count(rows)]
+        got = fed(given, batches, ("sequence", 3, 10 * minute))[0]
+        assert [(x[2], tuple(x[4])) for x in got] == [w[2:] for w in plain_sequence(rows)]

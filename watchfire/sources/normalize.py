@@ -126,8 +126,8 @@ def _truthy(value: Column) -> Column:
     return F.when(~value.isin("", "0", "0.0", "false", "[]", "{}"), value)
 
 
-def _parsed(lines: DataFrame, source_type: str, default_year: int, ingest_us: int) -> DataFrame:
-    """The columns of lines, FIELDS and `problem` of every line that some parser reads. Each step is a projection whose
+def _parsed(lines: DataFrame, source_type: str, default_year: int, ingest_us: int, unread: bool = False) -> DataFrame:
+    """The columns of lines, FIELDS and `problem` of every line that some parser reads, or with unread of every line. Each step is a projection whose
     columns the next one uses more than once, so that the optimiser computes them once; the explode keeps the choice
     of the parser from being computed again for the filter."""
     kind_of = source_type.lower()
@@ -157,6 +157,8 @@ def _parsed(lines: DataFrame, source_type: str, default_year: int, ingest_us: in
         parser = parser.when(line.rlike(f"(?diuU){FAILED}"), "failed").when(line.rlike(f"(?diuU){ACCEPTED}"), "accepted").when(created, "created")
     if kind_of in ("auto", "nginx", "web"):
         parser = parser.when(line.rlike(f"(?dU){ACCESS}"), "access")
+    if unread:
+        parser = parser.otherwise(F.lit("unread"))
     two = one.select("line", "_problem", "_others", "_k", "_v", parser.alias("_p"))
     two = two.select("*", F.explode(F.when(F.col("_p").isNotNull(), F.array("_p"))).alias("_by"))
     by = lambda *names: F.col("_by").isin(*names)
@@ -232,7 +234,13 @@ def _parsed(lines: DataFrame, source_type: str, default_year: int, ingest_us: in
         "raw_data": F.when(text, as_line).when(by("access"), as_request).otherwise(line),
         "ts_defaulted": F.col("_us").isNull(),
     }
-    return four.withColumns({"_us": us, "_ips": ip_texts(F.col("_src"), F.col("_dst"))}).select("line", *[F.col(f"_others.{c}").alias(c) for c in others], *[event[n].alias(n) for n in NAMES], problem.alias("problem"))
+    return four.withColumns({"_us": us, "_ips": ip_texts(F.col("_src"), F.col("_dst"))}).select("line", *[F.col(f"_others.{c}").alias(c) for c in others], *[event[n].alias(n) for n in NAMES], F.when(by("unread"), F.lit("no parser reads the line")).otherwise(problem).alias("problem"))
+
+
+def sorted_out(lines: DataFrame, source_type: str = "auto", default_year: int = 1970, ingest_us: int = 0) -> DataFrame:
+    """Every line once, from one parse: an event (FIELDS) where `problem` is null, else a reject, those that no parser reads
+    among them."""
+    return _parsed(lines, source_type, default_year, ingest_us, unread=True)
 
 
 def normalise(lines: DataFrame, source_type: str = "auto", default_year: int = 1970, ingest_us: int = 0, strict: bool = False) -> DataFrame:

@@ -27,6 +27,19 @@ def new_path(spark: SparkSession, stem: str = "watchfire") -> str:
     return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path, which may have wildcards, is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop))
+
+
+def temporary(spark: SparkSession, path: str) -> str:
+    """path, which is there, and is deleted when the session's driver ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -35,7 +48,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, for what is read more than once: nothing is computed twice, and a lost executor
-    costs no recomputation."""
+    costs no recomputation. It goes when the driver ends."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
+    temporary(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

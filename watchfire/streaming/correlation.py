@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,12 +14,22 @@ from watchfire.functions.rules import Rule
 from watchfire.operators import detect
 
 ALERTS = "rule_id string, entity_key string, event_id long, us long, event_ids array<long>"
+#: Waiting rows are kept by time slots: so many to a timeframe, none shorter than a second.
+SLOTS, LEAST_SLOT_US = 32, 1_000_000
+_ROW = struct.Struct("<qqq")  # us, id, stages
+_PLACE = struct.Struct("<qq")  # slot, lots
 
 
 class _Correlator(StatefulProcessor):
-    """Per (rule, entity). Rows wait until the watermark has passed them and are then taken in order of (us, id), so
-    rows that come late, but are allowed, change nothing. Kept between batches: waiting rows; for a count the last
-    threshold - 1 matches; for a sequence the starts that are open; the time of the last alert."""
+    """Per (rule, entity). Rows wait in the time slot that they fall in until the watermark has passed it, and are then
+    taken in order of (us, id), so rows that come late, but are allowed, change nothing.
+
+    State: `waiting`, a map of (slot, lot) to the rows that one batch brought for a slot, written once, read once and removed;
+    `slots`, which slots and how many lots of each there are, and the time of the one timer that a key has, at the end of its
+    first slot; `open`: for a count the last threshold - 1 matches, for a sequence the starts that are open; `fired`, the
+    time of the last alert. A timer takes all slots that are due at once and looks at no others, so what is read and written
+    grows with the rows, not with rows times batches.
+    """
 
     def __init__(self, plans: dict[str, tuple[str, int, int]], rearm: str):
         #: rule -> (kind, threshold or number of stages, timeframe in microseconds)
@@ -26,83 +37,148 @@ class _Correlator(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, id long, stages long")
+        self.waiting = handle.getMapState("waiting", "slot long, lot long", "rows binary")
+        self.slots = handle.getValueState("slots", "places binary, timer long")
         self.open = handle.getListState("open", "us long, id long, stage long, ids string")
         self.fired = handle.getValueState("fired", "us long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for part in rows for r in zip(part["us"].tolist(), part["id"].tolist(), part["stages"].tolist())]
-        if not (self.rearm == "never" and self.fired.exists()):
-            self.waiting.appendList(new)
-            # A row is complete with its peers once the watermark is a whole millisecond beyond it.
-            for at in {us // 1000 + 1 for us, _, _ in new}:
+    def _width(self, rule: str) -> int:
+        return max(LEAST_SLOT_US, self.plans[rule][2] // SLOTS)
+
+    def _places(self) -> tuple[dict[int, int], int | None]:
+        if not self.slots.exists():
+            return {}, None
+        raw, timer = self.slots.get()
+        return dict(_PLACE.iter_unpack(bytes(raw))), timer
+
+    def _settle(self, places: dict[int, int], timer: int | None, width: int, idle_us: int | None = None) -> None:
+        """Keeps the places, and one timer: at the end of the first slot, or, where nothing waits, at idle_us."""
+        first = min(places, default=None)
+        at = (first + 1) * width // 1000 + 1 if first is not None else None if idle_us is None else idle_us // 1000 + 1
+        if at != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
                 self.handle.registerTimer(at)
+        if at is None:
+            self.slots.clear()
+        else:
+            self.slots.update((b"".join(_PLACE.pack(*p) for p in places.items()), at))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list[bytes]] = {}
+        width = self._width(key[0])
+        over = self.rearm == "never" and self.fired.exists()
+        for part in rows:
+            for us, event, stages in () if over else zip(part["us"].tolist(), part["id"].tolist(), part["stages"].tolist()):
+                new.setdefault(us // width, []).append(_ROW.pack(us, event, stages))
+        if new:
+            places, timer = self._places()
+            for slot, packed in new.items():
+                lot = places.get(slot, 0)
+                self.waiting.updateValue((slot, lot), (b"".join(packed),))
+                places[slot] = lot + 1
+            self._settle(places, timer, width)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now_us = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
         kind, n, frame = self.plans[key[0]]
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted(r for r in rows if r[0] // 1000 + 1 <= now)
-        open_ = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        width = self._width(key[0])
+        places, timer = self._places()
+        timer = None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer
+        due = []
+        for slot in [s for s in places if (s + 1) * width < now_us]:
+            for lot in range(places.pop(slot)):
+                due += _ROW.iter_unpack(bytes(self.waiting.getValue((slot, lot))[0]))
+                self.waiting.removeKey((slot, lot))
+        due.sort()
+        state = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        state = _Counted(state, n, frame) if kind == "count" else _Sequences(state, n, frame)
         last = self.fired.get()[0] if self.fired.exists() else None
         out = []
         for us, event, stages in due:
             if last is not None and (self.rearm == "never" or us <= last + frame):
                 continue
-            open_ = [r for r in open_ if us - r[0] <= frame]
-            ids, open_ = self._count(open_, us, event, n) if kind == "count" else self._sequence(open_, us, event, stages, n)
+            ids = state.take(us, event, stages)
             if ids:
                 out.append((*key, event, us, ids))
-                last, open_ = us, []
-        if due:
-            rows = [r for r in rows if r[0] // 1000 + 1 > now]
-            # State that no later row can need goes a timeframe after the newest one.
-            self.handle.registerTimer((due[-1][0] + frame) // 1000 + 1)
+                last = us
+                state.clear()
         if last is not None:
             self.fired.update((last,))
             if self.rearm == "never":
-                rows = []
-            elif last + frame < now * 1000:
+                for slot, lots in places.items():
+                    for lot in range(lots):
+                        self.waiting.removeKey((slot, lot))
+                places = {}
+            elif last + frame < now_us:
                 self.fired.clear()
-        self._keep(self.waiting, rows)
-        self._keep(self.open, [r for r in open_ if now * 1000 - r[0] <= frame])
+        kept = state.rows(now_us)
+        if kept:
+            self.open.put(kept)
+        elif self.open.exists():
+            self.open.clear()
+        # What no later row can need goes a timeframe after the newest row that is kept.
+        newest = max([r[0] for r in kept] + ([last] if last is not None and self.rearm != "never" else []), default=None)
+        self._settle(places, timer, width, None if newest is None or newest + frame < now_us else newest + frame)
         yield pd.DataFrame(out, columns=["rule_id", "entity_key", "event_id", "us", "event_ids"]) if out else pd.DataFrame()
 
-    @staticmethod
-    def _keep(state, rows: list) -> None:
-        if rows:
-            state.put(rows)
-        elif state.exists():
-            state.clear()
-
-    @staticmethod
-    def _count(open_: list, us: int, event: int, threshold: int) -> tuple[list[int], list]:
-        open_ = [*open_, (us, event, 0, "")]
-        if len(open_) >= threshold:
-            return [r[1] for r in open_[-threshold:]], []
-        return [], open_
-
-    @staticmethod
-    def _sequence(open_: list, us: int, event: int, stages: int, n: int) -> tuple[list[int], list]:
-        moved = []
-        for start, first, stage, ids in open_:
-            if stages >> stage & 1:
-                stage, ids = stage + 1, f"{ids},{event}"
-                if stage == n:  # a start's end is never later than that of a start after it
-                    return [int(x) for x in ids.split(",")], []
-            moved.append((start, first, stage, ids))
-        if stages & 1:
-            moved.append((us, event, 1, str(event)))
-        return [], moved
-
     def close(self) -> None:
         pass
 
 
+class _Counted:
+    """The last threshold - 1 matches, none older than a timeframe."""
+
+    def __init__(self, rows: list[tuple], threshold: int, frame: int):
+        self.last, self.threshold, self.frame = [(r[0], r[1]) for r in rows], threshold, frame
+
+    def take(self, us: int, event: int, stages: int) -> list[int]:
+        self.last = [*self.last[-(self.threshold - 1) :], (us, event)] if self.threshold > 1 else [(us, event)]
+        full = len(self.last) == self.threshold and us - self.last[0][0] <= self.frame
+        return [i for _, i in self.last] if full else []
+
+    def clear(self) -> None:
+        self.last = []
+
+    def rows(self, now_us: int) -> list[tuple]:
+        return [(us, i, 0, "") for us, i in self.last[-(self.threshold - 1) :] if self.threshold > 1 and now_us - us <= self.frame]
+
+
+class _Sequences:
+    """Starts that are open, by the stage that they have reached. All starts of a stage go on together, so each moves once a
+    stage; in a stage they are in order of time."""
+
+    def __init__(self, rows: list[tuple], n: int, frame: int):
+        self.n, self.frame = n, frame
+        self.at: list[list[tuple]] = [[] for _ in range(n + 1)]
+        for us, event, stage, ids in rows:
+            self.at[stage].append((us, event, ids))
+
+    def take(self, us: int, event: int, stages: int) -> list[int]:
+        for k in range(self.n - 1, 0, -1):  # the furthest first, so that a row moves a start by one stage
+            if stages >> k & 1 and self.at[k]:
+                moved = [(s, i, f"{ids},{event}") for s, i, ids in self.at[k] if us - s <= self.frame]
+                self.at[k] = []
+                if moved and k + 1 == self.n:
+                    return [int(x) for x in moved[0][2].split(",")]
+                self.at[k + 1] += moved
+        if stages & 1:
+            self.at[1].append((us, event, str(event)))
+        return []
+
+    def clear(self) -> None:
+        self.at = [[] for _ in range(self.n + 1)]
+
+    def rows(self, now_us: int) -> list[tuple]:
+        return [(us, event, k, ids) for k, found in enumerate(self.at) for us, event, ids in found if now_us - us <= self.frame]
+
+
 def correlation_stream(events: DataFrame, rules: list[Rule], lateness: str = "1 hour", rearm: str = "never") -> DataFrame:
     """Alerts of the count and sequence rules, as ALERTS. events: at (event time), us, id and the event fields.
 
+    An alert comes once the watermark has passed the time slot of its last event: a 32nd of the timeframe, a second at least.
     rearm "never": one alert for each rule and entity, as the batch job gives on the same rows; what is kept of such a
     pair is one number. "after_timeframe": matches up to a timeframe after an alert are passed over, then the pair
     starts anew. Rows later than the watermark are dropped. Needs the RocksDB state store.
