@@ -158,7 +158,7 @@ def fed(rows, batches, plan, lateness_ms=3_600_000, rearm="never"):
     p.init(store)
     out, watermark, timers = [], 0, 0
     times = lambda: type("T", (), {"getCurrentWatermarkInMs": lambda s: watermark, "getExpiryTimeInMs": lambda s: at})()
-    step = -(-len(rows) // batches)
+    step = max(1, -(-len(rows) // batches))
     for i in range(0, len(rows) + step, step):
         part, at = rows[i : i + step], 0
         if part:
