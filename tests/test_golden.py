@@ -35,7 +35,7 @@ SURICATA += [{"timestamp": f"2025-03-04T11:20:{i:02d}Z", "event_type": "network_
 def rule(id, level, technique, selection, test, correlation=None, condition="selection", **more):
     detection = (selection if "selection" not in condition else {"selection": selection}) | {"condition": condition}
     detection |= {"correlation": correlation} if correlation else {}
-    return {"id": id, "title": f"Rule {id}", "level": level, "logsource": {"category": id[:3]}, "mitre": {"technique": technique}, "detection": detection,
+    return {"id": id, "title": f"Rule {id}", "level": level, "logsource": {"category": id[:4]}, "mitre": {"technique": technique}, "detection": detection,
             "test": {"name": f"{id} fires", "expected": True, "event": test}} | more
 
 
@@ -46,31 +46,31 @@ def count(n, frame):
 FAILED, LOGIN = {"source": "linux_auth", "event_type": "failed_login"}, {"source": "linux_auth", "event_type": "successful_login"}
 STARTED = {"source": "windows", "event_type": "process_create"}
 PACK = {
-    "linux/a.yml": rule("LNX-1", "high", "T1110", FAILED, FAILED, count(5, "5m")),
-    "linux/b.yml": rule("LNX-2", "critical", "T1078", {"failed": FAILED, "success": LOGIN}, LOGIN,
+    "linux/a.yml": rule("HOST-1", "high", "T1110", FAILED, FAILED, count(5, "5m")),
+    "linux/b.yml": rule("HOST-2", "critical", "T1078", {"failed": FAILED, "success": LOGIN}, LOGIN,
                         {"type": "sequence", "group_by": ["source_ip", "username"], "sequence": ["failed", "success"], "timeframe": "10m"}, "failed or success"),
-    "linux/c.yml": rule("LNX-3", "medium", "T1136.001", {"event_type": "user_created", "source": "linux_auth"}, {"source": "linux_auth", "event_type": "user_created"}),
-    "linux/d.yml": rule("LNX-4", "high", "T1078", LOGIN | {"username": "ADMIN"}, LOGIN | {"username": "admin"}),
-    "web/a.yml": rule("WEB-1", "high", "T1190", {"source": "nginx", "event_type": "directory_traversal"}, {"source": "nginx", "event_type": "directory_traversal"}),
-    "web/b.yml": rule("WEB-2", "high", "T1190", {"source": "nginx", "event_type": "web_attack"}, {"source": "nginx", "event_type": "web_attack"}),
-    "net/a.yaml": rule("NET-1", "high", "T1190", {"event_type": "alert", "severity": ["critical", "high"]}, {"event_type": "alert", "severity": "High"}),
-    "net/b.yml": rule("NET-2", "medium", "T1046", {"event_type": "network_connection"}, {"event_type": "network_connection"}, count(8, "2m")),
-    "net/c.yml": rule("NET-3", "medium", "T1048", {"source": "suricata", "event_type": "dns"}, {"source": "suricata", "event_type": "dns"}, count(10, "1m")),
-    "win/a.yml": rule("WIN-1", "high", "T1059.001", STARTED | {"process_name|contains": "powershell", "command_line|regex": "(?i)(-enc|downloadstring)"},
+    "linux/c.yml": rule("HOST-3", "medium", "T1136.001", {"event_type": "user_created", "source": "linux_auth"}, {"source": "linux_auth", "event_type": "user_created"}),
+    "linux/d.yml": rule("HOST-4", "high", "T1078", LOGIN | {"username": "ADMIN"}, LOGIN | {"username": "admin"}),
+    "web/a.yml": rule("SITE-1", "high", "T1190", {"source": "nginx", "event_type": "directory_traversal"}, {"source": "nginx", "event_type": "directory_traversal"}),
+    "web/b.yml": rule("SITE-2", "high", "T1190", {"source": "nginx", "event_type": "web_attack"}, {"source": "nginx", "event_type": "web_attack"}),
+    "net/a.yaml": rule("WIRE-1", "high", "T1190", {"event_type": "alert", "severity": ["critical", "high"]}, {"event_type": "alert", "severity": "High"}),
+    "net/b.yml": rule("WIRE-2", "medium", "T1046", {"event_type": "network_connection"}, {"event_type": "network_connection"}, count(8, "2m")),
+    "net/c.yml": rule("WIRE-3", "medium", "T1048", {"source": "suricata", "event_type": "dns"}, {"source": "suricata", "event_type": "dns"}, count(10, "1m")),
+    "win/a.yml": rule("DESK-1", "high", "T1059.001", STARTED | {"process_name|contains": "windowspowershell", "command_line|contains": [" -enc", " -w hidden"]},
                       STARTED | {"process_name": SHELL, "command_line": "x -EncodedCommand y"},
                       tests={"negative": [{"name": "plain shell", "event": STARTED | {"id": "n-1", "process_name": "cmd.exe", "command_line": "whoami"}}]}),
-    "win/b.yml": rule("WIN-2", "critical", "T1070.001", {"event_type": "security_log_cleared"}, {"event_type": "security_log_cleared"}),
-    "win/c.yml": rule("WIN-3", "high", "T1543.003", {"event_type": "service_installed"}, {"event_type": "service_installed"}),
-    "win/d.yml": rule("WIN-4", "high", "T1136.001", {"event_type": "user_added_to_privileged_group"}, {"event_type": "user_added_to_privileged_group"}),
-    "win/e.yml": rule("WIN-5", "medium", "T1087", STARTED | {"command_line|re": r"net\s+(user|group)"}, STARTED | {"command_line": "net user"}),
-    "win/f.yml": rule("WIN-6", "critical", "T1562.001", STARTED | {"command_line|re": r"sc\s+stop\s+(WinDefend|Sense)"}, STARTED | {"command_line": "sc stop Sense"}),
+    "win/b.yml": rule("DESK-2", "critical", "T1070.001", {"event_type": "security_log_cleared"}, {"event_type": "security_log_cleared"}),
+    "win/c.yml": rule("DESK-3", "high", "T1543.003", {"event_type": "service_installed"}, {"event_type": "service_installed"}),
+    "win/d.yml": rule("DESK-4", "high", "T1136.001", {"event_type": "user_added_to_privileged_group"}, {"event_type": "user_added_to_privileged_group"}),
+    "win/e.yml": rule("DESK-5", "medium", "T1087", STARTED | {"command_line|startswith": "net ", "command_line|contains": ["user", "/domain"]}, STARTED | {"command_line": "net user"}),
+    "win/f.yml": rule("DESK-6", "critical", "T1562.001", STARTED | {"command_line|startswith": "sc ", "command_line|re": " stop .*e(nd|nse)?$"}, STARTED | {"command_line": "sc stop Sense"}),
 }
 #: rule -> (entity, severity, score) of its one alert.
 WANT = {
-    "LNX-1": ("198.51.100.7", "high", 75.0), "LNX-2": ("198.51.100.7|admin", "critical", 95.0), "LNX-3": ("unknown", "medium", 50.0), "LNX-4": ("198.51.100.7|admin", "high", 75.0),
-    "WEB-1": ("198.51.100.21", "high", 75.0), "WEB-2": ("198.51.100.22", "high", 75.0), "NET-1": ("198.51.100.40", "high", 75.0), "NET-2": ("192.0.2.90", "medium", 50.0),
-    "NET-3": ("10.0.0.9", "medium", 50.0), "WIN-1": ("PC-1|LAB\\ann", "high", 75.0), "WIN-2": ("SRV-1|temp", "critical", 95.0), "WIN-3": ("PC-2", "high", 75.0),
-    "WIN-4": ("SRV-1|temp", "high", 75.0), "WIN-5": ("PC-3|LAB\\bob", "medium", 50.0), "WIN-6": ("PC-4|LAB\\cid", "critical", 95.0),
+    "HOST-1": ("198.51.100.7", "high", 75.0), "HOST-2": ("198.51.100.7|admin", "critical", 95.0), "HOST-3": ("unknown", "medium", 50.0), "HOST-4": ("198.51.100.7|admin", "high", 75.0),
+    "SITE-1": ("198.51.100.21", "high", 75.0), "SITE-2": ("198.51.100.22", "high", 75.0), "WIRE-1": ("198.51.100.40", "high", 75.0), "WIRE-2": ("192.0.2.90", "medium", 50.0),
+    "WIRE-3": ("10.0.0.9", "medium", 50.0), "DESK-1": ("PC-1|LAB\\ann", "high", 75.0), "DESK-2": ("SRV-1|temp", "critical", 95.0), "DESK-3": ("PC-2", "high", 75.0),
+    "DESK-4": ("SRV-1|temp", "high", 75.0), "DESK-5": ("PC-3|LAB\\bob", "medium", 50.0), "DESK-6": ("PC-4|LAB\\cid", "critical", 95.0),
 }
 
 
@@ -95,7 +95,7 @@ def events(spark, tmp_path_factory):
 
 def test_golden(spark, events, pack):
     rules = load_pack(pack)
-    assert [r.id for r in rules] == sorted((r for r in WANT if r != "NET-1"), key=lambda i: ("LNX", "NET", "WEB", "WIN").index(i[:3])) + ["NET-1"]
+    assert [r.id for r in rules] == sorted((r for r in WANT if r != "WIRE-1"), key=lambda i: ("HOST", "WIRE", "SITE", "DESK").index(i[:4])) + ["WIRE-1"]
     assert events.count() == 40 and events.where("ts_defaulted").count() == 1
     alerts = detect.all_alerts(events, rules)
     got = {r.rule_id: (r.entity_key, r.severity, r.risk_score) for r in alerts.collect()}
@@ -108,15 +108,15 @@ def test_golden(spark, events, pack):
     assert (top.risk_score, top.severity, top.summary) == (100.0, "critical", "2 alert(s), 1 MITRE technique(s): T1078")
     assert found["SRV-1|temp"].summary == "2 alert(s), 2 MITRE technique(s): T1070.001, T1136.001"
     again = detect.all_alerts(events, rules, stored=alerts)
-    assert again.where("rule_id <> 'LNX-2'").count() == 0
+    assert again.where("rule_id <> 'HOST-2'").count() == 0
     # The sequence rule goes on to the next start: the same success follows it, which is stored already.
     assert again.count() == 0
     evidence = {r.rule_id: json.loads(r.evidence) for r in alerts.collect()}
     by_line = {r.id: r.message for r in events.collect()}
-    assert [by_line[i] for i in evidence["LNX-1"].pop("event_ids")] == LINUX[:5]
-    assert {k: v for k, v in evidence["LNX-1"].items() if k != "alert_fingerprint"} == {"type": "correlation", "count": 5, "threshold": 5, "timeframe": "5m", "group_by": ["source_ip"]}
-    assert (evidence["LNX-2"]["type"], evidence["LNX-2"]["stages"], len(evidence["LNX-2"]["event_ids"])) == ("sequence", ["failed", "success"], 2)
-    assert evidence["WIN-3"]["type"] == "single_event" and evidence["WIN-3"]["event"]["hostname"] == "PC-2" and evidence["WIN-3"]["event"]["raw_data"]["EventID"] == 7045
+    assert [by_line[i] for i in evidence["HOST-1"].pop("event_ids")] == LINUX[:5]
+    assert {k: v for k, v in evidence["HOST-1"].items() if k != "alert_fingerprint"} == {"type": "correlation", "count": 5, "threshold": 5, "timeframe": "5m", "group_by": ["source_ip"]}
+    assert (evidence["HOST-2"]["type"], evidence["HOST-2"]["stages"], len(evidence["HOST-2"]["event_ids"])) == ("sequence", ["failed", "success"], 2)
+    assert evidence["DESK-3"]["type"] == "single_event" and evidence["DESK-3"]["event"]["hostname"] == "PC-2" and evidence["DESK-3"]["event"]["raw_data"]["EventID"] == 7045
 
 
 def test_golden_reports(spark, events, pack, tmp_path):
@@ -129,14 +129,14 @@ def test_golden_reports(spark, events, pack, tmp_path):
     payload = {r["incident_id"]: r for r in map(json.loads, "\n".join(p.read_text() for p in (tmp_path / "report/incidents.json").glob("part-*")).splitlines())}
     assert len(payload) == 13 and sum(len(r["alerts"]) for r in payload.values()) == 15
     assert [(a["rule_id"], a["mitre_technique"], a["mitre_tactic"], a["status"]) for a in payload[top]["alerts"]] and [n["body"] for n in payload[top]["notes"]] == ["first", "looked"]
-    assert {a["rule"] for a in payload[top]["alerts"]} == {"Rule WIN-2", "Rule WIN-4"}
+    assert {a["rule"] for a in payload[top]["alerts"]} == {"Rule DESK-2", "Rule DESK-4"}
     assert spark.read.option("header", True).csv(str(tmp_path / "report/alerts.csv")).count() == 15
     details = reports.alert_details(assigned, table, events, found)
     assert details.count() == 15 and details.where("incident.entity_key = entity_key AND event.id = event_id AND rule IS NOT NULL").count() == 15
     assert {r.place for r in reports.incident_timeline(assigned, table).where(F.col("incident_id") == top).collect()} == {1, 2}
     techniques = analytics.attack_techniques(table).collect()
     assert [r.technique for r in techniques] == sorted({r.technique for r in rules})
-    assert {r.technique: (r.name, r.tactic, r.rules) for r in techniques}["T1078"] == ("Valid Accounts", "Defense Evasion / Persistence", ["LNX-2", "LNX-4"])
+    assert {r.technique: (r.name, r.tactic, r.rules) for r in techniques}["T1078"] == ("Valid Accounts", "Defense Evasion / Persistence", ["HOST-2", "HOST-4"])
     assert tuple(analytics.attack_summary(table).first()) == (15, 15)
 
 
@@ -160,6 +160,6 @@ def test_golden_fixtures(spark, pack, tmp_path):
 
 def test_catalogue_of_a_pack(spark, pack):
     rows = {r.rule_id: r for r in catalogue_rows(spark, load_pack(pack)).collect()}
-    r = rows["LNX-2"]
-    assert len(rows) == 15 and yaml.safe_load(r.yaml_content)["id"] == "LNX-2"
-    assert (r.source_category, r.mitre_technique, r.mitre_name, r.mitre_tactic, r.author) == ("LNX", "T1078", "Valid Accounts", "Defense Evasion / Persistence", "unknown")
+    r = rows["HOST-2"]
+    assert len(rows) == 15 and yaml.safe_load(r.yaml_content)["id"] == "HOST-2"
+    assert (r.source_category, r.mitre_technique, r.mitre_name, r.mitre_tactic, r.author) == ("HOST", "T1078", "Valid Accounts", "Defense Evasion / Persistence", "unknown")

@@ -3,14 +3,18 @@ their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchfire.functions.rules import checked_rules, parse_pack
-from watchfire.jobs.security import _A, _E, ORACLES as SECURITY, PACK, stored_alerts
+from watchfire.jobs.security import _A, _E, _NORMALISED, PACK, _lines, stored_alerts
+from watchfire.jobs.security import ORACLES as SECURITY
 from watchfire.operators import analytics, detect, fixtures
 from watchfire.operators.history import HourlyCounts, as_of, import_pack
-from watchfire.sources import store
+from watchfire.sources import normalize, store
 from watchfire.sources.security_events import security_events
 from watchfire.storage import new_path, temporary, written
 
@@ -166,7 +170,28 @@ def fixture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("rule_id", "test_name").agg(F.count(F.lit(1)).alias("runs"), F.count_if("passed").alias("passed"), F.max(F.unix_micros("created_at")).alias("newest"))
 
 
-QUERIES = {f.__name__: f for f in (event_store, alert_versions, pack_import, timeline_rollup, dashboard_rollup, alerts_repeats, pack_check, pack_files, fixture_results, fixture_summary, fixture_history)}
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a partition as the lines of one JSON array."""
+    text, held = (lambda x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["value"])), ["["]
+    first = True
+    for b in batches:
+        items = [x for x in b.column("line").to_pylist()]
+        for x in items:
+            held.append(x if first else f",{x}")
+            first = False
+        yield text(held)
+        held = []
+    yield text([*held, "]"])
+
+
+def ingest_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written out as files that are one JSON array each, and read in byte ranges."""
+    path = _folder(spark, "arrays")
+    _lines(spark, sf_dir, "generic").select("line").mapInArrow(_as_array, "value string").write.mode("overwrite").text(path)
+    return normalize.ingest(spark, path, "json", documents=True, default_year=2024).select(*[c for c in _NORMALISED if c != "id"])
+
+
+QUERIES = {f.__name__: f for f in (ingest_arrays, event_store, alert_versions, pack_import, timeline_rollup, dashboard_rollup, alerts_repeats, pack_check, pack_files, fixture_results, fixture_summary, fixture_history)}
 
 _CHECK = lambda k, source: f"""SELECT k, valid, CASE WHEN valid THEN 'PART-' || k END AS rule_id, CASE WHEN valid THEN CASE WHEN k % 2 = 0 THEN 'high' ELSE 'low' END END AS level,
         CASE WHEN valid THEN CASE WHEN k % 4 = 0 AND k % 3 = 0 THEN 'T1110,T1059.001' WHEN k % 4 = 0 THEN 'T1110' WHEN k % 3 = 0 THEN 'T1059.001,T1110' ELSE '' END END AS techniques,
@@ -177,6 +202,7 @@ _FIX = """f AS (SELECT n_nationkey AS k, 'own' AS name, true AS expected, true A
 _E_FIRST = f"""e0 AS ({_E.removeprefix('e AS (')}, e1 AS (SELECT * FROM e0 UNION ALL SELECT * REPLACE (us + CASE WHEN id % 2 = 0 THEN 3600000000 ELSE -3600000000 END AS us,
     CASE WHEN id % 5 = 0 THEN 'other' ELSE event_type END AS event_type) FROM e0 WHERE id % 3 = 0), e AS (SELECT * FROM e1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY us) = 1)"""
 ORACLES = {
+    "ingest_arrays": f"SELECT * EXCLUDE (id) FROM ({SECURITY['normalize_generic']})",
     "event_store": f"""WITH {_E}, b AS (SELECT *, ['first', 'second', 'third'][1 + id % 3] AS batch FROM e),
         s AS (SELECT batch, count(*) AS n, CAST(sum(id) AS BIGINT) AS given, count(DISTINCT us // {_DAY}) AS days, CASE batch WHEN 'first' THEN 1 WHEN 'second' THEN 2 ELSE 3 END AS place FROM b GROUP BY ALL)
         SELECT batch, n, n AS ids, CAST(coalesce(sum(n) OVER w, 0) + 1 AS BIGINT) AS first_id, CAST(coalesce(sum(n) OVER w, 0) + n AS BIGINT) AS last_id, given, days

@@ -65,8 +65,8 @@ def split_lines(read: DataFrame) -> DataFrame:
 
 
 def read_array_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Records (column line) of files that are one JSON array each, with their file; items that are no objects are
-    dropped. A file that is no JSON array gives one row with a null line and the column problem."""
+    """Records (column line) of files that are one JSON array each, with their file, each file whole in a task (for large ones
+    there is arrays.read_array_items()); items that are no objects are dropped. A file that is no JSON array gives one row with a null line and the column problem."""
     items = F.filter(F.from_json("value", "array<string>", _JSON), lambda x: x.startswith("{"))
     read = spark.read.text(path, wholetext=True).select(F.explode(F.coalesce(items, F.array(F.lit("")))).alias("line"), F.col("_metadata.file_path").alias("file"))
     broken = F.col("line") == ""
@@ -267,7 +267,9 @@ def rejects(lines: DataFrame, source_type: str = "auto") -> DataFrame:
 
 def ingest(spark: SparkSession, path: str, source_type: str = "auto", documents: bool = False, **kwargs) -> DataFrame:
     """Events of text files, or with documents of files that are one JSON array each, with their file."""
-    lines = read_array_documents(spark, path) if documents else read_lines(spark, path)
+    from watchfire.sources.arrays import read_array_items
+
+    lines = read_array_items(spark, path) if documents else read_lines(spark, path)
     return normalise(lines, source_type, **kwargs).drop("line")
 
 
