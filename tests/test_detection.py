@@ -135,10 +135,21 @@ def test_similar_of_all_incidents(spark):
         assert incidents.similar_candidates(found, found, k).count() <= 2 * (k + 1) * len(rows)
 
 
+def test_similar_kinds_form_no_pairs(spark):
+    """Many kinds that share techniques and severities: candidates grow with the kinds, not with their square."""
+    rng = random.Random(8)
+    techniques = [f"T{i}" for i in range(12)]
+    kinds = {(rng.choice("abcd"), tuple(sorted(rng.sample(techniques, rng.randint(0, 6))))) for _ in range(6000)}
+    rows = spark.createDataFrame([(f"{i:06d}", {"techniques": list(t), "severity": s}) for i, (s, t) in enumerate(sorted(kinds))], "incident_id string, kind struct<techniques:array<string>,severity:string>").persist()
+    n = rows.count()
+    met = incidents.kind_candidates(rows.select(F.col("kind").alias("q_kind")), rows, 6).count()
+    assert n > 3000 and met < 160 * n < 0.1 * n * n
+
+
 def test_similar_query_asks_every_incident(spark):
     sf = "/root/testdata/sf0.001"
     everyone = {(r.entity_key, r.session_start) for r in security.flagship(spark, sf).collect()}
-    asked = {(r.q_entity, r.q_start) for r in security.QUERIES["similar_incidents_all"](spark, sf).collect()}
+    asked = {(r.q_entity, r.q_start) for r in security.QUERIES["similar_incidents"](spark, sf).collect()}
     assert asked == everyone
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchfire.functions.rules import parse_pack, parse_rule
@@ -86,25 +86,13 @@ def alerts_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.all_alerts(events, PACK, stored=stored_alerts(spark, sf_dir), repeats=False).select("rule_id", "entity_key", "event_id", "us")
 
 
-def _similar(asked: Column):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = written(incidents.incidents(stored_alerts(spark, sf_dir), PACK))
-        named = found.select("incident_id", "entity_key", "session_start")
-        best = incidents.similar_incidents(found, found.where(asked)).withColumn("reasons", F.array_join("reasons", "; "))
-        a, b = named.select(F.col("incident_id").alias("q_id"), F.col("entity_key").alias("q_entity"), F.col("session_start").alias("q_start")), named
-        return best.join(a, "q_id").join(b, "incident_id").select("q_entity", "q_start", "entity_key", "session_start", "score", "rank", "reasons")
-
-    return query
-
-
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queried incidents are those of hosts; all incidents are candidates."""
-    return _similar(F.col("entity_key").startswith("host-"))(spark, sf_dir)
-
-
-def similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every incident is queried, and all are candidates."""
-    return _similar(F.lit(True))(spark, sf_dir)
+    found = written(incidents.incidents(stored_alerts(spark, sf_dir), PACK))
+    named = found.select("incident_id", "entity_key", "session_start")
+    best = incidents.similar_incidents(found, found).withColumn("reasons", F.array_join("reasons", "; "))
+    a, b = named.select(F.col("incident_id").alias("q_id"), F.col("entity_key").alias("q_entity"), F.col("session_start").alias("q_start")), named
+    return best.join(a, "q_id").join(b, "incident_id").select("q_entity", "q_start", "entity_key", "session_start", "score", "rank", "reasons")
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,7 +364,7 @@ def alerts_count_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "incidents": flagship, "alerts_single": _kind(detect.single_alerts), "alerts_count": _kind(detect.count_alerts),
     "alerts_count_bucketed": alerts_count_bucketed, "alerts_sequence": _kind(detect.sequence_alerts), "alerts_all": lambda s, d: alerts(s, d).drop("event_ids", "evidence"), "alert_evidence": alert_evidence,
-    "alerts_replay": alerts_replay, "incident_assignments": assignments, "similar_incidents": similar, "similar_incidents_all": similar_all, "stats_dashboard": stats,
+    "alerts_replay": alerts_replay, "incident_assignments": assignments, "similar_incidents": similar, "stats_dashboard": stats,
     "timeline": lambda s, d: analytics.timeline(security_events(s, d)).select("hour", "n"), "events_by_source": _by("source"), "events_by_severity": _by("severity"),
     "alerts_by_severity": alerts_by_severity, "incidents_by_status": incidents_by_status, "coverage_matrix": coverage_matrix, "quality_summary": quality_summary,
     "search_events": search_events, "search_alerts": search_alerts, "search_page": search_page, "newest_events": newest_events, "newest_alerts": newest_alerts,
@@ -493,7 +481,7 @@ ORACLES = {
             CASE WHEN q.entity_key = o.entity_key THEN 60 ELSE 0 END + least(30, 10 * len(list_intersect(q.techniques, o.techniques))) + CASE WHEN q.severity = o.severity THEN 10 ELSE 0 END AS score,
             concat_ws('; ', CASE WHEN q.entity_key = o.entity_key THEN 'same entity' END, CASE WHEN len(list_intersect(q.techniques, o.techniques)) > 0
                 THEN 'shared MITRE: ' || array_to_string(list_sort(list_intersect(q.techniques, o.techniques)), ', ') END, CASE WHEN q.severity = o.severity THEN 'same severity' END) AS reasons
-            FROM i q, i o WHERE starts_with(q.entity_key, 'host-') AND q.incident_id <> o.incident_id),
+            FROM i q, i o WHERE q.incident_id <> o.incident_id),
         y AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, incident_id) AS rank FROM x WHERE score > 0)
         SELECT q_entity, q_start, entity_key, session_start, CAST(score AS BIGINT) AS score, rank, reasons FROM y WHERE rank <= 5""",
     "stats_dashboard": f"""WITH {_I} SELECT (SELECT count(*) FROM e) AS events, (SELECT count(*) FROM e WHERE us >= 1706600000000000 - 86400000000) AS events_24h,
@@ -559,5 +547,3 @@ ORACLES = {
     "normalize_auto": f"WITH {_E}, n AS ({' UNION ALL '.join(_N.values())}) SELECT source, event_type, severity, count(*) AS n, CAST(sum(us) AS BIGINT) AS us FROM n GROUP BY ALL",
     "normalize_rejects": f"WITH {_E} SELECT id, 'alert severity is no number' AS problem FROM e WHERE source = 'suricata' AND id % 5 = 0 AND id % 8 IN (0, 5, 6)",
 }
-#: The same for every incident: without the condition on hosts.
-ORACLES["similar_incidents_all"] = ORACLES["similar_incidents"].replace("starts_with(q.entity_key, 'host-') AND ", "")

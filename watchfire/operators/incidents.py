@@ -96,42 +96,59 @@ def _kind(severity: str, techniques: str) -> Column:
     return F.struct(names.alias("techniques"), F.col(severity).alias("severity"))
 
 
+#: All sets of one, two and three of a kind's techniques; three shared ones count as much as more do.
+_SETS = """concat(transform(kind.techniques, x -> array(x)),
+    flatten(transform(kind.techniques, (x, i) -> transform(slice(kind.techniques, i + 2, size(kind.techniques)), y -> array(x, y)))),
+    flatten(transform(kind.techniques, (x, i) -> flatten(transform(slice(kind.techniques, i + 2, size(kind.techniques)),
+        (y, j) -> transform(slice(kind.techniques, i + j + 3, size(kind.techniques)), z -> array(x, y, z)))))))"""
+
+
+def _lowest(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("incident_id"))).where(F.col("r") <= n).drop("r")
+
+
+def kind_candidates(asked: DataFrame, rows: DataFrame, n: int, by: tuple[str, ...] = (), anyone: bool = False) -> DataFrame:
+    """For each asked kind (columns `by` and q_kind) incidents of rows (columns `by`, incident_id, kind) among which are the n that
+    score highest by techniques and severity, lowest ids first among equals; with anyone, also those that share nothing.
+
+    A score counts three shared techniques at most. So for each set of one to three techniques the n lowest ids of those that
+    have all of it are kept, once for each severity and once for all, and the asked kind takes the lists of its own sets:
+    who is in none of them is beaten by n others. The number of candidates is that of a kind's sets times 2 n, whatever the
+    number of kinds; no pairs of kinds are formed.
+    """
+    low = _lowest(rows, n, *by, "kind")
+    none = F.array(F.array().cast("array<string>"))
+    sets = F.concat(F.expr(_SETS), none)
+    listed = _lowest(low.withColumn("set", F.explode(sets)).withColumn("severity", F.col("kind.severity")), n, *by, "set", "severity")
+    over_all = _lowest(listed.drop("severity") if anyone else listed.drop("severity").where(F.size("set") > 0), n, *by, "set")
+    wanted = asked.withColumn("kind", F.col("q_kind")).select(*by, "q_kind", F.explode(sets).alias("set"), F.col("q_kind.severity").alias("severity"))
+    with_severity = wanted.join(listed, [*by, "set", "severity"]).drop("set", "severity")
+    without = wanted.drop("severity").join(over_all, [*by, "set"]).drop("set")
+    return with_severity.unionByName(without).dropDuplicates([*by, "q_kind", "incident_id"])
+
+
 def similar_candidates(found: DataFrame, queried: DataFrame, k: int = 5) -> DataFrame:
     """(q_id, incident_id, score, reasons): at most 2 * (k + 1) rows for each queried incident, its k most similar others among them.
 
     Without the entity, a score depends only on both sides' kinds (technique set and severity). So each queried kind has
-    one list of its k + 1 best from the k + 1 lowest ids of each kind, and each queried (entity, kind) one of the same
-    entity. An incident of another entity that k others beat in the first list is beaten by them in any case. Pairs are
-    formed of kinds and of those lowest ids only, so their number does not grow with the incidents of a kind.
+    one list of its k + 1 best (kind_candidates), and each queried (entity, kind) one of the same entity. An incident of another
+    entity that k others beat in the first list is beaten by them in any case.
     """
     q = queried.select(F.col("incident_id").alias("q_id"), F.col("entity_key").alias("q_entity"), _kind("severity", "techniques").alias("q_kind"))
     others = found.select("incident_id", "entity_key", _kind("severity", "techniques").alias("kind"))
-
-    def lowest(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("incident_id"))).where(F.col("r") <= k + 1).drop("r")
-
-    def best(pairs: DataFrame, *by: str) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy(F.desc("base"), "incident_id")
-        return pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
-
     shared = F.array_intersect(F.col("kind.techniques"), F.col("q_kind.techniques"))
     alike = F.coalesce(F.col("kind.severity") == F.col("q_kind.severity"), F.lit(False))
     base = F.least(F.lit(30), 10 * F.size(shared)) + F.when(alike, 10).otherwise(0)
     why = F.array_compact(F.array(F.when(F.size(shared) > 0, F.concat(F.lit("shared MITRE: "), F.array_join(F.array_sort(shared), ", "))), F.when(alike, "same severity")))
-    scored = {"base": base, "why": why}
 
-    asked, low = q.select("q_kind").distinct(), lowest(others, "kind")
-    kinds = low.select("kind").distinct()
-    by_technique = (
-        asked.withColumn("t", F.explode("q_kind.techniques")).join(kinds.withColumn("t", F.explode("kind.techniques")), "t").select("q_kind", "kind")
-    )
-    by_severity = asked.join(kinds, F.col("kind.severity") == F.col("q_kind.severity"))
-    of_kind = best(by_technique.unionByName(by_severity).distinct().withColumns(scored).join(low, "kind").drop("kind"), "q_kind")
+    def best(pairs: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.desc("base"), "incident_id")
+        return pairs.withColumns({"base": base, "why": why}).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
 
+    of_kind = best(kind_candidates(q.select("q_kind").distinct(), others, k + 1), "q_kind").drop("kind")
     named = F.coalesce(F.col("q_entity"), F.lit("")) != ""
-    asked = q.where(named).select("q_entity", "q_kind").distinct()
-    own = lowest(others.withColumnRenamed("entity_key", "q_entity").where(named), "q_entity", "kind")
-    of_entity = best(asked.join(own, "q_entity").withColumns(scored).drop("kind"), "q_entity", "q_kind")
+    own = others.withColumnRenamed("entity_key", "q_entity").where(named)
+    of_entity = best(kind_candidates(q.where(named).select("q_entity", "q_kind").distinct(), own, k + 1, ("q_entity",), anyone=True), "q_entity", "q_kind").drop("kind")
 
     same = F.coalesce(named & (F.col("entity_key") == F.col("q_entity")), F.lit(False))
 

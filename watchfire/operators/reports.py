@@ -21,10 +21,20 @@ def alert_details(alerts: DataFrame, rules: DataFrame, events: DataFrame, incide
     return alerts.join(_rules(rules), "rule_id", "left").join(event, "event_id", "left").join(incident, "incident_id", "left")
 
 
+def _placed(alerts: DataFrame, *by: str) -> DataFrame:
+    """alerts with their place among those of the same `by`, in order of time (then event, then rule), from 1. Minutes are ranked
+    on their own and start after the sum of those before, so an incident of very many alerts is not one task."""
+    minute, key = F.expr("us DIV 60000000L"), [*by, "minute"]
+    rows = alerts.withColumn("minute", minute)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(*key, before.alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy(*key).orderBy("us", "event_id", "rule_id"))
+    return rows.join(sizes, key).withColumn("place", place).drop("minute", "before")
+
+
 def incident_timeline(alerts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Alerts with their rule and their place within their incident by time (then event, then rule), from 1."""
-    order = Window.partitionBy("incident_id").orderBy("us", "event_id", "rule_id")
-    return alerts.join(_rules(rules), "rule_id", "left").withColumn("place", F.row_number().over(order))
+    """Alerts of incidents with their rule and their place within their incident by time (then event, then rule), from 1."""
+    return _placed(alerts.where("incident_id IS NOT NULL"), "incident_id").join(_rules(rules), "rule_id", "left")
 
 
 def incident_payloads(incidents: DataFrame, alerts: DataFrame, rules: DataFrame, notes: DataFrame | None = None) -> DataFrame:
@@ -37,9 +47,8 @@ def incident_payloads(incidents: DataFrame, alerts: DataFrame, rules: DataFrame,
     """
     item = F.struct("us", "event_id", "rule_id", "title", "severity", "risk_score", "status", "rule", "mitre_technique", "mitre_tactic")
     known = alerts.join(incidents.select("incident_id", F.col("session_start").alias("_start")), "incident_id").join(_rules(rules), "rule_id", "left")
-    known = known.withColumn("hour", F.expr("(us - _start) DIV 3600000000L"))
-    order = Window.partitionBy("incident_id", "hour").orderBy("us", "event_id", "rule_id")
-    known = known.withColumn("part", F.floor((F.row_number().over(order) - 1) / PART).cast("int"))
+    known = _placed(known.withColumn("hour", F.expr("(us - _start) DIV 3600000000L")), "incident_id", "hour")
+    known = known.withColumn("part", F.floor((F.col("place") - 1) / PART).cast("int"))
     parts = known.groupBy("incident_id", "hour", "part").agg(F.sort_array(F.collect_list(item)).alias("alerts"))
     out = incidents.join(parts, "incident_id", "left").withColumns({"hour": F.coalesce("hour", F.lit(0)), "part": F.coalesce("part", F.lit(0))})
     none = F.array().cast("array<struct<us:bigint,author:string,body:string>>")
