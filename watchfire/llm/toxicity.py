@@ -166,7 +166,7 @@ def phi(windows: list[str], column: np.ndarray, width: int) -> np.ndarray:
         n = len(number)
         at = column[number]
         ok = (row[:n] == row[last : last + n]) & (at >= 0)
-        index.append(row[:n][ok] * width + at[ok])
+        index.append(row[:n][ok] * width + at[ok].astype(np.int64))
         weights.append(np.full(len(index[-1]), weight))
     out = np.bincount(np.concatenate(index), np.concatenate(weights), len(windows) * width)
     return (out.reshape(len(windows), width) / _NORM[size][:, None]).astype(np.float32)
@@ -203,10 +203,10 @@ class Machine:
 
 def _spread(windows: list[str], n: int) -> list[str]:
     """n of the windows, each as unlike those before as can be (pivots of a Cholesky decomposition of their kernel, taken
-    over subsequences' numbers modulo 1024)."""
+    over subsequences' numbers modulo 512)."""
     if len(windows) <= n:
         return windows
-    x = np.concatenate([phi(windows[i : i + TRAIN_BLOCK], np.arange(1 << BITS) % 1024, 1024) for i in range(0, len(windows), TRAIN_BLOCK)])
+    x = np.concatenate([phi(windows[i : i + TRAIN_BLOCK], np.arange(1 << BITS, dtype=np.int32) % 512, 512) for i in range(0, len(windows), TRAIN_BLOCK)])
     left, out, basis = (x * x).sum(axis=1), [], np.zeros((len(x), n), np.float32)
     for k in range(n):
         i = int(np.argmax(left))
@@ -226,7 +226,7 @@ def train_machine(up: list[str], down: list[str], landmarks: int = 200) -> Machi
         return Machine(np.zeros(1 << BITS, np.float32), -1.0)
     marks = _spread(up, landmarks // 2) + _spread(down, landmarks // 2)
     numbers = np.unique(np.concatenate([n for m in marks for _, _, n in subsequences(np.frombuffer(m.encode("utf-32-le", "surrogatepass"), np.uint32))]))
-    column = np.full(1 << BITS, -1)
+    column = np.full(1 << BITS, -1, np.int32)
     column[numbers] = np.arange(len(numbers))
     lm = phi(marks, column, len(numbers))
     vals, vecs = np.linalg.eigh((lm @ lm.T).astype(float))
@@ -259,10 +259,11 @@ def _streams_of(texts: list[str]) -> Iterator[tuple[Windows, np.ndarray]]:
         yield w, owner[w.owner]
 
 
-def _subsequence_counts(sample: DataFrame) -> np.ndarray:
-    """How often each number of a subsequence occurs in clean and in toxic sentences. Tasks count, Spark adds: there are
-    2 ** BITS numbers whatever the size of the sample."""
-    schema = pa.schema([("toxic", pa.int64()), ("number", pa.int64()), ("n", pa.int64())])
+def _leaning(sample: DataFrame) -> np.ndarray | None:
+    """Of each number of a subsequence, how much more frequent it is in toxic sentences than in clean ones, from -1 to 1; None
+    if a side has none. Tasks count, Spark adds and divides, and the driver gets a small number for each of the
+    2 ** BITS numbers, whatever the size of the sample."""
+    schema = pa.schema([("number", pa.int32()), ("clean", pa.int64()), ("toxic", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, 1 << BITS), np.int64)
@@ -272,13 +273,18 @@ def _subsequence_counts(sample: DataFrame) -> np.ndarray:
                 for w, _ in _streams_of([t for t, z in zip(texts, toxic) if z == y]):
                     for _, _, number in subsequences(w.chars):
                         found[y] += np.bincount(number, minlength=1 << BITS)
-        y, number = np.nonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(number), pa.array(found[y, number])], schema=schema)
+        number = np.flatnonzero(found.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(found[0, number]), pa.array(found[1, number])], schema=schema)
 
-    total = sample.select("toxic", "text").mapInArrow(count, "toxic long, number long, n long").groupBy("toxic", "number").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((2, 1 << BITS))
-    counts[total["toxic"].to_numpy(), total["number"].to_numpy()] = total["n"].to_numpy()
-    return counts
+    sums = materialise(sample.select("toxic", "text").mapInArrow(count, "number int, clean long, toxic long").groupBy("number").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    clean, toxic = sums.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not clean or not toxic:
+        return None
+    c, t = F.col("clean") / clean, F.col("toxic") / toxic
+    found = sums.select("number", ((t - c) / (t + c + 4 / toxic)).cast("float").alias("leaning")).toPandas()
+    out = np.zeros(1 << BITS, np.float32)
+    out[found["number"].to_numpy()] = found["leaning"].to_numpy()
+    return out
 
 
 def _content_hash(w: Windows) -> np.ndarray:
@@ -328,11 +334,10 @@ def learn(sample: DataFrame, each: int = 2) -> Machine:
     first by how much more frequent their subsequences are in toxic sentences, then by the machine of the round before. The
     clean side is each clean document's likeliest windows and `each` others. Tasks count subsequences and choose the windows;
     the driver gets 2 * each windows a document, all of which train."""
-    counts = _subsequence_counts(sample)
-    if not counts.sum(axis=1).all():
+    leaning = _leaning(sample)
+    if leaning is None:
         return train_machine([], [])
-    rate = counts / counts.sum(axis=1, keepdims=True)
-    machine = Machine(((rate[1] - rate[0]) / (rate[1] + rate[0] + 4 / counts[1].sum())).astype(np.float32), 0.0)
+    machine = Machine(leaning, 0.0)
     for _ in range(ROUNDS):
         found = _chosen(sample, machine.weights, each)
         toxic, score, place = (found[c].to_numpy() for c in ("toxic", "score", "place"))
