@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfire.storage import new_path, remove, shared_dir
+from watchfire.storage import new_path, remove, shared_dir, temporary
 
 #: Words everywhere in this subpackage: maximal runs of what is not ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -21,18 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Tables that the innermost open tidy() block is to remove.
-_OPEN: list[list[str]] = []
+#: Tables that the innermost open tidy() block of this thread is to remove.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Removes, at its end, all tables that materialise() wrote within it. Results must be written before."""
-    _OPEN.append([])
+    mine: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), mine))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(token)
+        for path in mine:
             remove(spark, path)
 
 
@@ -43,8 +46,10 @@ def materialise(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
+    else:
+        temporary(spark, path)
     if replaces is not None:
         for folder in {f.rsplit("/", 1)[0] for f in replaces.inputFiles()}:
             remove(spark, folder)
