@@ -249,7 +249,8 @@ def indexed_matches(events: DataFrame, rules: list[Rule]) -> tuple[DataFrame | N
     if not keys:
         return None, left
     values = F.array(*[F.col(c).cast("string") for c in fields]) if fields else F.array().cast("array<string>")
-    found = candidates(events, index, keys).withColumn("mask", _outcome(values)).where("mask IS NOT NULL")
+    # Made once an event, not once a candidate.
+    found = candidates(events.withColumn("event_values", values), index, keys).withColumn("mask", _outcome(F.col("event_values"))).where("mask IS NOT NULL")
     return found.select(*events.columns, "rule_id", "mask"), left
 
 
