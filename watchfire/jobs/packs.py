@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from watchfire.functions.rules import Rule, parse_pack
 from watchfire.jobs.security import _E, _H
-from watchfire.operators import detect
+from watchfire.operators import analytics, detect
 from watchfire.sources.security_events import security_events
 
 _TYPES = ["failed_login", "successful_login", "network_connection", "web_request", "process_create"]
@@ -59,7 +60,14 @@ def alerts_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rule_id", "entity_key", "event_id", "us", "severity", "title")
 
 
-QUERIES = {"match_many": match_many, "alerts_many": alerts_many}
+def backtest_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a labelled example of one of the thousand rules, expected where it is a failed login."""
+    ids = F.array(*[F.lit(r.id) for r in thousand()])
+    e = security_events(spark, sf_dir).withColumns({"rule_id": F.get(ids, (F.col("id") % len(thousand())).cast("int")), "expected": F.col("event_type") == "failed_login"})
+    return analytics.backtest(e, list(thousand()))
+
+
+QUERIES = {"match_many": match_many, "alerts_many": alerts_many, "backtest_many": backtest_many}
 
 _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 _ID = lambda kind: f"'{kind}-' || lpad(CAST(i AS VARCHAR), 3, '0')"
@@ -87,3 +95,9 @@ ORACLES = {
         UNION ALL SELECT id, {_ID("PYT")} FROM e JOIN range(5) r(i) ON username = 'user' || i""",
     "alerts_many": f"""WITH {_MANY} SELECT rule_id, entity_key, event_id, us, {_LIST(_LEVELS)}[1 + CAST(rule_id[-1:] AS INT) % 4] AS severity, 'Rule ' || rule_id AS title FROM found""",
 }
+_FAMILIES = "[" + ", ".join(f"{{'kind': '{k}', 'n': {n}}}" for k, n in (("USR", 400), ("LIT", 250), ("CND", 150), ("PAT", 150), ("RAW", 45), ("PYT", 5))) + "]"
+ORACLES["backtest_many"] = f"""WITH f AS (SELECT unnest({_FAMILIES}, recursive := true)), ids AS (SELECT kind || '-' || lpad(CAST(i AS VARCHAR), 3, '0') AS rule_id,
+        row_number() OVER (ORDER BY list_position(['USR', 'LIT', 'CND', 'PAT', 'RAW', 'PYT'], kind), i) - 1 AS place FROM f JOIN range(400) r(i) ON i < n),
+    hits AS ({ORACLES['match_many']}), {_E.replace('e AS', 'l0 AS')}, l AS (SELECT l0.id, rule_id, event_type = 'failed_login' AS x FROM l0 JOIN ids ON place = l0.id % 1000),
+    y AS (SELECT l.rule_id, x, hits.id IS NOT NULL AS y FROM l LEFT JOIN hits ON hits.id = l.id AND hits.rule_id = l.rule_id)
+    SELECT rule_id, count(*) AS total, count(*) FILTER (x = y) AS passed, count(*) FILTER (x AND NOT y) AS missed_positives, count(*) FILTER (y AND NOT x) AS unexpected_matches FROM y GROUP BY ALL"""

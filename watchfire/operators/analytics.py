@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from watchfire.functions.attack import TACTICS, TECHNIQUES, technique_info
 from watchfire.functions.rules import Rule
+from watchfire.operators.detect import matched_events
 
 DAY_US = 86_400_000_000
 
@@ -149,17 +150,13 @@ def toggle_rule(catalogue: DataFrame, rule_id: str) -> DataFrame:
 
 
 def backtest(labelled: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Confusion counts of each rule on labelled events (rule_id, expected, event columns), one pass."""
-    actual = F.lit(False)
-    for r in rules:
-        actual = F.when(F.col("rule_id") == r.id, r.matches()).otherwise(actual)
-    return (
-        labelled.withColumn("actual", actual)
-        .groupBy("rule_id")
-        .agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(F.col("actual") == F.col("expected")).alias("passed"),
-            F.count_if(F.col("expected") & ~F.col("actual")).alias("missed_positives"),
-            F.count_if(~F.col("expected") & F.col("actual")).alias("unexpected_matches"),
-        )
-    )
+    """Confusion counts of each rule on labelled events (rule_id, expected, event columns). Every event meets the rules as in
+    detection, so a large pack goes by its index; of the matches those with the event's own rule count. Rules that are not
+    given match nothing."""
+    own = labelled.withColumnRenamed("rule_id", "own_rule")
+    hits = matched_events(own, rules).where("rule_id = own_rule").groupBy("rule_id").agg(F.count_if("expected").alias("right"), F.count_if(~F.col("expected")).alias("wrong"))
+    totals = labelled.groupBy("rule_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("expected").alias("positive"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return totals.join(hits, "rule_id", "left").select(
+        "rule_id", "total", (n("right") + F.col("total") - F.col("positive") - n("wrong")).alias("passed"), (F.col("positive") - n("right")).alias("missed_positives"), n("wrong").alias("unexpected_matches"),
+    )
