@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from watchfire.llm import quality, queries, toxicity
+from watchfire.llm import quality, queries, rules, toxicity
 from watchfire.llm.common import materialise, tidy
 
 SF = "/root/testdata/sf0.001"
@@ -136,3 +136,23 @@ def test_tables_go_with_their_block(spark):
             assert exists(spark, path)
         assert not exists(spark, path) and outer.count() == 5
     assert materialise(df).agg(F.sum("id")).first()[0] == 10
+
+
+def test_rules_after_a_rejection_are_not_evaluated(spark):
+    """A rule that fails the job when it is evaluated never is, on rows that an earlier one rejects; nor is its measure."""
+    fails = rules.Rule("fails", F.raise_error(F.col("text")).cast("boolean"))
+    early = [rules.Rule("early", F.length("text") > 3), fails]
+    rows = spark.createDataFrame([(f"text {i}",) for i in range(50)], "text string")
+    assert rows.select(rules.verdict(early).alias("kept")).where("NOT kept").count() == 50
+    with pytest.raises(Exception, match="text"):
+        rows.select(rules.verdict(early[::-1]).alias("kept")).collect()
+
+
+@pytest.mark.parametrize("text,kept", [
+    ("- a b c d e f g h i j\n" * 2 + "* one more line here\n\u2022 and the last one there", False), ("- a list line one\nprose goes on here as it does everywhere\nmore of it\nand more to come", True),
+    ("one line of words ...\nand another that goes on ...\na third that ends...\nthe fourth one too \u2026 ", False), (" ".join(str(7919 * i) for i in range(1, 15)), False), (" ".join(f"\u65e5\u672c{chr(0x8a9e + i)}" for i in range(12)), True),
+    ("really!! wow!! no!! yes!! ok!! go!! on!! so!! it!! is!!", False),
+])
+def test_each_added_rule(spark, text, kept):
+    got = rules.quality_cascade(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.kept is kept

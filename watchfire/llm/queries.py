@@ -150,12 +150,16 @@ ORACLES = {
                      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                      CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
                      coalesce(rep.n, 0) AS n_repeat_words,
-                     (length(t) - length(replace(t, '!!', ''))) // 2 AS n_shouts
+                     (length(t) - length(replace(t, '!!', ''))) // 2 AS n_shouts, length(t) AS n_chars,
+                     length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g')) AS n_letters,
+                     len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*\x{{2022}}]'))) AS n_bullets,
+                     len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[\x20\x09-\x0D]*$'))) AS n_broken
               FROM l LEFT JOIN rep USING (doc_id))
         SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines
-                    OR 10 * n_shouts > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept FROM m""",
+                    OR 10 * n_shouts > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+                    OR 100 * n_letters < 30 * n_chars OR (n_lines > 3 AND (10 * n_bullets > 9 * n_lines OR 10 * n_broken > 7 * n_lines))) AS kept FROM m""",
     "op11_resample": rf"""
         WITH RECURSIVE steps(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i)
             UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM steps WHERE k < 8),

@@ -57,8 +57,9 @@ _REPEAT_WORDS = f"CASE WHEN size(__h) > 1 AND size(array_distinct(__h)) < size(_
 
 
 def text_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words and n_shouts (pairs of
-    exclamation marks) to every row. Null text counts as empty: all are 0."""
+    """Adds n_chars, n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, n_shouts (pairs of
+    exclamation marks), n_letters (A-Z, a-z and all beyond ASCII), n_bullets (lines that begin with a bullet) and n_broken (lines
+    that end in three dots) to every row. Null text counts as empty: all are 0. What a query does not use costs nothing."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
         docs.withColumn("__text", text)
@@ -67,6 +68,10 @@ def text_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
         .withColumns(
             {
+                "n_chars": F.length("__text").cast("long"),
+                "n_letters": F.length(F.regexp_replace("__text", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", "")).cast("long"),
+                "n_bullets": F.size(F.filter("__lines", lambda x: x.rlike(r"^[\x20\x09]*[-*\u2022]"))).cast("long"),
+                "n_broken": F.size(F.filter("__lines", lambda x: x.rlike(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$"))).cast("long"),
                 "n_words": F.size("__words").cast("long"),
                 "word_chars": F.length(F.array_join("__words", "")).cast("long"),
                 "n_symbols": (F.length("__text") - F.length(F.regexp_replace("__text", f"[{SYMBOLS}]+", ""))).cast("long"),
@@ -81,15 +86,19 @@ def text_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def default_rules() -> list[Rule]:
-    """Thresholds far beyond what prose shows: symbols in place of words, shouting, lists of the same line."""
-    n = F.col("n_words")
+    """Thresholds far beyond what prose shows: symbols in place of words, shouting, lists of the same line. The last five use
+    measures that no result shows, so only rows that are still undecided pay for them."""
+    n, lines = F.col("n_words"), F.col("n_lines")
     return [
         Rule("few_words", n < 10),
         Rule("repeated_windows", 100 * F.col("n_repeat_words") > 20 * n),
         Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
         Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
-        Rule("shouting", 10 * F.col("n_shouts") > 3 * n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 25 * n)),
+        Rule("shouting", 10 * F.col("n_shouts") > 3 * n),
+        Rule("few_letters", 100 * F.col("n_letters") < 30 * F.col("n_chars")),
+        Rule("bullets", (lines > 3) & (10 * F.col("n_bullets") > 9 * lines)),
+        Rule("broken_lines", (lines > 3) & (10 * F.col("n_broken") > 7 * lines)),
     ]
 
 
@@ -130,22 +139,27 @@ def greedy_order(cost: list[float], patterns: list[tuple[tuple[bool, ...], int]]
     return out
 
 
+def verdict(rules: list[Rule]) -> Column:
+    """True if no rule rejects. Rules are tried in this order, and those after one that rejects are not evaluated."""
+    out = F.when(F.lit(False), F.lit(False))
+    for r in rules:
+        out = out.when(F.coalesce(r.rejects, F.lit(False)), F.lit(False))
+    return out.otherwise(F.lit(True))
+
+
 def quality_cascade(
     docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Judges every row by rules that are tried in turn until one rejects.
 
     Costs and selectivities come from sample_rows rows, as the scan gives them, written once (a documented bound; they only
-    set the order of the rules). The cascade is one CASE expression: a rule, and a measure that is no column of the
-    result (n_lines, n_shouts), is evaluated only for rows that the rules before leave. Returns doc_id, the measures that
+    set the order of the rules). The cascade is one CASE expression: a rule, and a measure that only it uses and the result does
+    not show (shouts, letters, bullets, broken lines), is evaluated only for rows that the rules before leave. Returns doc_id, the measures that
     describe a text, and kept. Null and empty texts have all measures 0 and are rejected as too short. Every row is
     judged on its own, so ties and repeated rows agree; other columns are ignored.
     """
     rules = rules or default_rules()
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__in"))
     sample = materialise(slim.select("__in").limit(sample_rows))
-    verdict = F.when(F.lit(False), F.lit(False))
-    for r in order_by_rejection_per_cost(sample, rules, "__in"):
-        verdict = verdict.when(F.coalesce(r.rejects, F.lit(False)), F.lit(False))
-    measured = text_measures(slim, "__in")
-    return measured.select("doc_id", *MEASURES, verdict.otherwise(F.lit(True)).alias("kept"))
+    kept = verdict(order_by_rejection_per_cost(sample, rules, "__in"))
+    return text_measures(slim, "__in").select("doc_id", *MEASURES, kept.alias("kept"))
