@@ -139,6 +139,18 @@ ORACLES = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id,
                doc_id = least(doc_id, coalesce(c, doc_id)) AS kept
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op9_sharding": """
+        WITH RECURSIVE steps(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM steps WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS crc_table FROM steps WHERE k = 8),
+        t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        h AS (SELECT DISTINCT t, hex(encode(t)) AS h FROM t),
+        c AS (SELECT t, xor(4294967295, list_reduce(list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER), 2) AS BIGINT)),
+                     lambda c, b: xor(c >> 8, crc_table[xor(c & 255, b) + 1]), 4294967295)) AS text_crc32 FROM h, crc),
+        s AS (SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, text_crc32 FROM t JOIN c USING (t)),
+        w AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS total FROM s),
+        p AS (SELECT doc_id, size, text_crc32, CAST(((2 * upto - size) * 16) // (2 * total) AS INTEGER) AS shard FROM w)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p""",
     "op10_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
         l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
