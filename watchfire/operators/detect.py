@@ -92,13 +92,11 @@ def _rule_rows(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 def first_of_repeated(matched: DataFrame, events: DataFrame) -> DataFrame:
     """matched without the rows of repeated ids whose id came earlier, matched or not: of an id, only its first event in time
-    counts (of one time, one of them). Of events just ids and times are read again, and only matched ids are shuffled."""
-    contents = F.xxhash64(*[F.col(c) for c in EVENT_FIELDS if c in events.columns])
-    mark = lambda df: df.withColumn("__row", F.struct("us", contents.alias("contents")))
+    counts. Of events just ids and times are read again, and only matched ids are shuffled. Rows of one id and time all stay:
+    what follows takes one of them for each rule."""
     asked = matched.where("id IS NOT NULL").select("id").distinct()
-    first = mark(events).select("id", "__row").join(asked, "id", "left_semi").groupBy("id").agg(F.min("__row").alias("__first"))
-    kept = mark(matched).join(first, "id", "left").where("id IS NULL OR __row = __first")
-    return kept.select(*matched.columns)
+    first = events.select("id", "us").join(asked, "id", "left_semi").groupBy("id").agg(F.min("us").alias("first_us"))
+    return matched.join(first, "id", "left").where("id IS NULL OR us = first_us").select(*matched.columns)
 
 
 def keyed(matched: DataFrame, rules: list[Rule]) -> DataFrame:
