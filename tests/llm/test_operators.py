@@ -204,7 +204,7 @@ def test_agreeing_signatures():
 
 
 def test_chained_candidates_come_apart(spark, monkeypatch):
-    """Documents that share bands but are not alike make one candidate component, which is taken apart."""
+    """Documents that share bands but are not alike make one component of bands; what is verified before components does not."""
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 12)
     rng = random.Random(8)
     words = [f"c{i}" for i in range(400)]
@@ -216,10 +216,41 @@ def test_chained_candidates_come_apart(spark, monkeypatch):
     monkeypatch.setattr(minhash, "components", lambda e: cut.append(out := whole(e)) or out)
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, 3, 85).collect())
     assert got == plain_components(rows, 3, 85)
-    sizes = [max((r["count"] for r in c.groupBy("component").count().collect()), default=0) for c in cut[:2]]
+    keyed = minhash._signatures(df, 3, 28, 4).select("doc_id", F.explode("keys").alias("key"))
+    banded = keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("v")), "key").selectExpr("doc_id AS u", "v")
+    sizes = [max((r["count"] for r in c.groupBy("component").count().collect()), default=0) for c in (whole(banded), cut[0])]
     assert sizes[0] > 12 > sizes[1]
 
 
+def test_hot_bands(spark, monkeypatch):
+    """Two groups in one hot band come apart, at the second level too, and no agreeing pair that shares two bands is lost."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (2, 112), np.uint8)
+    rows, shorts = [], {}
+    for i in range(60):  # bands 0 to 2 are one for all, the others of a group are one for that group's thirds
+        keys = [1, 2, 3] + [1000 * (i % 6) + j for j in range(10, 35)]
+        short = base[i % 2].copy()
+        short[rng.choice(112, 10, replace=False)] = 7
+        shorts[i] = short
+        rows.append((i, i * 31, keys, bytearray(short.tobytes())))
+    heads = spark.createDataFrame(rows, "doc_id long, lo long, keys array<long>, short binary")
+    for block, tied in [(4000, True), (8, False)]:
+        monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
+        root = {r.node: r.component for r in minhash.components(minhash._candidates(heads, 85, 112)).collect()}
+        assert set(root) == set(shorts)
+        for i in shorts:
+            assert all(root[i] == root[j] for j in shorts if j % 2 == i % 2)
+        assert (len(set(root.values())) == 2) == tied  # 20 documents share even two bands: the block stage decides
+
+    # Band 1 is in all rows; rows of four share two more, which are not hot, and hold them together.
+    rows = [(i, i, [1, 100 + i // 4, 200 + i // 4], bytearray(base[i // 4 % 2].tobytes())) for i in range(40)]
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 6)
+    found = minhash._candidates(spark.createDataFrame(rows, "doc_id long, lo long, keys array<long>, short binary"), 85, 112)
+    root = {r.node: r.component for r in minhash.components(found).collect()}
+    assert all(root[i] == root[i - i % 4] for i in range(40))
+    assert all((i // 4 % 2) == (j // 4 % 2) for i, j in root.items())
+
+
 def test_near_duplicates_odd(odd, empty):
     out = minhash.near_duplicates(odd, 3, 85).collect()
     assert len(out) == len(ODD)

@@ -106,38 +106,35 @@ def _cluster(
     return links
 
 
-def _signatures(docs: DataFrame, n: int, hashes: int) -> DataFrame:
-    """doc_id, size of the shingle set, 128-bit fingerprint of the set (two longs), signature."""
+def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, size of the shingle set, 128-bit fingerprint of the set (two longs), a key for each band of the signature,
+    and the low byte of each minimum."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("signature", pa.binary())]
+        [
+            ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()),
+            ("keys", pa.list_(pa.int64())), ("short", pa.binary()),
+        ]
     )
+    width = 4 * rows
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = family(hashes)
+        a, b = family(bands * rows)
         for batch in slices(batches):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in schema]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 s = _set(text, n)
-                hi = lo = sig = None
+                hi = lo = keys = short = None
                 if len(s):
                     hi, lo = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
-                    sig = signature(s, a, b).tobytes()
-                for column, value in zip(out, (doc, len(s), hi, lo, sig)):
+                    sig = signature(s, a, b)
+                    raw = sig.tobytes()
+                    keys = np.frombuffer(b"".join(xxhash.xxh3_64_digest(raw[i * width : (i + 1) * width], i) for i in range(bands)), np.int64)
+                    short = (sig & np.uint32(255)).astype(np.uint8).tobytes()
+                for column, value in zip(out, (doc, len(s), hi, lo, keys, short)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return docs.mapInArrow(measure, "doc_id long, n_shingles long, set_hi long, set_lo long, signature binary")
-
-
-def _band_edges(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(u, v): every class that shares a band with another, and the least such class."""
-    width = 4 * rows
-    keyed = classes.select(
-        "doc_id",
-        F.posexplode(F.array(*[F.substring("signature", 1 + i * width, width) for i in range(bands)])).alias("band", "part"),
-    ).select("doc_id", F.xxhash64("band", "part").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("m")).where("v < m").drop("m")
-    return keyed.join(least, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
+    return docs.mapInArrow(measure, "doc_id long, n_shingles long, set_hi long, set_lo long, keys array<long>, short binary")
 
 
 def _agreeing(ids: np.ndarray, signatures: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -155,38 +152,68 @@ def _agreeing(ids: np.ndarray, signatures: np.ndarray, least: int) -> list[tuple
     return edges
 
 
-def _refined(candidate: DataFrame, heads: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
-    """candidate (node, component) with components larger than a block taken apart where signatures refute the links.
+def _agrees(pairs: DataFrame, heads: DataFrame, least: int) -> DataFrame:
+    """pairs (doc_id, lo, v, vlo) with agrees: whether their signatures do not refute the link."""
+    first = heads.select("doc_id", "lo", F.col("short").alias("a"))
+    second = heads.select(F.col("doc_id").alias("v"), F.col("lo").alias("vlo"), F.col("short").alias("b"))
+    both = pairs.join(first.hint("merge"), ["doc_id", "lo"]).join(second.hint("merge"), ["v", "vlo"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in "ab")
+                same = pa.array((x == y).sum(axis=1) >= least)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lo", "v", "vlo")), same], ["doc_id", "lo", "v", "vlo", "agrees"])
 
-    One chance band is enough to tie two groups together, so at the size of the web components chain up. Within those
-    only, every band's documents are compared by signature (the low byte of each minimum), and only agreeing ones stay
-    tied. A band that more documents share than a block holds keeps its ties: it takes no more work than a row each.
+    return both.select("doc_id", "lo", "v", "vlo", "a", "b").mapInArrow(judge, "doc_id long, lo long, v long, vlo long, agrees boolean")
+
+
+def _level(keyed: DataFrame, heads: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Verified edges of the documents that share a key, and the rows of keys that stay undecided.
+
+    keyed: key, doc_id, lo. First each document is judged against the least one of its key. Where all agree with it, or
+    there are but two, the key is done. Documents of other keys are compared with each other, unless they are more than a
+    block holds: those are the undecided ones (key, doc_id, lo, v).
     """
-    loads = candidate.groupBy("component").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > BLOCK_DOCS)
-    large = materialise(candidate.join(loads.select("component"), "component").select("node"))
-    if not large.limit(1).count():
-        return candidate
-    hashes, schema = bands * rows, pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    short = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.substring(F.hex("signature"), i * 8 + 1, 2)), "")
-    width = 4 * rows
-    keyed = (
-        heads.join(large, F.col("doc_id") == F.col("node"))
-        .select("doc_id", F.unhex(short).alias("short"), F.posexplode(F.array(*[F.substring("signature", 1 + i * width, width) for i in range(bands)])).alias("band", "part"))
-        .select("doc_id", "short", F.xxhash64("band", "part").alias("key"))
+    # Tables of keys are written, so that joins with them shuffle both sides: adaptive execution can then split a hot key.
+    sizes = materialise(
+        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("v"), F.min_by("lo", "doc_id").alias("vlo")).where("n > 1")
     )
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    met = keyed.join(sizes, "key")
-    least = least_agreement(hashes, percent)
+    met = materialise(keyed.join(sizes.hint("merge"), "key"))
+    judged = materialise(_agrees(met.where("doc_id <> v OR lo <> vlo").select("doc_id", "lo", "v", "vlo").distinct(), heads, least))
+    refuted = judged.where("NOT agrees").drop("agrees")
+    mixed = materialise(met.where("n > 2").join(refuted.hint("merge"), ["doc_id", "lo", "v", "vlo"], "left_semi").select("key").distinct())
+    again = met.where("n > 2").join(mixed.hint("merge"), "key")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compare(t: pa.Table) -> pa.Table:
         ids = np.array(t["doc_id"].to_pylist(), np.int64)
-        found = _agreeing(ids, np.stack([np.frombuffer(x, np.uint8) for x in t["short"].to_pylist()]), least)
+        found = _agreeing(ids, np.frombuffer(b"".join(t["short"].to_pylist()), np.uint8).reshape(len(ids), -1), least)
         return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
 
-    near = met.where(F.col("n") <= BLOCK_DOCS).select("key", "doc_id", "short").groupBy("key").applyInArrow(compare, "u long, v long")
-    hot = met.where((F.col("n") > BLOCK_DOCS) & (F.col("doc_id") != F.col("least"))).select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    others = candidate.join(large, "node", "left_anti")
-    return others.unionByName(components(near.unionByName(hot)))
+    small = again.where(F.col("n") <= BLOCK_DOCS).select("key", "doc_id", "lo")
+    near = small.join(heads.select("doc_id", "lo", "short").hint("merge"), ["doc_id", "lo"]).select("key", "doc_id", "short")
+    edges = judged.where("agrees").select(F.col("doc_id").alias("u"), "v").unionByName(near.groupBy("key").applyInArrow(compare, "u long, v long"))
+    return edges, again.where(F.col("n") > BLOCK_DOCS).select("key", "doc_id", "lo", "v")
+
+
+def _candidates(heads: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """Edges (u, v) that connect all documents that share a band and whose signatures do not refute the link.
+
+    heads: doc_id, lo (with it, the key of a row), keys, short. Signatures go only to rows that share a band. In a band
+    with more documents than a block holds, not all of which agree with the least, those are compared that share a second
+    such band. Where even two bands are shared by so many, the tie to the least is kept: full sets decide later.
+    """
+    least = least_agreement(hashes, percent)
+    edges, hot = _level(heads.select(F.explode("keys").alias("key"), "doc_id", "lo"), heads, least)
+    edges, hot = materialise(edges), materialise(hot)
+    if not hot.limit(1).count():
+        return edges
+    own = hot.groupBy("doc_id", "lo").agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
+    later = lambda i: F.slice("keys", i + 2, F.size("keys"))
+    twos = F.flatten(F.transform("keys", lambda k, i: F.transform(later(i), lambda x: F.xxhash64(k, x))))
+    more, left = _level(own.select(F.explode(twos).alias("key"), "doc_id", "lo"), heads, least)
+    return edges.unionByName(more).unionByName(left.select(F.col("doc_id").alias("u"), "v"))
 
 
 def _in_task(group: pa.Table, n: int, hashes: int, percent: int) -> list[tuple[int, int]]:
@@ -273,13 +300,13 @@ def near_duplicates(
 ) -> DataFrame:
     """Groups documents whose word-shingle sets have a Jaccard similarity of percent / 100 or more, transitively.
 
-    Equal sets are one class (a copy costs no comparison). A class has bands * rows hash minima; classes that share a
-    band are candidates, and candidate components are dealt to tasks in bounded blocks, where signatures rule pairs
-    out and full sets confirm links, until what is linked is connected; components too large for a block are finished
-    by comparing whatever is outside their largest tree with all their rows; before that, signatures take apart those
-    that chance bands tie together. Approximations: a pair of exactly the least similarity s shares no band with
-    probability (1 - s ** rows) ** bands (1e-9 at 0.85, 4e-7 at 0.8), and its signatures refute it with one of about 1e-9
-    at 0.85 and 1e-8 at 0.8 (SLACK).
+    Equal sets are one class (a copy costs no comparison). A class has bands * rows hash minima; signatures of classes
+    that share a band are compared, and those that agree are tied. Components of these ties are dealt to tasks in bounded
+    blocks, where full sets confirm links, until what is linked is connected; components too large for a block are
+    finished by comparing whatever is outside their largest tree with all their rows. Approximations: a pair of exactly
+    the least similarity s shares no band with probability (1 - s ** rows) ** bands (1e-9 at 0.85, 4e-7 at 0.8), and its
+    signatures refute it with one of about 1e-9 at 0.85 and 1e-8 at 0.8 (SLACK). Of bands that more than BLOCK_DOCS classes
+    share, some of which are refuted, a pair must share two, or another: it does not with 3e-8 at 0.85, 8e-6 at 0.8.
 
     Returns doc_id, n_shingles, component_id (least doc_id of the component), kept (doc_id = component_id), a row for
     each row of docs. Texts that are null or have no words have an empty set and stay alone, as do rows with null id
@@ -288,25 +315,21 @@ def near_duplicates(
     """
     hashes = bands * rows
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    measured = materialise(_signatures(slim, shingle_words, hashes))
-    # Written, so that both joins below shuffle a table: adaptive execution can then split a hot class.
-    classes = materialise(
-        measured.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("least"))
-    )
-    # The class's own row of least id has its signature.
-    own = measured.where("n_shingles > 0").alias("m").join(
-        classes.alias("c"),
-        (F.col("m.set_hi") == F.col("c.set_hi")) & (F.col("m.set_lo") == F.col("c.set_lo")) & (F.col("m.doc_id") == F.col("c.least")),
+    measured = materialise(_signatures(slim, shingle_words, bands, rows))
+    # All rows of a class have the same signature; copies are counted out before the shuffle.
+    heads = materialise(
+        measured.where("doc_id IS NOT NULL AND n_shingles > 0")
+        .groupBy("set_hi", F.col("set_lo").alias("lo"))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("short").alias("short"))
     )
-    heads = own.select("m.doc_id", "m.n_shingles", "m.signature")
-    candidate = _refined(components(_band_edges(heads, bands, rows)), heads, bands, rows, percent)
-    sized = candidate.withColumnRenamed("node", "doc_id").join(
+    classes = heads.select("set_hi", F.col("lo").alias("set_lo"), F.col("doc_id").alias("least"))
+    sized = components(_candidates(heads, percent, hashes)).withColumnRenamed("node", "doc_id").join(
         heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"
     )
     links = _verified(materialise(sized), slim, shingle_words, hashes, percent)
     # A copy takes its class's component, so a large class is no large star of edges. Only ids that several rows share
     # can tie classes together beyond the links.
-    rowed = materialise(measured.drop("signature").join(classes, ["set_hi", "set_lo"], "left").select("doc_id", "n_shingles", "least"))
+    rowed = materialise(measured.drop("keys", "short").join(classes, ["set_hi", "set_lo"], "left").select("doc_id", "n_shingles", "least"))
     shared = materialise(
         rowed.where("doc_id IS NOT NULL")
         .groupBy("doc_id")
