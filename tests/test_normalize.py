@@ -160,3 +160,20 @@ def test_clashing_and_extra_columns(spark):
     r = normalise(df).first()
     assert (r.message, r.n, r.line) == ("m", 1, df.first().line)
     assert normalise(df.limit(0)).count() == 0 and normalise(spark.createDataFrame([(None,)], "line string")).count() == 0
+
+
+def test_sums_of_times_beyond_64_bits(spark, tmp_path):
+    """Groups of more than 5400 rows: the sums are whole; small ones stay BIGINT, as in SQL."""
+    import duckdb
+
+    from watchfire.jobs import security
+
+    with duckdb.connect() as c:
+        c.sql(f"COPY (SELECT * REPLACE (event_id + 10000 * k AS event_id) FROM '/root/testdata/sf0.01/events.parquet', range(6) r(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+        c.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+        sql = security.ORACLES["normalize_auto"].replace("CAST(sum(us) AS BIGINT)", "CAST(sum(us) AS VARCHAR)")
+        want = sorted((*r[:4], int(r[4])) for r in c.sql(sql).fetchall())
+    got = security.normalize_auto(spark, str(tmp_path))
+    assert max(w[4] for w in want) >= 2**63
+    assert sorted((*r[:4], int(r[4])) for r in got.collect()) == want
+    assert security.normalize_auto(spark, "/root/testdata/sf0.001").schema["us"].dataType.simpleString() == "bigint"

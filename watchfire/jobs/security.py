@@ -167,11 +167,20 @@ def _normalised(kind: str):
     return query
 
 
+def _as_long(found: DataFrame, name: str) -> DataFrame:
+    """found, a small table whose column name has exact sums as DECIMAL: as BIGINT, the type that SQL gives them, if all of them
+    are in its range; else as they are, so that no sum fails or is cut."""
+    found = written(found)
+    most = found.agg(F.max(F.abs(name))).first()[0]
+    return found if most is not None and most >= 2**63 else found.withColumn(name, F.col(name).cast("long"))
+
+
 def normalize_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all sensors in one input: what each becomes."""
+    """Lines of all sensors in one input: what each becomes. Sums of times pass the range of BIGINT from some 5400 rows on."""
     lines = [_lines(spark, sf_dir, k) for k in ("linux", "nginx", "suricata", "windows", "generic")]
     found = normalize.normalise(reduce(DataFrame.unionByName, lines), "auto", default_year=2024, ingest_us=0)
-    return found.groupBy("source", "event_type", "severity").agg(F.count(F.lit(1)).alias("n"), F.sum("us").alias("us"))
+    found = found.groupBy("source", "event_type", "severity").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("us").cast("decimal(28,0)")).alias("us"))
+    return _as_long(found, "us")
 
 
 def normalize_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
