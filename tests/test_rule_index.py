@@ -71,6 +71,21 @@ def test_candidates_are_few(spark):
     assert "Exchange hash" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_candidates_are_no_rows(spark):
+    """A thousand rules are tested in one pass over events in batches; only matches become rows. Patterns that only Python reads
+    take no pass of their own, and parts get lists of their own."""
+    from watchfire.sources.security_events import adapted
+
+    rules = list(packs.thousand())
+    e = adapted(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    plan = detect.matched_events(e, rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1 and "explode" not in plan
+    parts = [i % 3 for i in range(len(rules))]
+    lists = e.select("id", F.inline(rule_index.hits(rules, parts))).select("id", "part", F.inline("hits"))
+    got = sorted((r.id, rules[r.rule].id) for r in lists.collect() if parts[r.rule] == r.part)
+    assert got == sorted((r.id, r.rule_id) for r in detect.matched_events(e, rules).collect()) and len(got) == lists.count()
+
+
 def test_a_repeated_id_counts_by_its_first_event(spark):
     rules = parse_pack([
         spec({"s": {"event_type": "f"}, "condition": "s"}, id="S-1"),

@@ -50,18 +50,15 @@ def matched_events(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """(event, rule) pairs: the columns of events, rule_id, and mask: of a sequence rule, bit k is set if the event fits
     stage k. No shuffle.
 
-    Up to COLUMN_RULES rules are Boolean columns of one projection. More of them are rows of a broadcast table, found by
-    what an event must have to match them (rule_index), so neither code nor work grows with rules that share nothing
-    with the event; those with patterns that only Python reads stay columns. An event that is given twice gives its
-    pairs twice.
+    Up to COLUMN_RULES rules are Boolean columns of one projection. More of them are tested in Arrow batches, each on the
+    events that have what its matches must have (rule_index), so neither code nor work grows with rules that share nothing
+    with the events. An event that is given twice gives its pairs twice.
     """
     parts, left = [], rules
     if len(rules) > COLUMN_RULES:
         left = []
         for i in range(0, len(rules), rule_index.RULES_A_PASS):
-            found, rest = rule_index.indexed_matches(events, rules[i : i + rule_index.RULES_A_PASS])
-            parts += [found] if found is not None else []
-            left += rest
+            parts.append(rule_index.indexed_matches(events, rules[i : i + rule_index.RULES_A_PASS]))
     for i in range(0, len(left), COLUMN_RULES):
         hits = F.array_compact(F.array(*[F.when(r.matches(), F.struct(F.lit(r.id).alias("rule_id"), _mask(r).alias("mask"))) for r in left[i : i + COLUMN_RULES]]))
         parts.append(events.select(*events.columns, F.inline(hits)))

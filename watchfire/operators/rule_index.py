@@ -1,12 +1,16 @@
-"""Many rules at once: rules as rows of a table, found by an index of what an event must have to match them."""
+"""Many rules at once, found by what an event must have to match them: tested in batches (hits()), or as rows of a table, which
+say what an index lets through (candidates())."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,54 +173,185 @@ def _event_keys(keys: set[str]) -> Column:
     return F.concat(*parts) if parts else empty
 
 
-def _holds(test: Column, fields: Column, raw: Column) -> Column:
-    """Whether a test, given as data, holds for an event: the same comparisons as functions.rules.compare()."""
-    actual = F.when(test["field"] >= 0, F.get(fields, test["field"])).otherwise(F.call_function("get_json_object", raw, test["path"]))
-    some = lambda check: F.exists(test["texts"], check)
-
-    def compared(x: Column) -> Column:
-        low, op, number = F.lower(x), test["op"], R.number(x)
-        limit = lambda check: ~F.isnan(number) & F.exists(test["numbers"], check)
-        return (
-            F.when(op == "equals", F.array_contains(test["texts"], low))
-            .when(op == "contains", some(lambda v: F.contains(low, v)))
-            .when(op == "startswith", some(lambda v: F.startswith(low, v)))
-            .when(op == "endswith", some(lambda v: F.endswith(low, v)))
-            .when(op == "re", (F.length(x) <= R.MAX_VALUE) & some(lambda v: F.call_function("rlike", x, v)))
-            .when(op == "exists", some(lambda v: (v == "yes") == x.isNotNull()))
-            .when(op == "gt", limit(lambda n: number > n))
-            .when(op == "gte", limit(lambda n: number >= n))
-            .when(op == "lt", limit(lambda n: number < n))
-            .when(op == "lte", limit(lambda n: number <= n))
-        )
-
-    return F.exists(F.array(actual), lambda x: F.coalesce(compared(x), F.lit(False)))
-
-
-def _outcome(fields: Column) -> Column:
-    """Of a candidate: null if the condition is false, else a bit for each stage whose selection holds. The condition runs on
-    a stack of bits; only parentheses nest, so a word holds it."""
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    bit = lambda c: F.when(c, one).otherwise(zero)
-    truths = F.transform("selections", lambda s: F.forall(s, lambda t: _holds(t, fields, F.col("raw_data"))))
-
-    def step(a: Column, op: Column) -> Column:
-        s, below, rest = a["stack"], F.shiftright(a["stack"], 1), F.shiftleft(F.shiftright(a["stack"], 2), 1)
-        return F.struct(
-            a["truths"].alias("truths"),
-            F.when(op >= 0, F.shiftleft(s, 1).bitwiseOR(bit(F.get(a["truths"], op))))
-            .when(op == _NOT, s.bitwiseXOR(one))
-            .when(op == _AND, rest.bitwiseOR(s.bitwiseAND(below).bitwiseAND(one)))
-            .otherwise(rest.bitwiseOR(s.bitwiseOR(below).bitwiseAND(one))).alias("stack"),
-        )
-
-    def mask(a: Column) -> Column:
-        def add(m: Column, i: Column) -> Column:
-            return F.struct(m["bits"].bitwiseOR(F.when(F.get(a["truths"], i), m["next"]).otherwise(zero)).alias("bits"), (m["next"] * 2).alias("next"))
-
-        return F.aggregate("stages", F.struct(zero.alias("bits"), one.alias("next")), add, lambda m: m["bits"])
-
-    return F.aggregate("program", F.struct(truths.alias("truths"), zero.alias("stack")), step, lambda a: F.when(a["stack"] == one, mask(a)))
+Test = tuple[tuple[str, str], str, list]  # (source: an event field or a path in the raw JSON, form), operator, values
+
+
+def _asked(name: str, expected: Any) -> Test:
+    """A selection's entry as a test of one column. Forms: low (the text in lower case), text, number."""
+    path, _, op = name.partition("|")
+    values = list(_flat(expected))
+    if op == "exists":
+        return (path, "low"), op, [bool(v) for v in values]
+    if op in _COMPARED:
+        return (path, "number"), op, list(_limits(values))
+    if op in ("re", "regex"):
+        return (path, "text"), "re", [str(v) for v in values if R.java_pattern(str(v)) != ""]
+    return (path, "low"), op if op in ("contains", "startswith", "endswith") else "equals", [str(v).lower() for v in values]
+
+
+#: Tests of a selection go in this order: comparisons of codes and numbers first, patterns last.
+_COST = {"contains": 1, "startswith": 1, "endswith": 1, "re": 2}
+
+
+def _column(source: tuple[str, str]) -> Column:
+    text = R.event_field(source[0])
+    return {"low": F.lower, "number": R.number}.get(source[1], lambda c: c)(text)
+
+
+class _Batch:
+    """Columns of a batch of events; texts as codes of their distinct values, -1 for null."""
+
+    def __init__(self, columns: dict[tuple[str, str], pa.Array], n: int):
+        self.columns, self.n, self.kept = columns, n, {}
+
+    def _once(self, key: tuple, make: Callable[[], Any]) -> Any:
+        if key not in self.kept:
+            self.kept[key] = make()
+        return self.kept[key]
+
+    def coded(self, source: tuple[str, str]) -> tuple[np.ndarray, list[str], dict[str, int]]:
+        def make():
+            found = self.columns[source].dictionary_encode()
+            values = found.dictionary.to_pylist()
+            return found.indices.fill_null(-1).to_numpy(zero_copy_only=False), values, {v: i for i, v in enumerate(values)}
+
+        return self._once(("codes", source), make)
+
+    def numbers(self, source: tuple[str, str]) -> np.ndarray:
+        return self._once(("numbers", source), lambda: self.columns[source].cast(pa.float64()).to_numpy(zero_copy_only=False))
+
+    def rows(self, source: tuple[str, str], code: int) -> np.ndarray:
+        def make():
+            codes = self.coded(source)[0]
+            order = np.argsort(codes, kind="stable")
+            return order, np.searchsorted(codes[order], np.arange(len(self.coded(source)[1]) + 1))
+
+        order, starts = self._once(("rows", source), make)
+        return order[starts[code] : starts[code + 1]]
+
+    def with_literals(self, source: tuple[str, str], literals: tuple[str, ...]) -> dict[str, list[int]]:
+        """For each literal the codes of the texts that have it, by one pass of an Aho-Corasick automaton over them."""
+
+        def make():
+            out: dict[str, list[int]] = {}
+            automaton = _automaton(literals)
+            for code, v in enumerate(self.coded(source)[1]):
+                for x in {x for _, x in automaton.iter(v)}:
+                    out.setdefault(x, []).append(code)
+            return out
+
+        return self._once(("literals", source), make)
+
+    def holds(self, test: Test, rows: np.ndarray) -> np.ndarray:
+        """Whether a test holds for these rows: the same comparisons as functions.rules.compare()."""
+        source, op, wanted = test
+        if op in _COMPARED:
+            x = self.numbers(source)[rows]
+            compare = {"gt": np.greater, "gte": np.greater_equal, "lt": np.less, "lte": np.less_equal}[op]
+            return reduce(np.logical_or, [compare(x, limit) for limit in wanted], np.zeros(len(rows), bool))
+        codes, values, place = self.coded(source)
+        codes = codes[rows]
+        if op == "exists":
+            return reduce(np.logical_or, [(codes >= 0) == w for w in wanted], np.zeros(len(rows), bool))
+        if op == "equals":
+            known = [place[w] for w in wanted if w in place]
+            return codes == known[0] if len(known) == 1 else np.isin(codes, known)
+        if op == "re":
+            found = [re.compile(w, re.I).search for w in wanted]
+            check = lambda v: len(v) <= R.MAX_VALUE and any(f(v) is not None for f in found)
+        else:
+            check = {"contains": lambda v: any(w in v for w in wanted), "startswith": lambda v: v.startswith(tuple(wanted)), "endswith": lambda v: v.endswith(tuple(wanted))}[op]
+        truth = np.zeros(len(values) + 1, bool)  # the last place is that of null
+        for code in np.unique(codes).tolist():
+            if code >= 0:
+                truth[code] = check(values[code])
+        return truth[codes]
+
+    def selected(self, tests: list[Test], rows: np.ndarray) -> np.ndarray:
+        out = np.ones(len(rows), bool)
+        for t in tests:
+            left = np.flatnonzero(out)
+            if not len(left):
+                break
+            out[left] = self.holds(t, rows[left])
+        return out
+
+    def true(self, tree: tuple, selections: dict[str, list[Test]], rows: np.ndarray) -> np.ndarray:
+        kind, *parts = tree
+        if kind == "is":
+            return self.selected(selections[parts[0]], rows)
+        out = self.true(parts[0], selections, rows)
+        if kind == "not":
+            return ~out
+        # Of "and" the second part is asked of the rows that hold so far, of "or" of the others.
+        left = np.flatnonzero(out if kind == "and" else ~out)
+        if len(left):
+            out[left] = self.true(parts[1], selections, rows[left])
+        return out
+
+
+HITS = "array<struct<part:int,hits:array<struct<rule:int,mask:bigint>>>>"
+
+
+def hits(rules: list[Rule], parts: list[int] | None = None) -> Column:
+    """For each event its matches (rule: the place in rules; mask: a bit for each stage that it fits), in lists by the rules'
+    parts (all 0 if None), in order of part and rule.
+
+    Arrow batches: a rule looks only at the rows that have one of its necessary() keys, each distinct text of them is
+    tested once, and a selection's next test sees only the rows that the last one left. Lower case, numbers and fields of
+    the raw JSON are made by Spark, once an event.
+    """
+    plans, literals = [], {}
+    for i, r in enumerate(rules):
+        keys, tree = necessary(r), r.condition()
+        if tree is not None and (keys is None or keys):
+            tests = {n: sorted((_asked(*e) for e in (r.detection.get(n) or {}).items()), key=lambda t: _COST.get(t[1], 0)) for n in r.selection_names()}
+            plans.append((i, keys, tree, tests, r.stages if r.kind == "sequence" else []))
+            for field, how, value in keys or ():
+                if how == "~":
+                    literals.setdefault(field, set()).add(value)
+    literals = {f: tuple(sorted(v)) for f, v in literals.items()}
+    sources = sorted({t[0] for p in plans for tests in p[3].values() for t in tests})
+    parts_of = np.array(parts or [0] * len(rules), np.int32)
+
+    def candidates_of(batch: _Batch, keys: set[Key] | None) -> np.ndarray:
+        if keys is None:
+            return np.arange(batch.n)
+        found = []
+        for field, how, value in keys:
+            source = (field, "low")
+            codes = batch.with_literals(source, literals[field]).get(value, []) if how == "~" else [c for c in [batch.coded(source)[2].get(value)] if c is not None]
+            found += [batch.rows(source, c) for c in codes]
+        if len(found) < 2:
+            return found[0] if found else np.empty(0, np.int64)
+        met = np.zeros(batch.n, bool)
+        met[np.concatenate(found)] = True
+        return np.flatnonzero(met)
+
+    @F.arrow_udf(HITS)
+    def found(*columns: pa.Array) -> pa.Array:
+        batch = _Batch(dict(zip(sources, columns)), len(columns[0]))
+        rows, rule, mask = [], [], []
+        for i, keys, tree, tests, stages in plans:
+            at = candidates_of(batch, keys)
+            at = at[batch.true(tree, tests, at)] if len(at) else at
+            if len(at):
+                bits = np.zeros(len(at), np.int64)
+                for k, name in enumerate(stages):
+                    bits |= batch.selected(tests[name], at).astype(np.int64) << k
+                rows.append(at)
+                rule.append(np.full(len(at), i, np.int32))
+                mask.append(bits)
+        row, rule, mask = (np.concatenate([*x, np.empty(0, t)]).astype(t) for x, t in ((rows, np.int64), (rule, np.int32), (mask, np.int64)))
+        order = np.lexsort((rule, parts_of[rule], row))
+        row, rule, mask = row[order], rule[order], mask[order]
+        part = parts_of[rule]
+        starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])][: len(row)])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(rule), pa.array(mask)], ["rule", "mask"]))
+        per_event = np.r_[0, np.cumsum(np.bincount(row[starts], minlength=batch.n))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(per_event), pa.StructArray.from_arrays([pa.array(part[starts]), lists], ["part", "hits"]))
+
+    return found(*[_column(s) for s in sources] or [F.lit("")])
 
 
 def indexed(spark: SparkSession, rules: list[Rule]) -> tuple[DataFrame, list[str], set[str], list[Rule]]:
@@ -239,19 +374,11 @@ def candidates(events: DataFrame, index: DataFrame, keys: set[str]) -> DataFrame
     return keyed.join(F.broadcast(index), "key").where(once)
 
 
-def indexed_matches(events: DataFrame, rules: list[Rule]) -> tuple[DataFrame | None, list[Rule]]:
-    """(events' columns, rule_id, mask) of all rules that can be rows, and the other rules.
-
-    An event meets the rules that share one of its keys, by a broadcast join, and only they are tested, by one
-    expression whose size does not depend on the number of rules. No shuffle.
-    """
-    index, fields, keys, left = indexed(events.sparkSession, rules)
-    if not keys:
-        return None, left
-    values = F.array(*[F.col(c).cast("string") for c in fields]) if fields else F.array().cast("array<string>")
-    # Made once an event, not once a candidate.
-    found = candidates(events.withColumn("event_values", values), index, keys).withColumn("mask", _outcome(F.col("event_values"))).where("mask IS NOT NULL")
-    return found.select(*events.columns, "rule_id", "mask"), left
+def indexed_matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(events' columns, rule_id, mask) of all rules: hits() of the events, with the rules' ids by a broadcast join. No shuffle."""
+    ids = events.sparkSession.createDataFrame(list(enumerate(r.id for r in rules)), "rule int, rule_id string")
+    found = events.withColumn("found", hits(rules)).select(*events.columns, F.inline(F.flatten("found.hits")))
+    return found.join(F.broadcast(ids), "rule").select(*events.columns, "rule_id", "mask")
 
 
-__all__ = ["RULES_A_PASS", "candidates", "indexed", "indexed_matches", "literals_in", "necessary"]
+__all__ = ["HITS", "RULES_A_PASS", "candidates", "hits", "indexed", "indexed_matches", "literals_in", "necessary"]
