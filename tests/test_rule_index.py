@@ -118,3 +118,35 @@ def test_a_hot_key_is_split(spark):
     matches = detect.keyed(detect.matched_events(e, rules), rules).select("rule_id", "entity_key", "id", "us", "mask", "frame", "stages", "needs").persist()
     split = detect._split_by_time(matches, 40, 10**9).groupBy("rule_id", "entity_key", "bucket").agg(F.count("*").alias("n")).where("entity_key = 'hot'").collect()
     assert len([r for r in split if r.rule_id == "C-1"]) >= 4 and max(r.n for r in split if r.rule_id == "C-1") <= 60
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_matches_of_large_packs_are_no_rows(spark, monkeypatch, known):
+    """Counts and sequences of a large pack: the alerts of the windows over matches, of which none becomes a row; ties in time, ids
+    and keys that are null or empty, ports of 0, stored alerts, entities longer than a task's part."""
+    from watchfire.operators import correlate
+
+    rng, keys = random.Random(7), [["source_ip"], ["hostname"], ["source_ip", "source_port"], ["source_port"], ["username"]]
+    rules = []
+    for i in range(50):
+        how = {"timeframe": f"{rng.randint(1, 9)}m", "group_by": keys[i % 5]}
+        if i % 2:
+            more = {"type": "sequence", "sequence": rng.choice([["a", "b"], ["b", "a", "b"], ["a", "a"]]), **how}
+        else:
+            more = {"type": "count", "threshold": rng.randint(1, 4), **how}
+        rules.append(spec({"a": {"event_type": rng.choice("fg")}, "b": {"severity": ["low", "high"]}, "condition": "a or b", "correlation": more}, id=f"M-{i:02d}"))
+    rules = parse_pack(rules)
+    values = {"event_type": ["f", "g", "h"], "severity": ["low", "high", "none"], "source_ip": ["1.1.1.1", "1.1.1.2", "", None], "hostname": ["hot"], "source_port": [0, 22, None]}
+    rows = [{"id": i, "us": rng.randrange(-200, 400) * 15_000_000, **{k: rng.choice(v) for k, v in values.items()}} for i in range(500)]
+    e = events(spark, *rows).persist()
+    pick = lambda df: sorted((r.rule_id, r.entity_key, r.event_id, r.us, tuple(r.event_ids)) for r in df.collect())
+    monkeypatch.setattr(detect, "COLUMN_RULES", 100)
+    stored = detect.correlated_alerts(e, rules, repeats=False).select("rule_id", "entity_key", "event_id").persist() if known else None
+    wanted = pick(detect.correlated_alerts(e, rules, stored, repeats=False))
+    monkeypatch.setattr(detect, "COLUMN_RULES", 40)
+    for size in (50_000, 7):
+        monkeypatch.setattr(correlate, "ROWS", size)
+        found = detect.correlated_alerts(e, rules, stored, repeats=False)
+        assert pick(found) == wanted and len({x[0] for x in wanted}) > 30
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert known or "Window" not in plan and "MapInArrow" in plan  # the stored alerts' own plan has windows

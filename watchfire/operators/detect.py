@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchfire.functions.rules import SEVERITY_WEIGHT, Rule
-from watchfire.operators import rule_index
+from watchfire.operators import correlate, rule_index
 from watchfire.sources.security_events import EVENT_FIELDS
 from watchfire.storage import written
 
@@ -170,11 +170,17 @@ def correlated_alerts(events: DataFrame, rules: list[Rule], stored: DataFrame |
     the last stage back, the next later event of each stage is the last one seen in reverse time order. So a sort each
     way does it, whatever the number of rules and stages. Starts whose terminal event is stored already are passed over.
 
+    Packs of more than COLUMN_RULES rules on ids that come once go by correlate.first_windows() instead: the same alerts, of
+    which a match never is a row.
+
     Ties in time go by id. repeats: as in single_alerts().
     """
     rules = [r for r in rules if r.kind != "single"]
     if not rules:
         return _no_alerts(events)
+    if len(rules) > COLUMN_RULES and not repeats:
+        passes = [correlate.first_windows(events, rules[i : i + rule_index.RULES_A_PASS], stored is not None) for i in range(0, len(rules), rule_index.RULES_A_PASS)]
+        return _first_found(reduce(DataFrame.unionByName, passes), stored)
     counts, longest = sorted({r.threshold for r in rules if r.kind == "count"}), max(len(r.stages) if r.kind == "sequence" else 0 for r in rules)
     matched = matched_events(events, rules)
     rows = keyed(first_of_repeated(matched, events) if repeats else matched, rules)
@@ -213,8 +219,15 @@ def correlated_alerts(events: DataFrame, rules: list[Rule], stored: DataFrame |
     done = done.select(
         "rule_id", "entity_key", F.coalesce("start", last).alias("at"), F.col("start").isNotNull().alias("sequence"),
         F.when(F.col("start").isNotNull(), path).otherwise(window).alias("f"),
-    ).withColumn("event_id", F.col("f.end_id"))
+    )
+    return _first_found(done, stored)
+
+
+def _first_found(done: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Of what each rule and entity found (at: place in time, sequence, f: end_us, end_id, ids) the first, as correlated_alerts()
+    gives it; sequences that end in a stored event are passed over."""
     if stored is not None:
+        done = done.withColumn("event_id", F.col("f.end_id"))
         known = stored.select("rule_id", "entity_key", "event_id").distinct().withColumn("known", F.lit(True))
         done = done.join(known, ["rule_id", "entity_key", "event_id"], "left").where("known IS NULL OR NOT sequence")
     found = done.groupBy("rule_id", "entity_key").agg(F.min_by("f", "at").alias("f"))

@@ -291,16 +291,16 @@ class _Batch:
 
 
 HITS = "array<struct<part:int,hits:array<struct<rule:int,mask:bigint>>>>"
+CODES = "array<struct<part:int,codes:binary>>"
 
+#: The rows of a batch that a rule matches, by its place in the pack, and for each of its stages whether they fit it.
+Tested = Iterator[tuple[int, np.ndarray, list[np.ndarray]]]
 
-def hits(rules: list[Rule], parts: list[int] | None = None) -> Column:
-    """For each event its matches (rule: the place in rules; mask: a bit for each stage that it fits), in lists by the rules'
-    parts (all 0 if None), in order of part and rule.
 
-    Arrow batches: a rule looks only at the rows that have one of its necessary() keys, each distinct text of them is
-    tested once, and a selection's next test sees only the rows that the last one left. Lower case, numbers and fields of
-    the raw JSON are made by Spark, once an event.
-    """
+def _tester(rules: list[Rule]) -> tuple[list[tuple[str, str]], Callable[[_Batch], Tested]]:
+    """(the columns that tests read, the test of a batch). A rule looks only at the rows that have one of its necessary()
+    keys, each distinct text of them is tested once, and a selection's next test sees only the rows that the last one left.
+    Lower case, numbers and fields of the raw JSON are made by Spark, once an event."""
     plans, literals = [], {}
     for i, r in enumerate(rules):
         keys, tree = necessary(r), r.condition()
@@ -311,8 +311,6 @@ def hits(rules: list[Rule], parts: list[int] | None = None) -> Column:
                 if how == "~":
                     literals.setdefault(field, set()).add(value)
     literals = {f: tuple(sorted(v)) for f, v in literals.items()}
-    sources = sorted({t[0] for p in plans for tests in p[3].values() for t in tests})
-    parts_of = np.array(parts or [0] * len(rules), np.int32)
 
     def candidates_of(batch: _Batch, keys: set[Key] | None) -> np.ndarray:
         if keys is None:
@@ -328,28 +326,77 @@ def hits(rules: list[Rule], parts: list[int] | None = None) -> Column:
         met[np.concatenate(found)] = True
         return np.flatnonzero(met)
 
-    @F.arrow_udf(HITS)
-    def found(*columns: pa.Array) -> pa.Array:
-        batch = _Batch(dict(zip(sources, columns)), len(columns[0]))
-        rows, rule, mask = [], [], []
+    def tested(batch: _Batch) -> Tested:
         for i, keys, tree, tests, stages in plans:
             at = candidates_of(batch, keys)
             at = at[batch.true(tree, tests, at)] if len(at) else at
             if len(at):
-                bits = np.zeros(len(at), np.int64)
-                for k, name in enumerate(stages):
-                    bits |= batch.selected(tests[name], at).astype(np.int64) << k
-                rows.append(at)
-                rule.append(np.full(len(at), i, np.int32))
-                mask.append(bits)
-        row, rule, mask = (np.concatenate([*x, np.empty(0, t)]).astype(t) for x, t in ((rows, np.int64), (rule, np.int32), (mask, np.int64)))
+                yield i, at, [batch.selected(tests[name], at) for name in stages]
+
+    return sorted({t[0] for p in plans for tests in p[3].values() for t in tests}), tested
+
+
+def _joined(found: list[list[np.ndarray]], types: tuple) -> list[np.ndarray]:
+    return [np.concatenate([*x, np.empty(0, t)]).astype(t) for x, t in zip(found, types)]
+
+
+def _by_event_and_part(row: np.ndarray, part: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Of sorted hits: (where each list of an event and part begins, with the end; where each event's lists begin; parts)."""
+    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])][: len(row)])
+    per_event = np.r_[0, np.cumsum(np.bincount(row[starts], minlength=n))].astype(np.int32)
+    return np.r_[starts, len(row)], pa.array(per_event), pa.array(part[starts])
+
+
+def hits(rules: list[Rule], parts: list[int] | None = None) -> Column:
+    """For each event its matches (rule: the place in rules; mask: a bit for each stage that it fits), in lists by the rules'
+    parts (all 0 if None), in order of part and rule. Arrow batches, tested as _tester() says."""
+    sources, tested = _tester(rules)
+    parts_of = np.array(parts or [0] * len(rules), np.int32)
+
+    @F.arrow_udf(HITS)
+    def found(*columns: pa.Array) -> pa.Array:
+        batch = _Batch(dict(zip(sources, columns)), len(columns[0]))
+        rows, rule, mask = [], [], []
+        for i, at, stages in tested(batch):
+            rows.append(at)
+            rule.append(np.full(len(at), i, np.int32))
+            mask.append(reduce(np.bitwise_or, [fits.astype(np.int64) << k for k, fits in enumerate(stages)], np.zeros(len(at), np.int64)))
+        row, rule, mask = _joined([rows, rule, mask], (np.int64, np.int32, np.int64))
         order = np.lexsort((rule, parts_of[rule], row))
         row, rule, mask = row[order], rule[order], mask[order]
-        part = parts_of[rule]
-        starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])][: len(row)])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(rule), pa.array(mask)], ["rule", "mask"]))
-        per_event = np.r_[0, np.cumsum(np.bincount(row[starts], minlength=batch.n))].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(per_event), pa.StructArray.from_arrays([pa.array(part[starts]), lists], ["part", "hits"]))
+        ends, per_event, part = _by_event_and_part(row, parts_of[rule], batch.n)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(rule), pa.array(mask)], ["rule", "mask"]))
+        return pa.ListArray.from_arrays(per_event, pa.StructArray.from_arrays([part, lists], ["part", "hits"]))
+
+    return found(*[_column(s) for s in sources] or [F.lit("")])
+
+
+def code_type(n: int) -> np.dtype:
+    """The type of codes of which there are n."""
+    return np.dtype("<u2" if n <= 1 << 16 else "<u4")
+
+
+def coded_hits(rules: list[Rule], parts: list[int], codes: list[int], n_codes: int) -> Column:
+    """hits() in a short form: for each event and part one binary, the codes of what it matches, each of code_type(n_codes). A
+    rule's code is codes[its place]; of a sequence rule stage k that an event fits has that code plus k."""
+    sources, tested = _tester(rules)
+    kind = code_type(n_codes)
+
+    @F.arrow_udf(CODES)
+    def found(*columns: pa.Array) -> pa.Array:
+        batch = _Batch(dict(zip(sources, columns)), len(columns[0]))
+        rows, part, code = [], [], []
+        for i, at, stages in tested(batch):
+            for k, fitting in enumerate([at[fits] for fits in stages] if rules[i].kind == "sequence" else [at]):
+                rows.append(fitting)
+                part.append(np.full(len(fitting), parts[i], np.int32))
+                code.append(np.full(len(fitting), codes[i] + k, kind))
+        row, part, code = _joined([rows, part, code], (np.int64, np.int32, kind))
+        order = np.argsort(row * (max(parts, default=0) + 1) + part, kind="stable")
+        row, part, code = row[order], part[order], code[order]
+        ends, per_event, part = _by_event_and_part(row, part, batch.n)
+        packed = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(code)])
+        return pa.ListArray.from_arrays(per_event, pa.StructArray.from_arrays([part, packed], ["part", "codes"]))
 
     return found(*[_column(s) for s in sources] or [F.lit("")])
 
@@ -381,4 +428,4 @@ def indexed_matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
     return found.join(F.broadcast(ids), "rule").select(*events.columns, "rule_id", "mask")
 
 
-__all__ = ["HITS", "RULES_A_PASS", "candidates", "hits", "indexed", "indexed_matches", "literals_in", "necessary"]
+__all__ = ["HITS", "RULES_A_PASS", "candidates", "code_type", "coded_hits", "hits", "indexed", "indexed_matches", "literals_in", "necessary"]
