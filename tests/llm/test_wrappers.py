@@ -156,3 +156,29 @@ def test_rules_after_a_rejection_are_not_evaluated(spark):
 def test_each_added_rule(spark, text, kept):
     got = rules.quality_cascade(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert got.kept is kept
+
+
+def test_new_chunks_of_a_text_are_encoded_together(monkeypatch):
+    """A text with many new chunks takes few calls of the encoder, and its ids are those of the tokenizer."""
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from watchfire.llm import packing
+    from watchfire.llm.queries import tokenizer_path
+
+    calls, make = [], packing.rank_encoder
+
+    def counted(path):
+        fast = make(path)
+        return lambda text: calls.append(text) or fast(text)
+
+    monkeypatch.setattr(packing, "rank_encoder", counted)
+    encode, tok = packing.byte_tokens(tokenizer_path(), 1, memo_size=500), Tokenizer.from_file(tokenizer_path())
+    ids = lambda text: np.array([*tok.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+    many = " ".join(f"w{i}x Ġ{i} café{i}\n{i}" for i in range(300))
+    assert encode(many) == ids(many) and len(calls) <= 2
+    rng, letters = random.Random(3), [" ", " ", "a", "Ġ", "é", "\n", "\t", "'s", "1", " ", "　", "<", "\x1c", "Zx"]
+    for text in ("".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(2000)):
+        assert encode(text) == ids(text)

@@ -23,7 +23,8 @@ def byte_tokens(path: str, end_id: int, memo_size: int = 400_000) -> Callable[[s
 
     A byte-level pre-tokenizer always cuts before a single space between two other characters, so such chunks are
     encoded apart and remembered; texts with other runs of white space at a chunk's edge, or with a special token's
-    text, are encoded whole.
+    text, are encoded whole. A text's new chunks are encoded in one go: each begins with the only space that it has, so its
+    ids begin where one that stands for a space does.
     """
     from tokenizers import Tokenizer
 
@@ -32,31 +33,42 @@ def byte_tokens(path: str, end_id: int, memo_size: int = 400_000) -> Callable[[s
     end = np.array([end_id], dtype="<u4").tobytes()
     fast = rank_encoder(path)
     memo: dict[str, bytes] = {}
+    vocab = tok.get_vocab()
+    begins = np.zeros(max(vocab.values(), default=0) + 1, bool)
+    begins[[i for w, i in vocab.items() if w.startswith("\u0120") and w not in special]] = True  # a space in the byte alphabet
 
     def whole(text: str) -> bytes:
         if fast and not any(s in text for s in special):
             return np.array(fast(text), dtype="<u4").tobytes()
         return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def apart(chunks: list[str]) -> list[bytes]:
+        if fast:
+            ids = np.array(fast(" " + " ".join(chunks)), dtype="<u4")
+            at = np.flatnonzero(begins[ids])
+            if len(at) == len(chunks):
+                raw, at = ids.tobytes(), (4 * at).tolist()
+                return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+        return [whole(" " + c) for c in chunks]
+
     def encode(text: str) -> bytes:
         if not text:
             return end
         chunks = text.split(" ")
         if len(chunks) < 2 or any(s in text for s in special):
             return whole(text) + end
-        got = list(map(memo.get, chunks[1:]))
+        first, rest = chunks[0], chunks[1:]
+        if not first or first[-1].isspace():
+            return whole(text) + end
+        got = list(map(memo.get, rest))
         if None in got:
             if len(memo) > memo_size:
                 memo.clear()
-            for i, g in enumerate(got, 1):
-                if g is None:
-                    c = chunks[i]
-                    if not c or c[0].isspace() or c[-1].isspace():
-                        return whole(text) + end
-                    memo[c] = got[i - 1] = whole(" " + c)
-        first = chunks[0]
-        if not first or first[-1].isspace():
-            return whole(text) + end
+            new = list(dict.fromkeys([c for c, g in zip(rest, got) if g is None]))
+            if any(not c or c[0].isspace() or c[-1].isspace() for c in new):
+                return whole(text) + end
+            memo.update(zip(new, apart(new)))
+            got = [memo[c] if g is None else g for c, g in zip(rest, got)]
         return b"".join((whole(first), *got, end))
 
     return encode
