@@ -204,3 +204,77 @@ def test_processor_equals_plain_versions(seed):
         assert [(x[2], tuple(x[4])) for x in got] == [w[2:] for w in plain_count(rows)]
         got = fed(given, batches, ("sequence", 3, 10 * minute))[0]
         assert [(x[2], tuple(x[4])) for x in got] == [w[2:] for w in plain_sequence(rows)]
+
+
+class Calls(Counted):
+    """The same, which also counts the calls."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def _counting(self, state):
+        outer = self
+
+        class Counting:
+            def __getattr__(_, name):
+                outer.calls += 1
+                return getattr(state, name)
+
+        return Counting()
+
+    def getMapState(self, *a):
+        return self._counting(super().getMapState(*a))
+
+    def getValueState(self, *a):
+        return self._counting(super().getValueState(*a))
+
+    def getListState(self, *a):
+        return self._counting(super().getListState(*a))
+
+
+@pytest.mark.parametrize("kind", ["count", "sequence"])
+def test_entities_share_state(kind):
+    """Entities of a share: each has its own alerts, in whatever lots its rows waited, and the calls of the state store do not grow
+    with the entities."""
+    import pandas as pd
+
+    from tests.test_detection import plain_count, plain_sequence
+    from watchfire.streaming import correlation
+
+    minute, bits = 60_000_000, {"f": 1, "s": 2, "t": 4}
+    plan, plain = (("count", 3, 5 * minute), plain_count) if kind == "count" else (("sequence", 3, 10 * minute), plain_sequence)
+
+    def run(n, each, batches=5):
+        rng = random.Random(n)
+        rows = [{"id": i, "us": (100 + rng.randrange(400)) * minute, "event_type": rng.choice("f" if kind == "count" else "fst"), "source_ip": f"ü{i % n}", "username": f"ü{i % n}"} for i in range(n * each)]
+        given = sorted(rows, key=lambda r: r["us"] + rng.randrange(50) * minute)
+        store, p, out, watermark = Calls(), correlation._Correlator({"R": plan}, "never"), [], 0
+        p.init(store)
+        times = lambda at=0: type("T", (), {"getCurrentWatermarkInMs": lambda s: watermark, "getExpiryTimeInMs": lambda s: at})()
+        step = -(-len(given) // batches)
+        for i in range(0, len(given) + step, step):
+            if part := [(r["us"], r["id"], bits[r["event_type"]], r["username"]) for r in given[i : i + step]]:
+                list(p.handleInputRows(("R", 7), iter([pd.DataFrame(part, columns=["us", "id", "stages", "entity_key"])]), times()))
+            watermark = max(watermark, max(r[0] for r in part) // 1000 - 3_600_000) if part else 10**14
+            while due := [t for t in store.timers if t <= watermark]:
+                store.timers.remove(at := min(due))
+                for f in p.handleExpiredTimer(("R", 7), times(), times(at)):
+                    out += f.values.tolist()
+        assert not store.map["waiting"] and not store.timers
+        want = sorted(("R", w[1], *w[2:]) for e in range(n) for w in plain([r for r in rows if r["username"] == f"ü{e}"]))
+        assert want and sorted((x[0], x[1], x[2], tuple(x[4])) for x in out) == want
+        return store.calls
+
+    few, many = run(40, 100), run(400, 10)
+    assert many < 1.5 * few and many < 600
+
+
+def test_open_rows_before_waiting_ones():
+    """What is open stays for a row that waits in the slot of the watermark, before it."""
+    second = 1_000_000
+    rows = [(1000 * second, 1, 1), (1064 * second, 2, 1), (4_665_500_000, 3, 1)]
+    got = fed(rows, 1, ("count", 2, 64 * second))[0]
+    assert [(x[2], list(x[4])) for x in got] == [(2, [1, 2])]
+    got = fed(rows, 1, ("count", 1, 64 * second), rearm="after_timeframe")[0]
+    assert [x[2] for x in got] == [1, 3]
